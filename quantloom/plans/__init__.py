@@ -4,4 +4,6 @@ from __future__ import annotations
 
 
 def modules() -> list:
-    return []
+    from . import checks, joins, shapes, studies, windows
+
+    return [windows, joins, shapes, studies, checks]
