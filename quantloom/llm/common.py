@@ -82,7 +82,8 @@ def unpack(data: bytes) -> list[bytes]:
     return out
 
 
-def chunk_of(doc_id: int | None) -> int:
+def chunk_of(doc_id: int | None, size: int = 0) -> int:
+    """The chunk of a document, by its id alone; size, the length of its text, is not looked at."""
     return -1 if doc_id is None else doc_id // CHUNK_DOCS
 
 
@@ -91,7 +92,7 @@ CHUNK_ROWS = "chunk long, kind int, ids array<long>, data binary"
 CHUNK_SCHEMA = pa.schema([("chunk", pa.int64()), ("kind", pa.int32()), ("ids", pa.list_(pa.int64())), ("data", pa.binary())])
 
 
-def chunked_docs(docs: DataFrame) -> DataFrame:
+def chunked_docs(docs: DataFrame, chunk: Callable[[int | None, int], int] = chunk_of) -> DataFrame:
     """Documents as compressed packs by chunk: a text crosses the network at less than half its size.
 
     A leading byte tells a null text (0) from an empty one (1)."""
@@ -102,7 +103,7 @@ def chunked_docs(docs: DataFrame) -> DataFrame:
             sizes: dict[int, int] = {}
             rows = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                c = chunk_of(doc_id)
+                c = chunk(doc_id, len(text or ""))
                 ids, items = groups.setdefault(c, ([], []))
                 ids.append(doc_id)
                 items.append(b"\0" if text is None else b"\1" + text.encode("utf-8", "surrogatepass"))
@@ -124,12 +125,12 @@ def unpack_docs(ids: list[int | None], data: bytes) -> Iterator[tuple[int | None
         yield doc_id, item[1:].decode("utf-8", "surrogatepass") if item[:1] == b"\1" else None
 
 
-def meet_by_chunk(lookup: DataFrame, docs: DataFrame) -> DataFrame:
+def meet_by_chunk(lookup: DataFrame, docs: DataFrame, chunk: Callable[[int | None, int], int] = chunk_of) -> DataFrame:
     """Lookup rows and packed documents of a chunk in one task, the lookup rows first.
 
     Chunks are dealt round the partitions by number, so a range of ids spreads evenly."""
     n = partitions(docs.sparkSession)
-    both = lookup.unionByName(chunked_docs(docs))
+    both = lookup.unionByName(chunked_docs(docs, chunk))
     return both.repartitionById(n, F.pmod("chunk", F.lit(n)).cast("int")).sortWithinPartitions("chunk", "kind")
 
 

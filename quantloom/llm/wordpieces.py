@@ -6,22 +6,31 @@ distinct words of each chunk of documents; the lists meet by hash of the word, w
 distinct word of the corpus is encoded once; the coded lists and the documents meet by chunk, where
 ids are joined back by position. A frequent word is one entry in each list, never a row for each use.
 
-All lists travel packed, a row for each (task, bucket, chunk), so the exchanges move few rows."""
+Words are listed by their parts (see parts()): a stem, closing punctuation and the pieces at a line
+end each are a word of their own, which the tokenizer would tell apart anyway.
+
+All lists travel packed, a row for each (task, bucket, chunk), so the exchanges move few rows. A
+chunk has WORD_CHUNK documents with ids in a row, or LONG_CHUNK if they are longer than LONG_TEXT."""
 
 from __future__ import annotations
 
 import json
+import struct
 import zlib
+from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CHUNK_ROWS, CHUNK_SCHEMA, by_chunk, chunk_of, map_arrow, meet_by_chunk, pack, partitions, unpack, unpack_docs
+from .common import CHUNK_ROWS, CHUNK_SCHEMA, by_chunk, map_arrow, meet_by_chunk, pack, partitions, unpack, unpack_docs
 
 #: Distinct words of one chunk that a map task holds before it hands them on.
 LIST_WORDS = 200_000
+#: Documents of a chunk, those of a chunk of long texts, and the characters of a long text.
+WORD_CHUNK, LONG_CHUNK, LONG_TEXT = 4096, 128, 1 << 15
 #: Bytes of words that go through the tokenizer in one call.
 CALL_BYTES = 1 << 16
 
@@ -40,6 +49,74 @@ def split_words(text: str) -> list[str]:
     return words
 
 
+#: Closing punctuation that is a token run of its own after a letter or digit. No apostrophe: it opens contractions.
+_CLOSING = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+
+
+_PLAIN = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789")
+
+
+def parts(word: str, whole: tuple[str, ...] = ()) -> list[str]:
+    """The word cut at single line ends and before its closing punctuation, where tokens end in any case.
+
+    A word that holds one of the strings in whole is not cut."""
+    if whole and any(x in word for x in whole):
+        return [word]
+    if "\n" not in word and word[-1:].isalnum():
+        return [word]
+    if "\n" in word:
+        lines = word.split("\n")
+        if all(lines) and not any(x[-1].isspace() for x in lines) and not any(x[0].isspace() for x in lines[1:]):
+            out = parts(lines[0])
+            for x in lines[1:]:
+                out += ["\n", *parts(x)]
+            return out
+        return [word]
+    stem = word.rstrip(_CLOSING)
+    return [stem, word[len(stem) :]] if 0 < len(stem) < len(word) and stem[-1].isalnum() else [word]
+
+
+class WordTable(dict):
+    """Words to bytes; a word that is not listed is made of its parts, and remembered.
+
+    turn() starts a new generation: words of the last one are still found, older ones are forgotten."""
+
+    def __init__(self, whole: tuple[str, ...] = ()):
+        self.whole = whole
+        self.last: dict[str, bytes] = {}
+
+    def __missing__(self, word: str) -> bytes:
+        out = self.last.get(word)
+        if out is None:
+            found = parts(word, self.whole)
+            if len(found) < 2:
+                raise KeyError(word)
+            out = b"".join([self[x] for x in found])
+        self[word] = out
+        return out
+
+    def turn(self) -> None:
+        self.last = dict(self)
+        self.clear()
+
+    def unknown(self, texts: list[list[str]]) -> list[str]:
+        """The parts of these texts' words that neither generation has."""
+        met = {w for words in texts for w in words}.difference(self, self.last)
+        return list(all_parts(met, self.whole).difference(self, self.last))
+
+
+def all_parts(words: Iterable[str], whole: tuple[str, ...]) -> set[str]:
+    """The distinct parts of words; most words end in an ASCII letter and are their own only part."""
+    plain = {w for w in words if w and w[-1] in _PLAIN and "\n" not in w}
+    return plain.union(p for w in words if w not in plain for p in parts(w, whole))
+
+
+def word_chunk(doc_id: int | None, size: int) -> int:
+    """Even numbers are chunks of short texts, odd ones of long texts."""
+    n = -1 if doc_id is None else doc_id
+    return n // LONG_CHUNK * 2 + 1 if size > LONG_TEXT else n // WORD_CHUNK * 2
+
+
 def byte_alphabet() -> dict[str, int]:
     """Byte-level BPE writes each byte as a printable character: its own where it is one, else from U+0100 on."""
     own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -61,7 +138,7 @@ class Tokens:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         alphabet = byte_alphabet()
-        self.special = [t["content"] for t in spec["added_tokens"]]
+        self.special = tuple(t["content"] for t in spec["added_tokens"])
         pieces = {i: bytes(alphabet[c] for c in t) for t, i in spec["model"]["vocab"].items()}
         pieces |= {t["id"]: bytes(alphabet[c] for c in t["content"]) if all(c in alphabet for c in t["content"]) else t["content"].encode() for t in spec["added_tokens"]}
         self.pieces = [pieces.get(i, b"") for i in range(max(pieces) + 1)]
@@ -97,7 +174,7 @@ class Tokens:
         if not batch:
             return
         ids = self.encode("".join([words[i] for i in batch]))
-        ends = np.searchsorted(np.cumsum(self.sizes[ids]), np.cumsum([len(words[i].encode()) for i in batch])) + 1
+        ends = np.searchsorted(np.cumsum(self.sizes[ids]), np.cumsum([len(words[i].encode("utf-8", "surrogatepass")) for i in batch])) + 1
         raw, start = ids.tobytes(), 0
         for i, end in zip(batch, (4 * ends).tolist(), strict=True):
             out[i] = raw[start:end]
@@ -105,6 +182,7 @@ class Tokens:
 
 
 _LOADED: dict[int, Tokens] = {}
+_KNOWN: dict[int, WordTable] = {}
 
 
 def loaded(source: str) -> Tokens:
@@ -116,6 +194,15 @@ def loaded(source: str) -> Tokens:
     return _LOADED[key]
 
 
+def remembered(source: str) -> WordTable:
+    """The word table of this process for this tokenizer: later tasks find the words of earlier ones."""
+    key = zlib.crc32(source.encode())
+    if key not in _KNOWN:
+        _KNOWN.clear()
+        _KNOWN[key] = WordTable(loaded(source).special)
+    return _KNOWN[key]
+
+
 def read_tokenizer(path: str) -> str:
     with open(path, encoding="utf-8") as f:
         return f.read()
@@ -124,27 +211,28 @@ def read_tokenizer(path: str) -> str:
 _LISTS = pa.schema([("bucket", pa.int32()), ("chunk", pa.int64()), ("words", pa.binary())])
 
 
-def word_lists(docs: DataFrame, n_buckets: int) -> DataFrame:
-    """(bucket, chunk, words): the distinct words that a map task saw in a chunk, by hash."""
+def word_lists(docs: DataFrame, n_buckets: int, whole: tuple[str, ...]) -> DataFrame:
+    """(bucket, chunk, words): the distinct parts of words that a map task saw in a chunk, by hash."""
 
     def rows(chunk, words):
         lists: dict[int, list[bytes]] = {}
-        for w in words:
-            b = w.encode()
+        for w in all_parts(words, whole):
+            b = w.encode("utf-8", "surrogatepass")
             lists.setdefault(zlib.crc32(b) % n_buckets, []).append(b)
         buckets = list(lists)
-        return pa.RecordBatch.from_arrays([pa.array(buckets, pa.int32()), pa.array([chunk] * len(buckets), pa.int64()), pa.array([pack(lists[b]) for b in buckets], pa.binary())], schema=_LISTS)
+        return pa.RecordBatch.from_arrays([pa.array(buckets, pa.int32()), pa.array([chunk] * len(buckets), pa.int64()), pa.array([pack(sorted(lists[b])) for b in buckets], pa.binary())], schema=_LISTS)
 
     def collect(batches):
         seen: dict[int, set[str]] = {}
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if text:
-                    own = seen.setdefault(chunk_of(doc_id), set())
+                    chunk = word_chunk(doc_id, len(text))
+                    own = seen.setdefault(chunk, set())
                     own.update(split_words(text))
                     if len(own) >= LIST_WORDS:
-                        yield rows(chunk_of(doc_id), seen.pop(chunk_of(doc_id)))
-            while len(seen) > 8 or sum(map(len, seen.values())) > 2 * LIST_WORDS:
+                        yield rows(chunk, seen.pop(chunk))
+            while sum(map(len, seen.values())) > 2 * LIST_WORDS:
                 most = max(seen, key=lambda c: len(seen[c]))
                 yield rows(most, seen.pop(most))
         for c, own in seen.items():
@@ -153,6 +241,29 @@ def word_lists(docs: DataFrame, n_buckets: int) -> DataFrame:
     return map_arrow(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), collect, "bucket int, chunk long, words binary")
 
 
+def _pack_coded(words: list[bytes], ids: list[bytes]) -> bytes:
+    """Words and their ids; ids in two bytes where all fit."""
+    flat = np.frombuffer(b"".join(ids), "<u4")
+    narrow = not len(flat) or flat.max() <= 0xFFFF
+    counts = np.fromiter(map(len, ids), "<u4", len(ids)) // 4
+    listed = pack(words)
+    coded = zstandard.ZstdCompressor(level=3).compress(counts.astype("<u4").tobytes() + (flat.astype("<u2") if narrow else flat).tobytes())
+    return struct.pack("<IIB", len(listed), len(words), bool(narrow)) + listed + coded
+
+
+def _unpack_coded(data: bytes) -> tuple[list[bytes], list[bytes]]:
+    size, n, narrow = struct.unpack_from("<IIB", data)
+    words = unpack(data[9 : 9 + size])
+    raw = zstandard.ZstdDecompressor().decompress(data[9 + size :])
+    ends = 4 * np.cumsum(np.frombuffer(raw, "<u4", n), dtype=np.int64)
+    flat = np.frombuffer(raw, "<u2" if narrow else "<u4", offset=4 * n).astype("<u4").tobytes()
+    out, start = [], 0
+    for end in ends.tolist():
+        out.append(flat[start:end])
+        start = end
+    return words, out
+
+
 def encode_documents(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     """Token ids of each row of documents(doc_id, text, ...).
 
@@ -162,32 +273,34 @@ def encode_documents(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     repeat a doc_id each get a row; a null doc_id stays null. Other columns are ignored."""
     spark = docs.sparkSession
     n = partitions(spark)
-    source = spark.sparkContext.broadcast(read_tokenizer(tokenizer_path))
+    text = read_tokenizer(tokenizer_path)
+    whole = tuple(t["content"] for t in json.loads(text)["added_tokens"])
+    source = spark.sparkContext.broadcast(text)
 
     def encode(batches):
+        """One bucket: the lists of each chunk become one, each word of the bucket is encoded once."""
         tokens = loaded(source.value)
-        held = [(batch.column(1).to_pylist(), batch.column(2).to_pylist()) for batch in batches]
-        ids: dict[bytes, bytes] = {}
-        for _, lists in held:
-            for x in lists:
-                ids.update(dict.fromkeys(unpack(x), b""))
-        words = list(ids)
-        ids = dict(zip(words, tokens.encode_words([w.decode() for w in words]), strict=True))
-        for chunks, lists in held:
-            for c, x in zip(chunks, lists, strict=True):
-                coded = pack([v for w in unpack(x) for v in (w, ids[w])])
-                yield pa.RecordBatch.from_arrays([pa.array([c], pa.int64()), pa.array([0], pa.int32()), pa.array([[]], pa.list_(pa.int64())), pa.array([coded], pa.binary())], schema=CHUNK_SCHEMA)
-
-    coded = map_arrow(word_lists(docs, n).repartitionById(n, F.col("bucket")), encode, CHUNK_ROWS)
+        by_chunk_words: dict[int, set[bytes]] = {}
+        for batch in batches:
+            for c, x in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                by_chunk_words.setdefault(c, set()).update(unpack(x))
+        words = list(set().union(*by_chunk_words.values()))
+        ids = dict(zip(words, tokens.encode_words([w.decode("utf-8", "surrogatepass") for w in words]), strict=True))
+        for c, own in by_chunk_words.items():
+            ordered = sorted(own)
+            coded = _pack_coded(ordered, [ids[w] for w in ordered])
+            yield pa.RecordBatch.from_arrays([pa.array([c], pa.int64()), pa.array([0], pa.int32()), pa.array([[]], pa.list_(pa.int64())), pa.array([coded], pa.binary())], schema=CHUNK_SCHEMA)
+
+    coded = map_arrow(word_lists(docs, n, whole).repartitionById(n, F.col("bucket")), encode, CHUNK_ROWS)
 
     def join(batches):
-        at, table = None, {}
+        at, table = None, WordTable(whole)
         for chunk, kind, ids, data in by_chunk(batches):
             if chunk != at:
-                at, table = chunk, {}
+                at, table = chunk, WordTable(whole)
             if kind == 0:
-                flat = iter(unpack(data))
-                table.update((w.decode(), v) for w, v in zip(flat, flat, strict=True))
+                listed, values = _unpack_coded(data)
+                table.update(zip((w.decode("utf-8", "surrogatepass") for w in listed), values, strict=True))
                 continue
             doc_ids, found = [], []
             for doc_id, text in unpack_docs(ids, data):
@@ -195,7 +308,7 @@ def encode_documents(docs: DataFrame, tokenizer_path: str) -> DataFrame:
                 found.append(b"".join(map(table.__getitem__, split_words(text))) if text else b"")
             yield pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.array([len(x) // 4 for x in found], pa.int64()), pa.array(found, pa.binary())], names=["doc_id", "n_tokens", "ids"])
 
-    return map_arrow(meet_by_chunk(coded, docs), join, "doc_id long, n_tokens long, ids binary")
+    return map_arrow(meet_by_chunk(coded, docs, word_chunk), join, "doc_id long, n_tokens long, ids binary")
 
 
 def decode_documents(encoded: DataFrame, tokenizer_path: str) -> DataFrame:
