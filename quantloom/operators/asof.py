@@ -66,10 +66,11 @@ def interval_join(left: DataFrame, intervals: DataFrame, at: str, start: str, en
 def latest_eligible(sessions: DataFrame, records: DataFrame, by: list[str]) -> DataFrame:
     """For each session and key the last record that was public: revisions only strictly before the session.
 
-    records has effective_from, effective_to, published_at, revised and record_id."""
+    records has effective_from, effective_to, published_at, revised and record_id; sessions has distinct
+    dates, which are the side that is broadcast: a calendar has some hundred dates a year."""
     open_now = (F.col("effective_from") <= F.col("date")) & (F.col("date") < F.col("effective_to"))
     public = F.when(F.col("revised"), F.col("published_at") < F.col("date")).otherwise(F.col("published_at") <= F.col("date"))
-    found = sessions.join(F.broadcast(records), open_now & public)
+    found = records.join(F.broadcast(sessions), open_now & public)
     w = Window.partitionBy("date", *by).orderBy(F.desc("effective_from"), F.desc("published_at"), F.desc("record_id"))
     return found.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
 

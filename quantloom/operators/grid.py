@@ -26,14 +26,14 @@ def agreeing(df: DataFrame, keys: list[str], values: list[str], tolerance: float
 
 def densify(df: DataFrame, rows: str, columns: str, values: list[str]) -> DataFrame:
     """All pairs of the distinct rows and columns, two small dimensions, with zeros for what is missing."""
-    grid = df.select(rows).distinct().crossJoin(F.broadcast(df.select(columns).distinct()))
+    grid = df.select(rows).distinct().crossJoin(df.select(columns).distinct())
     return grid.join(df, [rows, columns], "left").select(rows, columns, *(F.coalesce(v, F.lit(0)).alias(v) for v in values))
 
 
 def completeness(df: DataFrame, dims: dict[str, DataFrame]) -> DataFrame:
     """Keys that are missing from the product of the dimensions, or not in it: key columns and problem."""
     keys = list(dims)
-    expected = reduce(lambda a, b: a.crossJoin(F.broadcast(b)), (dims[k].select(k).distinct() for k in keys))
+    expected = reduce(lambda a, b: a.crossJoin(b), (dims[k].select(k).distinct() for k in keys))
     present = df.select(*keys).distinct()
     return expected.join(present, keys, "left_anti").withColumn("problem", F.lit("missing")).unionByName(present.join(expected, keys, "left_anti").withColumn("problem", F.lit("unexpected")))
 

@@ -29,11 +29,11 @@ def equity_metrics(curve: DataFrame, by: str = "policy", at: str = "date", value
         F.percentile(r, 0.05).alias("var_95"), F.avg("turnover").alias("average_turnover"), F.sum("turnover").alias("total_turnover"), F.sum("cost").alias("total_cost"),
         F.count_if(F.col("turnover") > 1e-6).alias("active_steps"), F.avg("cash_weight").alias("average_cash"),
     )
-    tail = s.join(F.broadcast(base.select(by, "var_95")), by).where(r <= F.col("var_95")).groupBy(by).agg(F.avg(r).alias("cvar_95"))
+    tail = s.join(base.select(by, "var_95"), by).where(r <= F.col("var_95")).groupBy(by).agg(F.avg(r).alias("cvar_95"))
     growth = F.col("final_value") / F.col("first")
     annual = F.pow(growth, F.lit(YEAR) / F.col("n")) - 1
     vol = F.col("__std") * F.sqrt(F.lit(YEAR))
-    return base.join(F.broadcast(tail), by, "left").select(
+    return base.join(tail, by, "left").select(
         by, (growth - 1).alias("cumulative_return"), annual.alias("annual_return"), vol.alias("volatility"), F.coalesce(F.try_divide(annual, vol), F.lit(0.0)).alias("sharpe"),
         F.coalesce(F.try_divide(annual, F.col("downside_deviation") * F.sqrt(F.lit(YEAR))), F.lit(0.0)).alias("sortino"), "max_drawdown", F.coalesce(F.try_divide(annual, F.abs("max_drawdown")), F.lit(0.0)).alias("calmar"),
         "win_rate", F.coalesce(F.try_divide("__gain", "__loss"), F.lit(0.0)).alias("profit_factor"), "downside_deviation", "var_95", F.coalesce("cvar_95", F.lit(0.0)).alias("cvar_95"),

@@ -129,7 +129,7 @@ def eligibility(spark, d):
     b = A.bars_nation_month(spark, d).withColumn("has_bar", F.col("volume") > 3)
     b = b.withColumn("history", W.history_complete("has_bar", 6))
     m = A.membership(spark, d).select(F.col("ticker").alias("__t"), "effective_from", "effective_to")
-    j = b.join(F.broadcast(m), (F.col("ticker") == F.col("__t")) & (F.col("effective_from") <= F.col("date")) & (F.col("date") < F.col("effective_to")), "left")
+    j = b.join(m, (F.col("ticker") == F.col("__t")) & (F.col("effective_from") <= F.col("date")) & (F.col("date") < F.col("effective_to")), "left")
     member = F.col("__t").isNotNull()
     return j.select("date", "ticker", member.alias("member"), "has_bar", "history", (member & F.col("has_bar") & F.col("history")).alias("eligible"))
 
