@@ -106,27 +106,28 @@ def _dup_lines(text: Column) -> Column:
     return let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x)))
 
 
-def judged(docs: DataFrame, target: DataFrame, buckets: int = BUCKETS, min_score: float = MIN_SCORE, order: int = ORDER) -> DataFrame:
-    """docs with a struct __f of the figures and the verdict; see quality_rules."""
+def judged(docs: DataFrame, target: DataFrame, buckets: int = BUCKETS, min_score: float = MIN_SCORE, order: int = ORDER, counts: bool = True) -> DataFrame:
+    """docs with a struct __f of the figures and the verdict; see quality_rules. Without counts the
+    struct has no n_symbols and n_dup_lines.
+
+    The struct is one expression that computes everything once, so a filter on it that the
+    optimizer moves down still does."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    extra = [F.regexp_count(text, F.lit(SYMBOLS)).cast("long").alias("n_symbols"), _dup_lines(text).cast("long").alias("n_dup_lines")] if counts else []
 
     def of_hashes(w: Column, h: Column) -> Column:
         total = lambda g: F.aggregate(g, F.lit(0.0), lambda a, x: a + F.get(F.col("__w"), F.pmod(x, F.lit(buckets)).cast("int")))
         score = let(ngram_hashes(h, order), lambda g: F.when(F.size(g) == 0, F.lit(0.0)).otherwise(total(g) / F.size(g)))
-        return F.struct(F.size(w).cast("long").alias("n_words"), F.length(F.array_join(w, "")).cast("long").alias("word_chars"), _repeat_words(w, h).cast("long").alias("n_repeat_words"), score.alias("score"))
-
-    parts = docs.withColumn("__w", bucket_weights(docs.select("doc_id", F.col("text").cast("string")), target, buckets, order=order).scalar()).select(
-        *docs.columns,
-        F.regexp_count(text, F.lit(SYMBOLS)).cast("long").alias("__symbols"),
-        _dup_lines(text).cast("long").alias("__dup_lines"),
-        let(words_of(text), lambda w: let(word_hashes(w), lambda h: of_hashes(w, h))).alias("__p"),
-    )
-    failed = (F.col("__p.n_words") < MIN_WORDS) | (100 * F.col("__p.n_repeat_words") > MAX_REPEAT_PERCENT * F.col("__p.n_words"))
-    figures = F.struct(
-        F.col("__p.n_words"), F.col("__p.word_chars"), F.col("__symbols").alias("n_symbols"), F.col("__dup_lines").alias("n_dup_lines"), F.col("__p.n_repeat_words"),
-        F.col("__p.score"), failed.alias("base_failed"), (~failed & (F.col("__p.score") >= min_score)).alias("kept"),
-    )
-    return parts.select(*docs.columns, figures.alias("__f"))
+        return F.struct(F.size(w).cast("long").alias("n_words"), F.length(F.array_join(w, "")).cast("long").alias("word_chars"), *extra, _repeat_words(w, h).cast("long").alias("n_repeat_words"), score.alias("score"))
+
+    def verdict(p: Column) -> Column:
+        failed = (p["n_words"] < MIN_WORDS) | (100 * p["n_repeat_words"] > MAX_REPEAT_PERCENT * p["n_words"])
+        names = ["n_words", "word_chars", *(["n_symbols", "n_dup_lines"] if counts else []), "n_repeat_words", "score"]
+        return F.struct(*(p[c].alias(c) for c in names), failed.alias("base_failed"), (~failed & (p["score"] >= min_score)).alias("kept"))
+
+    figures = let(let(words_of(text), lambda w: let(word_hashes(w), lambda h: of_hashes(w, h))), verdict)
+    weighted = docs.withColumn("__w", bucket_weights(docs.select("doc_id", F.col("text").cast("string")), target, buckets, order=order).scalar())
+    return weighted.select(*docs.columns, figures.alias("__f"))
 
 
 def quality_rules(docs: DataFrame, target: DataFrame, buckets: int = BUCKETS, min_score: float = MIN_SCORE, order: int = ORDER) -> DataFrame:
@@ -142,4 +143,4 @@ def quality_rules(docs: DataFrame, target: DataFrame, buckets: int = BUCKETS, mi
 
 def filter_documents(docs: DataFrame, target: DataFrame, buckets: int = BUCKETS, min_score: float = MIN_SCORE, order: int = ORDER) -> DataFrame:
     """The rows of docs that the rules keep, with all their columns."""
-    return judged(docs, target, buckets, min_score, order).where("__f.kept").select(*docs.columns)
+    return judged(docs, target, buckets, min_score, order, counts=False).where("__f.kept").select(*docs.columns)
