@@ -23,11 +23,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import map_arrow, partitions, shared_dir
-from .wordpieces import loaded, read_tokenizer, split_words
+from .wordpieces import loaded, read_tokenizer, remembered, split_words
 
 SEQUENCE, BATCH_SEQUENCES = 2048, 256
-#: Words whose ids a task remembers.
-REMEMBERED = 400_000
 
 
 def _filesystem(path: str) -> tuple:
@@ -102,7 +100,8 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id:
     ordered = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).repartitionByRange(partitions(spark), F.col("doc_id")).sortWithinPartitions("doc_id", "text")
 
     def write(batches):
-        tokens, known, writer, target = loaded(source.value), {}, None, None
+        tokens, writer, target = loaded(source.value), None, None
+        known = remembered(source.value)
         end, task = np.array([end_id], "<u4"), TaskContext.get()
         part = task.partitionId()
         for batch in batches:
@@ -115,12 +114,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id:
                 attempt = f"{base}/.part-{part:06d}-{task.taskAttemptId()}"
                 writer = TokenFileWriter(filesystem, attempt, max(len(tokens.pieces) - 1, end_id) > 0xFFFF, sequence)
             texts = [split_words(t) if t else [] for t in batch.column(1).to_pylist()]
-            new = list({w for words in texts for w in words}.difference(known))
-            if len(known) + len(new) > REMEMBERED:
-                known = {}
-                new = list({w for words in texts for w in words})
-            known.update(zip(new, tokens.encode_words(new), strict=True))
-            get = known.__getitem__
+            get = known.of(texts).__getitem__
             writer.add(batch.column(0).to_pylist(), [np.concatenate((np.frombuffer(b"".join(map(get, words)), "<u4"), end)) for words in texts])
         if writer is not None:
             writer.close()

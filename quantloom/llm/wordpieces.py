@@ -31,16 +31,24 @@ from .common import CHUNK_ROWS, CHUNK_SCHEMA, by_chunk, map_arrow, meet_by_chunk
 LIST_WORDS = 200_000
 #: Documents of a chunk, those of a chunk of long texts, and the characters of a long text.
 WORD_CHUNK, LONG_CHUNK, LONG_TEXT = 4096, 128, 1 << 15
+#: Words of one generation of a process's memory; it holds two, about 200 MB.
+WORDS_KEPT = 600_000
 #: Bytes of words that go through the tokenizer in one call.
 CALL_BYTES = 1 << 16
 
 
+_OTHER_SPACE = [c for c in map(chr, range(0x3001)) if c.isspace() and c != " "]
+
+
 def split_words(text: str) -> list[str]:
     """The text cut before every space that follows a non-space character. Joined, the words give the text."""
-    parts = text.split(" ")
-    words = [parts[0]]
-    open_end = not parts[0] or parts[0][-1].isspace()
-    for p in parts[1:]:
+    if not ("  " in text or "\0" in text or any(c in text and c + " " in text for c in _OTHER_SPACE)):
+        words = text.replace(" ", "\0 ").split("\0")
+        return words if words[0] or len(words) == 1 else words[1:]
+    pieces = text.split(" ")
+    words = [pieces[0]]
+    open_end = not pieces[0] or pieces[0][-1].isspace()
+    for p in pieces[1:]:
         if open_end:
             words[-1] += " " + p
         else:
@@ -77,33 +85,18 @@ def parts(word: str, whole: tuple[str, ...] = ()) -> list[str]:
 
 
 class WordTable(dict):
-    """Words to bytes; a word that is not listed is made of its parts, and remembered.
-
-    turn() starts a new generation: words of the last one are still found, older ones are forgotten."""
+    """Words to bytes; a word that is not listed is made of its parts, and remembered."""
 
     def __init__(self, whole: tuple[str, ...] = ()):
         self.whole = whole
-        self.last: dict[str, bytes] = {}
 
     def __missing__(self, word: str) -> bytes:
-        out = self.last.get(word)
-        if out is None:
-            found = parts(word, self.whole)
-            if len(found) < 2:
-                raise KeyError(word)
-            out = b"".join([self[x] for x in found])
-        self[word] = out
+        found = parts(word, self.whole)
+        if len(found) < 2:
+            raise KeyError(word)
+        self[word] = out = b"".join([self[x] for x in found])
         return out
 
-    def turn(self) -> None:
-        self.last = dict(self)
-        self.clear()
-
-    def unknown(self, texts: list[list[str]]) -> list[str]:
-        """The parts of these texts' words that neither generation has."""
-        met = {w for words in texts for w in words}.difference(self, self.last)
-        return list(all_parts(met, self.whole).difference(self, self.last))
-
 
 def all_parts(words: Iterable[str], whole: tuple[str, ...]) -> set[str]:
     """The distinct parts of words; most words end in an ASCII letter and are their own only part."""
@@ -147,9 +140,9 @@ class Tokens:
     def encode(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
 
-    def _alone(self, word: str) -> bool:
+    def _alone(self, word: str, special: tuple[str, ...]) -> bool:
         """Whether a word can't stand next to others in one call."""
-        return not word or not word[0].isspace() or word[-1].isspace() or any(s in word for s in self.special)
+        return not word or not word[0].isspace() or word[-1].isspace() or (special and any(s in word for s in special))
 
     def encode_words(self, words: list[str]) -> list[bytes]:
         """The ids of each word as little-endian unsigned 32-bit integers.
@@ -157,9 +150,10 @@ class Tokens:
         Words are encoded many to a call and told apart by the bytes that their ids stand for."""
         out: list[bytes] = [b""] * len(words)
         batch: list[int] = []
-        size = 0
+        size, joined = 0, "".join(words)
+        special = tuple(x for x in self.special if x in joined)
         for i, w in enumerate(words):
-            if self._alone(w):
+            if self._alone(w, special):
                 out[i] = self.encode(w).tobytes() if w else b""
                 continue
             batch.append(i)
@@ -181,8 +175,31 @@ class Tokens:
             start = end
 
 
+class WordMemory:
+    """Ids of the words met lately, in two generations of WORDS_KEPT at most: when the new one is full
+    the old one is forgotten, and words met again move up."""
+
+    def __init__(self, tokens: Tokens):
+        self.tokens = tokens
+        self.now: dict[str, bytes] = {}
+        self.last: dict[str, bytes] = {}
+
+    def of(self, texts: list[list[str]]) -> dict[str, bytes]:
+        """A table that has all words of these texts."""
+        if len(self.now) > WORDS_KEPT:
+            self.last, self.now = self.now, {}
+        now, new = self.now, []
+        for w in set().union(*texts).difference(now):
+            if (v := self.last.get(w)) is None:
+                new.append(w)
+            else:
+                now[w] = v
+        now.update(zip(new, self.tokens.encode_words(new), strict=True))
+        return now
+
+
 _LOADED: dict[int, Tokens] = {}
-_KNOWN: dict[int, WordTable] = {}
+_KNOWN: dict[int, WordMemory] = {}
 
 
 def loaded(source: str) -> Tokens:
@@ -194,12 +211,12 @@ def loaded(source: str) -> Tokens:
     return _LOADED[key]
 
 
-def remembered(source: str) -> WordTable:
-    """The word table of this process for this tokenizer: later tasks find the words of earlier ones."""
+def remembered(source: str) -> WordMemory:
+    """The word memory of this process for this tokenizer: later tasks find the words of earlier ones."""
     key = zlib.crc32(source.encode())
     if key not in _KNOWN:
         _KNOWN.clear()
-        _KNOWN[key] = WordTable(loaded(source).special)
+        _KNOWN[key] = WordMemory(loaded(source))
     return _KNOWN[key]
 
 
