@@ -30,7 +30,7 @@ from .common import CHUNK_ROWS, CHUNK_SCHEMA, by_chunk, map_arrow, meet_by_chunk
 #: Distinct words of one chunk that a map task holds before it hands them on.
 LIST_WORDS = 200_000
 #: Documents of a chunk, those of a chunk of long texts, and the characters of a long text.
-WORD_CHUNK, LONG_CHUNK, LONG_TEXT = 4096, 128, 1 << 15
+WORD_CHUNK, LONG_CHUNK, LONG_TEXT = 4096, 1024, 1 << 15
 #: Words of one generation of a process's memory; it holds two, about 200 MB.
 WORDS_KEPT = 600_000
 #: Bytes of words that go through the tokenizer in one call.
