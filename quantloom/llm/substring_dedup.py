@@ -9,7 +9,7 @@ proportion to the text:
 1. Anchors. Of the ANCHOR-word sequences in each window the one with the least hash is an anchor,
    a choice that depends on the window's words alone: equal windows share an anchor. A window is a
    candidate only where its anchor occurs twice.
-2. Windows. Candidate windows meet by a 128-bit hash, sorted by document and place; all but the
+2. Windows. Candidate windows meet by a 96-bit hash, sorted by document and place; all but the
    first are repeats.
 3. Removal. The starts of repeats meet the documents by chunk.
 
@@ -35,8 +35,8 @@ NO_ID = -(1 << 63)
 #: A place in the corpus after the doc_id: the text's crc32, then the word's number in 31 bits.
 _SHIFT, _LOW = 31, (1 << 31) - 1
 
-_ROWS = "pid int, h1 long, h2 long, doc long, at long, marks binary"
-_ROWS_ARROW = pa.schema([("pid", pa.int32()), ("h1", pa.int64()), ("h2", pa.int64()), ("doc", pa.int64()), ("at", pa.int64()), ("marks", pa.binary())])
+_ROWS = "pid int, h1 long, h2 int, doc long, at long, marks binary"
+_ROWS_ARROW = pa.schema([("pid", pa.int32()), ("h1", pa.int64()), ("h2", pa.int32()), ("doc", pa.int64()), ("at", pa.int64()), ("marks", pa.binary())])
 
 
 class WordHashes(dict):
@@ -90,11 +90,11 @@ def anchors(hashes: np.ndarray, window: int, anchor: int) -> tuple[np.ndarray, n
     least = _sliding(grams, span, np.minimum)
     padded = np.concatenate((np.zeros(span - 1, np.uint64), least, np.zeros(span - 1, np.uint64)))
     places = np.flatnonzero(_sliding(padded, span, np.maximum) == grams)
-    return places, grams[places]
+    return places, _mix(grams[places] ^ _PLACE[0])  # least hashes are small: spread them again
 
 
 def window_hashes(hashes: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
-    return _sequences(hashes, window, _MIX).view(np.int64), _sequences(hashes, window, _PLACE[::-1]).view(np.int64)
+    return _sequences(hashes, window, _MIX).view(np.int64), (_sequences(hashes, window, _PLACE[::-1]) >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
 
 def _pack_marks(docs: np.ndarray, ats: np.ndarray) -> bytes:
@@ -127,7 +127,7 @@ def _sent(h1: np.ndarray, h2: np.ndarray, docs: np.ndarray, ats: np.ndarray, mar
     pid = ((h1.view(np.uint64) >> np.uint64(32)) * np.uint64(n_parts) >> np.uint64(32)).astype(np.int32)
     pid = np.concatenate((pid, np.array([c % n_parts for c, _ in marks], np.int32)))
     zero = np.zeros(m, np.int64)
-    columns = [pa.array(np.concatenate((x, y))) for x, y in ((h1, zero), (h2, zero), (docs, np.array([c for c, _ in marks], np.int64)), (ats, zero))]
+    columns = [pa.array(np.concatenate((x, y))) for x, y in ((h1, zero), (h2, zero.astype(np.int32)), (docs, np.array([c for c, _ in marks], np.int64)), (ats, zero))]
     return pa.RecordBatch.from_arrays([pa.array(pid), *columns, pa.array([None] * n + [x for _, x in marks], pa.binary())], schema=_ROWS_ARROW)
 
 
@@ -271,7 +271,16 @@ def _marked_docs(batches):
             yield doc_id, text, marks
 
 
-def repeated_starts(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
+def ids_repeat(docs: DataFrame) -> bool:
+    """Whether rows share a doc_id. If none do, places need no tag of the text, which shrinks both exchanges."""
+    return not docs.groupBy("doc_id").count().where("count > 1").isEmpty()
+
+
+def _tag(text: str | None, tagged: bool) -> int:
+    return text_tag(text) if tagged else 0
+
+
+def repeated_starts(docs: DataFrame, tagged: bool, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
     """Starts of the windows that also start earlier, packed by chunk (see common.CHUNK_ROWS)."""
     n_parts = partitions(docs.sparkSession)
     span = window - anchor + 1
@@ -291,7 +300,7 @@ def repeated_starts(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR)
                 words = as_words(text)
                 if len(words) >= window:
                     places, hashes = anchors(known.of(words), window, anchor)
-                    held.add(hashes.view(np.int64), np.zeros(len(hashes), np.int64), NO_ID if doc_id is None else doc_id, (text_tag(text) << _SHIFT) + places)
+                    held.add(hashes.view(np.int64), np.zeros(len(hashes), np.int32), NO_ID if doc_id is None else doc_id, (_tag(text, tagged) << _SHIFT) + places)
             if held.n >= HELD:
                 yield settled()
         if held.n:
@@ -306,7 +315,7 @@ def repeated_starts(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR)
             return _sent(h1[new], h2[new], ids[new], ats[new], _by_chunk_rows(ids[again], ats[again]), n_parts)
 
         for doc_id, text, marks in _marked_docs(batches):
-            doc, tag = NO_ID if doc_id is None else doc_id, text_tag(text)
+            doc, tag = NO_ID if doc_id is None else doc_id, _tag(text, tagged)
             places = marks.of(doc, tag)
             if not len(places):
                 continue
@@ -340,6 +349,8 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR)
     all others; rows that repeat a doc_id count in the order of the crc32 of their texts, and rows
     that repeat doc_id and text are one document. Other columns are ignored."""
 
+    tagged = ids_repeat(docs)
+
     def cut(batches):
         rows: list[tuple] = []
 
@@ -349,7 +360,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR)
 
         for doc_id, text, marks in _marked_docs(batches):
             words = as_words(text)
-            starts = marks.of(NO_ID if doc_id is None else doc_id, text_tag(text))
+            starts = marks.of(NO_ID if doc_id is None else doc_id, _tag(text, tagged))
             spans = []
             if len(starts):
                 edge = np.zeros(len(words) + 2, np.int32)
@@ -369,4 +380,4 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR)
         if rows:
             yield out()
 
-    return map_arrow(meet_by_chunk(repeated_starts(docs, window, anchor), docs), cut, "doc_id long, n_words long, n_removed long, text string, spans array<array<int>>")
+    return map_arrow(meet_by_chunk(repeated_starts(docs, tagged, window, anchor), docs), cut, "doc_id long, n_words long, n_removed long, text string, spans array<array<int>>")

@@ -211,12 +211,13 @@ def test_token_files(docs, rows, empty, spark, tokenizer, tmp_path):
     assert token_files.read_token_files(token_files.write_token_files(empty, f"file://{tmp_path}/none", queries._byte_bpe())).count() == 0
 
 
-def test_substring_dedup(docs, rows, empty, monkeypatch):
-    expected = brute.substring_dedup(texts(rows))
-    for held in (2_000_000, 50):
+def test_substring_dedup(spark, docs, rows, empty, monkeypatch):
+    once = list({r[0]: r for r in rows}.values())
+    for held, part in ((2_000_000, rows), (50, rows), (50, once)):
         monkeypatch.setattr(substring_dedup, "HELD", held)
-        got = substring_dedup.substring_dedup(clashing(docs))
-        assert sorted([(r.doc_id, r.n_words, r.n_removed, r.text) for r in got.collect()], key=str) == expected
+        table = docs if part is rows else spark.createDataFrame(part, SCHEMA)
+        got = substring_dedup.substring_dedup(clashing(table))
+        assert sorted([(r.doc_id, r.n_words, r.n_removed, r.text) for r in got.collect()], key=str) == brute.substring_dedup(texts(part))
     assert substring_dedup.substring_dedup(empty).count() == 0
 
 
