@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from .common import WHITE, map_arrow, partitions, text_tag
 
 #: Keys in the broadcast table at most, and the lines that make a key worth a place there.
-HEAVY, HEAVY_ROWS = 10_000, 20_000
+HEAVY, HEAVY_ROWS = 10_000, 1_000
 MIN_POINTS = 10
 
 _LINES = "pid int, h binary, doc_id long, tag long, pos int, n_lines int"
