@@ -1,7 +1,7 @@
 """A corpus pipeline of five stages, each reading what the one before it wrote.
 
 The stages take (spark, docs, sf_dir) and return a DataFrame; all but the last return the columns
-of documents. The near-duplicate stage takes shingles of five words."""
+of documents. The near-duplicate stage takes shingles of five words and links at a similarity of 0.8 or more."""
 
 from __future__ import annotations
 
@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quantloom.llm import common, decontaminate, line_dedup, quality_rules, simhash, wordpieces
+from quantloom.llm import common, decontaminate, line_dedup, near_dup, quality_rules, wordpieces
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,7 +27,7 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The first document of each group of near-duplicates."""
-    return simhash.keep_one(docs, shingle=5)
+    return near_dup.keep_one(docs, shingle=5, least=0.8)
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

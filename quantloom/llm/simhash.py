@@ -27,18 +27,29 @@ SHINGLE, MAX_BITS, BITS = 3, 2, 64
 PAIRS_MAX = 32
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
-    """The 64 majority bits of the XXH64 (seed 42) values of all word shingles; 0 without words."""
+def shingle_hashes(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
+    """The XXH64 (seed 42) values of all word shingles; none without words."""
     words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
     if not words:
-        return 0
+        return np.zeros(0, "<u8")
     items = map(b" ".join, zip(*(words[i:] for i in range(shingle)), strict=False)) if len(words) > shingle else [b" ".join(words)]
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(x, 42) for x in items], "<u8")
+    return np.array([digest(x, 42) for x in items], "<u8")
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The 64 majority bits of hashes; 0 for none."""
+    if not len(hashes):
+        return 0
     votes = np.unpackbits(hashes.view(np.uint8), bitorder="little").reshape(-1, BITS).sum(0, dtype=np.int64)
     return int(np.packbits(2 * votes > len(hashes), bitorder="little").view("<u8")[0])
 
 
+def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
+    """The 64 majority bits of the XXH64 (seed 42) values of all word shingles; 0 without words."""
+    return majority(shingle_hashes(text, shingle))
+
+
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """doc_id and fp (the 64 bits as a signed long) of each row."""
 
@@ -122,12 +133,16 @@ def simhash_components(docs: DataFrame, shingle: int = SHINGLE, max_bits: int =
     return prints.join(named.join(ids, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
+def firsts_of(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows of docs whose doc_id is the component_id of found; see keep_one."""
+    firsts = found.where("doc_id = component_id").select("doc_id").distinct()
+    named = docs.where("doc_id is not null").join(firsts, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return named.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+
+
 def keep_one(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
     """The row of docs with the smallest doc_id of each component, with all its columns.
 
     Of rows that repeat that doc_id one stays. Rows with a null doc_id can't be told from each
     other and stay."""
-    found = simhash_components(docs, shingle, max_bits)
-    firsts = found.where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.where("doc_id is not null").join(firsts, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    return firsts_of(docs, simhash_components(docs, shingle, max_bits))
