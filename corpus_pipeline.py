@@ -17,7 +17,7 @@ from quantloom.llm import common, decontaminate, line_dedup, near_dup, quality_r
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
     target = spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality = 1").select("doc_id")
-    return quality_rules.filter_documents(docs, target)
+    return quality_rules.filter_documents(docs, target, prior=quality_rules.PRIOR)
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

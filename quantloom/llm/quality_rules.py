@@ -3,7 +3,10 @@
 The n-grams of a text (single words by default) are hashed into BUCKETS buckets. Two multinomials
 over the buckets are counted: of the trusted target and of the raw corpus, each over all of its
 rows. A text's score is the sum of log(target / raw) over its n-grams, divided by their number; it
-is kept at a score of at least MIN_SCORE. Everything is DataFrame functions: one scan counts (a
+is kept at a score of at least MIN_SCORE. Added to each bucket alike, SMOOTHING makes all scores lower while
+the trusted words are few against the buckets. With a prior, a bucket's trusted words are held against those
+expected from its share of the raw corpus, with so many words added to both: a bucket with too little
+evidence weighs about 0 whatever the size. Everything is DataFrame functions: one scan counts (a
 partial sum in each task, so at most BUCKETS rows leave it), a second scores without an exchange.
 
 The table of weights has BUCKETS numbers whatever the input, and reaches the tasks as a scalar
@@ -23,6 +26,8 @@ MIN_SCORE = -0.1
 ORDER = 1
 #: Added to the count of each bucket in both multinomials.
 SMOOTHING = 1.0
+#: Words that the registered query and the pipeline add to a bucket's trusted and expected words.
+PRIOR = 10.0
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 10, 20, 5
 SYMBOLS = "[#*$%&|<>]"
 
@@ -67,10 +72,11 @@ def _buckets_by_row(marked: DataFrame, buckets: int, order: int) -> DataFrame:
     return rows.select("t", F.pmod("h", F.lit(buckets)).alias("bucket"))
 
 
-def bucket_weights(docs: DataFrame, target: DataFrame, buckets: int = BUCKETS, smoothing: float = SMOOTHING, order: int = ORDER) -> DataFrame:
+def bucket_weights(docs: DataFrame, target: DataFrame, buckets: int = BUCKETS, smoothing: float = SMOOTHING, order: int = ORDER, prior: float | None = None) -> DataFrame:
     """One row, w: log(target / raw) of each bucket, in the order of the buckets.
 
-    target has the doc_ids of the trusted rows. Without any trusted n-gram all weights are 0."""
+    target has the doc_ids of the trusted rows. Without any trusted n-gram all weights are 0. With a
+    prior, smoothing is not used and the weight is log((tgt + prior) / (n_tgt * raw / n_raw + prior))."""
     trusted = target.select(F.col("doc_id").alias("__id")).where("__id is not null").distinct().hint("shuffle_hash")
     marked = docs.select("doc_id", "text").join(trusted, F.col("doc_id") == F.col("__id"), "left").select(F.col("__id").isNotNull().alias("t"), "text")
     counts = _buckets_by_row(marked, buckets, order).groupBy("bucket").agg(F.count("*").alias("raw"), F.count_if("t").alias("tgt"))
@@ -78,6 +84,8 @@ def bucket_weights(docs: DataFrame, target: DataFrame, buckets: int = BUCKETS, s
     lists = full.agg(F.sort_array(F.collect_list(F.struct("bucket", "raw", "tgt"))).alias("c"), F.sum("raw").alias("n_raw"), F.sum("tgt").alias("n_tgt"))
     extra = smoothing * buckets
     ratio = lambda x: F.log((x["tgt"] + smoothing) / (F.col("n_tgt") + extra)) - F.log((x["raw"] + smoothing) / (F.col("n_raw") + extra))
+    if prior is not None:
+        ratio = lambda x: F.log((x["tgt"] + prior) / (F.col("n_tgt") * x["raw"] / F.col("n_raw") + prior))
     return lists.select(F.transform("c", lambda x: F.when(F.col("n_tgt") == 0, F.lit(0.0)).otherwise(ratio(x))).alias("w"))
 
 
@@ -106,7 +114,7 @@ def _dup_lines(text: Column) -> Column:
     return let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x)))
 
 
-def judged(docs: DataFrame, target: DataFrame, buckets: int = BUCKETS, min_score: float = MIN_SCORE, order: int = ORDER, counts: bool = True) -> DataFrame:
+def judged(docs: DataFrame, target: DataFrame, buckets: int = BUCKETS, min_score: float = MIN_SCORE, order: int = ORDER, counts: bool = True, prior: float | None = None) -> DataFrame:
     """docs with a struct __f of the figures and the verdict; see quality_rules. Without counts the
     struct has no n_symbols and n_dup_lines.
 
@@ -126,21 +134,21 @@ def judged(docs: DataFrame, target: DataFrame, buckets: int = BUCKETS, min_score
         return F.struct(*(p[c].alias(c) for c in names), failed.alias("base_failed"), (~failed & (p["score"] >= min_score)).alias("kept"))
 
     figures = let(let(words_of(text), lambda w: let(word_hashes(w), lambda h: of_hashes(w, h))), verdict)
-    weighted = docs.withColumn("__w", bucket_weights(docs.select("doc_id", F.col("text").cast("string")), target, buckets, order=order).scalar())
+    weighted = docs.withColumn("__w", bucket_weights(docs.select("doc_id", F.col("text").cast("string")), target, buckets, order=order, prior=prior).scalar())
     return weighted.select(*docs.columns, figures.alias("__f"))
 
 
-def quality_rules(docs: DataFrame, target: DataFrame, buckets: int = BUCKETS, min_score: float = MIN_SCORE, order: int = ORDER) -> DataFrame:
+def quality_rules(docs: DataFrame, target: DataFrame, buckets: int = BUCKETS, min_score: float = MIN_SCORE, order: int = ORDER, prior: float | None = None) -> DataFrame:
     """The figures and the verdict for each row of documents(doc_id, text, ...).
 
     Returns doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (long), score
     (double, 0 without n-grams), base_failed (under 10 words, or over 20 % of the words in repeated
     windows) and kept (not base_failed and score >= min_score). Null and empty texts have no words
     and fail. Rows that repeat a doc_id each get a row; a null doc_id is never trusted. Other
-    columns are ignored. With no trusted rows all scores are 0."""
-    return judged(docs.select("doc_id", "text"), target, buckets, min_score, order).select("doc_id", "__f.*")
+    columns are ignored. With no trusted rows all scores are 0. For prior see bucket_weights."""
+    return judged(docs.select("doc_id", "text"), target, buckets, min_score, order, prior=prior).select("doc_id", "__f.*")
 
 
-def filter_documents(docs: DataFrame, target: DataFrame, buckets: int = BUCKETS, min_score: float = MIN_SCORE, order: int = ORDER) -> DataFrame:
+def filter_documents(docs: DataFrame, target: DataFrame, buckets: int = BUCKETS, min_score: float = MIN_SCORE, order: int = ORDER, prior: float | None = None) -> DataFrame:
     """The rows of docs that the rules keep, with all their columns."""
-    return judged(docs, target, buckets, min_score, order, counts=False).where("__f.kept").select(*docs.columns)
+    return judged(docs, target, buckets, min_score, order, counts=False, prior=prior).where("__f.kept").select(*docs.columns)

@@ -20,7 +20,7 @@ def _byte_bpe() -> str:
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     target = _table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
-    return quality_rules.quality_rules(_table(spark, sf_dir, "documents"), target)
+    return quality_rules.quality_rules(_table(spark, sf_dir, "documents"), target, prior=quality_rules.PRIOR)
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import random
 
-from quantloom.llm import near_dup
+import pytest
+from pyspark.sql import functions as F
+
+from quantloom.llm import near_dup, queries
 
 from . import brute
 
@@ -73,3 +76,13 @@ def test_near_duplicates_of_awkward_rows(spark):
     df = spark.createDataFrame(rows, SCHEMA)
     assert sorted(near_dup.near_duplicates(df).collect(), key=str) == sorted(near_dup.simhash.simhash_components(df, 5).drop("fp").collect(), key=str)
     assert near_dup.keep_one(df).count() == 4 and near_dup.near_duplicates(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("size", ["sf0.001", "sf0.01", "sf0.1"])
+def test_quality_verdict_at_all_sizes(spark, size):
+    """Unlabelled documents that pass the base rules are kept, and labelled bad ones are not, whatever the size."""
+    folder = f"/root/testdata/{size}"
+    labels = spark.read.parquet(f"{folder}/labels.parquet").groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    passed = queries.op1_quality_rules(spark, folder).where("not base_failed").join(labels, "doc_id", "left")
+    share = {r.quality: r.share for r in passed.groupBy("quality").agg(F.avg(F.col("kept").cast("int")).alias("share")).collect()}
+    assert share[None] > 0.8 and share[1] > 0.98 and share[0] < 0.2
