@@ -10,6 +10,8 @@ few; Spark broadcasts them below its size limit and shuffles beyond it."""
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,8 +59,15 @@ def known_digests(texts: DataFrame) -> DataFrame:
     return texts.where("license is not null and text is not null").groupBy(F.md5(whole).alias("digest")).agg(F.min("license").alias("license"))
 
 
+def whole_texts() -> list[tuple[str, str]]:
+    """(name, text) of the whole licences in the folder licenses; the name is the file's without .titled.txt or .txt."""
+    files = sorted((Path(__file__).parent / "licenses").glob("*.txt"))
+    return [(f.name.removesuffix(".txt").removesuffix(".titled"), f.read_text("utf-8")) for f in files]
+
+
 def known_texts(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(KNOWN, "license string, text string")
+    """The notices and the whole licence texts. oracle() has the notices alone, so it is the same where no document is a whole licence."""
+    return spark.createDataFrame(KNOWN + whole_texts(), "license string, text string")
 
 
 def license_scan(docs: DataFrame, texts: DataFrame) -> DataFrame:

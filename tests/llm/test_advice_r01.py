@@ -7,7 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from quantloom.llm import near_dup, queries
+from quantloom.llm import license_scan, near_dup, queries
 
 from . import brute
 
@@ -86,3 +86,10 @@ def test_quality_verdict_at_all_sizes(spark, size):
     passed = queries.op1_quality_rules(spark, folder).where("not base_failed").join(labels, "doc_id", "left")
     share = {r.quality: r.share for r in passed.groupBy("quality").agg(F.avg(F.col("kept").cast("int")).alias("share")).collect()}
     assert share[None] > 0.8 and share[1] > 0.98 and share[0] < 0.2
+
+
+def test_whole_licences(spark):
+    whole = dict(license_scan.whole_texts())
+    rows = [(1, "MIT License\n\nCopyright (c) 2020 A\n\n" + whole["MIT"].removeprefix("MIT License")), (2, whole["Apache-2.0"].upper()), (3, whole["MPL-2.0"].replace(" ", "  ")), (4, whole["BSD-2-Clause"]), (5, whole["GPL-2.0"]), (6, "All rights reserved."), (7, "Copyright 2021 B\n" + whole["ISC"])]
+    got = {r.doc_id: r.whole_license for r in license_scan.license_scan(spark.createDataFrame(rows, SCHEMA), license_scan.known_texts(spark)).collect()}
+    assert got == {1: "MIT", 2: "Apache-2.0", 3: "MPL-2.0", 4: "BSD-2-Clause", 5: "GPL-2.0", 6: "All-rights-reserved", 7: "ISC"}
