@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 from .common import map_arrow
 
 DIM_BITS = 18
-#: Labelled rows that the fit uses at most, and the features of one of them at most.
-FIT_ROWS, FIT_FEATURES = 8_000, 20_000
+#: Labelled rows that the fit uses at most, each with all its features.
+FIT_ROWS = 8_000
 #: Every CALIBRATE-th row of the fit is kept from the model and used for the logistic curve.
 CALIBRATE = 5
 SMOOTHING, COST, ROUNDS = 1.0, 1.0, 12
@@ -143,7 +143,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, dim_bits:
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1)
             at = [i for i, d in enumerate(ids) if d in labelled]
-            rows = [features.of(texts[i].as_py())[:FIT_FEATURES].astype("<i4").tobytes() for i in at]
+            rows = [features.of(texts[i].as_py()).astype("<i4").tobytes() for i in at]
             yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in at], pa.int64()), pa.array([labelled[ids[i]] for i in at], pa.int32()), pa.array(rows, pa.binary())], names=["doc_id", "y", "features"])
 
     found = map_arrow(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), extract, "doc_id long, y int, features binary").dropDuplicates(["doc_id"])

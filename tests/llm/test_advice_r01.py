@@ -7,7 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from quantloom.llm import license_scan, near_dup, queries
+from quantloom.llm import license_scan, near_dup, quality_classifier, queries
 
 from . import brute
 
@@ -93,3 +93,14 @@ def test_whole_licences(spark):
     rows = [(1, "MIT License\n\nCopyright (c) 2020 A\n\n" + whole["MIT"].removeprefix("MIT License")), (2, whole["Apache-2.0"].upper()), (3, whole["MPL-2.0"].replace(" ", "  ")), (4, whole["BSD-2-Clause"]), (5, whole["GPL-2.0"]), (6, "All rights reserved."), (7, "Copyright 2021 B\n" + whole["ISC"])]
     got = {r.doc_id: r.whole_license for r in license_scan.license_scan(spark.createDataFrame(rows, SCHEMA), license_scan.known_texts(spark)).collect()}
     assert got == {1: "MIT", 2: "Apache-2.0", 3: "MPL-2.0", 4: "BSD-2-Clause", 5: "GPL-2.0", 6: "All-rights-reserved", 7: "ISC"}
+
+
+def test_classifier_uses_whole_texts(spark, monkeypatch):
+    rows = [(k, " ".join(f"v{k}x{i}" for i in range(15_000))) for k in range(2)]
+    seen = []
+    monkeypatch.setattr(quality_classifier, "Model", lambda rows, labels, dim_bits: seen.extend(rows))
+    labels = spark.createDataFrame([(k, k) for k in range(2)], "doc_id long, quality int")
+    taken = labels.where(quality_classifier.fold_of("doc_id") != 0).orderBy("doc_id").collect()
+    quality_classifier.fit(spark.createDataFrame(rows, SCHEMA), labels)
+    whole = sorted(len(quality_classifier.Features().of(rows[r.doc_id][1])) for r in taken)
+    assert len(taken) > 0 and min(whole) > 20_000 and sorted(map(len, seen)) == whole
