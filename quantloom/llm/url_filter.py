@@ -16,9 +16,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Parent domains of a host that are looked up at most, the host itself included, from the right.
-LABELS = 6
-
 
 def url_host(url: Column) -> Column:
     """The lower-case host of a URL without user, port and final dot; null where there is none."""
@@ -27,10 +24,10 @@ def url_host(url: Column) -> Column:
 
 
 def host_keys(host: Column) -> Column:
-    """The host and its parent domains of two labels or more; those over LABELS labels are left out, but for the host."""
+    """The host and its parent domains of two labels or more."""
     parts = F.split(host, "\\.")
     n = F.size(parts)
-    lengths = F.sequence(F.lit(1), F.greatest(F.least(n, F.lit(LABELS)), F.lit(1)))
+    lengths = F.sequence(F.lit(1), F.greatest(n, F.lit(1)))
     parents = F.transform(F.filter(lengths, lambda k: k >= 2), lambda k: F.array_join(F.slice(parts, n - k + 1, k), "."))
     return F.array_distinct(F.concat(F.array(host), parents))
 

@@ -7,7 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from quantloom.llm import license_scan, near_dup, quality_classifier, queries
+from quantloom.llm import license_scan, near_dup, quality_classifier, queries, url_filter
 
 from . import brute
 
@@ -95,6 +95,13 @@ def test_whole_licences(spark):
     assert got == {1: "MIT", 2: "Apache-2.0", 3: "MPL-2.0", 4: "BSD-2-Clause", 5: "GPL-2.0", 6: "All-rights-reserved", 7: "ISC"}
 
 
+def test_parent_domains_of_any_length(spark):
+    day = F.lit("2024-02-01").cast("date")
+    pages = spark.createDataFrame([("https://x.a.b.c.d.e.f.com/",), ("https://y.x.a.b.c.d.e.g.com/",)], "url string").withColumn("fetch_date", day)
+    entries = spark.createDataFrame([("a.b.c.d.e.f.com", "spam"), ("g.com", "spam"), ("a.b.c.d.e.g.com", "allow")], "key string, category string").withColumns({"action": F.lit("add"), "entry_date": day})
+    assert {r.host: r.blocked for r in url_filter.url_filter(pages, entries).collect()} == {"x.a.b.c.d.e.f.com": True, "y.x.a.b.c.d.e.g.com": False}
+
+
 def test_classifier_uses_whole_texts(spark, monkeypatch):
     rows = [(k, " ".join(f"v{k}x{i}" for i in range(15_000))) for k in range(2)]
     seen = []
