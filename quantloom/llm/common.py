@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import struct
 import tempfile
 import zlib
@@ -15,19 +16,26 @@ from pyspark.sql import functions as F
 
 #: The white space that separates words: space and U+0009 to U+000D, what bytes.split() splits at.
 WHITE = " \t\n\x0b\x0c\r"
-#: Documents whose ids share doc_id // CHUNK_DOCS meet in one task where a lookup table joins them.
-CHUNK_DOCS = 2048
+#: Documents of a chunk, which share a lookup table, about.
+CHUNK_DOCS = 4096
+#: Rows of a batch that an operator sees at a time.
+BATCH_ROWS = 512
+#: Stands for a null doc_id, which is the smallest.
+NO_ID = -(1 << 63)
 #: Bytes of text in one packed row at most (a longer document is a row of its own).
 PACK_BYTES = 2 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a temporary one only where the setting is absent."""
+    """The folder of spark.checkpoint.dir. Where the setting is absent a local master gets a temporary
+    folder; on a cluster that would be a folder of one machine, so it is an error there."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
     return sc.getCheckpointDir()
 
@@ -38,20 +46,46 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder of intermediate rows through Spark's file system layer."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def small_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Bound the rows of an Arrow batch, since a row may hold a text of over 100 kB."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key, "10000")) <= rows:
-        spark.conf.set(key, str(rows))
+def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, rows: int = BATCH_ROWS) -> DataFrame:
+    """mapInArrow whose batches are handed on in slices of so many rows, since a row may hold a text of over 100 kB."""
+
+    def sliced(batches):
+        for batch in batches:
+            for at in range(0, max(batch.num_rows, 1), rows):
+                yield batch.slice(at, rows)
+
+    return df.mapInArrow(lambda batches: fn(sliced(batches)), schema)
+
+
+def free_name(base: str, columns: list[str]) -> str:
+    """base, with underscores behind it until no column has that name in any case."""
+    taken = {c.lower() for c in columns}
+    while base.lower() in taken:
+        base += "_"
+    return base
+
+
+def packed(docs: DataFrame) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """(doc_id, text, rest) of docs, and the way back from rows with text and rest to the columns of docs.
+
+    rest holds every other column, so whatever their names are they can't meet an operator's own."""
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    rest = F.struct(F.lit(0).alias(free_name("_", others)), *(F.col(f"`{c}`") for c in others))
 
+    def back(df: DataFrame) -> DataFrame:
+        return df.select(*(F.col(c) if c in ("doc_id", "text") else F.col("rest").getField(c).alias(c) for c in docs.columns))
 
-def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    small_batches(df.sparkSession)
-    return df.mapInArrow(fn, schema)
+    return docs.select("doc_id", "text", rest.alias("rest")), back
 
 
 def as_words(text: str | None) -> list[bytes]:
@@ -64,6 +98,10 @@ def text_tag(text: str | None) -> int:
     return zlib.crc32(text.encode("utf-8", "surrogatepass")) if text is not None else 0
 
 
+def text_tags(texts: list[str | None], tagged: bool = True) -> list[int]:
+    return [text_tag(t) for t in texts] if tagged else [0] * len(texts)
+
+
 def pack(items: list[bytes]) -> bytes:
     """Byte strings as one compressed value."""
     lengths = np.fromiter(map(len, items), "<u4", len(items))
@@ -82,9 +120,34 @@ def unpack(data: bytes) -> list[bytes]:
     return out
 
 
-def chunk_of(doc_id: int | None, size: int = 0) -> int:
-    """The chunk of a document, by its id alone; size, the length of its text, is not looked at."""
-    return -1 if doc_id is None else doc_id // CHUNK_DOCS
+class Placement:
+    """Where documents meet: ranges of doc_id with about as many documents each, one for each partition,
+    cut into chunks of about CHUNK_DOCS documents.
+
+    The tag of a row (0, or a checksum of its text) spreads rows that share an id, null included: an id that
+    fills several ranges goes to all of them. The bounds are one number a partition, so they fit the driver."""
+
+    def __init__(self, bounds: list[int], parts: int):
+        self.bounds, self.parts = np.array(sorted(bounds), np.int64), parts
+
+    def chunks(self, ids: np.ndarray, tags: np.ndarray) -> np.ndarray:
+        """The chunk of each row; null ids are given as NO_ID."""
+        lo, hi = np.searchsorted(self.bounds, ids, "left"), np.searchsorted(self.bounds, ids, "right")
+        tags = tags.astype(np.int64)
+        part = np.where(hi > lo, lo + 1 + tags % np.maximum(hi - lo, 1), lo)
+        mixed = (ids.view(np.uint64) + tags.view(np.uint64) * np.uint64(0xD6E8FEB86659FD93)) * np.uint64(0x9E3779B97F4A7C15)
+        return part * self.parts + (mixed >> np.uint64(33)).astype(np.int64) % self.parts
+
+    def of(self, ids: list[int | None], tags: list[int]) -> np.ndarray:
+        return self.chunks(np.array([NO_ID if i is None else i for i in ids], np.int64), np.array(tags, np.int64))
+
+
+def placement(docs: DataFrame) -> Placement:
+    """The placement of docs(doc_id, ...), from approximate quantiles: one scan of the ids."""
+    n = partitions(docs.sparkSession)
+    shares = [(k + 1) / n for k in range(n - 1)]
+    found = docs.agg(F.count("*").alias("rows"), F.percentile_approx(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), shares or [0.5], max(10_000, 20 * n)).alias("bounds")).first()
+    return Placement(list(found.bounds or []) if n > 1 else [], max(1, -(-found.rows // (n * CHUNK_DOCS))))
 
 
 #: Rows that meet by chunk: kind 0 is a part of the lookup table, kind 1 a pack of documents.
@@ -92,7 +155,7 @@ CHUNK_ROWS = "chunk long, kind int, ids array<long>, data binary"
 CHUNK_SCHEMA = pa.schema([("chunk", pa.int64()), ("kind", pa.int32()), ("ids", pa.list_(pa.int64())), ("data", pa.binary())])
 
 
-def chunked_docs(docs: DataFrame, chunk: Callable[[int | None, int], int] = chunk_of) -> DataFrame:
+def chunked_docs(docs: DataFrame, place: Placement, tagged: bool = True) -> DataFrame:
     """Documents as compressed packs by chunk: a text crosses the network at less than half its size.
 
     A leading byte tells a null text (0) from an empty one (1)."""
@@ -102,16 +165,16 @@ def chunked_docs(docs: DataFrame, chunk: Callable[[int | None, int], int] = chun
             groups: dict[int, tuple[list, list]] = {}
             sizes: dict[int, int] = {}
             rows = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                c = chunk(doc_id, len(text or ""))
-                ids, items = groups.setdefault(c, ([], []))
-                ids.append(doc_id)
+            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for c, doc_id, text in zip(place.of(ids, text_tags(texts, tagged)).tolist(), ids, texts, strict=True):
+                held, items = groups.setdefault(c, ([], []))
+                held.append(doc_id)
                 items.append(b"\0" if text is None else b"\1" + text.encode("utf-8", "surrogatepass"))
                 sizes[c] = sizes.get(c, 0) + len(items[-1])
                 if sizes[c] >= PACK_BYTES:
-                    rows.append((c, ids, pack(items)))
+                    rows.append((c, held, pack(items)))
                     del groups[c], sizes[c]
-            rows += [(c, ids, pack(items)) for c, (ids, items) in groups.items()]
+            rows += [(c, held, pack(items)) for c, (held, items) in groups.items()]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([r[0] for r in rows], pa.int64()), pa.array([1] * len(rows), pa.int32()), pa.array([r[1] for r in rows], pa.list_(pa.int64())), pa.array([r[2] for r in rows], pa.binary())],
                 schema=CHUNK_SCHEMA,
@@ -125,13 +188,11 @@ def unpack_docs(ids: list[int | None], data: bytes) -> Iterator[tuple[int | None
         yield doc_id, item[1:].decode("utf-8", "surrogatepass") if item[:1] == b"\1" else None
 
 
-def meet_by_chunk(lookup: DataFrame, docs: DataFrame, chunk: Callable[[int | None, int], int] = chunk_of) -> DataFrame:
-    """Lookup rows and packed documents of a chunk in one task, the lookup rows first.
-
-    Chunks are dealt round the partitions by number, so a range of ids spreads evenly."""
+def meet_by_chunk(lookup: DataFrame, docs: DataFrame, place: Placement, tagged: bool = True) -> DataFrame:
+    """Lookup rows and packed documents of a chunk in one task, the lookup rows first."""
+    both = lookup.unionByName(chunked_docs(docs, place, tagged))
     n = partitions(docs.sparkSession)
-    both = lookup.unionByName(chunked_docs(docs, chunk))
-    return both.repartitionById(n, F.pmod("chunk", F.lit(n)).cast("int")).sortWithinPartitions("chunk", "kind")
+    return both.repartitionById(n, F.floor(F.col("chunk") / place.parts).cast("int")).sortWithinPartitions("chunk", "kind")
 
 
 def by_chunk(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, list, bytes]]:

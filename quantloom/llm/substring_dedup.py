@@ -25,13 +25,11 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CHUNK_DOCS, CHUNK_ROWS, CHUNK_SCHEMA, as_words, by_chunk, map_arrow, meet_by_chunk, partitions, text_tag, unpack_docs
+from .common import CHUNK_ROWS, CHUNK_SCHEMA, NO_ID, Placement, as_words, by_chunk, map_arrow, meet_by_chunk, partitions, placement, text_tag, unpack_docs
 
 WINDOW, ANCHOR = 20, 8
 #: Hashes that a map task holds before it settles and sends them.
 HELD = 2_000_000
-#: Stands for a null doc_id, which is the smallest.
-NO_ID = -(1 << 63)
 #: A place in the corpus after the doc_id: the text's crc32, then the word's number in 31 bits.
 _SHIFT, _LOW = 31, (1 << 31) - 1
 
@@ -107,15 +105,11 @@ def _unpack_marks(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return both[: len(both) // 2], both[len(both) // 2 :]
 
 
-def _chunks(docs: np.ndarray) -> np.ndarray:
-    return np.where(docs == NO_ID, -1, docs // CHUNK_DOCS)
-
-
-def _by_chunk_rows(docs: np.ndarray, ats: np.ndarray) -> list[tuple[int, bytes]]:
+def _by_chunk_rows(place: Placement, docs: np.ndarray, ats: np.ndarray) -> list[tuple[int, bytes]]:
     """Marks as (chunk, packed) rows."""
     if not len(docs):
         return []
-    chunk = _chunks(docs)
+    chunk = place.chunks(docs, ats >> _SHIFT)
     order = np.argsort(chunk, kind="stable")
     cuts = np.flatnonzero(np.diff(chunk[order])) + 1
     return [(int(chunk[part[0]]), _pack_marks(docs[part], ats[part])) for part in np.split(order, cuts)]
@@ -167,7 +161,7 @@ def _columns(batch: pa.RecordBatch) -> list[np.ndarray]:
     return [batch.column(i).to_numpy() for i in range(1, 5)]
 
 
-def _gathered(batches, settle):
+def _gathered(batches, settle, place: Placement):
     """Pass packed marks on, give the hash rows in large sorted pieces to settle; yield marks by chunk.
 
     A piece ends before the hash that may go on in the next one."""
@@ -196,7 +190,7 @@ def _gathered(batches, settle):
         found_docs.append(docs)
         found_ats.append(ats)
     if found_docs:
-        rows += _by_chunk_rows(np.concatenate(found_docs), np.concatenate(found_ats))
+        rows += _by_chunk_rows(place, np.concatenate(found_docs), np.concatenate(found_ats))
     if rows:
         yield _chunk_batch(rows)
 
@@ -280,7 +274,7 @@ def _tag(text: str | None, tagged: bool) -> int:
     return text_tag(text) if tagged else 0
 
 
-def repeated_starts(docs: DataFrame, tagged: bool, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
+def repeated_starts(docs: DataFrame, place: Placement, tagged: bool, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
     """Starts of the windows that also start earlier, packed by chunk (see common.CHUNK_ROWS)."""
     n_parts = partitions(docs.sparkSession)
     span = window - anchor + 1
@@ -291,7 +285,7 @@ def repeated_starts(docs: DataFrame, tagged: bool, window: int = WINDOW, anchor:
         def settled():
             h1, h2, ids, ats, new = held.sorted()
             alone = new & np.append(new[1:], True)
-            marks = _by_chunk_rows(ids[~alone], ats[~alone])
+            marks = _by_chunk_rows(place, ids[~alone], ats[~alone])
             ats = np.where(alone, ats, -1)  # a hash that the task has twice is sent once, to tell the others
             return _sent(h1[new], h2[new], ids[new], ats[new], marks, n_parts)
 
@@ -312,7 +306,7 @@ def repeated_starts(docs: DataFrame, tagged: bool, window: int = WINDOW, anchor:
         def settled():
             h1, h2, ids, ats, new = held.sorted()
             again = _repeats(ids, ats, new)
-            return _sent(h1[new], h2[new], ids[new], ats[new], _by_chunk_rows(ids[again], ats[again]), n_parts)
+            return _sent(h1[new], h2[new], ids[new], ats[new], _by_chunk_rows(place, ids[again], ats[again]), n_parts)
 
         for doc_id, text, marks in _marked_docs(batches):
             doc, tag = NO_ID if doc_id is None else doc_id, _tag(text, tagged)
@@ -334,10 +328,10 @@ def repeated_starts(docs: DataFrame, tagged: bool, window: int = WINDOW, anchor:
 
     def exchanged(df, fn, settle):
         dealt = map_arrow(df, fn, _ROWS).repartitionById(n_parts, F.col("pid")).sortWithinPartitions("h1", "h2", "doc", "at")
-        return map_arrow(dealt, lambda batches: _gathered(batches, settle), CHUNK_ROWS)
+        return map_arrow(dealt, lambda batches: _gathered(batches, settle, place), CHUNK_ROWS)
 
     twice = exchanged(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), find_anchors, _settle_anchors)
-    return exchanged(meet_by_chunk(twice, docs), candidates, _settle_windows)
+    return exchanged(meet_by_chunk(twice, docs, place, tagged), candidates, _settle_windows)
 
 
 def substring_dedup(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
@@ -349,7 +343,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR)
     all others; rows that repeat a doc_id count in the order of the crc32 of their texts, and rows
     that repeat doc_id and text are one document. Other columns are ignored."""
 
-    tagged = ids_repeat(docs)
+    tagged, place = ids_repeat(docs), placement(docs)
 
     def cut(batches):
         rows: list[tuple] = []
@@ -380,4 +374,4 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR)
         if rows:
             yield out()
 
-    return map_arrow(meet_by_chunk(repeated_starts(docs, tagged, window, anchor), docs), cut, "doc_id long, n_words long, n_removed long, text string, spans array<array<int>>")
+    return map_arrow(meet_by_chunk(repeated_starts(docs, place, tagged, window, anchor), docs, place, tagged), cut, "doc_id long, n_words long, n_removed long, text string, spans array<array<int>>")

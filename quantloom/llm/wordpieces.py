@@ -9,8 +9,11 @@ ids are joined back by position. A frequent word is one entry in each list, neve
 Words are listed by their parts (see parts()): a stem, closing punctuation and the pieces at a line
 end each are a word of their own, which the tokenizer would tell apart anyway.
 
-All lists travel packed, a row for each (task, bucket, chunk), so the exchanges move few rows. A
-chunk has WORD_CHUNK documents with ids in a row, or LONG_CHUNK if they are longer than LONG_TEXT."""
+All lists travel packed, a row for each (task, bucket, chunk), so the exchanges move few rows. Chunks
+are parts of ranges of doc_id that hold about as many documents each (common.Placement), whatever the ids are.
+
+Decoding joins the ids, one row each, with the table of pieces: a broadcast of one row for each id of the
+vocabulary, so rows stay in the order and the task of their document and need no exchange."""
 
 from __future__ import annotations
 
@@ -22,15 +25,14 @@ from collections.abc import Iterable
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
-from .common import CHUNK_ROWS, CHUNK_SCHEMA, by_chunk, map_arrow, meet_by_chunk, pack, partitions, unpack, unpack_docs
+from .common import CHUNK_ROWS, CHUNK_SCHEMA, Placement, by_chunk, map_arrow, meet_by_chunk, pack, partitions, placement, text_tags, unpack, unpack_docs
 
 #: Distinct words of one chunk that a map task holds before it hands them on.
 LIST_WORDS = 200_000
-#: Documents of a chunk, those of a chunk of long texts, and the characters of a long text.
-WORD_CHUNK, LONG_CHUNK, LONG_TEXT = 4096, 1024, 1 << 15
 #: Words of one generation of a process's memory; it holds two, about 200 MB.
 WORDS_KEPT = 600_000
 #: Bytes of words that go through the tokenizer in one call.
@@ -104,12 +106,6 @@ def all_parts(words: Iterable[str], whole: tuple[str, ...]) -> set[str]:
     return plain.union(p for w in words if w not in plain for p in parts(w, whole))
 
 
-def word_chunk(doc_id: int | None, size: int) -> int:
-    """Even numbers are chunks of short texts, odd ones of long texts."""
-    n = -1 if doc_id is None else doc_id
-    return n // LONG_CHUNK * 2 + 1 if size > LONG_TEXT else n // WORD_CHUNK * 2
-
-
 def byte_alphabet() -> dict[str, int]:
     """Byte-level BPE writes each byte as a printable character: its own where it is one, else from U+0100 on."""
     own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -228,7 +224,7 @@ def read_tokenizer(path: str) -> str:
 _LISTS = pa.schema([("bucket", pa.int32()), ("chunk", pa.int64()), ("words", pa.binary())])
 
 
-def word_lists(docs: DataFrame, n_buckets: int, whole: tuple[str, ...]) -> DataFrame:
+def word_lists(docs: DataFrame, place: Placement, n_buckets: int, whole: tuple[str, ...]) -> DataFrame:
     """(bucket, chunk, words): the distinct parts of words that a map task saw in a chunk, by hash."""
 
     def rows(chunk, words):
@@ -242,9 +238,9 @@ def word_lists(docs: DataFrame, n_buckets: int, whole: tuple[str, ...]) -> DataF
     def collect(batches):
         seen: dict[int, set[str]] = {}
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            texts = batch.column(1).to_pylist()
+            for chunk, text in zip(place.of(batch.column(0).to_pylist(), text_tags(texts)).tolist(), texts, strict=True):
                 if text:
-                    chunk = word_chunk(doc_id, len(text))
                     own = seen.setdefault(chunk, set())
                     own.update(split_words(text))
                     if len(own) >= LIST_WORDS:
@@ -293,6 +289,7 @@ def encode_documents(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     text = read_tokenizer(tokenizer_path)
     whole = tuple(t["content"] for t in json.loads(text)["added_tokens"])
     source = spark.sparkContext.broadcast(text)
+    place = placement(docs)
 
     def encode(batches):
         """One bucket: the lists of each chunk become one, each word of the bucket is encoded once."""
@@ -308,7 +305,7 @@ def encode_documents(docs: DataFrame, tokenizer_path: str) -> DataFrame:
             coded = _pack_coded(ordered, [ids[w] for w in ordered])
             yield pa.RecordBatch.from_arrays([pa.array([c], pa.int64()), pa.array([0], pa.int32()), pa.array([[]], pa.list_(pa.int64())), pa.array([coded], pa.binary())], schema=CHUNK_SCHEMA)
 
-    coded = map_arrow(word_lists(docs, n, whole).repartitionById(n, F.col("bucket")), encode, CHUNK_ROWS)
+    coded = map_arrow(word_lists(docs, place, n, whole).repartitionById(n, F.col("bucket")), encode, CHUNK_ROWS)
 
     def join(batches):
         at, table = None, WordTable(whole)
@@ -325,23 +322,65 @@ def encode_documents(docs: DataFrame, tokenizer_path: str) -> DataFrame:
                 found.append(b"".join(map(table.__getitem__, split_words(text))) if text else b"")
             yield pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.array([len(x) // 4 for x in found], pa.int64()), pa.array(found, pa.binary())], names=["doc_id", "n_tokens", "ids"])
 
-    return map_arrow(meet_by_chunk(coded, docs, word_chunk), join, "doc_id long, n_tokens long, ids binary")
+    return map_arrow(meet_by_chunk(coded, docs, place), join, "doc_id long, n_tokens long, ids binary")
+
+
+def piece_table(spark: SparkSession, tokenizer_path: str) -> DataFrame:
+    """id and piece (its bytes) of each id of the vocabulary."""
+    pieces = Tokens(read_tokenizer(tokenizer_path)).pieces
+    return spark.createDataFrame(pa.table({"id": pa.array(range(len(pieces)), pa.int32()), "piece": pa.array(pieces, pa.binary())}))
 
 
 def decode_documents(encoded: DataFrame, tokenizer_path: str) -> DataFrame:
     """encoded(..., ids) with a column text: the pieces of the ids, joined, as UTF-8.
 
-    The table of pieces has one entry for each id of the vocabulary, so it is broadcast. Null ids
-    give a null text; bytes that are no UTF-8 become U+FFFD; an id outside the vocabulary fails."""
-    source = encoded.sparkSession.sparkContext.broadcast(read_tokenizer(tokenizer_path))
+    The table of pieces has one row for each id of the vocabulary, so it is broadcast. Null ids
+    give a null text, no ids an empty one; bytes that are no UTF-8 become U+FFFD; an id outside the
+    vocabulary fails. A column text of encoded is replaced, all others stay."""
     names = [c for c in encoded.columns if c != "text"]
+    row = encoded.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"), F.col("ids").alias("list"))
 
-    def decode(batches):
-        piece = loaded(source.value).pieces.__getitem__
+    def listed(batches):
+        """The ids as numbers: a view of the same bytes."""
         for batch in batches:
-            at = batch.schema.get_field_index("ids")
-            texts = [None if x is None else b"".join(map(piece, np.frombuffer(x, "<u4").tolist())).decode("utf-8", "replace") for x in batch.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, "text"])
+            raw = batch.column(1).to_pylist()
+            flat = np.frombuffer(b"".join(x or b"" for x in raw), "<i4")
+            ends = np.cumsum([0, *(len(x or b"") // 4 for x in raw)])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))], names=["row", "list"])
 
-    kept = encoded.select(*names)
-    return map_arrow(kept, decode, kept.withColumn("text", F.lit("").cast("string")).schema)
+    as_numbers = map_arrow(row, listed, StructType([row.schema["row"], StructField("list", ArrayType(IntegerType()))]))
+    tokens = as_numbers.select("row", F.posexplode_outer("list").alias("pos", "id")).join(F.broadcast(piece_table(encoded.sparkSession, tokenizer_path)), "id", "left")
+    first = F.coalesce(F.col("pos"), F.lit(0)) == 0
+    known = F.coalesce("piece", F.when(F.col("id").isNotNull(), F.raise_error(F.concat(F.lit("no such id: "), F.col("id").cast("string"))).cast("binary")).otherwise(F.lit(b"")))
+
+    def joined(batches):
+        """The pieces of one document follow each other, so they are one slice of the batch's bytes."""
+        open_row, parts = None, []
+
+        def out(rows, texts):
+            texts = [None if r["ids"] is None else t.decode("utf-8", "replace") for r, t in zip(rows.to_pylist(), texts, strict=True)]
+            return pa.RecordBatch.from_arrays([rows, pa.array(texts, pa.string())], names=["row", "text"])
+
+        for batch in batches:
+            starts = np.flatnonzero(batch.column(0).to_numpy(zero_copy_only=False))
+            pieces = batch.column(2)
+            _, offsets, data = pieces.buffers()
+            at = np.frombuffer(offsets, "<i4")[pieces.offset : pieces.offset + len(pieces) + 1]
+            cuts = at[np.concatenate((starts, [len(pieces)]))].tolist()
+            data = data.to_pybytes() if data is not None else b""
+            parts.append(data[at[0] : cuts[0]])
+            if len(starts):
+                rows = batch.column(1).take(pa.array(starts))
+                texts = [data[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+                done = rows.slice(0, len(rows) - 1)
+                if open_row is not None:
+                    done, texts = pa.concat_arrays([open_row, done]), [b"".join(parts), *texts]
+                open_row, parts = rows.slice(len(rows) - 1), [texts.pop()]
+                if len(done):
+                    yield out(done, texts)
+        if open_row is not None:
+            yield out(open_row, [b"".join(parts)])
+
+    whole = tokens.select(first.alias("first"), F.when(first, F.col("row")).alias("row"), known.alias("piece"))
+    both = map_arrow(whole, joined, StructType([row.schema["row"], StructField("text", StringType())]), rows=1 << 30)
+    return both.select("row.*", "text")
