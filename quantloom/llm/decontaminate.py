@@ -5,19 +5,23 @@ each word the automaton holds the longest suffix of the text that occurs in some
 inside any match of a whole window are hit. Only runs of words that all occur in items are
 walked, so most of a corpus costs one dictionary look-up a word.
 
-The items are cut into shards of SHARD_WORDS words at most. One automaton at a time is broadcast,
-so its size is fixed; more items mean more passes, not a larger broadcast."""
+The items are cut into shards of SHARD_WORDS words at most, so a broadcast automaton has a fixed size;
+more items mean more passes, not a larger broadcast. Every pass but the last writes what it found, which
+depends on the text alone, to the checkpoint folder by a 128-bit hash of the text, and its automaton is
+dropped before the next is built. The last pass joins these finds and adds its own."""
 
 from __future__ import annotations
 
 import re
+from array import array
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from .common import map_arrow
+from .common import cut_lineage, free_name, map_arrow, packed
 
 WINDOW = 10
 #: Words of items in one automaton at most (an item longer than this is a shard of its own).
@@ -31,19 +35,26 @@ def normal_words(text: str | None) -> list[bytes]:
 
 
 class Automaton:
-    """A generalised suffix automaton of items (number, words), which answers for windows."""
+    """A generalised suffix automaton of items (number, words), which answers for windows.
 
-    def __init__(self, items: list[tuple[int, list[bytes]]], window: int = WINDOW):
+    Almost every state has one way on, so this way is kept in arrays; only the other ways are in dictionaries,
+    and only windows of several items have sets. An item number of None is hit but not named."""
+
+    def __init__(self, items: list[tuple[str | None, list[bytes]]], window: int = WINDOW):
         self.window, self.number = window, {}
-        self.next, self.link, self.length = [{}], [-1], [0]
-        texts = [(item, [self.number.setdefault(w, len(self.number)) for w in words]) for item, words in items]
-        for _, text in texts:
+        self.word, self.to = array("i", [-1]), array("i", [0])
+        self.more: dict[int, dict[int, int]] = {}
+        self.link, self.length = array("i", [-1]), array("i", [0])
+        self.names = [item for item, _ in items]
+        texts = [array("i", [self.number.setdefault(w, len(self.number)) for w in words]) for _, words in items]
+        for text in texts:
             last = 0
             for c in text:
                 last = self._extend(last, c)
-        self.items: dict[int, set[int]] = {}  # by the state that stands for a window
+        self.item = array("i", [-1]) * len(self.length)  # by the state that stands for a window
+        self.items: dict[int, set[int]] = {}  # where a window has several items
         self.whole: dict[int, list[tuple[int, int]]] = {}  # short items by their state
-        for item, text in texts:
+        for k, text in enumerate(texts):
             if not text:
                 continue
             n, state, length = min(window, len(text)), 0, 0
@@ -52,18 +63,34 @@ class Automaton:
                 if i >= n - 1:
                     found = self._of_length(state, n)
                     if len(text) < window:
-                        self.whole.setdefault(found, []).append((n, item))
+                        self.whole.setdefault(found, []).append((n, k))
+                    elif self.item[found] in (-1, k):
+                        self.item[found] = k
                     else:
-                        self.items.setdefault(found, set()).add(item)
-        self.shortest = min((min(window, len(t)) for _, t in texts if t), default=window)
+                        self.items.setdefault(found, {self.item[found]}).add(k)
+        self.shortest = min((min(window, len(t)) for t in texts if t), default=window)
         # the nearest state up the links, itself included, that is the whole of a short item
-        order = sorted(range(len(self.length)), key=self.length.__getitem__)
-        self.up = [-1] * len(order)
-        for s in order:
-            self.up[s] = s if s in self.whole else self.up[self.link[s]] if s else -1
+        self.up = array("i", [-1]) * (len(self.length) if self.whole else 0)
+        if self.whole:
+            for s in np.argsort(np.frombuffer(self.length, "i"), kind="stable").tolist():
+                self.up[s] = s if s in self.whole else self.up[self.link[s]] if s else -1
+
+    def _next(self, state: int, c: int) -> int:
+        """Where c leads from a state; -1 if nowhere."""
+        if self.word[state] == c:
+            return self.to[state]
+        more = self.more.get(state)
+        return more.get(c, -1) if more else -1
+
+    def _put(self, state: int, c: int, to: int) -> None:
+        if self.word[state] in (-1, c):
+            self.word[state], self.to[state] = c, to
+        else:
+            self.more.setdefault(state, {})[c] = to
 
-    def _new(self, length: int, link: int, follow: dict) -> int:
-        self.next.append(follow)
+    def _new(self, length: int, link: int, word: int = -1, to: int = 0) -> int:
+        self.word.append(word)
+        self.to.append(to)
         self.link.append(link)
         self.length.append(length)
         return len(self.length) - 1
@@ -72,28 +99,29 @@ class Automaton:
         """The state for the strings that p and c make, taken out of q where q holds longer ones."""
         if self.length[q] == self.length[p] + 1:
             return q
-        twin = self._new(self.length[p] + 1, self.link[q], dict(self.next[q]))
+        twin = self._new(self.length[p] + 1, self.link[q], self.word[q], self.to[q])
+        if q in self.more:
+            self.more[twin] = dict(self.more[q])
         self.link[q] = twin
-        while p >= 0 and self.next[p].get(c) == q:
-            self.next[p][c] = twin
+        while p >= 0 and self._next(p, c) == q:
+            self._put(p, c, twin)
             p = self.link[p]
         return twin
 
     def _extend(self, last: int, c: int) -> int:
-        if (q := self.next[last].get(c)) is not None:
+        if (q := self._next(last, c)) >= 0:
             return self._split(last, c, q)
-        state, p = self._new(self.length[last] + 1, 0, {}), last
-        while p >= 0 and c not in self.next[p]:
-            self.next[p][c] = state
+        state, p = self._new(self.length[last] + 1, 0), last
+        while p >= 0 and self._next(p, c) < 0:
+            self._put(p, c, state)
             p = self.link[p]
         if p >= 0:
-            self.link[state] = self._split(p, c, self.next[p][c])
+            self.link[state] = self._split(p, c, self._next(p, c))
         return state
 
     def _step(self, state: int, length: int, c: int) -> tuple[int, int]:
         """After one more word: the state and length of the longest suffix that occurs."""
-        follow = self.next
-        while (to := follow[state].get(c)) is None:
+        while (to := self._next(state, c)) < 0:
             if state == 0:
                 return 0, 0
             state = self.link[state]
@@ -106,13 +134,13 @@ class Automaton:
             state = self.link[state]
         return state
 
-    def search(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[int]]:
-        """Spans [start, end) of hit words, in order and apart, and the items found."""
+    def search(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[str]]:
+        """Spans [start, end) of hit words, in order and apart, and the names of the items found."""
         spans: list[tuple[int, int]] = []
         found: set[int] = set()
         ids = np.fromiter(map(self.number.get, words, [-1] * len(words)), np.int64, len(words))
         if len(ids) < self.shortest:
-            return spans, found
+            return spans, set()
         edges = np.flatnonzero(np.diff(np.concatenate(([-1], ids, [-1])) >= 0))
         for start, end in edges.reshape(-1, 2):
             if end - start < self.shortest:
@@ -126,8 +154,11 @@ class Automaton:
                 if length >= self.window:
                     at = self._of_length(state, self.window)
                     hit = self.window
-                    found |= self.items.get(at, ())
-                s = self.up[state]
+                    if at in self.items:
+                        found |= self.items[at]
+                    else:
+                        found.add(self.item[at])
+                s = self.up[state] if self.whole else -1
                 # a state up the links may be a whole short item; in its own state only if the match is that long
                 while s >= 0:
                     for n, item in self.whole[s]:
@@ -143,7 +174,7 @@ class Automaton:
                             spans[-1] = (spans[-1][0], i + 1)
                             continue
                     spans.append((i + 1 - hit, i + 1))
-        return spans, found
+        return spans, {self.names[k] for k in found if k >= 0 and self.names[k] is not None}
 
 
 def merge_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -159,7 +190,7 @@ def merge_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 def _shards(benchmark: DataFrame, shard_words: int):
     """Lists of (item_id, words) of shard_words words at most; one list at a time is on the driver."""
     shard, size = [], 0
-    for row in benchmark.select(F.col("item_id").cast("string"), F.col("text").cast("string")).where("text is not null and item_id is not null").toLocalIterator():
+    for row in benchmark.select(F.col("item_id").cast("string"), F.col("text").cast("string")).where("text is not null").toLocalIterator():
         words = normal_words(row[1])
         if shard and size + len(words) > shard_words:
             yield shard
@@ -171,55 +202,93 @@ def _shards(benchmark: DataFrame, shard_words: int):
         yield shard
 
 
+_FOUND = "spans array<struct<start:int,end:int>>, items array<string>"
+_SPANS, _ITEMS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])), pa.list_(pa.string())
+
+
+def _found_arrays(found: list[tuple[list, set]]) -> list[pa.Array]:
+    return [pa.array([[{"start": a, "end": b} for a, b in spans] for spans, _ in found], _SPANS), pa.array([sorted(items) for _, items in found], _ITEMS)]
+
+
+def _text_keys(text: Column) -> list[Column]:
+    return [F.xxhash64(F.lit(k), text).alias(f"k{k}") for k in (1, 2)]
+
+
+def _early_finds(docs: DataFrame, shard: list, window: int) -> DataFrame:
+    """k1, k2, spans and items of the texts that a shard hits, written out."""
+    shared = docs.sparkSession.sparkContext.broadcast(Automaton(shard, window))
+
+    def walk(batches):
+        automaton = shared.value
+        for batch in batches:
+            found = [automaton.search(normal_words(t)) for t in batch.column(2).to_pylist()]
+            hit = [i for i, (spans, _) in enumerate(found) if spans]
+            part = batch.take(pa.array(hit, pa.int64()))
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *_found_arrays([found[i] for i in hit])], names=["k1", "k2", "spans", "items"])
+
+    text = F.col("text").cast("string")
+    out = cut_lineage(map_arrow(docs.select(*_text_keys(text), text.alias("text")), walk, f"k1 long, k2 long, {_FOUND}"))
+    shared.destroy()
+    return out
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shard_words: int = SHARD_WORDS) -> DataFrame:
     """docs with n_words, spans (array of start and end word, apart and in order) and items (sorted).
 
     A window is window consecutive words of an item; an item with fewer, but not none, is one
     window. Words are runs of letters, digits and non-ASCII characters after lower-casing A-Z.
-    Null and empty texts have no words and no spans; items with a null id or text are left out;
-    repeated items and repeated rows count like any other. Columns of docs stay, but for those
-    named n_words, spans and items, which are replaced. Without items nothing is hit."""
+    Null and empty texts have no words and no spans; items with a null text are left out, the windows
+    of an item with a null id are hit but not named; repeated items and repeated rows count like any
+    other. Columns of docs stay, but for those named n_words, spans and items, which are replaced.
+    Without items nothing is hit."""
     names = [c for c in docs.columns if c not in ("n_words", "spans", "items")]
-    out = docs.select(*names, F.lit(None).cast("long").alias("n_words"), F.array().cast("array<struct<start:int,end:int>>").alias("spans"), F.array().cast("array<string>").alias("items"))
-    schema, spark = out.schema, docs.sparkSession
-    shards = 0
-
-    def passing(shared):
-        def walk(batches):
-            automaton = shared.value
-            for batch in batches:
-                col = {f.name: i for i, f in enumerate(batch.schema)}
-                n_words, spans, items = [], [], []
-                for text, old, seen in zip(batch.column(col["text"]).to_pylist(), batch.column(col["spans"]).to_pylist(), batch.column(col["items"]).to_pylist(), strict=True):
-                    words = normal_words(text)
-                    got, found = automaton.search(words)
-                    n_words.append(len(words))
-                    spans.append([{"start": a, "end": b} for a, b in (merge_spans(got + [(x["start"], x["end"]) for x in old]) if old else got)])
-                    items.append(sorted({*seen, *found}))
-                new = {"n_words": pa.array(n_words, pa.int64()), "spans": pa.array(spans, batch.schema.field("spans").type), "items": pa.array(items, batch.schema.field("items").type)}
-                yield pa.RecordBatch.from_arrays([new.get(f.name, batch.column(i)) for i, f in enumerate(batch.schema)], names=batch.schema.names)
-
-        return walk
-
-    for shard in _shards(benchmark, shard_words):
-        out = map_arrow(out, passing(spark.sparkContext.broadcast(Automaton(shard, window))), schema)
-        shards += 1
-    return out if shards else map_arrow(out, passing(spark.sparkContext.broadcast(Automaton([], window))), schema)
+    shards = _shards(benchmark, shard_words)
+    shard, early = next(shards, []), None
+    for following in shards:
+        found = _early_finds(docs, shard, window)
+        early = found if early is None else early.unionByName(found)
+        shard = following
+    rest = F.struct(F.lit(0).alias(free_name("_", names)), *(F.col(f"`{c}`") for c in names if c != "text"))
+    rows = docs.select(F.col("text").cast("string").alias("text"), rest.alias("rest"))
+    if early is None:
+        rows = rows.withColumn("early", F.lit(None).cast("array<struct<spans:array<struct<start:int,end:int>>,items:array<string>>>"))
+    else:
+        merged = early.groupBy("k1", "k2").agg(F.collect_set(F.struct("spans", "items")).alias("early"))
+        rows = rows.select("*", *_text_keys(F.col("text"))).join(merged, ["k1", "k2"], "left").select("text", "rest", "early")
+    shared = docs.sparkSession.sparkContext.broadcast(Automaton(shard, window))
+
+    def walk(batches):
+        automaton = shared.value
+        for batch in batches:
+            n_words, found = [], []
+            for text, before in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                words = normal_words(text)
+                n_words.append(len(words))
+                spans, items = automaton.search(words)
+                if before:
+                    spans = merge_spans(spans + [(x["start"], x["end"]) for one in before for x in one["spans"]])
+                    items = items.union(*(one["items"] for one in before))
+                found.append((spans, items))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n_words, pa.int64()), *_found_arrays(found)], names=["text", "rest", "n_words", "spans", "items"])
+
+    schema = rows.select("text", "rest", F.lit(0).cast("long").alias("n_words")).schema
+    out = map_arrow(rows, walk, StructType([*schema.fields, *StructType.fromDDL(_FOUND).fields]))
+    return out.select(*(F.col(c) if c == "text" else F.col("rest").getField(c).alias(c) for c in names), "n_words", "spans", "items")
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_share: float = 0.5, shard_words: int = SHARD_WORDS) -> DataFrame:
     """docs without the passages of items: hit words are cut out of the text, with all between them;
-    a document with over max_share of its words hit goes as a whole. Columns as in docs; texts
-    without a hit, and null texts, stay as they are."""
-    marked = contamination(docs, benchmark, window, shard_words)
+    a document with over max_share of its words hit goes as a whole. Columns as in docs, whatever their
+    names; texts without a hit, and null and empty texts, stay as they are. Repeated rows are each cut."""
+    rows, back = packed(docs)
+    marked = contamination(rows, benchmark, window, shard_words)
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + (s["end"] - s["start"]).cast("long"))
-    left = marked.where(n_hit <= F.col("n_words") * F.lit(max_share)).select(*docs.columns, F.col("spans").alias("__spans"))
+    left = marked.where(n_hit <= F.col("n_words") * F.lit(max_share)).select("doc_id", "text", "rest", "spans")
 
     def cut(batches):
         for batch in batches:
-            at, k = batch.schema.get_field_index("text"), batch.schema.get_field_index("__spans")
-            texts = batch.column(at).to_pylist()
-            for i, spans in enumerate(batch.column(k).to_pylist()):
+            texts = batch.column(1).to_pylist()
+            for i, spans in enumerate(batch.column(3).to_pylist()):
                 if spans:
                     raw = texts[i].encode("utf-8", "surrogatepass")
                     words = [m.span() for m in re.finditer(rb"[^ ]+", raw.translate(_TABLE))]
@@ -228,7 +297,6 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, ma
                         out.append(raw[done : words[x["start"]][0]])
                         done = words[x["end"] - 1][1]
                     texts[i] = b"".join([*out, raw[done:]]).decode("utf-8", "surrogatepass")
-            columns = [pa.array(texts, pa.string()) if i == at else c for i, c in enumerate(batch.columns) if i != k]
-            yield pa.RecordBatch.from_arrays(columns, names=[f.name for i, f in enumerate(batch.schema) if i != k])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), batch.column(2)], names=["doc_id", "text", "rest"])
 
-    return map_arrow(left, cut, left.drop("__spans").schema)
+    return back(map_arrow(left, cut, left.drop("spans").schema))

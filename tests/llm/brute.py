@@ -71,7 +71,7 @@ def contamination(docs, items, window=10):
         w = pattern.findall(lower(t))
         n = min(window, len(w))
         for k in range(len(w) - n + 1 if n else 0):
-            windows[tuple(w[k : k + n])].add(str(i))
+            windows[tuple(w[k : k + n])] |= set() if i is None else {str(i)}
     out = []
     for i, t in docs:
         w, hit, found = pattern.findall(lower(t)), set(), set()
