@@ -1,16 +1,18 @@
 """Quality rules: length and repetition rules, then a hashed n-gram log-likelihood ratio.
 
-The n-grams of a text (single words by default) are hashed into BUCKETS buckets. Two multinomials
-over the buckets are counted: of the trusted target and of the raw corpus, each over all of its
-rows. A text's score is the sum of log(target / raw) over its n-grams, divided by their number; it
-is kept at a score of at least MIN_SCORE. Added to each bucket alike, SMOOTHING makes all scores lower while
-the trusted words are few against the buckets. With a prior, a bucket's trusted words are held against those
-expected from its share of the raw corpus, with so many words added to both: a bucket with too little
-evidence weighs about 0 whatever the size. Everything is DataFrame functions: one scan counts (a
-partial sum in each task, so at most BUCKETS rows leave it), a second scores without an exchange.
-
-The table of weights has BUCKETS numbers whatever the input, and reaches the tasks as a scalar
-subquery. Arrays that a lambda indexes are bound by let(), since an expression inside a lambda
+The n-grams of a text, of all orders up to ORDER (single words by default), are hashed into BUCKETS buckets.
+Two multinomials over the buckets are counted: of the trusted target and of the raw corpus, each over all of
+its rows. A text's score is the sum of log(target / raw) over its n-grams, divided by their number; it is kept
+at a score of at least MIN_SCORE. Added to each bucket alike, SMOOTHING makes all scores lower while the trusted
+words are few against the buckets. With a prior, a bucket's trusted words are held against those expected from
+its share of the raw corpus, with so many words added to both: a bucket with too little evidence weighs about 0
+whatever the size. Everything is DataFrame functions: one scan counts the raw corpus without an exchange of
+texts (a partial sum in each task, so at most BUCKETS rows leave it); a second counts the trusted texts, which
+are the only ones that meet their labels: a fixed bit filter of trusted ids (FILTER_WORDS numbers, one bit an
+id) holds back all but a few of the others before the join, which is exact. A third scan scores without an exchange.
+
+The filter and the table of weights have a fixed size whatever the input, and reach the tasks as scalar
+subqueries. Arrays that a lambda indexes are bound by let(), since an expression inside a lambda
 would be computed again for each element."""
 
 from __future__ import annotations
@@ -20,14 +22,19 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import packed
+
 BUCKETS = 1 << 15
 MIN_SCORE = -0.1
-#: Words in an n-gram.
+#: Words of the longest n-grams.
 ORDER = 1
+#: Longs in the bit filter of trusted ids: 2 MB. Far beyond its 16 million bits it only stops saving.
+FILTER_WORDS = 1 << 18
 #: Added to the count of each bucket in both multinomials.
 SMOOTHING = 1.0
-#: Words that the registered query and the pipeline add to a bucket's trusted and expected words.
-PRIOR = 10.0
+#: What the registered query and the pipeline use: words and word pairs, and five words added to a bucket's
+#: trusted and expected words. The share of unlabelled documents kept was compared at three table sizes.
+PRODUCTION = {"buckets": 1 << 17, "order": 2, "prior": 5.0, "min_score": -0.15}
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 10, 20, 5
 SYMBOLS = "[#*$%&|<>]"
 
@@ -55,21 +62,49 @@ def _starts(items: Column, order: int) -> Column:
     return items if order == 1 else F.slice(items, 1, F.greatest(F.size(items) - (order - 1), F.lit(0)))
 
 
+def grams(hashes: Column, n: int) -> Column:
+    """A hash of each run of n words, from the hashes of words. hashes must be a bound variable."""
+    return hashes if n == 1 else F.transform(_starts(hashes, n), lambda x, i: F.xxhash64(x, *(F.get(hashes, i + d) for d in range(1, n))))
+
+
 def ngram_hashes(hashes: Column, order: int) -> Column:
-    """A hash of each n-gram, from the hashes of words. hashes must be a bound variable."""
-    return hashes if order == 1 else F.transform(_starts(hashes, order), lambda x, i: F.xxhash64(x, *(F.get(hashes, i + d) for d in range(1, order))))
+    """The hashes of all n-grams of 1 to order words."""
+    return hashes if order == 1 else F.concat(*(grams(hashes, n) for n in range(1, order + 1)))
 
 
 def word_hashes(words: Column) -> Column:
     return F.transform(words, lambda w: F.xxhash64(w))
 
 
-def _buckets_by_row(marked: DataFrame, buckets: int, order: int) -> DataFrame:
+def _bucket_counts(texts: DataFrame, buckets: int, order: int, name: str) -> DataFrame:
+    """bucket and how many n-grams of the texts fall into it."""
     if order == 1:
-        rows = marked.select("t", F.explode(F.split(_blank(F.col("text")), " ")).alias("w")).where("w != ''").select("t", F.xxhash64("w").alias("h"))
+        rows = texts.select(F.explode(F.split(_blank(F.col("text")), " ")).alias("w")).where("w != ''").select(F.xxhash64("w").alias("h"))
     else:
-        rows = marked.select("t", F.explode(let(word_hashes(words_of(F.col("text"))), lambda h: ngram_hashes(h, order))).alias("h"))
-    return rows.select("t", F.pmod("h", F.lit(buckets)).alias("bucket"))
+        rows = texts.select(F.explode(let(word_hashes(words_of(F.col("text"))), lambda h: ngram_hashes(h, order))).alias("h"))
+    return rows.groupBy(F.pmod("h", F.lit(buckets)).alias("bucket")).agg(F.count("*").alias(name))
+
+
+def _bits(key: Column) -> tuple[Column, Column]:
+    """The place of an id in the filter: the number of its long, and its bit there."""
+    h = F.xxhash64(key)
+    return F.pmod(F.shiftrightunsigned(h, 6), F.lit(FILTER_WORDS)).cast("int"), F.pmod(h, F.lit(64)).cast("int")
+
+
+def _id_filter(ids: DataFrame) -> DataFrame:
+    """One row, f: the bits of ids(__id), in FILTER_WORDS longs."""
+    at, bit = _bits(F.col("__id"))
+    words = ids.groupBy(at.cast("long").alias("at")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit)).alias("bits"))
+    full = ids.sparkSession.range(FILTER_WORDS).select(F.col("id").alias("at")).join(words, "at", "left").select("at", F.coalesce("bits", F.lit(0).cast("long")).alias("bits"))
+    return full.agg(F.sort_array(F.collect_list(F.struct("at", "bits"))).alias("s")).select(F.transform("s", lambda x: x["bits"]).alias("f"))
+
+
+def trusted_texts(docs: DataFrame, target: DataFrame) -> DataFrame:
+    """The texts of the rows of docs whose doc_id target has; a null doc_id is never trusted."""
+    trusted = target.select(F.col("doc_id").alias("__id")).where("__id is not null").distinct()
+    at, bit = _bits(F.col("doc_id"))
+    near = docs.select("doc_id", "text").withColumn("__filter", _id_filter(trusted).scalar()).where(F.getbit(F.get("__filter", at), bit) == 1).drop("__filter")
+    return near.join(trusted.hint("shuffle_hash"), F.col("doc_id") == F.col("__id"), "left_semi").select("text")
 
 
 def bucket_weights(docs: DataFrame, target: DataFrame, buckets: int = BUCKETS, smoothing: float = SMOOTHING, order: int = ORDER, prior: float | None = None) -> DataFrame:
@@ -77,10 +112,9 @@ def bucket_weights(docs: DataFrame, target: DataFrame, buckets: int = BUCKETS, s
 
     target has the doc_ids of the trusted rows. Without any trusted n-gram all weights are 0. With a
     prior, smoothing is not used and the weight is log((tgt + prior) / (n_tgt * raw / n_raw + prior))."""
-    trusted = target.select(F.col("doc_id").alias("__id")).where("__id is not null").distinct().hint("shuffle_hash")
-    marked = docs.select("doc_id", "text").join(trusted, F.col("doc_id") == F.col("__id"), "left").select(F.col("__id").isNotNull().alias("t"), "text")
-    counts = _buckets_by_row(marked, buckets, order).groupBy("bucket").agg(F.count("*").alias("raw"), F.count_if("t").alias("tgt"))
-    full = docs.sparkSession.range(buckets).select(F.col("id").alias("bucket")).join(counts, "bucket", "left").select("bucket", F.coalesce("raw", F.lit(0)).alias("raw"), F.coalesce("tgt", F.lit(0)).alias("tgt"))
+    docs = docs.select(F.col("doc_id").cast("long"), "text")
+    raw, tgt = _bucket_counts(docs, buckets, order, "raw"), _bucket_counts(trusted_texts(docs, target.select(F.col("doc_id").cast("long"))), buckets, order, "tgt")
+    full = docs.sparkSession.range(buckets).select(F.col("id").alias("bucket")).join(raw, "bucket", "left").join(tgt, "bucket", "left").select("bucket", F.coalesce("raw", F.lit(0)).alias("raw"), F.coalesce("tgt", F.lit(0)).alias("tgt"))
     lists = full.agg(F.sort_array(F.collect_list(F.struct("bucket", "raw", "tgt"))).alias("c"), F.sum("raw").alias("n_raw"), F.sum("tgt").alias("n_tgt"))
     extra = smoothing * buckets
     ratio = lambda x: F.log((x["tgt"] + smoothing) / (F.col("n_tgt") + extra)) - F.log((x["raw"] + smoothing) / (F.col("n_raw") + extra))
@@ -95,8 +129,8 @@ def _repeat_words(words: Column, hashes: Column, window: int = WINDOW) -> Column
     words and hashes are bound variables. Two hashes stand for a window's words (96 bits): one tells
     almost all texts to have no repeat, both together sort the windows of the others."""
 
-    def exact(grams: Column) -> Column:
-        both = F.sort_array(F.transform(grams, lambda g, i: F.struct(g.alias("g"), F.hash(*(F.get(words, i + d) for d in range(window))).alias("k"), i.alias("i"))))
+    def exact(found: Column) -> Column:
+        both = F.sort_array(F.transform(found, lambda g, i: F.struct(g.alias("g"), F.hash(*(F.get(words, i + d) for d in range(window))).alias("k"), i.alias("i"))))
 
         def positions(s: Column) -> Column:
             same = lambda x, j: F.get(s, j)["g"].eqNullSafe(x["g"]) & F.get(s, j)["k"].eqNullSafe(x["k"])
@@ -106,7 +140,7 @@ def _repeat_words(words: Column, hashes: Column, window: int = WINDOW) -> Column
         return F.aggregate(let(both, positions), start, lambda a, i: F.struct(i.alias("at"), (a["n"] + F.least(F.lit(window), i - a["at"])).alias("n")), lambda a: a["n"])
 
     screened = lambda g: F.when(F.size(F.array_distinct(g)) == F.size(g), F.lit(0)).otherwise(exact(g))
-    return F.when(F.size(words) <= window, F.lit(0)).otherwise(let(ngram_hashes(hashes, window), screened))
+    return F.when(F.size(words) <= window, F.lit(0)).otherwise(let(grams(hashes, window), screened))
 
 
 def _dup_lines(text: Column) -> Column:
@@ -114,9 +148,9 @@ def _dup_lines(text: Column) -> Column:
     return let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x)))
 
 
-def judged(docs: DataFrame, target: DataFrame, buckets: int = BUCKETS, min_score: float = MIN_SCORE, order: int = ORDER, counts: bool = True, prior: float | None = None) -> DataFrame:
-    """docs with a struct __f of the figures and the verdict; see quality_rules. Without counts the
-    struct has no n_symbols and n_dup_lines.
+def _judged(rows: DataFrame, target: DataFrame, buckets: int, min_score: float, order: int, counts: bool, prior: float | None) -> DataFrame:
+    """rows(doc_id, text, rest) with a struct f of the figures and the verdict; see quality_rules. Without
+    counts the struct has no n_symbols and n_dup_lines.
 
     The struct is one expression that computes everything once, so a filter on it that the
     optimizer moves down still does."""
@@ -124,7 +158,7 @@ def judged(docs: DataFrame, target: DataFrame, buckets: int = BUCKETS, min_score
     extra = [F.regexp_count(text, F.lit(SYMBOLS)).cast("long").alias("n_symbols"), _dup_lines(text).cast("long").alias("n_dup_lines")] if counts else []
 
     def of_hashes(w: Column, h: Column) -> Column:
-        total = lambda g: F.aggregate(g, F.lit(0.0), lambda a, x: a + F.get(F.col("__w"), F.pmod(x, F.lit(buckets)).cast("int")))
+        total = lambda g: F.aggregate(g, F.lit(0.0), lambda a, x: a + F.get(F.col("w"), F.pmod(x, F.lit(buckets)).cast("int")))
         score = let(ngram_hashes(h, order), lambda g: F.when(F.size(g) == 0, F.lit(0.0)).otherwise(total(g) / F.size(g)))
         return F.struct(F.size(w).cast("long").alias("n_words"), F.length(F.array_join(w, "")).cast("long").alias("word_chars"), *extra, _repeat_words(w, h).cast("long").alias("n_repeat_words"), score.alias("score"))
 
@@ -134,8 +168,8 @@ def judged(docs: DataFrame, target: DataFrame, buckets: int = BUCKETS, min_score
         return F.struct(*(p[c].alias(c) for c in names), failed.alias("base_failed"), (~failed & (p["score"] >= min_score)).alias("kept"))
 
     figures = let(let(words_of(text), lambda w: let(word_hashes(w), lambda h: of_hashes(w, h))), verdict)
-    weighted = docs.withColumn("__w", bucket_weights(docs.select("doc_id", F.col("text").cast("string")), target, buckets, order=order, prior=prior).scalar())
-    return weighted.select(*docs.columns, figures.alias("__f"))
+    weighted = rows.withColumn("w", bucket_weights(rows.select("doc_id", F.col("text").cast("string")), target, buckets, order=order, prior=prior).scalar())
+    return weighted.select("doc_id", "text", "rest", figures.alias("f"))
 
 
 def quality_rules(docs: DataFrame, target: DataFrame, buckets: int = BUCKETS, min_score: float = MIN_SCORE, order: int = ORDER, prior: float | None = None) -> DataFrame:
@@ -146,9 +180,11 @@ def quality_rules(docs: DataFrame, target: DataFrame, buckets: int = BUCKETS, mi
     windows) and kept (not base_failed and score >= min_score). Null and empty texts have no words
     and fail. Rows that repeat a doc_id each get a row; a null doc_id is never trusted. Other
     columns are ignored. With no trusted rows all scores are 0. For prior see bucket_weights."""
-    return judged(docs.select("doc_id", "text"), target, buckets, min_score, order, prior=prior).select("doc_id", "__f.*")
+    rows, _ = packed(docs.select("doc_id", "text"))
+    return _judged(rows, target, buckets, min_score, order, True, prior).select("doc_id", "f.*")
 
 
 def filter_documents(docs: DataFrame, target: DataFrame, buckets: int = BUCKETS, min_score: float = MIN_SCORE, order: int = ORDER, prior: float | None = None) -> DataFrame:
-    """The rows of docs that the rules keep, with all their columns."""
-    return judged(docs, target, buckets, min_score, order, counts=False, prior=prior).where("__f.kept").select(*docs.columns)
+    """The rows of docs that the rules keep, with all their columns, whatever their names."""
+    rows, back = packed(docs)
+    return back(_judged(rows, target, buckets, min_score, order, False, prior).where("f.kept"))
