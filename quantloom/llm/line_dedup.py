@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WHITE, map_arrow, partitions, text_tag
+from .common import WHITE, map_arrow, packed, partitions, text_tag
 
 #: Keys in the broadcast table at most, and the lines that make a key worth a place there.
 HEAVY, HEAVY_ROWS = 10_000, 1_000
@@ -84,7 +84,8 @@ def line_dedup(docs: DataFrame, min_points: int = MIN_POINTS) -> DataFrame:
         for batch in batches:
             out = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                tag, near = text_tag(text), (doc_id or 0) % n_parts
+                tag = text_tag(text)
+                near = ((doc_id or 0) + tag) % n_parts
                 out.append((near, None, doc_id, tag, -1, (text or "").count("\n") + 1))
                 for pos, h in line_keys(text, min_points):
                     if h not in firsts:
@@ -124,28 +125,36 @@ def line_dedup(docs: DataFrame, min_points: int = MIN_POINTS) -> DataFrame:
     return map_arrow(by_doc, bitmaps, "doc_id long, tag long, n_lines long, n_dropped long, keep binary")
 
 
-def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
-    """docs with text reduced to the lines that stay, and the columns n_lines and n_dropped.
-
-    A document without a bitmap stays as it is. Null texts stay null. Columns of docs keep their
-    names and order; n_lines and n_dropped replace columns of these names."""
-    names = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    left = docs.select(*names, F.when(F.col("text").isNull(), 0).otherwise(F.crc32(F.encode("text", "utf-8"))).alias("__tag"))
-    right = bitmaps.select(F.col("doc_id").alias("__id"), F.col("tag").alias("__tag2"), "n_lines", "n_dropped", F.when(F.col("n_dropped") > 0, F.col("keep")).alias("__keep"))
-    on = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__tag") == F.col("__tag2"))
-
-    joined = left.join(right, on, "left").drop("__tag", "__tag2", "__id")
+def _cut(rows: DataFrame, bitmaps: DataFrame) -> DataFrame:
+    """rows(doc_id, text, rest) with text reduced to the lines that stay, n_lines and n_dropped."""
+    left = rows.withColumn("tag", F.when(F.col("text").isNull(), 0).otherwise(F.crc32(F.encode("text", "utf-8"))))
+    right = bitmaps.select(F.col("doc_id").alias("id"), F.col("tag").alias("tag2"), "n_lines", "n_dropped", F.when(F.col("n_dropped") > 0, F.col("keep")).alias("keep"))
+    joined = left.join(right, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("tag") == F.col("tag2")), "left").select("doc_id", "text", "rest", "n_lines", "n_dropped", "keep")
 
     def kept(batches):
         for batch in batches:
-            at, k = batch.schema.get_field_index("text"), batch.schema.get_field_index("__keep")
-            texts = batch.column(at).to_pylist()
-            for i, bits in enumerate(batch.column(k).to_pylist()):
+            texts = batch.column(1).to_pylist()
+            for i, bits in enumerate(batch.column(5).to_pylist()):
                 if bits is not None and texts[i] is not None:
                     lines = texts[i].split("\n")
                     keep = np.unpackbits(np.frombuffer(zlib.decompress(bits), np.uint8), count=len(lines))
                     texts[i] = "\n".join([x for x, b in zip(lines, keep.tolist(), strict=True) if b])
-            columns = [pa.array(texts, pa.string()) if i == at else c for i, c in enumerate(batch.columns) if i != k]
-            yield pa.RecordBatch.from_arrays(columns, names=[f.name for i, f in enumerate(batch.schema) if i != k])
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if i == 1 else batch.column(i) for i in range(5)], names=batch.schema.names[:5])
+
+    return map_arrow(joined, kept, joined.drop("keep").schema)
+
+
+def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
+    """docs with text reduced to the lines that stay, and the columns n_lines and n_dropped.
+
+    A document without a bitmap stays as it is. Null texts stay null. Columns of docs keep their
+    names, values and order; only n_lines and n_dropped replace columns of these names."""
+    names = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
+    rows, _ = packed(docs.select(*(F.col(f"`{c}`") for c in names)))
+    return _cut(rows, bitmaps).select(*(F.col(c) if c in ("doc_id", "text") else F.col("rest").getField(c).alias(c) for c in names), "n_lines", "n_dropped")
+
 
-    return map_arrow(joined, kept, joined.drop("__keep").schema)
+def drop_lines(docs: DataFrame) -> DataFrame:
+    """docs without the lines that an earlier document holds, with their columns, whatever the names."""
+    rows, back = packed(docs)
+    return back(_cut(rows, line_dedup(docs)))
