@@ -1,14 +1,15 @@
 """A naive Bayes support-vector classifier of text quality (Wang and Manning 2012).
 
-The features of a text are the set of its hashed words and word pairs, the punctuation runs that
-end its words, and whether a word follows itself. The count ratio of each feature
+The features of a text are the set of its hashed words and word pairs, the punctuation runs that end its
+words, and runs of one word by their length in powers of two. The count ratio of each feature
 between the classes gives r = log((p / |p|) / (q / |q|)); indicators are scaled by r and a linear
 hinge-loss model is fitted by dual coordinate descent (Hsieh et al. 2008, the squared hinge). A
 logistic curve over rows that the model did not see turns margins into scores.
 
-FIT_ROWS bounds the labelled rows that take part, the least by hash of doc_id: a fixed amount for the
-driver whatever the corpus. The scan that scores all rows has no exchange; the weights have
-2^DIM_BITS numbers."""
+The fit uses a bounded sample of labelled rows, the least by hash of doc_id: FIT_ROWS of them, and no more than
+have FIT_FEATURES features together, which bounds the driver's memory whatever the corpus and the lengths of
+its texts. A row that takes part does so with its whole text. Only the texts of the sample reach Python in the
+first scan. The scan that scores all rows has no exchange; the weights have 2^DIM_BITS numbers."""
 
 from __future__ import annotations
 
@@ -17,14 +18,14 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_arrow
+from .common import cut_lineage, map_arrow
 
 DIM_BITS = 18
-#: Labelled rows that the fit uses at most, each with all its features.
-FIT_ROWS = 8_000
+#: Labelled rows that the fit uses at most, and features of all these rows together (16 bytes each in the fit).
+FIT_ROWS, FIT_FEATURES = 8_000, 30_000_000
 #: Every CALIBRATE-th row of the fit is kept from the model and used for the logistic curve.
 CALIBRATE = 5
 SMOOTHING, COST, ROUNDS = 1.0, 1.0, 12
@@ -54,9 +55,10 @@ class Features:
         h = np.fromiter((get(w) or self._hash(w) for w in words), np.uint64, len(words))
         pairs = (h[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[1:]) * np.uint64(0xD6E8FEB86659FD93)
         endings = [b"\0" + x for x in {w[len(w.rstrip(_CLOSING)) :] for w in set(words)} if x]
-        # words three or six times in a row are n-grams of their own, whatever the word
-        same = h[1:] == h[:-1]
-        runs = [name for name, n in ((b"\0\0three", 2), (b"\0\0six", 5)) if len(same) >= n and np.convolve(same, np.ones(n, int), "valid").max() == n]
+        # a word 2, 4, 8, ... times in a row is an n-gram of its own, whatever the word
+        breaks = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1], [True]))) if len(h) else np.zeros(1, np.int64)
+        longest = int(np.diff(breaks).max(initial=1))
+        runs = [b"\0\0%d" % (1 << k) for k in range(1, longest.bit_length())]
         more = np.array([get(x) or self._hash(x) for x in endings + runs], np.uint64)
         return np.unique(np.concatenate((h, pairs, more)) >> self.shift).astype(np.int64)
 
@@ -129,26 +131,27 @@ def fold_of(doc_id: str) -> Column:
     return F.crc32(F.encode(F.col(doc_id).cast("string"), "utf-8")) % FOLDS
 
 
-def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, dim_bits: int = DIM_BITS) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, dim_bits: int = DIM_BITS, fit_features: int = FIT_FEATURES) -> Model:
     """The model of labels(doc_id, quality) outside fold 0; only the text of docs is an input.
 
-    The doc_ids that take part (fit_rows at most) are broadcast; their features come to the driver."""
-    spark = docs.sparkSession
-    chosen = labels.select(F.col("doc_id").cast("long"), F.col("quality").cast("int")).where((fold_of("doc_id") != 0) & F.col("quality").isin(0, 1)).groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    taken = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows).collect()
-    wanted = spark.sparkContext.broadcast({r.doc_id: r.quality for r in taken})
+    The sample's ids (fit_rows at most) are broadcast to the scan. Its rows are written with their features
+    and taken in the order of the ids' hashes while their features add up to fit_features at most; those come
+    to the driver. Of rows that repeat a doc_id the one with the least features as bytes counts."""
+    chosen = labels.select(F.col("doc_id").cast("long"), F.col("quality").cast("int")).where((fold_of("doc_id") != 0) & F.col("quality").isin(0, 1)).groupBy("doc_id").agg(F.max("quality").alias("y"))
+    taken = cut_lineage(chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows))
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(taken), "doc_id")
 
     def extract(batches):
-        features, labelled = Features(dim_bits), wanted.value
+        features = Features(dim_bits)
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1)
-            at = [i for i, d in enumerate(ids) if d in labelled]
-            rows = [features.of(texts[i].as_py()).astype("<i4").tobytes() for i in at]
-            yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in at], pa.int64()), pa.array([labelled[ids[i]] for i in at], pa.int32()), pa.array(rows, pa.binary())], names=["doc_id", "y", "features"])
-
-    found = map_arrow(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), extract, "doc_id long, y int, features binary").dropDuplicates(["doc_id"])
-    got = sorted(found.collect(), key=lambda r: (zlib.crc32(str(r.doc_id).encode()), r.doc_id))
-    return Model([np.frombuffer(r.features, "<i4").astype(np.int64) for r in got], np.array([r.y for r in got], np.int64), dim_bits)
+            found = [features.of(t).astype("<i4").tobytes() for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(found, pa.binary())], names=["doc_id", "y", "features"])
+
+    found = cut_lineage(map_arrow(rows.select("doc_id", "text", "y"), extract, "doc_id long, y int, features binary").groupBy("doc_id", "y").agg(F.min("features").alias("features")))
+    # at most fit_rows rows, so one window over them all is small
+    total = F.sum(F.length("features") / 4).over(Window.orderBy(F.xxhash64("doc_id"), "doc_id"))
+    got = sorted(found.withColumn("total", total).where(F.col("total") <= fit_features).drop("total").toLocalIterator(), key=lambda r: (zlib.crc32(str(r.doc_id).encode()), r.doc_id))
+    return Model([np.frombuffer(r.features, "<i4") for r in got], np.array([r.y for r in got], np.int64), dim_bits)
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, dim_bits: int = DIM_BITS) -> DataFrame:
