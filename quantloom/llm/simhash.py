@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut_lineage, map_arrow
+from .common import cut_lineage, map_arrow, packed
 
 SHINGLE, MAX_BITS, BITS = 3, 2, 64
 #: Fingerprints under one key that are still paired up.
@@ -136,13 +136,16 @@ def simhash_components(docs: DataFrame, shingle: int = SHINGLE, max_bits: int =
 def firsts_of(docs: DataFrame, found: DataFrame) -> DataFrame:
     """The rows of docs whose doc_id is the component_id of found; see keep_one."""
     firsts = found.where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.where("doc_id is not null").join(firsts, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    rows, back = packed(docs)
+    named = rows.where("doc_id is not null").join(firsts, "doc_id", "left_semi")
+    least = named.groupBy("doc_id").agg(F.min_by(F.struct("text", "rest"), F.struct("text", F.to_json("rest"))).alias("row"))
+    return back(least.select("doc_id", "row.text", "row.rest").unionByName(rows.where("doc_id is null")))
 
 
 def keep_one(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
-    """The row of docs with the smallest doc_id of each component, with all its columns.
+    """The row of docs with the smallest doc_id of each component, with all its columns, whatever their names.
 
-    Of rows that repeat that doc_id one stays. Rows with a null doc_id can't be told from each
+    Of rows that repeat that doc_id the one with the least text stays, null before all, and of equal texts
+    the one whose other columns are least as JSON. Rows with a null doc_id can't be told from each
     other and stay."""
     return firsts_of(docs, simhash_components(docs, shingle, max_bits))
