@@ -152,12 +152,12 @@ def curves(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = Window.partitionBy("policy").orderBy("date")
     damped = level.withColumn("r", r6(F.coalesce((F.col("v") / F.lag("v").over(w) - 1) / 10, F.lit(0.0))))
     share = F.least(F.col("n") / 1000.0, F.lit(1.0))
-    return damped.select("date", "policy", r6(100000 * F.exp(F.sum(F.log1p("r")).over(w))).alias("value"), r6(share).alias("turnover"), r6(share * 10).alias("cost"), r6(F.lit(1.0) - share).alias("cash_weight"))
+    return damped.select("date", "policy", r6(100000 * F.exp(F.sum(F.log1p("r")).over(w))).alias("value"), r6(share).alias("turnover"), r6(share * 10).alias("cost"), r6(share * 4).alias("slippage"), r6(F.lit(1.0) - share).alias("cash_weight"))
 
 
 CURVES = """curve AS (
   SELECT date, policy, round(100000 * exp(sum(ln(1 + r)) OVER (PARTITION BY policy ORDER BY date)), 6) + 0.0 AS value, round(least(n / 1000.0, 1.0), 6) + 0.0 AS turnover,
-    round(least(n / 1000.0, 1.0) * 10, 6) + 0.0 AS cost, round(1.0 - least(n / 1000.0, 1.0), 6) + 0.0 AS cash_weight FROM (
+    round(least(n / 1000.0, 1.0) * 10, 6) + 0.0 AS cost, round(least(n / 1000.0, 1.0) * 4, 6) + 0.0 AS slippage, round(1.0 - least(n / 1000.0, 1.0), 6) + 0.0 AS cash_weight FROM (
     SELECT *, round(coalesce((v / lag(v) OVER (PARTITION BY policy ORDER BY date) - 1) / 10, 0.0), 6) + 0.0 AS r FROM (
       SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS date, c_mktsegment AS policy, round(avg(o_totalprice), 6) + 0.0 AS v, CAST(count(*) AS DOUBLE) AS n
       FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2)))"""

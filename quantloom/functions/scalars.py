@@ -60,11 +60,27 @@ def outside_envelope(tolerance: float = 1e-8) -> Column:
     return (F.col("high") < F.greatest("open", "close", "low") - tolerance) | (F.col("low") > F.least("open", "close", "high") + tolerance)
 
 
+#: Forms of a date as (characters looked at, year-month separator, parts that follow the year).
+DATE_FORMS = [(10, "-", 2), (10, "/", 2), (7, "-", 1), (7, "/", 1), (4, "", 0)]
+
+
 def parse_date(x: Column) -> Column:
-    """ISO, day/month/year, compact, or spreadsheet serial dates; else null."""
-    serial = F.when(x.rlike("^[0-9]{5}$"), F.date_add(F.lit("1899-12-30").cast("date"), x.try_cast("int")))
-    tried = [F.try_to_timestamp(x, F.lit(f)).cast("date") for f in ("yyyy-MM-dd", "dd/MM/yyyy", "yyyyMMdd")]
-    return F.coalesce(serial, *tried)
+    """year-month-day, year/month/day, year-month, year/month or year, at the beginning of the text.
+
+    Each form is tried on as many leading characters as it has in full, so what follows is not looked at, and
+    a day that does not exist falls back to its month. Missing parts are 1. Anything else is null."""
+    text = F.trim(x)
+    out = None
+    for length, mark, parts in reversed(DATE_FORMS):
+        head = F.substring(text, 1, length)
+        month = f"{mark}(1[0-2]|0[1-9]|[1-9])" if parts else ""
+        day = f"{mark}(3[01]|[12][0-9]|0[1-9]|[1-9])" if parts > 1 else ""
+        pattern = f"^([0-9]{{4}}){month}{day}$"
+        piece = lambda k: F.lpad(F.regexp_extract(head, pattern, k), 2, "0")  # noqa: B023, E731
+        iso = F.concat_ws("-", F.regexp_extract(head, pattern, 1), piece(2) if parts else F.lit("01"), piece(3) if parts > 1 else F.lit("01"))
+        day_of = F.when(head.rlike(pattern) & ~F.startswith(head, F.lit("0000")), F.try_to_timestamp(iso, F.lit("yyyy-MM-dd")).cast("date"))
+        out = day_of if out is None else F.coalesce(day_of, out)
+    return out
 
 
 def last_business_day(day: Column, months: int = 1) -> Column:
@@ -78,28 +94,53 @@ def release_date(day: Column, rule: Column) -> Column:
     return F.when(rule == "same_day", day).otherwise(last_business_day(day))
 
 
+def clean_text(x: Column) -> Column:
+    """White space, the no-break space too, as single spaces; none at the ends, and no final full stops."""
+    return F.regexp_replace(F.trim(F.regexp_replace(F.coalesce(x, F.lit("")), "[\\s\\u00a0]+", " ")), "\\.+$", "")
+
+
 def decision_points(text: Column) -> Column:
-    """Signed basis points of a decision text; holds are 0."""
-    size = F.regexp_extract(F.lower(text), "([0-9.]+)", 1).try_cast("double")
-    return F.when(F.lower(text).rlike("hold|unchanged"), 0.0).when(F.lower(text).rlike("cut|lower|decrease"), -size).otherwise(size)
+    """Signed basis points of a decision: 'hold', 'raise 25 bps', 'cut 50 bps' in any case. Any other text is
+    null, for a check to reject."""
+    low = clean_text(F.lower(text))
+    form = "^(raise|cut) ([0-9]+) bps$"
+    size = F.regexp_extract(low, form, 2).try_cast("double")
+    return F.when(low == "hold", 0.0).when(low.rlike(form), F.when(F.startswith(low, F.lit("raise")), size).otherwise(-size))
+
 
+def vote_count(text: Column) -> Column:
+    """A single digit, with a footnote mark of digits and a slash behind it or not; else null."""
+    return F.regexp_extract(clean_text(text), "^([0-9])([0-9]+/)?$", 1).try_cast("double")
 
-#: Rate of commission for traded value up to each bound.
-COMMISSION_TIERS = [(5_000_000.0, 0.0015), (10_000_000.0, 0.0013), (20_000_000.0, 0.0011), (float("inf"), 0.0010)]
+
+def announcement_date(english: Column, serial: Column | None = None) -> Column:
+    """A spreadsheet serial, or day month year with the month's name or short name; of a two-day meeting
+    the last day. The other column's serial serves where the first is no serial."""
+    number = lambda c: F.when(F.trim(c).rlike("^[0-9]+([.]0+)?$"), F.date_add(F.lit("1899-12-30").cast("date"), F.trim(c).try_cast("double").cast("int")))
+    low = F.regexp_replace(clean_text(english), "^[0-9]{1,2}\\s*-\\s*([0-9]{1,2} [A-Za-z]+ [0-9]{4})$", "$1")
+    named = F.initcap(F.lower(F.regexp_replace(low, "^([0-9]{1,2})-([A-Za-z]+)-([0-9]{4})$", "$1 $2 $3")))
+    forms = [F.try_to_timestamp(named, F.lit(f)).cast("date") for f in ("d MMMM yyyy", "d MMM yyyy")]
+    return F.coalesce(*([number(english)] if serial is None else [number(english), number(serial)]), *forms)
+
+
+#: Rate of commission for a day's traded value up to each bound, and the fees of the exchange,
+#: of clearing and of the regulator.
+COMMISSION_TIERS = [(5_000_000.0, 0.00157), (10_000_000.0, 0.00137), (20_000_000.0, 0.00117), (float("inf"), 0.00107)]
+EXCHANGE_FEES = (0.00005, 0.00001, 0.00001)
 VAT = 0.07
 
 
 def commission_rate(value: Column, tiers: list[tuple[float, float]] | None = None) -> Column:
-    """Rate of the first tier whose bound the value does not pass."""
+    """Rate of the first tier whose bound the value does not pass; null for a negative value."""
     out = None
     for bound, rate in reversed(tiers or COMMISSION_TIERS):
         out = F.lit(rate) if out is None else F.when(value <= bound, F.lit(rate)).otherwise(out)
-    return out
+    return F.when(value >= 0, out)
 
 
-def side_cost(value: Column, other: float = 0.0) -> Column:
-    """Cost of one side with tax on the commission, to seven places."""
-    return F.round(commission_rate(value) * (1 + VAT) + other, 7)
+def side_cost(value: Column) -> Column:
+    """Cost of one side as a share of its value: commission and fees, and tax on their sum, to seven places."""
+    return F.round((commission_rate(value) + sum(EXCHANGE_FEES)) * (1 + VAT), 7)
 
 
 def budget(weight: Column, total: Column) -> Column:
@@ -122,3 +163,13 @@ def normal_cdf() -> callable:
         return x.map(lambda v: None if pd.isna(v) else n.cdf(v))
 
     return cdf
+
+
+#: Algorithms that learn from a replay buffer.
+OFF_POLICY = ("ddpg", "td3", "sac")
+
+
+def work_units(algorithm: Column, steps: Column, learning_starts: int = 0, train_freq: int = 1, gradient_steps: int = 1, batch_size: int = 1) -> Column:
+    """Environment steps; for off-policy algorithms also the rows of all gradient steps after the start."""
+    updates = F.floor(F.greatest(steps - learning_starts, F.lit(0)) / max(train_freq, 1))
+    return (steps + F.when(algorithm.isin(*OFF_POLICY), updates * max(gradient_steps, 1) * max(batch_size, 1)).otherwise(0)).cast("long")

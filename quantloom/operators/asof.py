@@ -30,11 +30,21 @@ def calendar(panel: DataFrame, at: str = "date") -> DataFrame:
     return panel.select(at).where(F.col(at).isNotNull()).distinct().withColumn("session", F.row_number().over(Window.orderBy(at)))
 
 
+def one_a_date(facts: DataFrame, fact_at: str, values: list[str]) -> DataFrame:
+    """The last row of each date in the order of values: a dimension, whatever the number of facts."""
+    last = facts.where(F.col(fact_at).isNotNull()).groupBy(fact_at).agg(F.max(F.struct(*values)).alias("__v"))
+    return last.select(fact_at, "__v.*")
+
+
+def dates_asof(dates: DataFrame, facts: DataFrame, at: str, fact_at: str, values: list[str], max_days: int | None = None, strict: bool = False) -> DataFrame:
+    """As-of without a key: both sides are one row a date before they meet, so the one partition they meet in is small."""
+    zero = F.lit(0)
+    return asof_join(dates.withColumn("__k", zero), one_a_date(facts, fact_at, values).withColumn("__k", zero), ["__k"], at, fact_at, values, max_days, strict).drop("__k")
+
+
 def calendar_asof(panel: DataFrame, facts: DataFrame, at: str, fact_at: str, values: list[str], max_days: int | None = None, strict: bool = False) -> DataFrame:
     """As-of on the distinct dates of panel, joined back by date."""
-    dates = panel.select(at).distinct().withColumn("__k", F.lit(0))
-    found = asof_join(dates, facts.withColumn("__k", F.lit(0)), ["__k"], at, fact_at, values, max_days, strict).drop("__k")
-    return panel.join(F.broadcast(found), at, "left")
+    return panel.join(F.broadcast(dates_asof(panel.select(at).distinct(), facts, at, fact_at, values, max_days, strict)), at, "left")
 
 
 def sessions_after(facts: DataFrame, sessions: DataFrame, fact_at: str, lag: int = 1) -> DataFrame:
@@ -49,35 +59,36 @@ def sessions_after(facts: DataFrame, sessions: DataFrame, fact_at: str, lag: int
     return facts.join(F.broadcast(named), fact_at, "left")
 
 
-def interval_join(left: DataFrame, intervals: DataFrame, at: str, start: str, end: str, published: str | None = None, by: list[str] | None = None, how: str = "inner") -> DataFrame:
-    """Rows of left with the intervals [start, end) that hold their date and were published by then.
+def interval_join(left: DataFrame, intervals: DataFrame, at: str, start: str, end: str, by: list[str], published: str | None = None, how: str = "inner") -> DataFrame:
+    """Rows of left with the intervals [start, end) of their key that hold their date and were published by then.
 
-    With by the join hashes on the key and tests the dates as a condition; without it intervals must be a dimension."""
-    right = intervals if by is None else intervals.select(*(F.col(c).alias(f"__{c}") if c in by else F.col(c) for c in intervals.columns))
+    The join hashes on the key and tests the dates as a condition."""
+    right = intervals.select(*(F.col(c).alias(f"__{c}") if c in by else F.col(c) for c in intervals.columns))
     on: Column = (F.col(start) <= F.col(at)) & (F.col(end).isNull() | (F.col(at) < F.col(end)))
     if published:
         on = on & (F.col(published) <= F.col(at))
-    for c in by or []:
+    for c in by:
         on = on & (F.col(c) == F.col(f"__{c}"))
-    out = left.join(right if by else F.broadcast(right), on, how)
-    return out.drop(*(f"__{c}" for c in by or []))
+    return left.join(right, on, how).drop(*(f"__{c}" for c in by))
 
 
 def latest_eligible(sessions: DataFrame, records: DataFrame, by: list[str]) -> DataFrame:
     """For each session and key the last record that was public: revisions only strictly before the session.
 
     records has effective_from, effective_to, published_at, revised and record_id; sessions has distinct
-    dates, which are the side that is broadcast: a calendar has some hundred dates a year."""
-    open_now = (F.col("effective_from") <= F.col("date")) & (F.col("date") < F.col("effective_to"))
-    public = F.when(F.col("revised"), F.col("published_at") < F.col("date")).otherwise(F.col("published_at") <= F.col("date"))
-    found = records.join(F.broadcast(sessions), open_now & public)
+    dates. A record becomes a row for each day on which it holds and is public, and these meet the sessions by
+    date: no more rows than days in force, and no comparison of every record with every session."""
+    first = F.greatest("effective_from", F.when(F.col("revised"), F.date_add("published_at", 1)).otherwise(F.col("published_at")))
+    last = F.date_sub("effective_to", 1)
+    days = records.where(first <= last).withColumn("date", F.explode(F.sequence(first, last)))
+    found = days.join(sessions.select("date"), "date")
     w = Window.partitionBy("date", *by).orderBy(F.desc("effective_from"), F.desc("published_at"), F.desc("record_id"))
     return found.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
 
 
 def only_match(left: DataFrame, intervals: DataFrame, key: list[str], at: str, start: str, end: str, by: list[str], value: str) -> DataFrame:
     """value where exactly one interval holds the date, else null."""
-    found = interval_join(left, intervals, at, start, end, by=by, how="left")
+    found = interval_join(left, intervals, at, start, end, by, how="left")
     return found.groupBy(*key).agg(F.when(F.count(value) == 1, F.max(value)).alias(value), F.count(value).alias("n_matches"))
 
 

@@ -15,44 +15,67 @@ def _stepped(curve: DataFrame, by: str, at: str, value: str) -> DataFrame:
 
 
 def equity_metrics(curve: DataFrame, by: str = "policy", at: str = "date", value: str = "value") -> DataFrame:
-    """Nineteen figures of each curve(date, value, turnover, cost, cash_weight).
+    """Nineteen figures of each curve(date, value, turnover, cost, slippage, cash_weight).
 
     The first return counts as 0 and belongs to the number of periods; deviations are of the
-    population. VaR is the interpolated 5 % quantile, CVaR the mean at or below it: found in the
-    same pass by collecting nothing but the quantile first."""
+    population and by the year. VaR is the interpolated 5 % quantile, CVaR the mean at or below it. A column
+    that the curve lacks counts as 0."""
     s = _stepped(curve, by, at, value)
+    s = s.withColumns({c: F.lit(0.0) for c in ("turnover", "cost", "slippage", "cash_weight") if c not in s.columns})
     r = F.col("__r")
     down = F.when(r < 0, r).otherwise(0.0)
+    year = F.sqrt(F.lit(YEAR))
     base = s.groupBy(by).agg(
-        F.count("*").alias("n"), F.min_by(value, at).alias("first"), F.max_by(value, at).alias("final_value"), F.avg(r).alias("__mean"), F.stddev_pop(r).alias("__std"), F.sqrt(F.avg(down * down)).alias("downside_deviation"),
+        F.count("*").alias("n"), F.min_by(value, at).alias("first"), F.max_by(value, at).alias("final_value"), (F.stddev_pop(r) * year).alias("volatility"), (F.sqrt(F.avg(down * down)) * year).alias("downside_deviation"),
         F.min("__dd").alias("max_drawdown"), F.avg((r > 0).cast("double")).alias("win_rate"), F.sum(F.when(r > 0, r).otherwise(0.0)).alias("__gain"), F.sum(F.when(r < 0, -r).otherwise(0.0)).alias("__loss"),
-        F.percentile(r, 0.05).alias("var_95"), F.avg("turnover").alias("average_turnover"), F.sum("turnover").alias("total_turnover"), F.sum("cost").alias("total_cost"),
-        F.count_if(F.col("turnover") > 1e-6).alias("active_steps"), F.avg("cash_weight").alias("average_cash"),
+        F.percentile(r, 0.05).alias("var_95"), F.avg("turnover").alias("average_turnover"), F.sum("turnover").alias("total_turnover"), F.coalesce(F.sum("cost"), F.lit(0.0)).alias("total_cost"),
+        F.coalesce(F.sum("slippage"), F.lit(0.0)).alias("total_slippage"), F.count_if(F.col("turnover") > 1e-6).alias("active_steps"), F.coalesce(F.avg("cash_weight"), F.lit(0.0)).alias("average_cash"),
     )
     tail = s.join(base.select(by, "var_95"), by).where(r <= F.col("var_95")).groupBy(by).agg(F.avg(r).alias("cvar_95"))
     growth = F.col("final_value") / F.col("first")
     annual = F.pow(growth, F.lit(YEAR) / F.col("n")) - 1
-    vol = F.col("__std") * F.sqrt(F.lit(YEAR))
+    over = lambda x: F.coalesce(F.try_divide(annual, x), F.lit(0.0))
     return base.join(tail, by, "left").select(
-        by, (growth - 1).alias("cumulative_return"), annual.alias("annual_return"), vol.alias("volatility"), F.coalesce(F.try_divide(annual, vol), F.lit(0.0)).alias("sharpe"),
-        F.coalesce(F.try_divide(annual, F.col("downside_deviation") * F.sqrt(F.lit(YEAR))), F.lit(0.0)).alias("sortino"), "max_drawdown", F.coalesce(F.try_divide(annual, F.abs("max_drawdown")), F.lit(0.0)).alias("calmar"),
-        "win_rate", F.coalesce(F.try_divide("__gain", "__loss"), F.lit(0.0)).alias("profit_factor"), "downside_deviation", "var_95", F.coalesce("cvar_95", F.lit(0.0)).alias("cvar_95"),
-        "average_turnover", "total_turnover", "total_cost", F.col("active_steps").cast("long").alias("active_steps"), "average_cash", "final_value", F.col("n").alias("periods"),
+        by, (growth - 1).alias("cumulative_return"), annual.alias("annual_return"), "volatility", over(F.col("volatility")).alias("sharpe"), over(F.col("downside_deviation")).alias("sortino"),
+        "max_drawdown", over(F.abs("max_drawdown")).alias("calmar"), "win_rate", F.coalesce(F.try_divide("__gain", "__loss"), F.lit(0.0)).alias("profit_factor"), "downside_deviation",
+        "var_95", F.coalesce("cvar_95", F.lit(0.0)).alias("cvar_95"), "average_turnover", "total_turnover", "total_cost", "total_slippage", F.col("active_steps").cast("long").alias("active_steps"), "average_cash", "final_value",
     )
 
 
 def benchmark_metrics(curve: DataFrame, benchmark: DataFrame, by: str = "policy", at: str = "date", value: str = "value") -> DataFrame:
-    """Figures of each curve against a benchmark(date, value) on common dates; first returns are left out."""
-    both = curve.select(at, by, F.col(value).alias("__v")).join(benchmark.select(at, F.col(value).alias("__b")), at)
+    """Figures of each curve against a benchmark(date, value) on common dates; first returns are left out.
+
+    Deviations are of the population. excess_return is the difference of the compound returns by the year and
+    information_ratio that over the tracking error. Curves with fewer than three common dates are left out."""
+    both = curve.select(at, by, F.col(value).alias("__v")).join(benchmark.select(at, F.col(value).alias("__b")), at).where("__v is not null and __b is not null")
     w = Window.partitionBy(by).orderBy(at)
     r = both.withColumns({"r": F.col("__v") / F.lag("__v").over(w) - 1, "b": F.col("__b") / F.lag("__b").over(w) - 1}).where("r is not null").withColumn("x", F.col("r") - F.col("b"))
-    beta = F.try_divide(F.covar_pop("r", "b"), F.var_pop("b"))
-    error = F.stddev_samp("x") * F.sqrt(F.lit(YEAR))
-    capture = lambda cond: F.try_divide(F.avg(F.when(cond, F.col("r"))), F.avg(F.when(cond, F.col("b"))))
-    return r.groupBy(by).agg(
-        F.coalesce(beta, F.lit(0.0)).alias("beta"), ((F.avg("r") - F.coalesce(beta, F.lit(0.0)) * F.avg("b")) * YEAR).alias("alpha"), error.alias("tracking_error"), F.coalesce(F.try_divide(F.avg("x") * YEAR, error), F.lit(0.0)).alias("information_ratio"),
-        (F.product(1 + F.col("r")) - F.product(1 + F.col("b"))).alias("excess_return"), F.coalesce(F.corr("r", "b"), F.lit(0.0)).alias("correlation"),
-        F.coalesce(capture(F.col("b") > 0), F.lit(0.0)).alias("up_capture"), F.coalesce(capture(F.col("b") < 0), F.lit(0.0)).alias("down_capture"),
+    beta = F.coalesce(F.try_divide(F.covar_pop("r", "b"), F.var_pop("b")), F.lit(0.0))
+    error = F.stddev_pop("x") * F.sqrt(F.lit(YEAR))
+    yearly = lambda c: F.pow(F.product(1 + F.col(c)), F.lit(YEAR) / F.count("*"))
+    excess = yearly("r") - yearly("b")
+    capture = lambda cond: F.coalesce(F.try_divide(F.avg(F.when(cond, F.col("r"))), F.avg(F.when(cond, F.col("b")))), F.lit(0.0))
+    found = r.groupBy(by).agg(
+        beta.alias("beta"), ((F.avg("r") - beta * F.avg("b")) * YEAR).alias("alpha"), error.alias("tracking_error"), F.coalesce(F.try_divide(excess, error), F.lit(0.0)).alias("information_ratio"),
+        excess.alias("excess_return"), F.coalesce(F.corr("r", "b"), F.lit(0.0)).alias("correlation"), capture(F.col("b") > 0).alias("up_capture"), capture(F.col("b") < 0).alias("down_capture"), F.count("*").alias("__n"),
+    )
+    return found.where("__n >= 2").drop("__n")
+
+
+def prototype_metrics(returns: DataFrame, by: str = "policy", at: str = "date", value: str = "r") -> DataFrame:
+    """Total return, drawdown and volatility in percent, Sharpe and Sortino ratio of finite returns.
+
+    Deviations are of the population, the Sortino ratio's of the negative returns alone; a ratio without
+    deviation is 0. The peak begins with the first value, after the first return."""
+    r = returns.where(F.col(value).isNotNull() & ~F.isnan(value) & (F.abs(value) < float("inf")))
+    w = Window.partitionBy(by).orderBy(at).rowsBetween(Window.unboundedPreceding, 0)
+    grown = r.withColumn("__g", F.product(1 + F.col(value)).over(w))
+    x, year = F.col(value), F.sqrt(F.lit(YEAR))
+    stepped = grown.withColumn("__dd", F.col("__g") / F.max("__g").over(w) - 1)
+    ratio = lambda d: F.coalesce(F.try_divide(F.avg(x), d) * year, F.lit(0.0))
+    return stepped.groupBy(by).agg(
+        ((F.max_by("__g", at) - 1) * 100).alias("total_return"), ratio(F.stddev_pop(x)).alias("sharpe_ratio"), ratio(F.stddev_pop(F.when(x < 0, x))).alias("sortino_ratio"),
+        (F.min("__dd") * 100).alias("max_drawdown"), (F.stddev_pop(x) * year * 100).alias("volatility"),
     )
 
 

@@ -13,7 +13,8 @@ def closed_form(weights: DataFrame, returns: DataFrame, cost: float, slippage: f
 
     A decision at a date earns that date's returns; what is not invested is cash. Weights do not
     drift: turnover is the change of targets, the cash leg included. Two exchanges whatever the
-    number of dates: by policy and ticker for changes, by policy for the product."""
+    number of dates: by policy and ticker for changes, by policy for the product. drawdown is the share lost
+    since the peak, the capital included: 0 or more."""
     asset = Window.partitionBy("policy", "ticker").orderBy("date")
     changed = weights.withColumn("move", F.abs(F.col("weight") - F.coalesce(F.lag("weight").over(asset), F.lit(0.0))))
     steps = changed.join(returns.select("date", "ticker", "r"), ["date", "ticker"], "left").groupBy("policy", "date").agg(
@@ -27,13 +28,18 @@ def closed_form(weights: DataFrame, returns: DataFrame, cost: float, slippage: f
     value = capital * F.product(1 + F.col("net")).over(w.rowsBetween(Window.unboundedPreceding, 0))
     steps = steps.withColumn("value", value)
     peak = F.greatest(F.lit(capital), F.max("value").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return steps.select("policy", "date", "value", "net", "turnover", "cost", "slippage", (F.col("value") / peak - 1).alias("drawdown"), cash.alias("cash_weight"))
+    return steps.select("policy", "date", "value", "net", "turnover", "cost", "slippage", (1 - F.col("value") / peak).alias("drawdown"), cash.alias("cash_weight"))
 
 
-def limit_turnover(target: np.ndarray, held: np.ndarray, most: float) -> np.ndarray:
+def turnover_of(target: np.ndarray, held: np.ndarray) -> float:
+    """The moves of all weights, that of cash included."""
+    return float(np.abs(target - held).sum() + abs(target.sum() - held.sum()))
+
+
+def limit_turnover(target: np.ndarray, held: np.ndarray, most: float, most_weight: float = 1.0) -> np.ndarray:
     """The move towards target, scaled down to the allowed turnover."""
-    size = np.abs(target - held).sum()
-    return target if size <= most or size == 0 else held + (target - held) * (most / size)
+    size = turnover_of(target, held)
+    return target if size <= most or size == 0 else np.clip(held + (target - held) * (most / size), 0.0, most_weight)
 
 
 def simulate(weights: DataFrame, returns: DataFrame, cost: float, cap: float = np.inf, every: int = 1, drift: bool = True, capital: float = 100_000.0) -> DataFrame:
@@ -51,7 +57,7 @@ def simulate(weights: DataFrame, returns: DataFrame, cost: float, cap: float = n
             turnover = 0.0
             if i % every == 0:
                 new = limit_turnover(target, held, cap)
-                turnover, held = float(np.abs(new - held).sum()), new
+                turnover, held = turnover_of(new, held), new
             value *= 1 - turnover * cost
             gross = float(held @ moves[i])
             value *= 1 + gross
@@ -105,21 +111,36 @@ def masked_equal(panel: DataFrame, mask: str, name: str = "active_equal") -> Dat
 
 
 def mean_variance(returns: DataFrame, window: int = 60, ridge: float = 1e-4) -> DataFrame:
-    """Long-only weights pinv(cov + ridge I) mean over the window before each date.
-
-    Returns are one wide row a date: an array over the tickers of a fixed, sorted list. The windows of
-    one universe run in one grouped call; universes are the parallel axis."""
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        wide = rows.pivot_table(index="date", columns="ticker", values="r", aggfunc="last").fillna(0.0).sort_index()
-        x, out = wide.to_numpy(), []
-        for i in range(len(x)):
-            past = x[max(0, i - window) : i]
-            raw = np.maximum(np.linalg.pinv(np.cov(past.T) + ridge * np.eye(x.shape[1])) @ past.mean(0), 0) if len(past) > 2 else np.zeros(x.shape[1])
-            out.append(raw / raw.sum() if raw.sum() > 0 else np.full(x.shape[1], 1 / x.shape[1]))
-        return pd.DataFrame(out, index=wide.index, columns=wide.columns).stack().rename("weight").reset_index().assign(policy="mean_variance")[["policy", "date", "ticker", "weight"]]
-
-    return returns.select("date", "ticker", "r", F.lit(0).alias("g")).groupBy("g").applyInPandas(run, "policy string, date date, ticker string, weight double")
+    """Long-only weights pinv(cov + ridge I) mean over the window of returns that ends with each date.
+
+    The first date has no return. With fewer than two returns weights are equal; where no raw weight is
+    positive all is cash. Each date becomes one row of its window, an array of arrays over the tickers in
+    order: a date's returns are sent to the dates whose window holds them, so dates are solved in parallel and
+    a task holds one window at a time. Dates are numbered as a small dimension."""
+    from .splits import numbered
+
+    tickers = returns.select("ticker").distinct().groupBy().agg(F.array_sort(F.collect_set("ticker")).alias("names"))
+    vectors = returns.join(F.broadcast(numbered(returns)), "date").groupBy("date", "i").agg(F.map_from_entries(F.collect_set(F.struct("ticker", F.coalesce("r", F.lit(0.0))))).alias("m"))
+    dated = vectors.crossJoin(F.broadcast(tickers)).select("date", "i", "names", F.transform("names", lambda t: F.coalesce(F.try_element_at("m", t), F.lit(0.0))).alias("v"))
+    sent = dated.where("i > 0").select(F.explode(F.sequence("i", F.col("i") + (window - 1))).alias("at"), F.struct("i", "v").alias("x"))
+    windows = sent.groupBy("at").agg(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["v"]).alias("past"))
+    rows = dated.join(windows, F.col("i") == F.col("at"), "left").select("date", "names", "past")
+
+    def solve(batches):
+        for batch in batches:
+            out = []
+            for day, names, past in zip(batch["date"], batch["names"], batch["past"], strict=True):
+                n, w = len(names), None
+                if past is None or len(past) < 2:
+                    w = np.full(n, 1.0 / n)
+                else:
+                    x = np.stack(past)
+                    raw = np.maximum(np.linalg.pinv(np.atleast_2d(np.cov(x, rowvar=False)) + ridge * np.eye(n)) @ x.mean(0), 0.0)
+                    w = raw / raw.sum() if raw.sum() > 0 else np.zeros(n)
+                out += [("mean_variance", day, t, float(v)) for t, v in zip(names, w, strict=True)]
+            yield pd.DataFrame(out, columns=["policy", "date", "ticker", "weight"])
+
+    return rows.mapInPandas(solve, "policy string, date date, ticker string, weight double")
 
 
 def chained(curves: DataFrame) -> DataFrame:
@@ -129,3 +150,12 @@ def chained(curves: DataFrame) -> DataFrame:
     ends = rel.groupBy("policy", "fold").agg(F.max_by("__rel", "date").alias("__end"))
     before = ends.withColumn("__k", F.coalesce(F.product("__end").over(Window.partitionBy("policy").orderBy("fold").rowsBetween(Window.unboundedPreceding, -1)), F.lit(1.0)))
     return rel.join(before.select("policy", "fold", "__k"), ["policy", "fold"]).select("policy", "fold", "date", (F.col("__rel") * F.col("__k")).alias("growth"))
+
+
+def price_benchmark(series: DataFrame, price: str, cost: float, slippage: float, capital: float = 100_000.0, at: str = "date") -> DataFrame:
+    """Buy-and-hold of a price series(date, price), one row a date: the first value is the capital, those after
+    it capital (1 - cost - slippage) price / first price; the turnover of 1 is at the second date."""
+    w = Window.orderBy(at)
+    x = series.select(at, F.col(price).alias("__p")).withColumns({"__k": F.row_number().over(w), "__f": F.first("__p").over(w)})
+    value = F.when(F.col("__k") == 1, F.lit(capital)).otherwise(capital * (1 - cost - slippage) * F.col("__p") / F.col("__f"))
+    return x.select(at, value.alias("value"), F.when(F.col("__k") == 2, 1.0).otherwise(0.0).alias("turnover"))

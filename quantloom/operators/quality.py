@@ -82,3 +82,11 @@ def same_rows(a: DataFrame, b: DataFrame) -> DataFrame:
 def varying(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
     """Keys whose attributes differ between rows, nulls included."""
     return df.groupBy(key).agg(F.count_distinct(F.struct(*(F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in columns))).alias("n")).where("n > 1")
+
+
+def flow_conservation(flows: DataFrame, groups: int, at: str = "date", by: str = "investor_type", share: float = 0.01) -> DataFrame:
+    """date, groups and passed: all groups are there, no value is negative, and the net of all of them is at
+    most this share of the value bought."""
+    bought, net = F.sum("buy_value"), F.abs(F.sum(F.col("buy_value") - F.col("sell_value")))
+    fine = (F.count_distinct(by) == groups) & ~((net > share * bought) & (bought > 0)) & (F.min("buy_value") >= 0) & (F.min("sell_value") >= 0)
+    return flows.groupBy(at).agg(F.count_distinct(by).alias("groups"), F.coalesce(fine, F.lit(False)).alias("passed"))

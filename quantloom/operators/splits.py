@@ -71,3 +71,11 @@ def grid(spark, **dims: list) -> DataFrame:
         one = spark.createDataFrame([(v,) for v in values], [name])
         out = one if out is None else out.crossJoin(one)
     return out.withColumn("cell", F.row_number().over(Window.orderBy(*dims)) - 1)
+
+
+def execution_plan(spark, candidates: list[int], folds: list[int], seeds: list[int], folds_in_batch: int = 2) -> DataFrame:
+    """candidate, fold, seed, batch and task of every cell; a batch has so many folds in a row."""
+    g = grid(spark, candidate=candidates, fold=folds, seed=seeds).select(*(F.col(c).cast("long").alias(c) for c in ("candidate", "fold", "seed")))
+    place = F.dense_rank().over(Window.orderBy("fold")) - 1
+    g = g.withColumn("batch", F.format_string("array_batch_%02d", F.floor(place / folds_in_batch) + 1))
+    return g.withColumn("task", F.row_number().over(Window.partitionBy("batch").orderBy("candidate", "fold", "seed")).cast("long") - 1)

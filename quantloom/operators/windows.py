@@ -111,10 +111,32 @@ def lagged_z(x: str, n: int = 60, by: str = "ticker", at: str = "date") -> Colum
     return F.coalesce(guarded(z, F.col(x), max(10, n // 3), f), F.lit(0.0))
 
 
-def share_of_sums(part: str, whole: str, n: int, by: str = "ticker", at: str = "date") -> Column:
-    """Sum of part over sum of whole in n full rows, else 0."""
-    f = last_rows(n, by, at)
-    return F.coalesce(guarded(F.try_divide(F.sum(part).over(f), F.sum(whole).over(f)), F.col(part), n, f), F.lit(0.0))
+def index_features(dates: DataFrame, level: str, by: str = "name", at: str = "date") -> DataFrame:
+    """dates with level carried forward, its returns over 1, 5 and 20 rows, its volatility and its ratio to its mean of 20."""
+    full = dates.withColumn("level", padded(F.col(level), ordered(by, at)))
+    out = with_returns(full, (1, 5, 20), "level", by, at)
+    return out.withColumns({"volatility_20d": volatility("return_1d", 20, by, at), "ma_ratio_20": mean_ratio("level", 20, by, at)})
+
+
+def flow_features(flows: DataFrame, z_rows: int = 60, at: str = "date", by: str = "investor_type") -> DataFrame:
+    """net_share, net_5d, net_20d and net_z60 of each investor group on every date of flows(date, investor_type,
+    buy_value, sell_value, ...).
+
+    The net value of a group stands over the market's value: what all groups bought that date. Rolling figures
+    need all their rows, the score against the rows before at least max(10, rows / 3); else they are null, and
+    null is what a date without a market value or a group without a row has. Dates and groups are dimensions."""
+    market = flows.groupBy(at).agg(F.nullif(F.sum("buy_value"), F.lit(0.0)).alias("market"))
+    grid = market.crossJoin(F.broadcast(flows.select(by).distinct()))
+    net = flows.groupBy(at, by).agg(F.sum(F.col("buy_value") - F.col("sell_value")).alias("net"))
+    x = grid.join(net, [at, by], "left").withColumn("net_share", F.try_divide("net", "market"))
+
+    def rolled(n: int) -> Column:
+        f = last_rows(n, by, at)
+        return F.when((F.count("net").over(f) == n) & (F.count("market").over(f) == n), F.try_divide(F.sum("net").over(f), F.sum("market").over(f)))
+
+    past = ordered(by, at).rowsBetween(-z_rows, -1)
+    z = guarded(F.try_divide(F.col("net_share") - F.avg("net_share").over(past), F.nullif(F.stddev_pop("net_share").over(past), F.lit(0.0))), F.col("net_share"), max(10, z_rows // 3), past)
+    return x.withColumns({"net_5d": rolled(5), "net_20d": rolled(20), f"net_z{z_rows}": z})
 
 
 def history_complete(valid: str, n: int, by: str = "ticker", at: str = "date") -> Column:

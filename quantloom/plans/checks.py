@@ -50,7 +50,7 @@ def upserted(spark, d):
     return G.upsert(n.select("n_nationkey", "n_name", F.lit("old").alias("v")), n.where("n_regionkey = 2").select("n_nationkey", F.lower("n_name").alias("n_name"), F.lit("new").alias("v")), "n_nationkey")
 
 
-@query("a09_bars", f"WITH {A.EVENT_DAY}, x AS (SELECT date, ticker, open * 1.1 AS o, high AS h, low AS l, close AS c, volume FROM bars WHERE volume % 9 <> 0) SELECT date, ticker, round(o, 6) + 0.0 AS open, round(greatest(o, h, l, c), 6) + 0.0 AS high, round(least(o, h, l, c), 6) + 0.0 AS low, c AS close, volume, greatest(o, h, l, c) - h > 1e-10 OR l - least(o, h, l, c) > 1e-10 AS ohlc_repaired FROM x")
+@query("a09_bars", f"WITH {A.EVENT_DAY}, x AS (SELECT date, ticker, open * 1.1 AS o, high AS h, low AS l, close AS c, volume FROM bars WHERE volume % 9 <> 0) SELECT date, ticker, round(o, 6) + 0.0 AS open, round(greatest(o, h, c), 6) + 0.0 AS high, round(least(o, l, c), 6) + 0.0 AS low, c AS close, volume, greatest(o, h, c) - h > 1e-10 OR l - least(o, l, c) > 1e-10 AS ohlc_repaired FROM x")
 def bars(spark, d):
     b = A.bars_event_day(spark, d)
     raw = b.select("date", F.col("ticker").alias("Symbol"), (F.col("open") * 1.1).alias("Open"), F.when(F.pmod("volume", F.lit(9)) != 0, F.col("high")).alias("High"), F.col("low").alias("Low"), F.col("close").alias("Close"), F.col("volume").cast("string").alias("Volume"))
@@ -75,11 +75,12 @@ def tagged(spark, d):
     return N.tagged_union({"customer": T(spark, d, "customer").select(F.col("c_acctbal").alias("balance")), "supplier": T(spark, d, "supplier").select(F.col("s_acctbal").alias("balance"))}, "side")
 
 
-@query("a13_news", "SELECT DISTINCT user_id AS ticker, CAST(date_trunc('second', ts) AS TIMESTAMP) AS published_at, event_type AS title, CASE WHEN event_id % 3 = 0 THEN event_type ELSE event_type || '. more' END AS text FROM events WHERE event_id % 2 = 0 QUALIFY row_number() OVER (PARTITION BY user_id, date_trunc('second', ts), event_type ORDER BY event_id) = 1")
+@query("a13_news", "SELECT DISTINCT user_id AS ticker, CAST(date_trunc('second', ts) AS TIMESTAMP) AS published_at, event_type AS title, CASE WHEN event_type = 'click' THEN event_type ELSE event_type || '. more' END AS text FROM events QUALIFY row_number() OVER (PARTITION BY user_id, date_trunc('second', ts), event_type ORDER BY event_id) = 1")
 def news(spark, d):
-    e = T(spark, d, "events").where("event_id % 2 = 0")
-    nested = F.to_json(F.struct(F.struct(F.date_format(F.date_trunc("second", "ts"), "yyyy-MM-dd HH:mm:ss").alias("pubDate"), F.col("event_type").alias("title"), F.when(F.pmod("event_id", F.lit(3)) != 0, F.lit("more")).alias("summary")).alias("content")))
-    flat = F.to_json(F.struct(F.unix_timestamp(F.col("ts").cast("timestamp")).alias("providerPublishTime"), F.col("event_type").alias("title"), F.when(F.pmod("event_id", F.lit(3)) != 0, F.lit("more")).alias("summary")))
+    e = T(spark, d, "events")
+    summary = F.when(F.col("event_type") != "click", F.lit("more"))
+    nested = F.to_json(F.struct(F.struct(F.date_format(F.date_trunc("second", "ts"), "yyyy-MM-dd HH:mm:ss").alias("pubDate"), F.col("event_type").alias("title"), summary.alias("summary")).alias("content")))
+    flat = F.to_json(F.struct(F.unix_timestamp(F.col("ts").cast("timestamp")).alias("providerPublishTime"), F.col("event_type").alias("title"), summary.alias("summary")))
     raw = e.select(F.col("user_id").alias("ticker"), F.when(F.pmod("event_id", F.lit(4)) == 0, nested).otherwise(flat).alias("item"))
     return N.normal_news(raw).select("ticker", F.col("published_at").cast("timestamp_ntz").alias("published_at"), "title", "text")
 
@@ -104,10 +105,10 @@ def releases(spark, d):
     return m.select(S.slug(F.col("name")).alias("metric"), "period", S.last_business_day(F.col("period")).alias("release_date"), "value")
 
 
-@query("a21_dissent", f"WITH {A.FLOWS}, v AS (SELECT date, max(CAST(floor(buy_value) AS BIGINT)) AS most, sum(CAST(floor(buy_value) AS BIGINT)) AS total FROM flow GROUP BY 1) SELECT date, round(CASE WHEN total > 0 THEN 1 - most / total::DOUBLE ELSE 0 END, 6) + 0.0 AS dissent_share FROM v")
+@query("a21_dissent", f"WITH {A.FLOWS}, v AS (SELECT date, max(CAST(floor(buy_value) AS BIGINT)) AS most, sum(CAST(floor(buy_value) AS BIGINT)) AS total FROM flow GROUP BY 1) SELECT date, round(CASE WHEN total > 0 THEN 1 - most / total::DOUBLE END, 6) + 0.0 AS dissent_share FROM v")
 def dissent(spark, d):
     v = A.flows(spark, d).groupBy("date").agg(F.max(F.floor("buy_value")).alias("most"), F.sum(F.floor("buy_value")).alias("total"))
-    return v.select("date", r6(F.coalesce(1 - F.try_divide("most", "total"), F.lit(0.0))).alias("dissent_share"))
+    return v.select("date", r6(1 - F.try_divide("most", "total")).alias("dissent_share"))
 
 
 @query("a22_membership_counts", f"WITH {A.MEMBERSHIP} SELECT ticker, min(effective_from) AS first_seen, max(effective_to) AS last_seen, count(*) AS records, count(DISTINCT revised) AS kinds FROM members GROUP BY 1")
@@ -182,9 +183,10 @@ def peer_coverage(spark, d):
     return A.bars_nation_month(spark, d).where("volume > 5").groupBy("date", "sector").agg(F.count_distinct("ticker").alias("covered"), (F.count_distinct("ticker") >= 2).alias("passed"))
 
 
-@query("q11_conservation", f"WITH {A.FLOWS} SELECT date, count(DISTINCT investor_type) AS groups, count(DISTINCT investor_type) = 5 AND abs(sum(buy_value - sell_value)) <= 0.01 * sum(buy_value + sell_value) AS passed FROM flow GROUP BY 1")
+@query("q11_conservation", f"WITH {A.FLOWS} SELECT date, count(DISTINCT investor_type) AS groups, count(DISTINCT investor_type) = 5 AND NOT (abs(sum(buy_value - sell_value)) > 0.01 * sum(buy_value) AND sum(buy_value) > 0) AND min(buy_value) >= 0 AND min(sell_value) >= 0 AS passed FROM flow GROUP BY 1")
 def conservation(spark, d):
-    return A.flows(spark, d).groupBy("date").agg(F.count_distinct("investor_type").alias("groups"), ((F.count_distinct("investor_type") == 5) & (F.abs(F.sum(F.col("buy_value") - F.col("sell_value"))) <= 0.01 * F.sum(F.col("buy_value") + F.col("sell_value")))).alias("passed"))
+    """All groups, none negative, and a net of at most 1 % of what was bought: every buy has a seller."""
+    return K.flow_conservation(A.flows(spark, d), groups=5)
 
 
 @query("q12_references", _checks(lineitem_part="SELECT count(*) FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part)", orders_customer="SELECT count(*) FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer)", customer_orders="SELECT count(*) FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)"))

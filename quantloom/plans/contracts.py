@@ -34,11 +34,12 @@ def T(spark, d, name):
     return A.table(spark, d, name)
 
 
-@query("a14_sentiment_rows", f"WITH {A.NEWS} SELECT ticker, date, doc_id, CASE WHEN doc_id % 4 = 0 THEN NULL ELSE doc_id % 5 / 4.0::DOUBLE END AS sentiment_score, doc_id % 6 <> 0 AS has_text FROM news WHERE doc_id % 4 <> 0 OR doc_id % 6 <> 0")
+@query("a14_sentiment_rows", f"WITH {A.NEWS}, u AS (SELECT ticker, date, CASE WHEN doc_id % 4 = 0 THEN NULL ELSE doc_id % 5 / 4.0::DOUBLE END AS sentiment_score, CASE WHEN doc_id % 6 = 0 THEN ' ' ELSE trim(substr(text, 1, 5)) END AS text FROM news) SELECT DISTINCT ticker, date, sentiment_score, trim(text) AS text FROM u WHERE sentiment_score IS NOT NULL OR trim(text) <> ''")
 def sentiment_rows(spark, d):
     """Rows need a text or a score; repeats of (ticker, date, text, score) go."""
-    n = A.news(spark, d).select("ticker", "date", "doc_id", F.when(F.pmod("doc_id", F.lit(4)) != 0, F.pmod("doc_id", F.lit(5)) / 4.0).alias("sentiment_score"), (F.pmod("doc_id", F.lit(6)) != 0).alias("has_text"))
-    return n.where("sentiment_score is not null or has_text")
+    head = F.when(F.pmod("doc_id", F.lit(6)) == 0, F.lit(" ")).otherwise(F.trim(F.substring("text", 1, 5)))
+    n = A.news(spark, d).select("ticker", "date", F.when(F.pmod("doc_id", F.lit(4)) != 0, F.pmod("doc_id", F.lit(5)) / 4.0).alias("sentiment_score"), head.alias("text"))
+    return N.sentiment_rows(n)
 
 
 @query("a19_month_history", f"WITH {A.MACRO_DAILY}, m AS (SELECT name AS metric, CAST(date_trunc('month', date) AS DATE) AS period, count(*) AS days FROM macro GROUP BY 1, 2) SELECT metric, period, CASE WHEN days < 28 THEN 'provisional' ELSE 'final' END AS revision FROM m")
@@ -162,11 +163,13 @@ def comparison(spark, d):
     return m.withColumn("place", F.row_number().over(Window.orderBy(F.desc("cumulative_return"), "policy")).cast("long"))
 
 
-@query("p17_backtest", f"WITH {A.CURVES}, r AS (SELECT *, value / lag(value) OVER (PARTITION BY policy ORDER BY date) - 1 AS r FROM curve) SELECT policy, round(avg(r) / stddev_samp(r) FILTER (r < 0) * sqrt(252), 4) + 0.0 AS sortino FROM r WHERE r IS NOT NULL GROUP BY 1")
+@query("p17_backtest", f"""WITH {A.CURVES}, x AS (SELECT policy, date, value / lag(value) OVER (PARTITION BY policy ORDER BY date) - 1 AS r FROM curve), g AS (SELECT *, exp(sum(ln(1 + r)) OVER (PARTITION BY policy ORDER BY date)) AS g FROM x WHERE r IS NOT NULL), h AS (SELECT *, g / max(g) OVER (PARTITION BY policy ORDER BY date) - 1 AS dd FROM g)
+SELECT policy, round((arg_max(g, date) - 1) * 100, 5) + 0.0 AS total_return, round(coalesce(avg(r) / nullif(stddev_pop(r), 0) * sqrt(252), 0), 4) + 0.0 AS sharpe_ratio, round(coalesce(avg(r) / nullif(stddev_pop(r) FILTER (r < 0), 0) * sqrt(252), 0), 4) + 0.0 AS sortino_ratio,
+  round(min(dd) * 100, 5) + 0.0 AS max_drawdown, round(stddev_pop(r) * sqrt(252) * 100, 5) + 0.0 AS volatility FROM h GROUP BY 1""")
 def backtest(spark, d):
-    """The prototype's Sortino ratio: the deviation of the negative returns alone."""
-    r = A.curves(spark, d).withColumn("r", F.col("value") / F.lag("value").over(W.ordered("policy")) - 1).where("r is not null")
-    return r.groupBy("policy").agg((F.round(F.avg("r") / F.stddev_samp(F.when(F.col("r") < 0, F.col("r"))) * F.sqrt(F.lit(252)), 4) + 0.0).alias("sortino"))
+    r = A.curves(spark, d).withColumn("r", F.col("value") / F.lag("value").over(W.ordered("policy")) - 1)
+    m = M.prototype_metrics(r)
+    return m.select("policy", *((F.round(c, 4 if "ratio" in c else 5) + 0.0).alias(c) for c in m.columns if c != "policy"))
 
 
 @query("p19_regime_suite", _SIM + ", g(name, a, b) AS (VALUES ('early', DATE '1995-06-01', DATE '1997-12-31'), ('late', DATE '2000-01-01', DATE '2001-12-31')) SELECT name, count(*) AS sessions, round(sum(net), 5) + 0.0 AS net FROM v JOIN g ON date BETWEEN a AND b GROUP BY 1 HAVING count(*) >= 12")

@@ -21,13 +21,13 @@ _ASOF = f"WITH {A.NATION_MONTH}, {_FUND60} SELECT b.date, b.ticker, f.value, f.e
 
 
 def asof_tolerance(spark, d):
-    n = A.news(spark, d).where("doc_id % 9 = 0").groupBy("ticker", F.col("date").alias("news_date")).agg(F.count("*").alias("news_count"))
+    n = A.news(spark, d).where("length(text) > 1500").groupBy("ticker", F.col("date").alias("news_date")).agg(F.count("*").alias("news_count"))
     grid = A.news(spark, d).select("ticker").distinct().crossJoin(F.broadcast(spark.range(40).select(F.date_add(F.lit("2024-01-01").cast("date"), F.col("id").cast("int")).alias("date"))))
     out = J.asof_join(grid, n, ["ticker"], "date", "news_date", ["news_count"], max_days=7)
     return out.select("ticker", "date", F.coalesce("news_count", F.lit(0)).alias("news_count"), F.datediff("date", "matched_at").cast("long").alias("age_days"))
 
 
-_TOL = f"""WITH {A.NEWS}, n AS (SELECT ticker, date AS nd, count(*) AS c FROM news WHERE doc_id % 9 = 0 GROUP BY 1, 2),
+_TOL = f"""WITH {A.NEWS}, n AS (SELECT ticker, date AS nd, count(*) AS c FROM news WHERE length(text) > 1500 GROUP BY 1, 2),
 g AS (SELECT ticker, CAST(DATE '2024-01-01' + CAST(i AS INT) AS DATE) AS date FROM (SELECT DISTINCT ticker FROM news), range(40) r(i)),
 j AS (SELECT g.ticker, g.date, n.c, g.date - n.nd AS age FROM g ASOF LEFT JOIN n ON g.ticker = n.ticker AND g.date >= n.nd)
 SELECT ticker, date, CASE WHEN age <= 7 THEN c ELSE 0 END AS news_count, CAST(CASE WHEN age <= 7 THEN age END AS BIGINT) AS age_days FROM j"""
@@ -54,13 +54,12 @@ _SHIFT = f"""WITH {_EVSESS}, {A.FLOWS} SELECT f.date AS source_date, investor_ty
 
 
 def strict_asof(spark, d):
-    """Flows reach a session strictly after their date, for 7 days at most."""
-    f = A.flows(spark, d).where("investor_type = 'click' or investor_type = 'view'").groupBy("date").agg(r6(F.sum(F.col("buy_value") - F.col("sell_value"))).alias("net")).where("day(date) % 4 = 0").withColumnRenamed("date", "flow_date")
-    days = A.bars_event_day(spark, d).select("date").distinct().withColumn("k", F.lit(0))
-    return J.asof_join(days, f.withColumn("k", F.lit(0)), ["k"], "date", "flow_date", ["net"], max_days=7, strict=True).select("date", "net", F.col("matched_at").alias("flow_date"))
+    """Flows of weekdays reach a session strictly after their date, for 7 days at most."""
+    f = A.flows(spark, d).where("investor_type = 'click' or investor_type = 'view'").groupBy("date").agg(r6(F.sum(F.col("buy_value") - F.col("sell_value"))).alias("net")).where("dayofweek(date) not in (1, 7)").withColumnRenamed("date", "flow_date")
+    return J.dates_asof(A.bars_event_day(spark, d).select("date").distinct(), f, "date", "flow_date", ["net"], max_days=7, strict=True).select("date", "net", F.col("matched_at").alias("flow_date"))
 
 
-_STRICT = f"""WITH {A.EVENT_DAY}, {A.FLOWS}, f AS (SELECT date AS fd, round(sum(buy_value - sell_value), 6) + 0.0 AS net FROM flow WHERE investor_type IN ('click', 'view') AND day(date) % 4 = 0 GROUP BY 1),
+_STRICT = f"""WITH {A.EVENT_DAY}, {A.FLOWS}, f AS (SELECT date AS fd, round(sum(buy_value - sell_value), 6) + 0.0 AS net FROM flow WHERE investor_type IN ('click', 'view') AND dayofweek(date) NOT IN (0, 6) GROUP BY 1),
 j AS (SELECT s.date, f.net, f.fd FROM (SELECT DISTINCT date FROM bars) s ASOF LEFT JOIN f ON s.date > f.fd) SELECT date, CASE WHEN date - fd <= 7 THEN net END AS net, CASE WHEN date - fd <= 7 THEN fd END AS flow_date FROM j"""
 
 
@@ -68,11 +67,10 @@ def rate_history(spark, d):
     """Level, level a year ago, and last change other than a hold, of one dated history."""
     m = A.macro_daily(spark, d).where("name = '2-HIGH' and day(date) in (5, 20)").select(F.col("date").alias("announced"), F.round(F.col("close") / 1000).alias("rate"))
     h = m.withColumn("g", F.lit(0)).withColumn("change", F.coalesce(F.col("rate") - F.lag("rate").over(W.ordered("g", "announced")), F.lit(0.0))).drop("g")
-    days = A.bars_type_week(spark, d).select("date").distinct().withColumn("k", F.lit(0))
-    k = h.withColumn("k", F.lit(0))
-    a = J.asof_join(days, k, ["k"], "date", "announced", ["rate"]).withColumnRenamed("matched_at", "level_at")
-    b = J.asof_join(a.withColumn("year_ago", F.date_sub("date", 365)), k.select("k", "announced", F.col("rate").alias("rate_year_ago")), ["k"], "year_ago", "announced", ["rate_year_ago"]).drop("matched_at")
-    c = J.asof_join(b, k.where("change != 0").select("k", "announced", F.col("change").alias("last_change")), ["k"], "date", "announced", ["last_change"])
+    days = A.bars_type_week(spark, d).select("date").distinct()
+    a = J.dates_asof(days, h, "date", "announced", ["rate"]).withColumnRenamed("matched_at", "level_at")
+    b = J.dates_asof(a.withColumn("year_ago", F.date_sub("date", 365)), h.select("announced", F.col("rate").alias("rate_year_ago")), "year_ago", "announced", ["rate_year_ago"]).drop("matched_at")
+    c = J.dates_asof(b, h.where("change != 0").select("announced", F.col("change").alias("last_change")), "date", "announced", ["last_change"])
     return c.select("date", "rate", "rate_year_ago", "last_change", F.datediff("date", "matched_at").cast("long").alias("days_since_change"))
 
 
@@ -91,15 +89,15 @@ _OUTER = f"""WITH {A.MACRO_DAILY} SELECT date, a.close AS urgent, b.close AS hig
 
 def reindex_ffill(spark, d):
     m = A.macro_daily(spark, d).where("name = '3-MEDIUM'").select(F.col("date").alias("seen"), "close")
-    days = A.bars_event_day(spark, d).select("date").distinct().unionByName(A.bars_type_week(spark, d).select("date").distinct()).withColumn("k", F.lit(0))
-    return J.asof_join(days, m.withColumn("k", F.lit(0)), ["k"], "date", "seen", ["close"]).select("date", "close")
+    days = A.bars_event_day(spark, d).select("date").distinct().unionByName(A.bars_type_week(spark, d).select("date").distinct())
+    return J.dates_asof(days, m, "date", "seen", ["close"]).select("date", "close")
 
 
 _REINDEX = f"""WITH {A.TYPE_WEEK}, {A.EVENT_DAY.replace('bars AS', 'eb AS')}, {A.MACRO_DAILY}, s AS (SELECT DISTINCT date FROM eb UNION ALL SELECT DISTINCT date FROM bars), m AS (SELECT * FROM macro WHERE name = '3-MEDIUM') SELECT s.date, m.close FROM s ASOF LEFT JOIN m ON s.date >= m.date"""
 
 
 def interval_containment(spark, d):
-    out = J.interval_join(A.bars_nation_month(spark, d).select("date", "ticker"), A.membership(spark, d), "date", "effective_from", "effective_to", "published_at", by=["ticker"])
+    out = J.interval_join(A.bars_nation_month(spark, d).select("date", "ticker"), A.membership(spark, d), "date", "effective_from", "effective_to", ["ticker"], "published_at")
     return out.select("date", "ticker", "record_id", "effective_from", "published_at")
 
 
@@ -172,11 +170,11 @@ _REPL = f"WITH {A.NATION_MONTH} SELECT date, ticker, score FROM bars JOIN (SELEC
 
 def first_action(spark, d):
     b = A.bars_nation_month(spark, d)
-    events = b.where("volume % 13 = 0").select("ticker", F.col("date").alias("event_date"), F.concat(F.lit("v"), F.col("volume").cast("string")).alias("action"))
+    events = b.where("close > 180000").select("ticker", F.col("date").alias("event_date"), F.concat(F.lit("v"), F.col("volume").cast("string")).alias("action"))
     return J.first_event(b.select("date", "ticker"), events, ["ticker"], "date", "event_date", "action").select("date", "ticker", "event_date", "action")
 
 
-_FIRST = f"""WITH {A.NATION_MONTH}, e AS (SELECT ticker, min(date) AS event_date, 'v' || CAST(arg_min(volume, date) AS VARCHAR) AS action FROM bars WHERE volume % 13 = 0 GROUP BY 1)
+_FIRST = f"""WITH {A.NATION_MONTH}, e AS (SELECT ticker, min(date) AS event_date, 'v' || CAST(arg_min(volume, date) AS VARCHAR) AS action FROM bars WHERE close > 180000 GROUP BY 1)
 SELECT b.date, b.ticker, CASE WHEN event_date <= b.date THEN event_date END AS event_date, CASE WHEN event_date <= b.date THEN action END AS action FROM bars b LEFT JOIN e USING (ticker)"""
 
 

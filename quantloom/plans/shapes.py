@@ -95,7 +95,9 @@ def grouped(spark, d):
 
 @query("g02_mean_median_std", "SELECT c_mktsegment, round(avg(c_acctbal), 6) + 0.0 AS mean, round(median(c_acctbal), 6) + 0.0 AS median, round(stddev_samp(c_acctbal), 6) + 0.0 AS std FROM customer GROUP BY 1")
 def mean_median_std(spark, d):
-    return T(spark, d, "customer").groupBy("c_mktsegment").agg(r6(F.avg("c_acctbal")).alias("mean"), r6(F.median("c_acctbal")).alias("median"), r6(F.stddev_samp("c_acctbal")).alias("std"))
+    c = T(spark, d, "customer")
+    both = c.groupBy("c_mktsegment").agg(r6(F.avg("c_acctbal")).alias("mean"), r6(F.stddev_samp("c_acctbal")).alias("std"))
+    return both.join(G.group_percentiles(c, ["c_mktsegment"], "c_acctbal", {"median": 0.5}), "c_mktsegment").withColumn("median", r6(F.col("median")))
 
 
 @query("g03_count_if", "SELECT event_type, count(*) FILTER (value > 0.5) AS active, count(*) AS n FROM events GROUP BY 1")
@@ -146,13 +148,14 @@ def flattened(spark, d):
 
 @query("g12_quantile", "SELECT l_returnflag, round(quantile_cont(l_extendedprice, 0.05), 6) + 0.0 AS q05, round(quantile_cont(l_extendedprice, 0.95), 6) + 0.0 AS q95 FROM lineitem GROUP BY 1")
 def quantiles(spark, d):
-    return T(spark, d, "lineitem").groupBy("l_returnflag").agg(r6(F.percentile("l_extendedprice", 0.05)).alias("q05"), r6(F.percentile("l_extendedprice", 0.95)).alias("q95"))
+    q = G.group_percentiles(T(spark, d, "lineitem"), ["l_returnflag"], "l_extendedprice", {"q05": 0.05, "q95": 0.95})
+    return q.select("l_returnflag", r6(F.col("q05")).alias("q05"), r6(F.col("q95")).alias("q95"))
 
 
 @query("g13_tail_mean", "WITH q AS (SELECT l_returnflag, quantile_cont(l_extendedprice, 0.05) AS v FROM lineitem GROUP BY 1) SELECT l_returnflag, round(avg(l_extendedprice), 6) + 0.0 AS tail_mean FROM lineitem JOIN q USING (l_returnflag) WHERE l_extendedprice <= v GROUP BY 1")
 def tail_mean(spark, d):
     x = T(spark, d, "lineitem")
-    q = x.groupBy("l_returnflag").agg(F.percentile("l_extendedprice", 0.05).alias("v"))
+    q = G.group_percentiles(x, ["l_returnflag"], "l_extendedprice", {"v": 0.05})
     return x.join(F.broadcast(q), "l_returnflag").where("l_extendedprice <= v").groupBy("l_returnflag").agg(r6(F.avg("l_extendedprice")).alias("tail_mean"))
 
 
@@ -183,7 +186,9 @@ def best(spark, d):
 
 @query("g18_throughput", "SELECT l_linenumber, count(*) AS trials, round(median(l_extendedprice), 6) + 0.0 AS median, min(l_extendedprice) AS least, max(l_extendedprice) AS most FROM lineitem GROUP BY 1")
 def throughput(spark, d):
-    return T(spark, d, "lineitem").groupBy("l_linenumber").agg(F.count("*").alias("trials"), r6(F.median("l_extendedprice")).alias("median"), F.min("l_extendedprice").alias("least"), F.max("l_extendedprice").alias("most"))
+    x = T(spark, d, "lineitem")
+    both = x.groupBy("l_linenumber").agg(F.count("*").alias("trials"), F.min("l_extendedprice").alias("least"), F.max("l_extendedprice").alias("most"))
+    return both.join(G.group_percentiles(x, ["l_linenumber"], "l_extendedprice", {"median": 0.5}), "l_linenumber").withColumn("median", r6(F.col("median")))
 
 
 @query("g19_all_any", f"WITH {A.TYPE_WEEK} SELECT date, bool_and(volume > 100) AS all_traded, bool_or(volume > 500) AS any_heavy FROM bars GROUP BY 1")
@@ -200,8 +205,8 @@ def merge_first(spark, d):
 
 @query("s01_sorted", "SELECT s_suppkey, s_nationkey, s_acctbal, row_number() OVER (ORDER BY s_nationkey, s_acctbal DESC, s_suppkey) AS place FROM supplier")
 def ordered(spark, d):
-    s = T(spark, d, "supplier").orderBy("s_nationkey", F.desc("s_acctbal"), "s_suppkey")
-    return s.select("s_suppkey", "s_nationkey", "s_acctbal", F.row_number().over(Window.orderBy("s_nationkey", F.desc("s_acctbal"), "s_suppkey")).cast("long").alias("place"))
+    s = G.positions(T(spark, d, "supplier"), [F.col("s_nationkey"), -F.col("s_acctbal"), F.col("s_suppkey")])
+    return s.select("s_suppkey", "s_nationkey", "s_acctbal", "place")
 
 
 @query("s02_top_per_group", "SELECT c_nationkey, c_custkey, c_acctbal, n AS rank FROM (SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_custkey) AS n FROM customer) WHERE n <= 3")
@@ -223,14 +228,36 @@ _PEAK = "WITH m AS (SELECT l_linenumber AS n, median(l_extendedprice) AS v FROM
 
 @query("s04_near_peak", f"{_PEAK} SELECT min(n) AS n FROM m WHERE v >= 0.95 * (SELECT max(v) FROM m)")
 def near_peak(spark, d):
-    m = T(spark, d, "lineitem").groupBy(F.col("l_linenumber").alias("n")).agg(F.median("l_extendedprice").alias("v"))
+    m = G.group_percentiles(T(spark, d, "lineitem").withColumnRenamed("l_linenumber", "n"), ["n"], "l_extendedprice", {"v": 0.5})
     return G.nearest_peak(m, "n", "v")
 
 
-@query("s07_ranking", "SELECT s_suppkey, row_number() OVER (ORDER BY round(s_acctbal, -3) DESC, s_nationkey, s_suppkey) AS rank, row_number() OVER (ORDER BY round(s_acctbal, -3) DESC, s_nationkey, s_suppkey) <= 10 AS selected FROM supplier")
+_FOLD_SCORES = f"""WITH {A.NATION_MONTH}, r AS (SELECT date, ticker, sector, volume, close / lag(close) OVER (PARTITION BY ticker ORDER BY date) - 1 AS r FROM bars),
+f AS (SELECT ticker, CAST(year(date) AS INT) AS fold, sum(r) AS score, min(r) AS drawdown, avg(volume) AS turnover FROM r WHERE r IS NOT NULL GROUP BY 1, 2),
+c AS (SELECT ticker, round(median(score), 2) + 0.0 AS primary_score, round(min(score), 2) + 0.0 AS worst_fold_score, round(median(drawdown), 2) + 0.0 AS median_excess_max_drawdown, round(median(turnover), 2) + 0.0 AS median_turnover, CAST(length(ticker) AS INT) AS timestep_budget FROM f GROUP BY 1)"""
+_RANKED = "row_number() OVER (ORDER BY primary_score DESC, worst_fold_score DESC, median_excess_max_drawdown DESC, median_turnover, timestep_budget, ticker)"
+
+
+def fold_scores(spark, d):
+    """A candidate's figures by fold, of nations and years: their medians and the worst, rounded for ties."""
+    b = A.bars_nation_month(spark, d)
+    r = b.withColumn("r", F.col("close") / F.lag("close").over(Window.partitionBy("ticker").orderBy("date")) - 1).where("r is not null")
+    f = r.groupBy("ticker", F.year("date").alias("fold")).agg(F.sum("r").alias("score"), F.min("r").alias("drawdown"), F.avg("volume").alias("turnover"))
+    r2 = lambda x: F.round(x, 2) + F.lit(0.0)
+    return f.groupBy("ticker").agg(r2(F.median("score")).alias("primary_score"), r2(F.min("score")).alias("worst_fold_score"), r2(F.median("drawdown")).alias("median_excess_max_drawdown"), r2(F.median("turnover")).alias("median_turnover")).withColumn("timestep_budget", F.length("ticker"))
+
+
+@query("s07_ranking", f"{_FOLD_SCORES}, k AS (SELECT *, {_RANKED} AS rank FROM c) SELECT ticker, primary_score, rank, CASE WHEN (SELECT primary_score FROM k WHERE rank = 1) > 0 THEN (SELECT ticker FROM k WHERE rank = 1) ELSE 'active_equal_weight' END AS selected FROM k")
 def ranking(spark, d):
-    rank = F.row_number().over(Window.orderBy(F.desc(F.round("s_acctbal", -3)), "s_nationkey", "s_suppkey"))
-    return T(spark, d, "supplier").select("s_suppkey", rank.cast("long").alias("rank"), (rank <= 10).alias("selected"))
+    """Six keys in turn; the first candidate is selected if its score is positive, else the plain baseline."""
+    return G.selected(G.ranked_candidates(fold_scores(spark, d), "ticker"), "ticker", "active_equal_weight").select("ticker", "primary_score", "rank", "selected")
+
+
+@query("s07_no_candidate", f"{_FOLD_SCORES}, n AS (SELECT ticker, primary_score - 100 AS primary_score, worst_fold_score, median_excess_max_drawdown, median_turnover, timestep_budget FROM c) SELECT ticker, {_RANKED} AS rank, 'active_equal_weight' AS selected FROM n")
+def no_candidate(spark, d):
+    """No score is positive: the fallback."""
+    f = fold_scores(spark, d).withColumn("primary_score", F.col("primary_score") - 100)
+    return G.selected(G.ranked_candidates(f, "ticker"), "ticker", "active_equal_weight").select("ticker", "rank", "selected")
 
 
 @query("s08_latest_steps", "SELECT event_id, day FROM (SELECT event_id, CAST(ts AS DATE) AS day, dense_rank() OVER (ORDER BY CAST(ts AS DATE) DESC) AS n FROM events) WHERE n <= 2")
@@ -337,16 +364,35 @@ def sentiment(spark, d):
     return T(spark, d, "documents").select("doc_id", S.codepoint_sentiment(F.col("text")).alias("score"))
 
 
-@query("f09_decisions", "SELECT event_id, CASE event_id % 3 WHEN 0 THEN 25.0 WHEN 1 THEN -50.0 ELSE 0.0 END::DOUBLE AS change_bp FROM events")
+_F09 = """WITH t AS (SELECT event_id, event_id % 9 AS k, CAST(ts AS DATE) AS d FROM events),
+s AS (SELECT event_id, d, k, CASE k WHEN 0 THEN 'Raise 25 bps' WHEN 1 THEN ' cut  50 BPS. ' WHEN 2 THEN 'Hold' WHEN 3 THEN 'hold at 2.50' WHEN 4 THEN 'Raise by 25 bps' WHEN 5 THEN 'raise 2.5 bps' WHEN 6 THEN 'HOLD.' WHEN 7 THEN NULL ELSE 'lower 25 bps' END AS decision,
+  CASE k WHEN 0 THEN '6' WHEN 1 THEN '65/' WHEN 2 THEN '' WHEN 3 THEN '12' WHEN 4 THEN '7 ' WHEN 5 THEN 'n' WHEN 6 THEN '31/' WHEN 7 THEN NULL ELSE '0.' END AS votes,
+  CASE k WHEN 0 THEN strftime(d, '%-d %B %Y') WHEN 1 THEN '1-' || strftime(d, '%-d %B %Y') WHEN 2 THEN CAST(d - DATE '1899-12-30' AS VARCHAR) || '.0' WHEN 3 THEN strftime(d, '%-d-%b-%Y') WHEN 4 THEN strftime(d, '%Y-%m-%d') WHEN 5 THEN '' ELSE strftime(d, '%d %b %Y') END AS announced FROM t),
+c AS (SELECT *, rtrim(trim(regexp_replace(lower(coalesce(decision, '')), '\\s+', ' ', 'g')), '.') AS a, rtrim(trim(regexp_replace(coalesce(votes, ''), '\\s+', ' ', 'g')), '.') AS v FROM s)
+SELECT event_id, CASE WHEN a = 'hold' THEN 0.0 WHEN regexp_full_match(a, 'raise [0-9]+ bps') THEN CAST(split_part(a, ' ', 2) AS DOUBLE) WHEN regexp_full_match(a, 'cut [0-9]+ bps') THEN -CAST(split_part(a, ' ', 2) AS DOUBLE) END AS change_bp,
+  CASE WHEN regexp_full_match(v, '[0-9]([0-9]+/)?') THEN CAST(v[1] AS DOUBLE) END AS votes, CASE WHEN k IN (4, 5) THEN NULL ELSE d END AS announced FROM c"""
+
+
+@query("f09_decisions", _F09)
 def decisions(spark, d):
-    t = F.get(F.array(F.lit("Raise by 25 bps"), F.lit("Cut 50 bps"), F.lit("Hold at 2.50")), F.pmod("event_id", F.lit(3)).cast("int"))
-    return T(spark, d, "events").select("event_id", S.decision_points(t).alias("change_bp"))
+    """Texts that fit the whole form, and texts that do not: those are null."""
+    k, day = F.pmod("event_id", F.lit(9)).cast("int"), F.col("ts").cast("date")
+    pick = lambda *x: F.get(F.array(*(F.lit(v) if v is None or isinstance(v, str) else v for v in x)), k)
+    t = T(spark, d, "events").select(
+        "event_id", pick("Raise 25 bps", " cut  50 BPS. ", "Hold", "hold at 2.50", "Raise by 25 bps", "raise 2.5 bps", "HOLD.", None, "lower 25 bps").alias("decision"), pick("6", "65/", "", "12", "7 ", "n", "31/", None, "0.").alias("votes"),
+        pick(F.date_format(day, "d MMMM yyyy"), F.concat(F.lit("1-"), F.date_format(day, "d MMMM yyyy")), F.concat(F.datediff(day, F.lit("1899-12-30").cast("date")).cast("string"), F.lit(".0")), F.date_format(day, "d-MMM-yyyy"), F.date_format(day, "yyyy-MM-dd"), "", *[F.date_format(day, "dd MMM yyyy")] * 3).alias("announced"),
+    )
+    return t.select("event_id", S.decision_points(F.col("decision")).alias("change_bp"), S.vote_count(F.col("votes")).alias("votes"), S.announcement_date(F.col("announced")).alias("announced"))
+
+
+_F10 = """WITH t AS (SELECT event_id, CASE event_id % 10 WHEN 0 THEN strftime(ts, '%Y-%m-%d') WHEN 1 THEN strftime(ts, '%Y-%m-%dT%H:%M') WHEN 2 THEN strftime(ts, '%Y/%m/%d ') WHEN 3 THEN strftime(ts, '%Y-%m') WHEN 4 THEN strftime(ts, '%Y/%m') WHEN 5 THEN strftime(ts, '%Y') WHEN 6 THEN strftime(ts, '%d/%m/%Y') WHEN 7 THEN strftime(ts, '%Y-02-30') WHEN 8 THEN '' ELSE 'soon' END AS t FROM events)
+SELECT event_id, CAST(coalesce(try_strptime(substr(trim(t), 1, 10), '%Y-%m-%d'), try_strptime(substr(trim(t), 1, 10), '%Y/%m/%d'), try_strptime(substr(trim(t), 1, 7), '%Y-%m'), try_strptime(substr(trim(t), 1, 7), '%Y/%m'), try_strptime(substr(trim(t), 1, 4), '%Y')) AS DATE) AS day FROM t"""
 
 
-@query("f10_parse_date", "SELECT event_id, CASE event_id % 5 WHEN 4 THEN NULL ELSE CAST(ts AS DATE) END AS day FROM events")
+@query("f10_parse_date", _F10)
 def dates(spark, d):
-    day = F.col("ts").cast("date")
-    t = F.get(F.array(F.date_format(day, "yyyy-MM-dd"), F.date_format(day, "dd/MM/yyyy"), F.date_format(day, "yyyyMMdd"), F.datediff(day, F.lit("1899-12-30").cast("date")).cast("string"), F.lit("soon")), F.pmod("event_id", F.lit(5)).cast("int"))
+    form = lambda f: F.date_format("ts", f)
+    t = F.get(F.array(form("yyyy-MM-dd"), form("yyyy-MM-dd'T'HH:mm"), form("yyyy/MM/dd' '"), form("yyyy-MM"), form("yyyy/MM"), form("yyyy"), form("dd/MM/yyyy"), form("yyyy-'02-30'"), F.lit(""), F.lit("soon")), F.pmod("event_id", F.lit(10)).cast("int"))
     return T(spark, d, "events").select("event_id", S.parse_date(t).alias("day"))
 
 
@@ -382,12 +428,22 @@ def session_date(spark, d):
     return T(spark, d, "events").select("event_id", F.from_utc_timestamp(F.col("ts").cast("timestamp"), "Asia/Bangkok").cast("date").alias("session"))
 
 
-@query("f16_commission", "SELECT c_custkey, CASE WHEN v <= 5e6 THEN 0.0015 WHEN v <= 1e7 THEN 0.0013 WHEN v <= 2e7 THEN 0.0011 ELSE 0.001 END::DOUBLE AS rate, round(CASE WHEN v <= 5e6 THEN 0.0015 WHEN v <= 1e7 THEN 0.0013 WHEN v <= 2e7 THEN 0.0011 ELSE 0.001 END::DOUBLE * 1.07::DOUBLE, 7) AS side_cost FROM (SELECT c_custkey, c_acctbal * 3000 AS v FROM customer)")
+_TIER = "CASE WHEN v < 0 THEN NULL WHEN v <= 5e6 THEN 0.00157 WHEN v <= 1e7 THEN 0.00137 WHEN v <= 2e7 THEN 0.00117 ELSE 0.00107 END::DOUBLE"
+
+
+@query("f16_commission", f"SELECT c_custkey, {_TIER} AS rate, round(({_TIER} + 0.00005::DOUBLE + 0.00001::DOUBLE + 0.00001::DOUBLE) * 1.07::DOUBLE, 7) AS side_cost FROM (SELECT c_custkey, c_acctbal * 3000 AS v FROM customer)")
 def commission(spark, d):
     v = F.col("c_acctbal") * 3000
     return T(spark, d, "customer").select("c_custkey", S.commission_rate(v).alias("rate"), S.side_cost(v).alias("side_cost"))
 
 
+@query("f27_cost_settings", f"SELECT c_mktsegment, round(({_TIER} + 0.00007::DOUBLE) * 1.07::DOUBLE, 7) AS transaction_cost, 0.0005::DOUBLE AS slippage FROM (SELECT c_mktsegment, CAST(count(*) AS DOUBLE) * 100000 AS v FROM customer GROUP BY 1)")
+def cost_settings(spark, d):
+    """Settings of an environment from a day's traded value, here a value for each segment."""
+    v = T(spark, d, "customer").groupBy("c_mktsegment").agg((F.count("*").cast("double") * 100000).alias("v"))
+    return v.select("c_mktsegment", S.side_cost(F.col("v")).alias("transaction_cost"), F.lit(0.0005).alias("slippage"))
+
+
 @query("f17_budget", f"WITH {A.EVENT_DAY}, w AS (SELECT date, ticker, close - 0.3 AS w FROM bars), s AS (SELECT *, sum(greatest(w, 0)) OVER (PARTITION BY date) AS t FROM w) SELECT date, ticker, round(CASE WHEN t > 1 THEN greatest(w, 0) / t ELSE greatest(w, 0) END, 6) + 0.0 AS weight FROM s")
 def budgets(spark, d):
     b = A.bars_event_day(spark, d).withColumn("w", F.col("close") - 0.3)
@@ -425,10 +481,11 @@ def release_rule(spark, d):
     return T(spark, d, "orders").select("o_orderkey", S.release_date(F.col("o_orderdate").cast("date"), rule).alias("release_date"))
 
 
-@query("f28_work_units", "SELECT c_custkey, CAST(c_custkey * 100 + greatest(c_custkey * 100 - 1000, 0) // 4 * 2 * 64 AS BIGINT) AS units FROM customer")
+@query("f28_work_units", "SELECT c_custkey, CAST(t + CASE WHEN a IN ('ddpg', 'td3', 'sac') THEN greatest(t - 1000, 0) // 4 * 2 * 64 ELSE 0 END AS BIGINT) AS units FROM (SELECT c_custkey, c_custkey * 100 AS t, ['ppo', 'a2c', 'ddpg', 'td3', 'sac'][c_custkey % 5 + 1] AS a FROM customer)")
 def work_units(spark, d):
-    t = F.col("c_custkey") * 100
-    return T(spark, d, "customer").select("c_custkey", (t + F.floor(F.greatest(t - 1000, F.lit(0)) / 4) * 2 * 64).cast("long").alias("units"))
+    """Steps, and the updates of those algorithms that learn from a replay buffer."""
+    a = F.get(F.array(*(F.lit(x) for x in ("ppo", "a2c", "ddpg", "td3", "sac"))), F.pmod("c_custkey", F.lit(5)).cast("int"))
+    return T(spark, d, "customer").select("c_custkey", S.work_units(a, F.col("c_custkey") * 100, 1000, 4, 2, 64).alias("units"))
 
 
 QUERIES = Q

@@ -110,10 +110,14 @@ def candidates(spark, d):
     return L.grid(spark, algorithm=["a2c", "ddpg", "ppo", "sac", "td3"], lookback=[10, 30], features=["core", "full", "market"]).withColumn("cell", F.col("cell").cast("long"))
 
 
-@query("l12_execution_plan", f"SELECT CAST(cell AS BIGINT) AS candidate, CAST(f AS BIGINT) AS fold, CAST(s AS BIGINT) AS seed, (row_number() OVER (ORDER BY cell, f, s) - 1) // 180 AS batch FROM ({_GRID}), (SELECT unnest(range(1, 7)) AS f), (SELECT unnest(range(3)) AS s)")
+_PLAN = f"""SELECT CAST(cell AS BIGINT) AS candidate, CAST(f AS BIGINT) AS fold, CAST(s AS BIGINT) AS seed, CASE WHEN f <= 2 THEN 'array_batch_01' WHEN f <= 4 THEN 'array_batch_02' ELSE 'array_batch_03' END AS batch,
+row_number() OVER (PARTITION BY CASE WHEN f <= 2 THEN 1 WHEN f <= 4 THEN 2 ELSE 3 END ORDER BY cell, f, s) - 1 AS task FROM ({_GRID}), (SELECT unnest(range(1, 7)) AS f), (SELECT unnest(range(3)) AS s)"""
+
+
+@query("l12_execution_plan", _PLAN)
 def plan(spark, d):
-    g = L.grid(spark, candidate=list(range(30)), fold=list(range(1, 7)), seed=list(range(3)))
-    return g.select("candidate", "fold", "seed", F.floor(F.col("cell") / 180).alias("batch"))
+    """Cells of 30 candidates, six folds and three seeds; a batch is a pair of folds, with tasks numbered from 0."""
+    return L.execution_plan(spark, list(range(30)), list(range(1, 7)), list(range(3)))
 
 
 @query("l13_regimes", f"WITH {A.TYPE_WEEK} SELECT name, count(DISTINCT date) AS sessions, min(date) AS first_date FROM bars JOIN (VALUES ('calm', DATE '1996-01-01', DATE '1996-12-31'), ('late', DATE '2001-06-01', DATE '2002-12-31')) r(name, a, b) ON date BETWEEN a AND b GROUP BY 1")
@@ -146,31 +150,31 @@ def exit_paths(spark, d):
     return x.select("ticker", F.col("date").alias("exit_date"), "exit_session", F.col("exit_session").isNotNull().alias("resolved"))
 
 
-@query("l18_plan_summary", "SELECT CAST(b AS BIGINT) AS batch, CAST(180 AS BIGINT) AS cells FROM range(3) t(b)")
+@query("l18_plan_summary", f"SELECT batch, count(*) AS cells, count(DISTINCT candidate) AS candidates, min(fold) AS first_fold, max(fold) AS last_fold, max(task) + 1 AS tasks FROM ({_PLAN}) GROUP BY 1")
 def plan_summary(spark, d):
-    return plan(spark, d).groupBy("batch").agg(F.count("*").alias("cells"))
+    return plan(spark, d).groupBy("batch").agg(F.count("*").alias("cells"), F.count_distinct("candidate").alias("candidates"), F.min("fold").alias("first_fold"), F.max("fold").alias("last_fold"), (F.max("task") + 1).alias("tasks"))
 
 
 _CR = A.CURVES + ", cr AS (SELECT *, coalesce(value / lag(value) OVER (PARTITION BY policy ORDER BY date) - 1, 0) AS r, value / max(value) OVER (PARTITION BY policy ORDER BY date) - 1 AS dd FROM curve)"
-_M01 = f"""WITH {_CR}, a AS (SELECT policy, count(*) AS n, arg_max(value, date) / arg_min(value, date) AS g, arg_max(value, date) AS fv, stddev_pop(r) * sqrt(252) AS vol, sqrt(avg(least(r, 0) * least(r, 0))) AS dn, min(dd) AS mdd, avg(CAST(r > 0 AS DOUBLE)) AS win,
-  sum(greatest(r, 0)) AS gain, sum(greatest(-r, 0)) AS loss, quantile_cont(r, 0.05) AS var, avg(turnover) AS mt, sum(turnover) AS tt, sum(cost) AS tc, count(*) FILTER (turnover > 1e-6) AS act, avg(cash_weight) AS cash FROM cr GROUP BY 1),
+_M01 = f"""WITH {_CR}, a AS (SELECT policy, count(*) AS n, arg_max(value, date) / arg_min(value, date) AS g, arg_max(value, date) AS fv, stddev_pop(r) * sqrt(252) AS vol, sqrt(avg(least(r, 0) * least(r, 0))) * sqrt(252) AS dn, min(dd) AS mdd, avg(CAST(r > 0 AS DOUBLE)) AS win,
+  sum(greatest(r, 0)) AS gain, sum(greatest(-r, 0)) AS loss, quantile_cont(r, 0.05) AS var, avg(turnover) AS mt, sum(turnover) AS tt, sum(cost) AS tc, sum(slippage) AS ts, count(*) FILTER (turnover > 1e-6) AS act, avg(cash_weight) AS cash FROM cr GROUP BY 1),
 t AS (SELECT policy, avg(r) AS cvar FROM cr JOIN a USING (policy) WHERE r <= var GROUP BY 1), y AS (SELECT *, pow(g, 252.0 / n) - 1 AS ann FROM a LEFT JOIN t USING (policy))
-SELECT policy, round(g - 1, 6) + 0.0 AS cumulative_return, round(ann, 4) + 0.0 AS annual_return, round(vol, 6) + 0.0 AS volatility, round(coalesce(ann / nullif(vol, 0), 0), 4) + 0.0 AS sharpe, round(coalesce(ann / nullif(dn * sqrt(252), 0), 0), 4) + 0.0 AS sortino, round(mdd, 6) + 0.0 AS max_drawdown,
+SELECT policy, round(g - 1, 6) + 0.0 AS cumulative_return, round(ann, 4) + 0.0 AS annual_return, round(vol, 6) + 0.0 AS volatility, round(coalesce(ann / nullif(vol, 0), 0), 4) + 0.0 AS sharpe, round(coalesce(ann / nullif(dn, 0), 0), 4) + 0.0 AS sortino, round(mdd, 6) + 0.0 AS max_drawdown,
   round(coalesce(ann / nullif(abs(mdd), 0), 0), 4) + 0.0 AS calmar, round(win, 6) + 0.0 AS win_rate, round(coalesce(gain / nullif(loss, 0), 0), 6) + 0.0 AS profit_factor, round(dn, 6) + 0.0 AS downside_deviation, round(var, 6) + 0.0 AS var_95, round(coalesce(cvar, 0), 6) + 0.0 AS cvar_95,
-  round(mt, 6) + 0.0 AS average_turnover, round(tt, 5) + 0.0 AS total_turnover, round(tc, 4) + 0.0 AS total_cost, act AS active_steps, round(cash, 6) + 0.0 AS average_cash, fv AS final_value, n AS periods FROM y"""
+  round(mt, 6) + 0.0 AS average_turnover, round(tt, 5) + 0.0 AS total_turnover, round(tc, 4) + 0.0 AS total_cost, round(ts, 4) + 0.0 AS total_slippage, act AS active_steps, round(cash, 6) + 0.0 AS average_cash, fv AS final_value FROM y"""
 
 
 @query("m01_equity_metrics", _M01)
 def equity(spark, d):
     m = M.equity_metrics(A.curves(spark, d))
-    four, whole = {"annual_return", "sharpe", "sortino", "calmar", "total_cost"}, {"policy", "active_steps", "periods", "final_value"}
+    four, whole = {"annual_return", "sharpe", "sortino", "calmar", "total_cost", "total_slippage"}, {"policy", "active_steps", "final_value"}
     return m.select(*(F.col(c) if c in whole else (F.round(c, 5 if c == "total_turnover" else 4 if c in four else 6) + 0.0).alias(c) for c in m.columns))
 
 
 _BM = f"""WITH {A.CURVES}, x AS (SELECT c.policy, c.date, c.value / lag(c.value) OVER w - 1 AS r, b.value / lag(b.value) OVER w - 1 AS b FROM curve c JOIN curve b ON c.date = b.date AND b.policy = 'BUILDING' WINDOW w AS (PARTITION BY c.policy ORDER BY c.date)),
-y AS (SELECT policy, covar_pop(r, b) / nullif(var_pop(b), 0) AS beta, avg(r) AS mr, avg(b) AS mb, stddev_samp(r - b) * sqrt(252) AS te, exp(sum(ln(1 + r))) - exp(sum(ln(1 + b))) AS ex, coalesce(corr(r, b), 0) AS co,
+y AS (SELECT policy, covar_pop(r, b) / nullif(var_pop(b), 0) AS beta, avg(r) AS mr, avg(b) AS mb, stddev_pop(r - b) * sqrt(252) AS te, pow(exp(sum(ln(1 + r))), 252.0 / count(*)) - pow(exp(sum(ln(1 + b))), 252.0 / count(*)) AS ex, coalesce(corr(r, b), 0) AS co,
   avg(r) FILTER (b > 0) / nullif(avg(b) FILTER (b > 0), 0) AS up, avg(r) FILTER (b < 0) / nullif(avg(b) FILTER (b < 0), 0) AS dn FROM x WHERE r IS NOT NULL GROUP BY 1)
-SELECT policy, round(beta, 6) + 0.0 AS beta, round((mr - beta * mb) * 252, 6) + 0.0 AS alpha, round(te, 6) + 0.0 AS tracking_error, round(coalesce((mr - mb) * 252 / nullif(te, 0), 0), 6) + 0.0 AS information_ratio, round(ex, 6) + 0.0 AS excess_return, round(co, 6) + 0.0 AS correlation,
+SELECT policy, round(beta, 6) + 0.0 AS beta, round((mr - beta * mb) * 252, 6) + 0.0 AS alpha, round(te, 6) + 0.0 AS tracking_error, round(coalesce(ex / nullif(te, 0), 0), 5) + 0.0 AS information_ratio, round(ex, 6) + 0.0 AS excess_return, round(co, 6) + 0.0 AS correlation,
   round(coalesce(up, 0), 6) + 0.0 AS up_capture, round(coalesce(dn, 0), 6) + 0.0 AS down_capture FROM y WHERE policy <> 'BUILDING'"""
 
 
@@ -178,7 +182,7 @@ SELECT policy, round(beta, 6) + 0.0 AS beta, round((mr - beta * mb) * 252, 6) +
 def benchmark(spark, d):
     c = A.curves(spark, d)
     m = M.benchmark_metrics(c.where("policy != 'BUILDING'"), c.where("policy = 'BUILDING'"))
-    return m.select("policy", *(r6(F.col(x)).alias(x) for x in m.columns if x != "policy"))
+    return m.select("policy", *((F.round(x, 5 if x == "information_ratio" else 6) + 0.0).alias(x) for x in m.columns if x != "policy"))
 
 
 _R = f"WITH {A.CURVES}, x AS (SELECT policy, date, value / lag(value) OVER (PARTITION BY policy ORDER BY date) - 1 AS r FROM curve)"
@@ -296,7 +300,7 @@ t AS (SELECT *, mv + abs((1 - inv) - coalesce(lag(1 - inv) OVER (PARTITION BY po
 v AS (SELECT *, 100000 * exp(sum(ln(1 + net)) OVER (PARTITION BY policy ORDER BY date)) AS value FROM n)"""
 
 
-@query("p01_closed_form", _SIM + " SELECT policy, date, round(value, 4) + 0.0 AS value, round(net + 1e-9, 6) + 0.0 AS net, round(turnover, 6) + 0.0 AS turnover, round(value / greatest(100000, max(value) OVER (PARTITION BY policy ORDER BY date)) - 1, 6) + 0.0 AS drawdown FROM v")
+@query("p01_closed_form", _SIM + " SELECT policy, date, round(value, 4) + 0.0 AS value, round(net + 1e-9, 6) + 0.0 AS net, round(turnover, 6) + 0.0 AS turnover, round(1 - value / greatest(100000, max(value) OVER (PARTITION BY policy ORDER BY date)), 6) + 0.0 AS drawdown FROM v")
 def closed_form(spark, d):
     c = P.closed_form(P.equal_weight(A.bars_nation_month(spark, d)), returns_month(spark, d), 0.0015, 0.0005)
     return c.select("policy", "date", (F.round("value", 4) + 0.0).alias("value"), r6(F.col("net") + 1e-9).alias("net"), r6(F.col("turnover")).alias("turnover"), r6(F.col("drawdown")).alias("drawdown"))
@@ -363,10 +367,12 @@ def index_benchmark(spark, d):
     return r.select("date", (F.round(100000 * F.product(1 + F.col("r")).over(w), 3) + 0.0).alias("value"))
 
 
-@query("p10_price_benchmark", _IDX + " SELECT date, round(100000 * (1 - 0.002::DOUBLE) * c / first_value(c) OVER (ORDER BY date), 4) + 0.0 AS value FROM i")
+@query("p10_price_benchmark", _IDX + ", n AS (SELECT *, row_number() OVER (ORDER BY date) AS k FROM i) SELECT date, CASE WHEN k = 1 THEN 100000.0 ELSE round(100000 * (1 - 0.0015::DOUBLE - 0.0005::DOUBLE) * c / first_value(c) OVER (ORDER BY date), 4) + 0.0 END::DOUBLE AS value, CASE WHEN k = 2 THEN 1.0 ELSE 0.0 END::DOUBLE AS turnover FROM n")
 def price_benchmark(spark, d):
+    """The series is bought after its first value: that is the capital, those that follow bear the cost."""
     i = A.bars_type_week(spark, d).groupBy("date").agg(r6(F.sum("close")).alias("c"))
-    return i.select("date", (F.round(100000 * (1 - 0.002) * F.col("c") / F.first("c").over(Window.orderBy("date")), 4) + 0.0).alias("value"))
+    p = P.price_benchmark(i, "c", 0.0015, 0.0005)
+    return p.select("date", F.when(F.col("value") == 100000, F.col("value")).otherwise(F.round("value", 4) + 0.0).alias("value"), "turnover")
 
 
 @query("p11_buy_and_hold", f"WITH {A.NATION_MONTH}, f AS (SELECT date, close / first_value(close) OVER (PARTITION BY ticker ORDER BY date) AS x FROM bars) SELECT date, round(avg(x), 6) + 0.0 AS growth FROM f GROUP BY 1")

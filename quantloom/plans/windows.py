@@ -48,25 +48,26 @@ SELECT date, ticker, round(a, 6) + 0.0 AS ema_12, round(b, 6) + 0.0 AS ema_26, r
 
 
 def index_context(spark, d):
-    """The summed price of every second week as an index, carried forward, with a flag where it was seen."""
+    """The summed price as an index, known in weeks of at least the mean trade, carried forward, with a flag where it was seen."""
     bars = A.bars_type_week(spark, d)
-    index = bars.groupBy("date").agg(r6(F.sum("close")).alias("index_close")).where(F.pmod(F.weekofyear("date"), F.lit(2)) == 0)
-    dates = bars.select("date").distinct().join(index, "date", "left").withColumn("name", F.lit("all")).withColumn("index_available", F.when(F.col("index_close").isNotNull(), 1.0).otherwise(0.0))
-    w = W.ordered("name")
-    full = dates.withColumn("close", W.padded(F.col("index_close"), w))
-    full = W.with_returns(full, (1, 5), by="name").withColumns({"index_volatility_20d": W.volatility("return_1d", 20, "name"), "index_ma_ratio_10": W.mean_ratio("close", 10, "name")})
-    named = full.select("date", "index_available", r6(F.coalesce("close", F.lit(0.0))).alias("index_level"), r6(F.col("return_1d")).alias("index_return_1d"), r6(F.col("return_5d")).alias("index_return_5d"), r6(F.col("index_volatility_20d")).alias("index_volatility_20d"), r6(F.col("index_ma_ratio_10")).alias("index_ma_ratio_10"))
+    weeks = bars.groupBy("date").agg(r6(F.sum("close")).alias("index_close"), F.sum("volume").alias("v"))
+    index = weeks.crossJoin(F.broadcast(weeks.agg(F.avg("v").alias("m")))).where("v >= m").select("date", "index_close")
+    dates = weeks.select("date").join(index, "date", "left").withColumn("name", F.lit("all")).withColumn("index_available", F.when(F.col("index_close").isNotNull(), 1.0).otherwise(0.0))
+    full = W.index_features(dates, "index_close", by="name")
+    names = ["return_1d", "return_5d", "return_20d", "volatility_20d", "ma_ratio_20"]
+    named = full.select("date", "index_available", r6(F.coalesce("level", F.lit(0.0))).alias("index_level"), *(r6(F.col(c)).alias(f"index_{c}") for c in names))
     return bars.select("date", "ticker").join(F.broadcast(named), "date").withColumn("market_return_1d", F.col("index_return_1d"))
 
 
+_RC = lambda n: f"coalesce(close / nullif(lag(close, {n}) OVER (ORDER BY date), 0) - 1, 0) AS r{n}"
 _INDEX = f"""WITH {A.TYPE_WEEK},
-x AS (SELECT date, round(sum(close), 6) + 0.0 AS c FROM bars WHERE week(date) % 2 = 0 GROUP BY 1),
-f AS (SELECT date, c, last_value(c IGNORE NULLS) OVER (ORDER BY date) AS close FROM (SELECT DISTINCT date FROM bars) LEFT JOIN x USING (date)),
-g AS (SELECT *, coalesce(close / nullif(lag(close) OVER (ORDER BY date), 0) - 1, 0) AS r1, coalesce(close / nullif(lag(close, 5) OVER (ORDER BY date), 0) - 1, 0) AS r5 FROM f),
-h AS (SELECT date, CASE WHEN c IS NULL THEN 0.0 ELSE 1.0 END AS index_available, round(coalesce(close, 0.0), 6) + 0.0 AS index_level, round(r1, 6) + 0.0 AS index_return_1d, round(r5, 6) + 0.0 AS index_return_5d,
-  round(coalesce(CASE WHEN count(r1) OVER w20 >= 2 THEN stddev_samp(r1) OVER w20 END, 0), 6) + 0.0 AS index_volatility_20d, round(coalesce(close / nullif(avg(close) OVER w10, 0) - 1, 0), 6) + 0.0 AS index_ma_ratio_10 FROM g
-  WINDOW w20 AS (ORDER BY date ROWS 19 PRECEDING), w10 AS (ORDER BY date ROWS 9 PRECEDING))
-SELECT date, ticker, CAST(index_available AS DOUBLE) AS index_available, index_level, index_return_1d, index_return_5d, index_volatility_20d, index_ma_ratio_10, index_return_1d AS market_return_1d FROM bars JOIN h USING (date)"""
+k AS (SELECT date, round(sum(close), 6) + 0.0 AS c, sum(volume) AS v FROM bars GROUP BY 1), x AS (SELECT date, c FROM k WHERE v >= (SELECT avg(v) FROM k)),
+f AS (SELECT date, c, last_value(c IGNORE NULLS) OVER (ORDER BY date) AS close FROM (SELECT date FROM k) LEFT JOIN x USING (date)),
+g AS (SELECT *, {_RC(1)}, {_RC(5)}, {_RC(20)} FROM f),
+h AS (SELECT date, CASE WHEN c IS NULL THEN 0.0 ELSE 1.0 END AS index_available, round(coalesce(close, 0.0), 6) + 0.0 AS index_level, round(r1, 6) + 0.0 AS index_return_1d, round(r5, 6) + 0.0 AS index_return_5d, round(r20, 6) + 0.0 AS index_return_20d,
+  round(coalesce(CASE WHEN count(r1) OVER w20 >= 2 THEN stddev_samp(r1) OVER w20 END, 0), 6) + 0.0 AS index_volatility_20d, round(coalesce(close / nullif(avg(close) OVER w20, 0) - 1, 0), 6) + 0.0 AS index_ma_ratio_20 FROM g
+  WINDOW w20 AS (ORDER BY date ROWS 19 PRECEDING))
+SELECT date, ticker, CAST(index_available AS DOUBLE) AS index_available, index_level, index_return_1d, index_return_5d, index_return_20d, index_volatility_20d, index_ma_ratio_20, index_return_1d AS market_return_1d FROM bars JOIN h USING (date)"""
 
 
 def macro_changes(spark, d):
@@ -106,16 +107,15 @@ SELECT date, ticker, sector, active, round(coalesce(others / nullif(n, 0), 0), 6
 
 
 def flow_features(spark, d):
-    f = A.flows(spark, d).withColumns({"net": F.col("buy_value") - F.col("sell_value"), "gross": F.col("buy_value") + F.col("sell_value")})
-    by = "investor_type"
-    out = f.withColumn("net_share", F.coalesce(F.try_divide("net", "gross"), F.lit(0.0)))
-    return out.select("date", by, r6(F.col("net_share")).alias("net_share"), r6(W.share_of_sums("net", "gross", 5, by)).alias("net_share_5d"), r6(W.share_of_sums("net", "gross", 20, by)).alias("net_share_20d"), r6(W.lagged_z("net_share", 60, by)).alias("net_share_z"))
+    f = W.flow_features(A.flows(spark, d))
+    return f.select("date", "investor_type", *(r6(F.col(c)).alias(c) for c in ("net_share", "net_5d", "net_20d", "net_z60")))
 
 
-_FLOW = f"""WITH {A.FLOWS}, s AS (SELECT *, buy_value - sell_value AS net, buy_value + sell_value AS gross FROM flow), t AS (SELECT *, coalesce(net / nullif(gross, 0), 0) AS ns FROM s)
-SELECT date, investor_type, round(ns, 6) + 0.0 AS net_share, round(coalesce(CASE WHEN count(net) OVER w5 >= 5 THEN sum(net) OVER w5 / nullif(sum(gross) OVER w5, 0) END, 0), 6) + 0.0 AS net_share_5d,
-  round(coalesce(CASE WHEN count(net) OVER w20 >= 20 THEN sum(net) OVER w20 / nullif(sum(gross) OVER w20, 0) END, 0), 6) + 0.0 AS net_share_20d,
-  round(coalesce(CASE WHEN count(ns) OVER z >= 20 THEN (ns - avg(ns) OVER z) / nullif(stddev_pop(ns) OVER z, 0) END, 0), 6) + 0.0 AS net_share_z FROM t
+_FLOW = f"""WITH {A.FLOWS}, m AS (SELECT date, nullif(sum(buy_value), 0) AS market FROM flow GROUP BY 1), g AS (SELECT m.date, t.investor_type, market, f.buy_value - f.sell_value AS net FROM m CROSS JOIN (SELECT DISTINCT investor_type FROM flow) t LEFT JOIN flow f ON f.date = m.date AND f.investor_type = t.investor_type),
+s AS (SELECT *, net / market AS share FROM g)
+SELECT date, investor_type, round(share, 6) + 0.0 AS net_share, round(CASE WHEN count(net) OVER w5 = 5 AND count(market) OVER w5 = 5 THEN sum(net) OVER w5 / nullif(sum(market) OVER w5, 0) END, 6) + 0.0 AS net_5d,
+  round(CASE WHEN count(net) OVER w20 = 20 AND count(market) OVER w20 = 20 THEN sum(net) OVER w20 / nullif(sum(market) OVER w20, 0) END, 6) + 0.0 AS net_20d,
+  round(CASE WHEN count(share) OVER z >= 20 THEN (share - avg(share) OVER z) / nullif(stddev_pop(share) OVER z, 0) END, 6) + 0.0 AS net_z60 FROM s
 WINDOW w5 AS (PARTITION BY investor_type ORDER BY date ROWS 4 PRECEDING), w20 AS (PARTITION BY investor_type ORDER BY date ROWS 19 PRECEDING), z AS (PARTITION BY investor_type ORDER BY date ROWS BETWEEN 60 PRECEDING AND 1 PRECEDING)"""
 
 
