@@ -56,6 +56,15 @@ def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bound the rows of an Arrow batch on Spark's side, since a row may hold a text of over 100 kB.
+
+    Plans read the setting when they run, so it holds for the rest of the session; a smaller one stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key, "10000")) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, rows: int = BATCH_ROWS) -> DataFrame:
     """mapInArrow whose batches are handed on in slices of so many rows, since a row may hold a text of over 100 kB."""
 
@@ -64,6 +73,7 @@ def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[p
             for at in range(0, max(batch.num_rows, 1), rows):
                 yield batch.slice(at, rows)
 
+    small_batches(df.sparkSession)
     return df.mapInArrow(lambda batches: fn(sliced(batches)), schema)
 
 

@@ -12,8 +12,9 @@ end each are a word of their own, which the tokenizer would tell apart anyway.
 All lists travel packed, a row for each (task, bucket, chunk), so the exchanges move few rows. Chunks
 are parts of ranges of doc_id that hold about as many documents each (common.Placement), whatever the ids are.
 
-Decoding joins the ids, one row each, with the table of pieces: a broadcast of one row for each id of the
-vocabulary, so rows stay in the order and the task of their document and need no exchange."""
+Decoding joins the distinct ids of each batch of documents with the table of pieces, then puts the pieces in
+the ids' places. The table is a broadcast of one row for each id of the vocabulary, so ids stay in the order and
+the task of their documents and need no exchange."""
 
 from __future__ import annotations
 
@@ -27,7 +28,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from .common import CHUNK_ROWS, CHUNK_SCHEMA, Placement, by_chunk, map_arrow, meet_by_chunk, pack, partitions, placement, text_tags, unpack, unpack_docs
 
@@ -338,49 +339,45 @@ def decode_documents(encoded: DataFrame, tokenizer_path: str) -> DataFrame:
     give a null text, no ids an empty one; bytes that are no UTF-8 become U+FFFD; an id outside the
     vocabulary fails. A column text of encoded is replaced, all others stay."""
     names = [c for c in encoded.columns if c != "text"]
-    row = encoded.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"), F.col("ids").alias("list"))
+    kept = encoded.select(*(F.col(f"`{c}`") for c in names))
 
     def listed(batches):
-        """The ids as numbers: a view of the same bytes."""
+        """A batch of documents as one value, with the distinct ids in it."""
         for batch in batches:
-            raw = batch.column(1).to_pylist()
-            flat = np.frombuffer(b"".join(x or b"" for x in raw), "<i4")
-            ends = np.cumsum([0, *(len(x or b"") // 4 for x in raw)])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))], names=["row", "list"])
-
-    as_numbers = map_arrow(row, listed, StructType([row.schema["row"], StructField("list", ArrayType(IntegerType()))]))
-    tokens = as_numbers.select("row", F.posexplode_outer("list").alias("pos", "id")).join(F.broadcast(piece_table(encoded.sparkSession, tokenizer_path)), "id", "left")
+            if batch.num_rows:
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, batch.schema) as out:
+                    out.write_batch(batch)
+                ids = np.unique(np.frombuffer(b"".join(x for x in batch.column(at).to_pylist() if x), "<i4"))
+                yield pa.RecordBatch.from_arrays([pa.array([sink.getvalue().to_pybytes()], pa.binary()), pa.array([ids], pa.list_(pa.int32()))], names=["docs", "ids"])
+
+    at = names.index("ids")
+    lists = map_arrow(kept, listed, "docs binary, ids array<int>")
+    pieces = lists.select("docs", F.posexplode_outer("ids").alias("pos", "id")).join(F.broadcast(piece_table(encoded.sparkSession, tokenizer_path)), "id", "left")
     first = F.coalesce(F.col("pos"), F.lit(0)) == 0
-    known = F.coalesce("piece", F.when(F.col("id").isNotNull(), F.raise_error(F.concat(F.lit("no such id: "), F.col("id").cast("string"))).cast("binary")).otherwise(F.lit(b"")))
+    known = F.coalesce("piece", F.when(F.col("id").isNotNull(), F.raise_error(F.concat(F.lit("no such id: "), F.col("id").cast("string"))).cast("binary")))
 
     def joined(batches):
-        """The pieces of one document follow each other, so they are one slice of the batch's bytes."""
-        open_row, parts = None, []
+        """The rows of one value follow each other, as a join with a broadcast table leaves them."""
+        docs, table = None, {}
 
-        def out(rows, texts):
-            texts = [None if r["ids"] is None else t.decode("utf-8", "replace") for r, t in zip(rows.to_pylist(), texts, strict=True)]
-            return pa.RecordBatch.from_arrays([rows, pa.array(texts, pa.string())], names=["row", "text"])
+        def out():
+            batch = pa.ipc.open_stream(docs).read_next_batch()
+            texts = [None if x is None else b"".join(map(table.__getitem__, np.frombuffer(x, "<i4").tolist())).decode("utf-8", "replace") for x in batch.column(at).to_pylist()]
+            return pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, "text"])
 
         for batch in batches:
-            starts = np.flatnonzero(batch.column(0).to_numpy(zero_copy_only=False))
-            pieces = batch.column(2)
-            _, offsets, data = pieces.buffers()
-            at = np.frombuffer(offsets, "<i4")[pieces.offset : pieces.offset + len(pieces) + 1]
-            cuts = at[np.concatenate((starts, [len(pieces)]))].tolist()
-            data = data.to_pybytes() if data is not None else b""
-            parts.append(data[at[0] : cuts[0]])
-            if len(starts):
-                rows = batch.column(1).take(pa.array(starts))
-                texts = [data[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
-                done = rows.slice(0, len(rows) - 1)
-                if open_row is not None:
-                    done, texts = pa.concat_arrays([open_row, done]), [b"".join(parts), *texts]
-                open_row, parts = rows.slice(len(rows) - 1), [texts.pop()]
-                if len(done):
-                    yield out(done, texts)
-        if open_row is not None:
-            yield out(open_row, [b"".join(parts)])
-
-    whole = tokens.select(first.alias("first"), F.when(first, F.col("row")).alias("row"), known.alias("piece"))
-    both = map_arrow(whole, joined, StructType([row.schema["row"], StructField("text", StringType())]), rows=1 << 30)
-    return both.select("row.*", "text")
+            opened = set(np.flatnonzero(batch.column(0).is_valid().to_numpy(zero_copy_only=False)).tolist())
+            ids, found = batch.column(1).to_pylist(), batch.column(2).to_pylist()
+            starts = sorted({0, *opened})
+            for start, end in zip(starts, [*starts[1:], len(ids)], strict=True):
+                if start in opened:
+                    if docs is not None:
+                        yield out()
+                    docs, table = batch.column(0)[start].as_py(), {}
+                table.update(zip(ids[start:end], found[start:end], strict=True))
+        if docs is not None:
+            yield out()
+
+    rows = pieces.select(F.when(first, F.col("docs")).alias("docs"), "id", known.alias("piece"))
+    return map_arrow(rows, joined, StructType([*kept.schema.fields, StructField("text", StringType())]), rows=1 << 30)
