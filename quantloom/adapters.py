@@ -5,6 +5,8 @@ that two engines go on from equal inputs."""
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -161,3 +163,14 @@ CURVES = """curve AS (
     SELECT *, round(coalesce((v / lag(v) OVER (PARTITION BY policy ORDER BY date) - 1) / 10, 0.0), 6) + 0.0 AS r FROM (
       SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS date, c_mktsegment AS policy, round(avg(o_totalprice), 6) + 0.0 AS v, CAST(count(*) AS DOUBLE) AS n
       FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2)))"""
+
+
+def portable(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
+    """Rows of a SQL text that both engines read alike; tables are named in braces."""
+    names = set(re.findall(r"\{(\w+)\}", sql))
+    return spark.sql(sql, **{n: table(spark, sf_dir, n) for n in names})
+
+
+def bare(sql: str) -> str:
+    """The text of portable() for the other engine."""
+    return re.sub(r"\{(\w+)\}", r"\1", sql)

@@ -90,3 +90,30 @@ def flow_conservation(flows: DataFrame, groups: int, at: str = "date", by: str =
     bought, net = F.sum("buy_value"), F.abs(F.sum(F.col("buy_value") - F.col("sell_value")))
     fine = (F.count_distinct(by) == groups) & ~((net > share * bought) & (bought > 0)) & (F.min("buy_value") >= 0) & (F.min("sell_value") >= 0)
     return flows.groupBy(at).agg(F.count_distinct(by).alias("groups"), F.coalesce(fine, F.lit(False)).alias("passed"))
+
+
+def failure_message(checks: DataFrame) -> DataFrame:
+    """One row, message: the failed checks by name; no row where all passed."""
+    failed = checks.where("not passed").agg(F.array_sort(F.collect_list(F.concat_ws(": ", "check", F.col("failures").cast("string")))).alias("f"))
+    return failed.where(F.size("f") > 0).select(F.array_join("f", "; ").alias("message"))
+
+
+def member_coverage(members: DataFrame, bars: DataFrame) -> DataFrame:
+    """ticker, required, covered, share and ready: how many of its member sessions have a bar."""
+    seen = members.select("date", "ticker").distinct().join(bars.select("date", "ticker").distinct().withColumn("__b", F.lit(1)), ["date", "ticker"], "left")
+    c = seen.groupBy("ticker").agg(F.count("*").alias("required"), F.count("__b").alias("covered"))
+    return c.select("ticker", "required", "covered", (F.col("covered") / F.col("required")).alias("share"), (F.col("covered") == F.col("required")).alias("ready"))
+
+
+def calendar_checks(calendar: DataFrame, expected: DataFrame, most_days: int, at: str = "date") -> DataFrame:
+    """Sessions there are, once each, on weekdays, no further apart than most_days, and none of those expected missing."""
+    steps = calendar.withColumn("__b", F.lag(at).over(Window.orderBy(at)))  # one row a session: a dimension
+    rows = check_rows(steps, {"weekday": F.weekday(at) < 5, "no_long_gap": F.col("__b").isNull() | (F.datediff(at, "__b") <= most_days)})
+    empty = calendar.agg(F.count("*").alias("n")).where("n = 0")
+    return union_checks(rows, count_check("not_empty", empty), count_check("unique_date", repeated_keys(calendar, [at])), count_check("complete", expected.join(calendar, at, "left_anti")))
+
+
+def rank_checks(df: DataFrame, keys: list[str], rank: str, value: str, tie: str) -> DataFrame:
+    """keys, n, complete (ranks are exactly 1 to n) and out_of_order (rows whose value is over that of the rank before)."""
+    before = F.lag(value).over(Window.partitionBy(*keys).orderBy(rank, tie))
+    return df.withColumn("__b", before).groupBy(*keys).agg(F.count("*").alias("n"), ((F.min(rank) == 1) & (F.max(rank) == F.count("*")) & (F.count_distinct(rank) == F.count("*"))).alias("complete"), F.count_if(F.col("__b") < F.col(value)).alias("out_of_order"))

@@ -4,6 +4,6 @@ from __future__ import annotations
 
 
 def modules() -> list:
-    from . import checks, contracts, joins, shapes, studies, windows
+    from . import checks, contracts, evidence, joins, shapes, studies, windows
 
-    return [windows, joins, shapes, studies, checks, contracts]
+    return [windows, joins, shapes, studies, checks, contracts, evidence]

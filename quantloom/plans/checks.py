@@ -149,11 +149,6 @@ def leakage(spark, d):
     return K.leakage_report(T(spark, d, "orders").select("o_orderkey", "o_orderdate", "o_orderstatus"), "o_orderkey", None, "o_orderstatus", "o_orderdate")
 
 
-@query("q02_boundaries", "SELECT * FROM (VALUES ('dates_in_one_split', true, CAST(0 AS BIGINT)), ('train_before_validation', true, CAST(0 AS BIGINT)), ('validation_before_test', true, CAST(0 AS BIGINT))) v(\"check\", passed, failures)")
-def boundaries(spark, d):
-    return K.boundary_checks(L.chronological(A.bars_type_week(spark, d)), ["train", "validation", "test"])
-
-
 @query("q03_coverage", f"WITH {A.NATION_MONTH} SELECT ticker, count(DISTINCT date) AS dates, min(date) AS first_date, max(date) AS last_date, (SELECT count(DISTINCT date) FROM bars) AS total, round(count(DISTINCT date) / (SELECT count(DISTINCT date) FROM bars)::DOUBLE, 6) + 0.0 AS coverage FROM bars GROUP BY 1")
 def covered(spark, d):
     return K.coverage(A.bars_nation_month(spark, d)).withColumn("coverage", r6(F.col("coverage")))
@@ -198,26 +193,6 @@ def references(spark, d):
     )
 
 
-@query("q14_metric_ledger", _checks(finite="SELECT 0", range="SELECT count(*) FROM customer WHERE c_acctbal NOT BETWEEN -500 AND 9000", positive_key="SELECT count(*) FROM customer WHERE c_custkey <= 0"))
-def ledger(spark, d):
-    x = F.col("c_acctbal")
-    return K.check_rows(T(spark, d, "customer"), {"finite": x.isNotNull() & ~F.isnan(x), "range": x.between(-500, 9000), "positive_key": F.col("c_custkey") > 0})
-
-
-@query("q17_no_look_ahead", "SELECT 'no_look_ahead' AS \"check\", true AS passed, CAST(0 AS BIGINT) AS failures")
-def look_ahead(spark, d):
-    f = A.fundamentals(spark, d).where("metric = 'high'").select("ticker", F.date_add("period_end", 60).alias("effective"), "value")
-    j = J.asof_join(A.bars_nation_month(spark, d).select("date", "ticker"), f, ["ticker"], "date", "effective", ["value"])
-    return K.check_rows(j, {"no_look_ahead": F.col("matched_at").isNull() | (F.col("matched_at") <= F.col("date"))})
-
-
-@query("q18_merge_preserves", "SELECT * FROM (VALUES ('not_recomputed', true, CAST(0 AS BIGINT)), ('not_stored', true, CAST(0 AS BIGINT))) v(\"check\", passed, failures)")
-def preserves(spark, d):
-    b = A.bars_nation_month(spark, d)
-    merged = J.replace_join(b, b.groupBy("ticker").agg(F.max("volume").alias("most")), ["ticker"]).select(*b.columns)
-    return K.same_rows(b, merged)
-
-
 @query("q20_unique_mapping", "SELECT p_brand, count(DISTINCT p_type) AS n FROM part GROUP BY 1 HAVING count(DISTINCT p_type) > 1")
 def unique_mapping(spark, d):
     return T(spark, d, "part").groupBy("p_brand").agg(F.count_distinct("p_type").alias("n")).where("n > 1")
@@ -228,13 +203,6 @@ def constancy(spark, d):
     return K.varying(T(spark, d, "lineitem"), "l_orderkey", ["l_returnflag", "l_linestatus"])
 
 
-@query("q24_intervals", f"WITH {A.MEMBERSHIP}, m AS (SELECT DISTINCT effective_from, effective_to, published_at, revised FROM members) " + _checks(contiguous="SELECT count(*) FROM (SELECT effective_from <> lag(effective_to) OVER (ORDER BY effective_from) AS bad FROM m) WHERE bad", published_before="SELECT count(*) FROM m WHERE NOT revised AND published_at > effective_from"))
-def intervals(spark, d):
-    m = A.membership(spark, d).select("effective_from", "effective_to", "published_at", "revised").distinct()
-    m = m.withColumn("before", F.lag("effective_to").over(Window.orderBy("effective_from")))
-    return K.check_rows(m, {"contiguous": F.col("before").isNull() | (F.col("before") == F.col("effective_from")), "published_before": F.col("revised") | (F.col("published_at") <= F.col("effective_from"))})
-
-
 @query("q26_environment", f"WITH {A.NATION_MONTH}, x AS (SELECT date, ticker, volume > 3 AS eligible, bool_and(close > 100000) OVER (PARTITION BY ticker ORDER BY date ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING) AS ok, lead(close) OVER (PARTITION BY ticker ORDER BY date) AS nx FROM bars) SELECT date, ticker FROM x WHERE eligible AND nx IS NOT NULL AND NOT coalesce(ok, false)")
 def environment(spark, d):
     w = W.ordered()

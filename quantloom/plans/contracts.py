@@ -62,11 +62,11 @@ def one_to_one(spark, d):
     return J.many_to_one(J.many_to_one(T(spark, d, "nation").select("n_nationkey", "n_name"), s, ["n_nationkey"]), c, ["n_nationkey"])
 
 
-@query("c04_candidate_control", f"WITH {_RET} SELECT a.date, a.ticker, round(a.r - b.r, 6) + 0.0 AS difference FROM ret a JOIN ret b ON a.date = b.date AND b.ticker = 'JAPAN' WHERE a.ticker IN ('CHINA', 'INDIA')")
+@query("c04_candidate_control", f"WITH {_RET} SELECT a.date, a.ticker, round(a.r - b.r, 6) + 0.0 AS difference FROM ret a JOIN ret b ON a.date = b.date AND b.ticker = 'NATION_12' WHERE a.ticker IN ('NATION_18', 'NATION_8')")
 def control(spark, d):
     r = returns_month(spark, d).select("date", "ticker", "r")
-    base = r.where("ticker = 'JAPAN'").select("date", F.col("r").alias("b"))
-    return r.where("ticker in ('CHINA', 'INDIA')").join(base, "date").select("date", "ticker", r6(F.col("r") - F.col("b")).alias("difference"))
+    base = r.where("ticker = 'NATION_12'").select("date", F.col("r").alias("b"))
+    return r.where("ticker in ('NATION_18', 'NATION_8')").join(base, "date").select("date", "ticker", r6(F.col("r") - F.col("b")).alias("difference"))
 
 
 @query("c17_aligned", f"WITH {A.CURVES} SELECT a.date, a.value AS candidate, b.value AS benchmark FROM curve a JOIN curve b USING (date) WHERE a.policy = 'HOUSEHOLD' AND b.policy = 'BUILDING'")
@@ -186,79 +186,6 @@ def stress_slices(spark, d):
     return t.agg(F.lit("test").alias("slice"), F.min("date").alias("first_date"), F.max("date").alias("last_date"), F.count("*").alias("sessions"))
 
 
-@query("q06_panel_contract", f"WITH {A.NATION_MONTH} " + _checks(unique_key="SELECT count(*) FROM (SELECT 1 FROM bars GROUP BY date, ticker HAVING count(*) > 1)", sector_known="SELECT count(*) FROM bars WHERE sector IS NULL", positive_close="SELECT count(*) FROM bars WHERE NOT close > 0"))
-def panel_contract(spark, d):
-    b = A.bars_nation_month(spark, d)
-    return K.check_rows(b, {"sector_known": F.col("sector").isNotNull(), "positive_close": F.col("close") > 0}).unionByName(K.count_check("unique_key", K.repeated_keys(b, ["date", "ticker"])))
-
-
-@query("q08_package", _checks(bar_grain="SELECT count(*) FROM (SELECT 1 FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1)", status_domain="SELECT count(*) FROM orders WHERE o_orderstatus NOT IN ('O', 'F')", bar_has_session="SELECT count(*) FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders)", available_in_time="SELECT count(*) FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_shipdate < o_orderdate"))
-def package(spark, d):
-    l, o = T(spark, d, "lineitem"), T(spark, d, "orders")
-    late = l.join(o, l.l_orderkey == o.o_orderkey).where("l_shipdate < o_orderdate")
-    return K.union_checks(
-        K.count_check("bar_grain", K.repeated_keys(l, ["l_orderkey", "l_linenumber"])), K.check_rows(o, {"status_domain": F.col("o_orderstatus").isin("O", "F")}),
-        K.count_check("bar_has_session", l.join(o, l.l_orderkey == o.o_orderkey, "left_anti")), K.count_check("available_in_time", late),
-    )
-
-
-@query("q10_action_domain", _checks(known_type="SELECT count(*) FROM events WHERE event_type NOT IN ('click', 'view', 'purchase')", factor_positive="SELECT count(*) FROM events WHERE NOT value > 0"))
-def action_domain(spark, d):
-    return K.check_rows(T(spark, d, "events"), {"known_type": F.col("event_type").isin("click", "view", "purchase"), "factor_positive": F.col("value") > 0})
-
-
-@query("q15_transitions", f"WITH {A.CURVES}, c AS (SELECT *, lag(value) OVER (PARTITION BY policy ORDER BY date) AS b FROM curve) " + _checks(positive_value="SELECT count(*) FROM c WHERE NOT value > 0", accounting="SELECT count(*) FROM c WHERE abs(cost - turnover * 10) > 1e-4", bounded_step="SELECT count(*) FROM c WHERE b IS NOT NULL AND abs(value / b - 1) > 0.05"))
-def transition_contract(spark, d):
-    c = A.curves(spark, d).withColumn("b", F.lag("value").over(W.ordered("policy")))
-    return K.check_rows(c, {"positive_value": F.col("value") > 0, "accounting": F.abs(F.col("cost") - F.col("turnover") * 10) <= 1e-4, "bounded_step": F.col("b").isNull() | (F.abs(F.col("value") / F.col("b") - 1) <= 0.05)})
-
-
-_TRUE2 = "SELECT * FROM (VALUES ('not_recomputed', true, CAST(0 AS BIGINT)), ('not_stored', true, CAST(0 AS BIGINT))) v(\"check\", passed, failures)"
-
-
-@query("q16_sector_recompute", _TRUE2)
-def sector_recompute(spark, d):
-    """A stored sector mean against one computed by grouping and joining back."""
-    b = A.bars_nation_month(spark, d)
-    stored = b.select("date", "ticker", F.round(F.avg("close").over(Window.partitionBy("date", "sector")), 3).alias("m"))
-    again = b.join(b.groupBy("date", "sector").agg(F.round(F.avg("close"), 3).alias("m")), ["date", "sector"]).select("date", "ticker", "m")
-    return K.same_rows(stored, again)
-
-
-@query("q19_trials", _checks(finite="SELECT 0", unique_trial="SELECT count(*) FROM (SELECT 1 FROM customer GROUP BY c_name HAVING count(*) > 1)"))
-def trial_contract(spark, d):
-    c = T(spark, d, "customer")
-    return K.check_rows(c, {"finite": F.col("c_acctbal").isNotNull() & ~F.isnan("c_acctbal")}).unionByName(K.count_check("unique_trial", K.repeated_keys(c, ["c_name"])))
-
-
-@query("q21_calendar", f"WITH {A.TYPE_WEEK}, s AS (SELECT DISTINCT date FROM bars) " + _checks(not_empty="SELECT CASE WHEN count(*) = 0 THEN 1 ELSE 0 END FROM s", unique_date="SELECT 0", on_monday="SELECT count(*) FROM s WHERE isodow(date) <> 1"))
-def calendar_contract(spark, d):
-    s = A.bars_type_week(spark, d).select("date").distinct()
-    n = K.count_check("not_empty", s.agg(F.count("*").alias("n")).where("n = 0"))
-    return K.union_checks(n, K.count_check("unique_date", K.repeated_keys(s, ["date"])), K.check_rows(s, {"on_monday": F.weekday("date") == 0}))
-
-
-@query("q22_schedule_recompute", _TRUE2)
-def schedule_recompute(spark, d):
-    """The fold schedule again from rows in another order."""
-    b = A.bars_type_week(spark, d)
-    return K.same_rows(L.half_year_folds(b, _FOLDS), L.half_year_folds(b.orderBy(F.desc("date")), _FOLDS))
-
-
-@query("q25_ranks", "WITH s AS (SELECT s_nationkey, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_acctbal DESC, s_suppkey) AS k FROM supplier) SELECT s_nationkey, max(k) AS n, max(k) = count(DISTINCT k) AND min(k) = 1 AS complete FROM s GROUP BY 1")
-def ranks(spark, d):
-    s = T(spark, d, "supplier").select("s_nationkey", F.row_number().over(Window.partitionBy("s_nationkey").orderBy(F.desc("s_acctbal"), "s_suppkey")).cast("long").alias("k"))
-    return s.groupBy("s_nationkey").agg(F.max("k").alias("n"), ((F.max("k") == F.count_distinct("k")) & (F.min("k") == 1)).alias("complete"))
-
-
-@query("q27_eligibility_contract", _checks(conjunction="SELECT 0", dense="SELECT 0"))
-def eligibility_contract(spark, d):
-    from .studies import eligibility
-
-    e = eligibility(spark, d)
-    return K.check_rows(e, {"conjunction": F.col("eligible") == (F.col("member") & F.col("has_bar") & F.col("history")), "dense": F.col("eligible").isNotNull()})
-
-
 @query("q33_fold_summary", _HALF + " SELECT fold, count(*) FILTER (role = 'train') AS train, count(*) FILTER (role = 'test') AS test, count(*) FILTER (role = 'unused') AS unused, count(*) FILTER (role = 'unused') = 1 AS passed FROM sched GROUP BY 1")
 def fold_summary(spark, d):
     s = L.half_year_folds(A.bars_type_week(spark, d), _FOLDS)

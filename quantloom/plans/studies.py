@@ -345,9 +345,9 @@ def momentum(spark, d):
     return P.momentum(W.with_returns(A.bars_nation_month(spark, d), (5,)), "return_5d").withColumn("weight", r6(F.col("weight")))
 
 
-@query("p07_single_name", f"WITH {A.NATION_MONTH} SELECT 'hold_JAPAN' AS policy, date, ticker, CAST(ticker = 'JAPAN' AS DOUBLE) AS weight FROM bars")
+@query("p07_single_name", f"WITH {A.NATION_MONTH} SELECT 'hold_NATION_12' AS policy, date, ticker, CAST(ticker = 'NATION_12' AS DOUBLE) AS weight FROM bars")
 def single(spark, d):
-    return P.single_name(A.bars_nation_month(spark, d), "JAPAN")
+    return P.single_name(A.bars_nation_month(spark, d), "NATION_12")
 
 
 @query("p08_mean_variance", None)
@@ -412,7 +412,7 @@ def random_slices(spark, d):
 @query("p18_baseline_suite", None)
 def suite(spark, d):
     b = W.with_returns(A.bars_nation_month(spark, d), (1, 5))
-    weights = P.equal_weight(b).unionByName(P.momentum(b, "return_5d")).unionByName(P.single_name(b, "JAPAN")).unionByName(P.mean_variance(b.select("date", "ticker", F.col("return_1d").alias("r"))))
+    weights = P.equal_weight(b).unionByName(P.momentum(b, "return_5d")).unionByName(P.single_name(b, "NATION_12")).unionByName(P.mean_variance(b.select("date", "ticker", F.col("return_1d").alias("r"))))
     return M.equity_metrics(P.closed_form(weights, returns_month(spark, d), 0.0015, 0.0005))
 
 
