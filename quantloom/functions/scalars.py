@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import re
+import unicodedata
 from functools import reduce
 from statistics import NormalDist
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -173,3 +175,48 @@ def work_units(algorithm: Column, steps: Column, learning_starts: int = 0, train
     """Environment steps; for off-policy algorithms also the rows of all gradient steps after the start."""
     updates = F.floor(F.greatest(steps - learning_starts, F.lit(0)) / max(train_freq, 1))
     return (steps + F.when(algorithm.isin(*OFF_POLICY), updates * max(gradient_steps, 1) * max(batch_size, 1)).otherwise(0)).cast("long")
+
+
+def by_prefix(columns: list[str], prefixes: tuple[str, ...]) -> list[str]:
+    """The columns that begin with one of the prefixes, in their order."""
+    return [c for c in columns if c.startswith(prefixes)]
+
+
+def headroom(limit: Column, used: Column) -> Column:
+    return F.greatest(limit - used, F.lit(0.0))
+
+
+def masked_budget(df: DataFrame, raw: str, mask: str, by: list[str], most: float = 1.0, least_cash: float = 0.0) -> DataFrame:
+    """df with weight: raw clipped to [0, most], 0 outside the mask or where raw is null, scaled down where the
+    weights of a group add up to more than 1 - least_cash."""
+    w = F.when(F.coalesce(F.col(mask), F.lit(False)), F.least(F.greatest(F.coalesce(raw, F.lit(0.0)), F.lit(0.0)), F.lit(most))).otherwise(0.0)
+    x = df.withColumn("__w", w).withColumn("__t", F.sum("__w").over(Window.partitionBy(*by)))
+    return x.withColumn("weight", F.when(F.col("__t") > 1 - least_cash, F.col("__w") / F.col("__t") * (1 - least_cash)).otherwise(F.col("__w"))).drop("__w", "__t")
+
+
+def canonical_sector(sectors: list[str]) -> callable:
+    """Text to one of the sectors: compatibility forms (NFKC), ' and ' as &, single spaces, any case; else null.
+
+    Neither engine has NFKC, so whole Arrow batches go through Python."""
+    table = {s.casefold(): s for s in sectors}
+
+    @F.pandas_udf("string")
+    def sector(x: pd.Series) -> pd.Series:
+        def one(v):
+            text = unicodedata.normalize("NFKC", v).replace(" and ", " & ")
+            return table.get(re.sub(r"\s+", " ", re.sub(r"\s*&\s*", " & ", text)).strip().casefold())
+
+        return x.map(lambda v: None if v is None else one(v))
+
+    return sector
+
+
+def normal_quantile() -> callable:
+    """The inverse of normal_cdf; null at and outside 0 and 1."""
+
+    @F.pandas_udf("double")
+    def quantile(p: pd.Series) -> pd.Series:
+        n = NormalDist()
+        return p.map(lambda v: n.inv_cdf(v) if not pd.isna(v) and 0 < v < 1 else None)
+
+    return quantile

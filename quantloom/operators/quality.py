@@ -41,14 +41,34 @@ def require_columns(df: DataFrame, columns: list[str]) -> DataFrame:
     return df
 
 
-def leakage_report(panel: DataFrame, row_id: str, released: str | None = None, by: str = "ticker", at: str = "date") -> DataFrame:
-    """Valid dates, unique keys, dates in order of the source rows, and nothing released after its date."""
-    w = Window.partitionBy(by).orderBy(row_id)
-    steps = panel.withColumn("__ok", F.coalesce(F.col(at) >= F.lag(at).over(w), F.lit(True)))
-    tests = {"valid_dates": F.col(at).isNotNull(), "monotonic": F.col("__ok")}
-    if released:
-        tests["released_in_time"] = F.col(released).isNull() | (F.col(released) <= F.col(at))
-    return check_rows(steps, tests).unionByName(count_check("unique_keys", repeated_keys(panel, [at, by])))
+#: How columns of release dates end.
+RELEASE_SUFFIXES = ("release_date", "available_date", "asof_date")
+
+
+def release_columns(columns: list[str], at: str = "date") -> list[str]:
+    return [c for c in columns if c != at and any(c == s or c.endswith(f"_{s}") for s in RELEASE_SUFFIXES)]
+
+
+def leakage_report(panel: DataFrame, row_id: str, released: list[str] | None = None, by: str = "ticker", at: str = "date") -> DataFrame:
+    """Valid dates, unique keys, tickers whose dates are not in the order of the source rows, and for each release
+    column (those named, else found by their ending) missing dates and dates after the row's own.
+
+    A ticker may hold a third of all rows: its order is tested in ranges of row_id, each against the greatest
+    date of the ranges before it, and never in one sort."""
+    columns = release_columns(panel.columns, at) if released is None else released
+    rows = panel.where(F.col(at).isNotNull())
+    ends = rows.agg(F.min(row_id).alias("a"), F.max(row_id).alias("b"))
+    ranges = 64
+    share = F.try_divide(F.col(row_id) - F.col("a"), F.col("b") - F.col("a"))
+    dealt = rows.crossJoin(F.broadcast(ends)).withColumn("__g", F.least(F.floor(F.coalesce(share, F.lit(0.0)) * ranges), F.lit(ranges - 1)))
+    greatest = dealt.groupBy(by, "__g").agg(F.max(at).alias("__m"))
+    before = greatest.select(by, "__g", F.max("__m").over(Window.partitionBy(by).orderBy("__g").rowsBetween(Window.unboundedPreceding, -1)).alias("__before"))
+    inside = dealt.withColumn("__last", F.lag(at).over(Window.partitionBy(by, "__g").orderBy(row_id))).join(F.broadcast(before), [by, "__g"])
+    disorder = inside.where((F.col(at) < F.col("__last")) | (F.col(at) < F.col("__before"))).select(by).distinct()
+    tests = {"valid_dates": F.col(at).isNotNull()}
+    for c in columns:
+        tests |= {f"{c}_valid": F.col(c).isNotNull(), f"{c}_not_future": F.col(c).isNull() | F.col(at).isNull() | (F.col(c) <= F.col(at))}
+    return union_checks(check_rows(panel, tests), count_check("monotonic", disorder), count_check("unique_keys", repeated_keys(rows, [at, by])))
 
 
 def boundary_checks(labelled: DataFrame, order: list[str], at: str = "date") -> DataFrame:
@@ -117,3 +137,44 @@ def rank_checks(df: DataFrame, keys: list[str], rank: str, value: str, tie: str)
     """keys, n, complete (ranks are exactly 1 to n) and out_of_order (rows whose value is over that of the rank before)."""
     before = F.lag(value).over(Window.partitionBy(*keys).orderBy(rank, tie))
     return df.withColumn("__b", before).groupBy(*keys).agg(F.count("*").alias("n"), ((F.min(rank) == 1) & (F.max(rank) == F.count("*")) & (F.count_distinct(rank) == F.count("*"))).alias("complete"), F.count_if(F.col("__b") < F.col(value)).alias("out_of_order"))
+
+
+def subset_check(name: str, part: DataFrame, whole: DataFrame, key: str) -> DataFrame:
+    """How many keys of part the whole lacks."""
+    return count_check(name, part.select(key).distinct().join(whole.select(key).distinct(), key, "left_anti"))
+
+
+def overlap_check(name: str, df: DataFrame, at: str, start: str, end: str) -> DataFrame:
+    """Whether there are dates, and from the least to the greatest of them the window is touched."""
+    ends = df.agg(F.min(at).alias("a"), F.max(at).alias("b"))
+    apart = F.col("a").isNull() | (F.col("b") < F.lit(start).cast("date")) | (F.col("a") > F.lit(end).cast("date"))
+    return count_check(name, ends.where(apart))
+
+
+def source_ready(name: str, df: DataFrame, columns: list[str], least: int) -> DataFrame:
+    """source, rows, missing_columns, ready and reason: the columns it must have, and its least number of rows."""
+    missing = [c for c in columns if c not in df.columns]
+    n = df.agg(F.count("*").alias("rows"))
+    reason = F.lit("missing required columns") if missing else F.when(F.col("rows") >= least, "ready").otherwise("too few rows")
+    return n.select(F.lit(name).alias("source"), "rows", F.lit(",".join(missing)).alias("missing_columns"), (F.lit(not missing) & (F.col("rows") >= least)).alias("ready"), reason.alias("reason"))
+
+
+def environment_checks(panel: DataFrame, features: list[str], price: str, eligible: str, lookback: int, by: str = "ticker", at: str = "date") -> DataFrame:
+    """Rows that are eligible and have an outcome: finite features in the whole lookback before, positive prices now and next."""
+    w = Window.partitionBy(by).orderBy(at)
+    fine = F.lit(True)
+    for c in features:
+        fine = fine & F.coalesce(~F.isnan(c) & (F.abs(c) < float("inf")), F.lit(False)) & F.col(c).isNotNull()
+    past = w.rowsBetween(-lookback, -1)
+    x = panel.withColumn("__f", fine)
+    x = x.withColumns({"__fine": F.coalesce(F.bool_and("__f").over(past), F.lit(False)) & (F.count("*").over(past) == lookback), "__next": F.lead(price).over(w)})
+    return check_rows(x.where(F.col(eligible) & F.col("__next").isNotNull()), {"lookback_finite": F.col("__fine"), "decision_price": F.col(price) > 0, "outcome_price": F.col("__next") > 0})
+
+
+def objective_checks(metrics: DataFrame, actions: DataFrame) -> DataFrame:
+    """metrics(objective, max_drawdown, turnover) and actions(date, weight) of trials: finite, in range, and no more than the capital a date."""
+    finite = lambda c: F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
+    a = check_rows(metrics, {"finite_objective": finite("objective"), "drawdown": F.col("max_drawdown").between(-1.0, 0.0), "not_negative": F.col("turnover") >= 0})
+    b = check_rows(actions, {"weights": finite("weight") & F.col("weight").between(-1e-8, 1 + 1e-8)})
+    over = actions.groupBy("date").agg(F.sum("weight").alias("s")).where(F.col("s") > 1 + 1e-6)
+    return union_checks(a, b, count_check("daily_sum", over))

@@ -85,17 +85,27 @@ def technical_features(panel: DataFrame, by: str = "ticker", at: str = "date") -
 def with_ema(panel: DataFrame, spans: tuple[int, ...], price: str = "close", by: str = "ticker", at: str = "date") -> DataFrame:
     """ema_{span}: recursive mean, e = e' (1 - a) + a x with a = 2 / (span + 1), from the first value on.
 
-    A null carries the last value and lets its weight fade. The recursion has no window form, so each
-    entity's rows go through one grouped pandas call."""
-    schema = StructType([*panel.schema.fields, *(StructField(f"ema_{s}", DoubleType()) for s in spans)])
+    A null carries the last value and lets its weight fade. The recursion has no window form: an entity's
+    values are folded in order by array functions in the JVM, so the group is the history of one entity."""
+    item = F.struct(F.col(at).alias("k"), F.struct(*(F.col(c) for c in panel.columns)).alias("row"), F.col(price).cast("double").alias("x"))
+    rows = panel.groupBy(by).agg(F.array_sort(F.collect_list(item), lambda a, b: F.when(a["k"] < b["k"], -1).when(a["k"] > b["k"], 1).otherwise(0)).alias("rows"))
 
-    def fold(rows):
-        rows = rows.sort_values(at)
-        for s in spans:
-            rows[f"ema_{s}"] = rows[price].ewm(span=s, adjust=False).mean()
-        return rows
+    def fold(span: int) -> Column:
+        keep = 1 - 2 / (span + 1)
+        # the mean so far, and the weight of what came before the next value
+        start = F.struct(F.lit(None).cast("double").alias("e"), F.lit(1.0).alias("w"), F.array().cast("array<double>").alias("out"))
 
-    return panel.groupBy(by).applyInPandas(fold, schema)
+        def step(s, r):
+            x, w = r["x"], s["w"] * keep
+            new = F.when(x.isNull(), s["e"]).when(s["e"].isNull(), x).otherwise((w * s["e"] + (1 - keep) * x) / (w + (1 - keep)))
+            weight = F.when(s["e"].isNull() & x.isNull(), F.lit(1.0)).when(x.isNull(), w).otherwise(F.lit(1.0))
+            return F.struct(new.alias("e"), weight.alias("w"), F.array_append(s["out"], new).alias("out"))
+
+        return F.aggregate("rows", start, step, lambda s: s["out"])
+
+    means = rows.withColumns({f"ema_{s}": fold(s) for s in spans})
+    zipped = means.select(F.explode(F.arrays_zip(F.transform("rows", lambda r: r["row"]).alias("row"), *(F.col(f"ema_{s}") for s in spans))).alias("z"))
+    return zipped.select("z.row.*", *(f"z.ema_{s}" for s in spans))
 
 
 def with_drawdown(curve: DataFrame, value: str = "value", by: str = "policy", at: str = "date") -> DataFrame:
@@ -166,3 +176,52 @@ def peer_mean(x: str, active: str, within: tuple[str, ...]) -> tuple[Column, Col
     own = F.when(F.col(active), F.col(x))
     n = F.count(own).over(w) - F.when(own.isNotNull(), 1).otherwise(0)
     return F.when(n > 0, (F.sum(own).over(w) - F.coalesce(own, F.lit(0.0))) / n), n
+
+
+def sector_context(panel: DataFrame, x: str, active: str, observed: str, known_at: str, within: tuple[str, ...], neutral: float = 0.0) -> DataFrame:
+    """panel with the mean of its group and of its group without the row itself.
+
+    Rows that are active and observed contribute. Counts and coverage are 0, means and differences neutral, and
+    information_at null for rows that are not active or have none to stand on. All share one exchange."""
+    w = Window.partitionBy(*within)
+    on, seen = F.col(active), F.col(observed)
+    own = F.when(on & seen, F.col(x))
+    n, total, members = F.count(own).over(w), F.coalesce(F.sum(own).over(w), F.lit(0.0)), F.count_if(on).over(w)
+    df = panel.withColumns({"__n": n, "__s": total, "__m": members, "__k": F.when(own.isNotNull(), 1).otherwise(0), "__own": F.coalesce(own, F.lit(0.0)), "__info": F.max(F.when(own.isNotNull(), F.col(known_at))).over(w)})
+    peers, peer_sum = F.col("__n") - F.col("__k"), F.col("__s") - F.col("__own")
+    some, others = on & (F.col("__n") > 0), on & (peers > 0)
+    mean, peer_mean = F.col("__s") / F.col("__n"), peer_sum / peers
+    either = lambda cond, value: F.when(cond, value).otherwise(F.lit(neutral))
+    return df.select(
+        *panel.columns, F.when(on, F.col("__m")).otherwise(0).cast("long").alias("members"), F.when(on, F.col("__n")).otherwise(0).cast("long").alias("contributors"), F.when(on & (F.col("__m") > 0), F.col("__n") / F.col("__m")).otherwise(0.0).alias("coverage"),
+        some.alias("available"), either(some, mean).alias("mean_return"), (some & seen).alias("relative_available"), either(some & seen, F.col(x) - mean).alias("relative_return"), F.when(on, peers).otherwise(0).cast("long").alias("peers"),
+        others.alias("peer_available"), either(others, peer_mean).alias("peer_return"), (others & seen).alias("relative_peer_available"), either(others & seen, F.col(x) - peer_mean).alias("relative_peer_return"), F.when(some, F.col("__info")).alias("information_at"),
+    )
+
+
+def prototype_rsi(panel: DataFrame, n: int, price: str = "close", by: str = "ticker", at: str = "date") -> DataFrame:
+    """panel with rsi_{n} on a scale of 100: 100 without a loss, null without any step or before n rows."""
+    step = F.col(price) - F.lag(price).over(ordered(by, at))
+    x = panel.withColumn("__d", step)
+    f = last_rows(n, by, at)
+    up, down = F.avg(F.greatest(F.coalesce("__d", F.lit(0.0)), F.lit(0.0))).over(f), F.avg(F.greatest(-F.coalesce("__d", F.lit(0.0)), F.lit(0.0))).over(f)
+    x = x.withColumns({"__u": up, "__l": down, "__n": F.count("*").over(f)})
+    value = F.when((F.col("__n") < n) | ((F.col("__u") == 0) & (F.col("__l") == 0)), None).when(F.col("__l") == 0, 100.0).otherwise(100 - 100 / (1 + F.col("__u") / F.col("__l")))
+    return x.withColumn(f"rsi_{n}", value).drop("__d", "__u", "__l", "__n")
+
+
+def bands(panel: DataFrame, rows: int = 20, width: float = 2.0, k_rows: int = 14, d_rows: int = 3, by: str = "ticker", at: str = "date") -> DataFrame:
+    """panel with middle, lower and upper (mean and population deviations), stoch_k and stoch_d; null before a frame is full."""
+    f, g, h = last_rows(rows, by, at), last_rows(k_rows, by, at), last_rows(d_rows, by, at)
+    full = lambda frame, n, value: F.when(F.count("*").over(frame) == n, value)
+    mean, dev = F.avg("close").over(f), F.stddev_pop("close").over(f)
+    low, high = F.min("low").over(g), F.max("high").over(g)
+    x = panel.withColumns({"middle": full(f, rows, mean), "lower": full(f, rows, mean - width * dev), "upper": full(f, rows, mean + width * dev), "stoch_k": full(g, k_rows, F.try_divide(100 * (F.col("close") - low), high - low))})
+    return x.withColumn("stoch_d", F.when(F.count("stoch_k").over(h) == d_rows, F.avg("stoch_k").over(h)))
+
+
+def macd(panel: DataFrame, short: int = 12, long: int = 26, signal: int = 9, price: str = "close", by: str = "ticker", at: str = "date") -> DataFrame:
+    """panel with macd, its recursive mean as signal, and their difference as histogram."""
+    e = with_ema(panel, (short, long), price, by, at).withColumn("macd", F.col(f"ema_{short}") - F.col(f"ema_{long}")).drop(f"ema_{short}", f"ema_{long}")
+    s = with_ema(e, (signal,), "macd", by, at).withColumnRenamed(f"ema_{signal}", "signal")
+    return s.withColumn("histogram", F.col("macd") - F.col("signal"))

@@ -85,12 +85,6 @@ def news(spark, d):
     return N.normal_news(raw).select("ticker", F.col("published_at").cast("timestamp_ntz").alias("published_at"), "title", "text")
 
 
-@query("a15_daily_sentiment", f"WITH {A.NEWS} SELECT ticker, date, round(avg((coalesce(list_sum(list_transform(string_split(text, ''), lambda c: unicode(c))), 0) % 200 - 100) / 100.0::DOUBLE) + 1e-9, 6) + 0.0 AS sentiment_score, count(*) AS news_count FROM news GROUP BY 1, 2")
-def sentiment(spark, d):
-    s = N.daily_sentiment(A.news(spark, d), S.codepoint_sentiment(F.col("text")))
-    return s.withColumn("sentiment_score", r6(F.col("sentiment_score") + 1e-9))
-
-
 @query("a16_flows", f"WITH {A.FLOWS} SELECT date, CASE investor_type WHEN 'click' THEN 'retail' ELSE 'foreign' END AS investor_type, floor(buy_value) AS buy_value, CASE WHEN day(date) % 5 = 0 THEN NULL ELSE floor(sell_value) END AS sell_value, floor(buy_value) - coalesce(CASE WHEN day(date) % 5 = 0 THEN NULL ELSE floor(sell_value) END, 0) AS net_value FROM flow WHERE investor_type IN ('click', 'view')")
 def flows(spark, d):
     f = A.flows(spark, d)
@@ -144,11 +138,6 @@ def _checks(**tests: str) -> str:
     return " UNION ALL ".join(f"SELECT '{n}' AS \"check\", ({sql}) = 0 AS passed, CAST(({sql}) AS BIGINT) AS failures" for n, sql in tests.items())
 
 
-@query("q01_leakage", _checks(valid_dates="SELECT count(*) FROM orders WHERE o_orderdate IS NULL", monotonic="SELECT count(*) FROM (SELECT o_orderdate < lag(o_orderdate) OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey) AS bad FROM orders) WHERE bad", unique_keys="SELECT count(*) FROM (SELECT 1 FROM orders GROUP BY o_orderdate, o_orderstatus HAVING count(*) > 1)"))
-def leakage(spark, d):
-    return K.leakage_report(T(spark, d, "orders").select("o_orderkey", "o_orderdate", "o_orderstatus"), "o_orderkey", None, "o_orderstatus", "o_orderdate")
-
-
 @query("q03_coverage", f"WITH {A.NATION_MONTH} SELECT ticker, count(DISTINCT date) AS dates, min(date) AS first_date, max(date) AS last_date, (SELECT count(DISTINCT date) FROM bars) AS total, round(count(DISTINCT date) / (SELECT count(DISTINCT date) FROM bars)::DOUBLE, 6) + 0.0 AS coverage FROM bars GROUP BY 1")
 def covered(spark, d):
     return K.coverage(A.bars_nation_month(spark, d)).withColumn("coverage", r6(F.col("coverage")))
@@ -203,20 +192,6 @@ def constancy(spark, d):
     return K.varying(T(spark, d, "lineitem"), "l_orderkey", ["l_returnflag", "l_linestatus"])
 
 
-@query("q26_environment", f"WITH {A.NATION_MONTH}, x AS (SELECT date, ticker, volume > 3 AS eligible, bool_and(close > 100000) OVER (PARTITION BY ticker ORDER BY date ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING) AS ok, lead(close) OVER (PARTITION BY ticker ORDER BY date) AS nx FROM bars) SELECT date, ticker FROM x WHERE eligible AND nx IS NOT NULL AND NOT coalesce(ok, false)")
-def environment(spark, d):
-    w = W.ordered()
-    b = A.bars_nation_month(spark, d).withColumns({"ok": F.bool_and(F.col("close") > 100000).over(w.rowsBetween(-5, -1)), "nx": F.lead("close").over(w)})
-    return b.where("volume > 3 and nx is not null and not coalesce(ok, false)").select("date", "ticker")
-
-
-@query("q28_observed", f"WITH {A.NATION_MONTH}, r AS (SELECT *, close / lag(close) OVER (PARTITION BY ticker ORDER BY date) - 1 AS r, volume % 10 <> 0 AS observed FROM bars) " + _checks(observed_finite="SELECT count(*) FROM r WHERE observed AND r IS NULL", unobserved_null="SELECT count(*) FROM r WHERE NOT observed AND r IS NOT NULL"))
-def observed(spark, d):
-    b = A.bars_nation_month(spark, d)
-    r = b.select((F.col("close") / F.lag("close").over(W.ordered()) - 1).alias("r"), (F.pmod("volume", F.lit(10)) != 0).alias("observed"))
-    return K.check_rows(r, {"observed_finite": ~F.col("observed") | F.col("r").isNotNull(), "unobserved_null": F.col("observed") | F.col("r").isNull()})
-
-
 @query("q30_weight_sums", f"WITH {A.NATION_MONTH}, w AS (SELECT date, sum((volume % 10) / 100.0::DOUBLE) AS s FROM bars GROUP BY 1) SELECT date, round(s, 6) + 0.0 AS total, s <= 1 + 1e-9 AS passed FROM w")
 def weight_sums(spark, d):
     w = A.bars_nation_month(spark, d).groupBy("date").agg(F.sum(F.pmod("volume", F.lit(10)) / 100.0).alias("s"))

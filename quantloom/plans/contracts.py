@@ -48,13 +48,6 @@ def month_history(spark, d):
     return m.select("metric", "period", F.when(F.col("days") < 28, "provisional").otherwise("final").alias("revision"))
 
 
-@query("b07_group_counts", "SELECT split_part(c, '_', 1) AS prefix, count(*) AS n FROM (VALUES ('flow_net'), ('flow_z'), ('sector_mean'), ('policy_rate')) v(c) GROUP BY 1")
-def group_counts(spark, d):
-    names = ["flow_net", "flow_z", "sector_mean", "policy_rate"]
-    df = spark.createDataFrame([(c,) for c in names if c.split("_")[0] in ("flow", "sector", "policy")], "c string")
-    return df.groupBy(F.substring_index("c", "_", 1).alias("prefix")).agg(F.count("*").alias("n"))
-
-
 @query("c02_one_to_one", "SELECT n_nationkey, n_name, s.k AS suppliers, c.k AS customers FROM nation LEFT JOIN (SELECT s_nationkey, count(*) AS k FROM supplier GROUP BY 1) s ON n_nationkey = s_nationkey LEFT JOIN (SELECT c_nationkey, count(*) AS k FROM customer GROUP BY 1) c ON n_nationkey = c_nationkey")
 def one_to_one(spark, d):
     s = T(spark, d, "supplier").groupBy(F.col("s_nationkey").alias("n_nationkey")).agg(F.count("*").alias("suppliers"))

@@ -123,11 +123,6 @@ def grid_cross(spark, d):
 _GRID = f"WITH {A.NATION_MONTH} SELECT s.date, t.ticker, coalesce(close, 0.0) AS close, close IS NOT NULL AS present FROM (SELECT DISTINCT date FROM bars) s CROSS JOIN (SELECT DISTINCT ticker FROM bars) t LEFT JOIN bars b ON b.date = s.date AND b.ticker = t.ticker"
 
 
-def anti_join(spark, d):
-    c = A.table(spark, d, "customer")
-    return c.join(A.table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti").select("c_custkey", "c_mktsegment")
-
-
 def semi_join(spark, d):
     p = A.table(spark, d, "part")
     return p.join(A.table(spark, d, "lineitem").where("l_discount > 0.09").select(F.col("l_partkey").alias("p_partkey")), "p_partkey", "left_semi").select("p_partkey", "p_brand")
@@ -202,7 +197,6 @@ QUERIES = {
     "c03_paired_inner": (paired, _PAIRED), "c05_outer_chain": (outer_chain, _OUTER), "c06_asof_by_key": (asof_fundamentals, _ASOF), "c07_asof_tolerance": (asof_tolerance, _TOL), "c08_calendar_asof": (calendar_asof, _CAL),
     "c09_availability_shift": (availability_shift, _SHIFT), "c09_strict_asof": (strict_asof, _STRICT), "c10_rate_history": (rate_history, _RATE), "c11_reindex_ffill": (reindex_ffill, _REINDEX),
     "c12_interval": (interval_containment, _INTERVAL), "c13_latest_eligible": (latest_record, _LATEST), "c14_grid": (grid_cross, _GRID),
-    "c15_anti": (anti_join, "SELECT c_custkey, c_mktsegment FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)"),
     "c16_semi": (semi_join, "SELECT p_partkey, p_brand FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_discount > 0.09)"),
     "c18_positional": (positional, _POS), "c20_replace": (replaced, _REPL), "c21_first_action": (first_action, _FIRST), "c22_exactly_one": (exactly_one, _ONE), "c23_session_lag": (session_lag, _LAG),
 }
