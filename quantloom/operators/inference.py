@@ -101,11 +101,91 @@ def expected_best_z(trials: int) -> float:
     return 0.0 if trials < 2 else (1 - gamma) * n.inv_cdf(1 - 1 / trials) + gamma * n.inv_cdf(1 - 1 / (trials * np.e))
 
 
-def deflated(moments: DataFrame, trials: int, spread: float, by: str = "policy") -> DataFrame:
-    """p of the Sharpe ratio over the expected best of so many trials; moments as of probabilistic_z."""
+def deflated(moments: DataFrame, trials: int, spread: float | None = None, by: str = "policy") -> DataFrame:
+    """p of the Sharpe ratio over the expected best of so many trials; moments as of probabilistic_z. Without the
+    spread of the trials' ratios that of one estimate is taken, 1 / sqrt(n - 1)."""
     from ..functions.scalars import normal_cdf
 
-    bar = expected_best_z(trials) * spread
+    bar = F.lit(expected_best_z(trials)) * (1 / F.sqrt(F.col("n") - 1) if spread is None else F.lit(spread))
     sr = F.col("sharpe")
     z = (sr - bar) * F.sqrt(F.col("n") - 1) / F.sqrt(1 - F.col("skew") * sr + (F.col("kurtosis") - 1) / 4 * sr * sr)
     return moments.select(by, normal_cdf()("z").alias("probabilistic"), normal_cdf()(z).alias("deflated"))
+
+
+def bootstrap_rows(returns: DataFrame, by: str, at: str, value: str, mean_block: float, seed: int) -> DataFrame:
+    """One stationary bootstrap sample of each series: place, the row drawn for it and its value."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        x = rows.sort_values(at)[value].dropna().to_numpy()
+        i = stationary_index(len(x), mean_block, np.random.default_rng(seed)) if len(x) else np.zeros(0, int)
+        return pd.DataFrame({by: [rows[by].iloc[0]] * len(i), "place": np.arange(len(i)), "drawn": i, "value": x[i]})
+
+    return returns.select(by, at, value).groupBy(by).applyInPandas(run, f"{by} string, place long, drawn long, value double")
+
+
+def _interval(x: np.ndarray, groups: np.ndarray | None, resamples: int, seed: int, level: float = 0.95) -> tuple[float, float]:
+    """A bootstrap interval of the mean, drawing values or whole groups of them."""
+    if not len(x):
+        return float("nan"), float("nan")
+    keys = np.arange(len(x)) if groups is None else np.unique(groups, return_inverse=True)[1]
+    sums, counts = np.bincount(keys, x), np.bincount(keys)
+    draw, found = np.random.default_rng(seed), []
+    for start in range(0, resamples, BLOCK):
+        i = draw.integers(0, len(sums), (min(BLOCK, resamples - start), len(sums)))
+        found.append(sums[i].sum(1) / counts[i].sum(1))
+    low, high = np.quantile(np.concatenate(found), [(1 - level) / 2, (1 + level) / 2])
+    return float(low), float(high)
+
+
+def _flip(x: np.ndarray, draws: int, seed: int) -> float:
+    """Two-sided sign-flip p of a zero mean."""
+    draw, k = np.random.default_rng(seed), 0
+    for start in range(0, draws, BLOCK):
+        signs = draw.integers(0, 2, (min(BLOCK, draws - start), len(x))) * 2 - 1
+        k += int((np.abs((signs * x).mean(axis=1)) >= abs(x.mean()) - 1e-15).sum())
+    return (k + 1) / (draws + 1)
+
+
+def group_summary(rows: DataFrame, keys: list[str], value: str, cluster: str | None = None, resamples: int = 1_000, seed: int = 0) -> DataFrame:
+    """runs, mean, median, sample deviation (0 for one row) and a 95 % interval of the mean of each group of results."""
+    names = [*keys, value] + ([cluster] if cluster else [])
+    head = ", ".join(f"{k} string" for k in keys)
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values(names[len(keys) :][::-1]).dropna(subset=[value])
+        x = part[value].to_numpy(float)
+        low, high = _interval(x, part[cluster].to_numpy() if cluster else None, resamples, seed)
+        first = {k: [part[k].iloc[0]] for k in keys} if len(part) else {k: [None] for k in keys}
+        return pd.DataFrame(first | {"runs": [len(x)], "mean": [x.mean() if len(x) else None], "median": [np.median(x) if len(x) else None], "std": [x.std(ddof=1) if len(x) > 1 else 0.0], "low": [low], "high": [high]})
+
+    return rows.select(*dict.fromkeys(names)).groupBy(*keys).applyInPandas(run, f"{head}, runs long, mean double, median double, std double, low double, high double")
+
+
+def paired_summary(pairs: DataFrame, keys: list[str], value: str, order: list[str], draws: int = 2_000, seed: int = 0) -> DataFrame:
+    """group_summary of an excess, with its share of wins, its sign-flip p and Holm's adjustment over all groups."""
+    from .metrics import holm
+
+    head = ", ".join(f"{k} string" for k in keys)
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        x = part.sort_values(order)[value].dropna().to_numpy(float)
+        return pd.DataFrame({k: [part[k].iloc[0]] for k in keys} | {"positive_rate": [float((x > 0).mean()) if len(x) else None], "p": [_flip(x, draws, seed) if len(x) else None]})
+
+    tests = pairs.select(*dict.fromkeys([*keys, value, *order])).groupBy(*keys).applyInPandas(run, f"{head}, positive_rate double, p double")
+    return group_summary(pairs, keys, value, seed=seed).join(holm(tests, "p", order=keys), keys)
+
+
+def significance_table(curves: DataFrame, reference: str | None = None, trials: int = 1, resamples: int = 500, mean_block: float = 20.0, by: str = "policy", at: str = "date", value: str = "value") -> DataFrame:
+    """Sharpe ratio with its interval, probabilistic and deflated Sharpe ratio of each curve, and its difference to a
+    reference with interval and p. The spread of trials is unknown: that of one estimate, 1 / (n - 1), is taken."""
+    from pyspark.sql import Window
+
+    from .metrics import probabilistic_z
+
+    r = curves.withColumn("r", F.col(value) / F.lag(value).over(Window.partitionBy(by).orderBy(at)) - 1).where("r is not null")
+    out = bootstrap_sharpe(r, by, at, "r", resamples, mean_block).join(deflated(probabilistic_z(curves, by=by, at=at, value=value), trials, None, by), by)
+    if reference is None:
+        return out
+    base = r.where(F.col(by) == reference).select(at, F.col("r").alias("b"))
+    other = bootstrap_difference(r.where(F.col(by) != reference).join(base, at), by, at, "r", "b", resamples, mean_block)
+    return out.join(other.select(by, "difference", F.col("low").alias("difference_low"), F.col("high").alias("difference_high"), "p"), by, "left")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 YEAR = 252
@@ -119,3 +119,41 @@ def transition_summary(curve: DataFrame, by: str = "policy", at: str = "date", v
     """Log return, worst drawdown with the first value in it, and turnover."""
     s = _stepped(curve, by, at, value)
     return s.groupBy(by).agg(F.sum(F.log1p("__r")).alias("log_return"), F.min("__dd").alias("max_drawdown"), F.sum("turnover").alias("turnover"), F.count("*").alias("transitions"))
+
+
+def evidence_summary(steps: DataFrame, keys: list[str], at: str) -> DataFrame:
+    """Twelve figures of transitions(before and after values of candidate, equal weight and index, costs).
+
+    Drawdowns count the value before the first transition as a peak."""
+    w = Window.partitionBy(*keys).orderBy(at)
+    past = w.rowsBetween(Window.unboundedPreceding, 0)
+
+    def drawdown(name: str) -> Column:
+        before, after = F.col(f"{name}_before"), F.col(f"{name}_after")
+        return F.least(after / F.greatest(F.max(after).over(past), F.first(before).over(past)) - 1, F.lit(0.0))
+
+    names = ("portfolio_value", "equal_weight_value", "set_index_value")
+    x = steps.withColumns({f"__d{i}": drawdown(n) for i, n in enumerate(names[:2])} | {f"__r{i}": F.col(f"{n}_after") / F.col(f"{n}_before") - 1 for i, n in enumerate(names)})
+    return x.groupBy(*keys).agg(
+        F.count("*").alias("transitions"), (F.max_by("portfolio_value_after", at) / F.min_by("portfolio_value_before", at) - 1).alias("net_cumulative_return"), F.sum(F.log1p("__r0")).alias("net_log_return"), F.min("__d0").alias("max_drawdown"),
+        F.avg("turnover").alias("mean_turnover"), F.sum("turnover").alias("total_turnover"), F.sum("transaction_cost_paid").alias("total_cost"), F.sum("slippage_paid").alias("total_slippage"),
+        F.sum(F.log1p("__r1")).alias("equal_weight_net_log_return"), F.min("__d1").alias("equal_weight_max_drawdown"), F.sum(F.log1p("__r2")).alias("set_index_net_log_return"), F.stddev_pop("__r0").alias("__sd"),
+    )
+
+
+def metric_row(steps: DataFrame, keys: list[str], at: str) -> DataFrame:
+    """The row of a candidate's ledger: the evidence with the Sharpe ratio of compound return over deviation."""
+    m = evidence_summary(steps, keys, at)
+    annual = F.pow(1 + F.col("net_cumulative_return"), F.lit(YEAR) / F.col("transitions")) - 1
+    sharpe = F.coalesce(F.try_divide(annual, F.col("__sd") * F.sqrt(F.lit(YEAR))), F.lit(0.0))
+    return m.select(*keys, F.lit("complete").alias("status"), "net_cumulative_return", "net_log_return", sharpe.alias("sharpe"), "max_drawdown", F.col("mean_turnover").alias("turnover"), "equal_weight_net_log_return", "equal_weight_max_drawdown", "set_index_net_log_return")
+
+
+def action_summary(actions: DataFrame) -> DataFrame:
+    """Mean and greatest weight of each policy and ticker, and the days on which it is held."""
+    return actions.groupBy("policy", "ticker").agg(F.avg("weight").alias("mean_weight"), F.max("weight").alias("max_weight"), F.count_if(F.col("weight") > 1e-6).alias("active_days"))
+
+
+def seed_means(curves: DataFrame, policy: str = "policy", at: str = "date", value: str = "value") -> DataFrame:
+    """variant, date and the mean value over seeds; a policy's variant is its name without _seed and a number."""
+    return curves.groupBy(F.regexp_replace(policy, "_seed[0-9]+$", "").alias("variant"), at).agg(F.avg(value).alias(value))

@@ -117,3 +117,78 @@ def random_slices(panel: DataFrame, length: int, count: int, seed: int, at: str
     table = panel.sparkSession.createDataFrame([(k, int(s)) for k, s in enumerate(sorted(starts))], "slice int, s int")
     kept = dates.join(F.broadcast(table), (F.col("i") >= F.col("s")) & (F.col("i") < F.col("s") + length)).select("slice", at)
     return panel.join(F.broadcast(kept), at).select("slice", at, "ticker")
+
+
+#: Names that labels of a sentiment model may have.
+POSITIVE_NAMES, NEGATIVE_NAMES, NEUTRAL_NAMES = ("positive", "pos", "bullish"), ("negative", "neg", "bearish"), ("neutral", "neu", "none")
+
+
+def label_values(labels: list[str], given: dict[str, float] | None = None) -> dict[str, float]:
+    """1, -1 or 0 for each label by its name, or the values given. Labels that can't be told apart are an error."""
+    if given:
+        if unknown := set(given) - set(labels):
+            raise ValueError(f"no such labels: {', '.join(sorted(unknown))}")
+        return {x: float(given.get(x, 0.0)) for x in labels}
+    kind = lambda x: next((v for v, names in ((1.0, POSITIVE_NAMES), (-1.0, NEGATIVE_NAMES), (0.0, NEUTRAL_NAMES)) if x.strip().lower() in names), 0.0)
+    values = {x: kind(x) for x in labels}
+    if not {1.0, -1.0} <= set(values.values()):
+        raise ValueError(f"no positive and negative label among {', '.join(labels)}")
+    return values
+
+
+def differential_ratios(returns: DataFrame, decay: float, clip: float, by: str = "policy", at: str = "date", value: str = "r") -> DataFrame:
+    """Differential Sharpe and downside ratios (Moody and Saffell 2001) of each step, from the moments before it, clipped."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows, a, b, d, out = rows.sort_values(at), 0.0, 0.0, 0.0, []
+        for r in rows[value]:
+            spread = b - a * a
+            sharpe = (b * (r - a) - 0.5 * a * (r * r - b)) / spread**1.5 if spread > 1e-12 else 0.0
+            if d <= 1e-12:
+                down = 0.0
+            elif r > 0:
+                down = (r - 0.5 * a) / d**0.5
+            else:
+                down = (d * (r - 0.5 * a) - 0.5 * a * r * r) / d**1.5
+            out.append((min(max(sharpe, -clip), clip), min(max(down, -clip), clip)))
+            a, b, d = a + decay * (r - a), b + decay * (r * r - b), d + decay * (min(r, 0.0) ** 2 - d)
+        return pd.DataFrame({by: rows[by], at: rows[at], "sharpe_term": [x for x, _ in out], "downside_term": [x for _, x in out]})
+
+    return returns.select(by, at, value).groupBy(by).applyInPandas(run, f"{by} string, {at} date, sharpe_term double, downside_term double")
+
+
+def permutation_metrics(panel: DataFrame, features: list[str], realised: str, repeats: int, seed: int, at: str = "date") -> DataFrame:
+    """What shuffling one feature's dates does to a linear long-only policy: the change of its return and Sharpe
+    ratio, and half the L1 shift of its weights. Weights of a date earn the next realised return of each ticker."""
+    from pyspark.sql import Window
+
+    from .metrics import equity_metrics
+
+    w = Window.partitionBy("feature", "repeat", at)
+    ahead = F.lead(realised).over(Window.partitionBy("ticker").orderBy(at))
+    rows = panel.withColumn("__next", F.coalesce(ahead, F.lit(0.0)))
+    dates = [r[0] for r in panel.select(at).distinct().orderBy(at).collect()]
+    draw, tables = np.random.default_rng(seed), []
+    for name in features:
+        for k in range(repeats):
+            order = draw.permutation(len(dates))
+            tables += [(name, k, d, dates[i]) for d, i in zip(dates, order, strict=True)]
+    table = panel.sparkSession.createDataFrame(tables, f"feature string, repeat int, {at} date, __from date")
+    pick = lambda src: F.element_at(F.create_map(*(x for c in features for x in (F.lit(c), F.col(c)))), F.col(src))
+    moved = rows.join(F.broadcast(table), at).withColumn("__own", pick("feature"))
+    other = panel.select(F.col(at).alias("__from"), "ticker", F.create_map(*(x for c in features for x in (F.lit(c), F.col(c)))).alias("__m"))
+    both = moved.join(other, ["__from", "ticker"]).withColumn("__x", F.element_at("__m", F.col("feature")))
+    score = sum((F.col(c) for c in features), F.lit(0.0))
+    weight = lambda x: F.coalesce(F.try_divide(F.greatest(x, F.lit(0.0)), F.sum(F.greatest(x, F.lit(0.0))).over(w)), F.lit(0.0))
+    steps = both.withColumns({"__a": weight(score), "__b": weight(score - F.col("__own") + F.col("__x"))}).groupBy("feature", "repeat", at).agg(
+        F.sum(F.col("__a") * F.col("__next")).alias("base"), F.sum(F.col("__b") * F.col("__next")).alias("mixed"), (F.sum(F.abs(F.col("__a") - F.col("__b"))) / 2).alias("shift")
+    )
+    long = steps.select("feature", "repeat", at, "shift", F.explode(F.array(F.struct(F.lit("base").alias("n"), F.col("base").alias("r")), F.struct(F.lit("mixed").alias("n"), F.col("mixed").alias("r")))).alias("e")).withColumn("policy", F.concat_ws("/", "feature", F.col("repeat").cast("string"), "e.n"))
+    past = Window.partitionBy("policy").orderBy(at).rowsBetween(Window.unboundedPreceding, 0)
+    curves = long.withColumn("value", F.product(F.greatest(1 + F.col("e.r"), F.lit(1e-9))).over(past)).select("policy", at, "value")
+    m = equity_metrics(curves, at=at).select(*(F.get(F.split("policy", "/"), F.lit(k)).alias(n) for k, n in enumerate(("feature", "repeat", "kind"))), "cumulative_return", "sharpe")
+    side = lambda n: m.where(F.col("kind") == n).select("feature", F.col("repeat").cast("int").alias("repeat"), F.col("cumulative_return").alias(f"{n}_return"), F.col("sharpe").alias(f"{n}_sharpe"))
+    shifts = steps.groupBy("feature", "repeat").agg(F.avg("shift").alias("action_shift"))
+    return side("base").join(side("mixed"), ["feature", "repeat"]).join(shifts, ["feature", "repeat"]).select(
+        "feature", "repeat", (F.col("mixed_return") - F.col("base_return")).alias("delta_cumulative_return"), (F.col("mixed_sharpe") - F.col("base_sharpe")).alias("delta_sharpe"), "action_shift", F.col("base_return").alias("base_cumulative_return")
+    )

@@ -159,3 +159,123 @@ def price_benchmark(series: DataFrame, price: str, cost: float, slippage: float,
     x = series.select(at, F.col(price).alias("__p")).withColumns({"__k": F.row_number().over(w), "__f": F.first("__p").over(w)})
     value = F.when(F.col("__k") == 1, F.lit(capital)).otherwise(capital * (1 - cost - slippage) * F.col("__p") / F.col("__f"))
     return x.select(at, value.alias("value"), F.when(F.col("__k") == 2, 1.0).otherwise(0.0).alias("turnover"))
+
+
+def reward_terms(curve: DataFrame, turnover_penalty: float, drawdown_penalty: float, by: str = "policy", at: str = "date", value: str = "value") -> DataFrame:
+    """simple and log reward (with a floor on the return), drawdown by level and by increment (never negative), and
+    reward: the log return less the penalties of turnover and drawdown level."""
+    w = Window.partitionBy(by).orderBy(at)
+    peak = F.max(value).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    x = curve.withColumns({"simple_reward": F.coalesce(F.col(value) / F.lag(value).over(w) - 1, F.lit(0.0)), "drawdown_level": 1 - F.col(value) / peak})
+    x = x.withColumns({"log_reward": F.log1p(F.greatest("simple_reward", F.lit(-0.999999))), "drawdown_increment": F.greatest(F.col("drawdown_level") - F.coalesce(F.lag("drawdown_level").over(w), F.lit(0.0)), F.lit(0.0))})
+    return x.withColumn("reward", F.col("log_reward") - turnover_penalty * F.col("turnover") - drawdown_penalty * F.col("drawdown_level"))
+
+
+def ledger_step(orders: DataFrame, cost: float, slippage: float, cap: float | None = None, tolerance: float = 1e-12) -> DataFrame:
+    """One self-financing rebalance of each policy and date of orders(policy, date, ticker, held, target, can_buy,
+    can_sell, forced_exit, r), with pending, executed, trade and ending_weight.
+
+    Shares are of the wealth before. A forced exit that may be sold goes, outside the cap; one that may not is
+    pending and frozen. Blocked buys and sells stay as held. The cap holds for the moves that are left after the
+    mandatory ones. Sales pay their cost; purchases shrink together until cash covers them and theirs."""
+    w = Window.partitionBy("policy", "date")
+    held, target, rate = F.greatest("held", F.lit(0.0)), F.greatest("target", F.lit(0.0)), cost + slippage
+    must, pending = F.col("forced_exit") & F.col("can_sell"), F.col("forced_exit") & ~F.col("can_sell")
+    blocked = (~F.col("can_buy") & (target > held)) | (~F.col("can_sell") & (target < held))
+    x = orders.withColumns({"__h": held, "pending": pending, "__must": must, "__p": F.when(must, 0.0).when(pending | blocked, held).otherwise(target), "__m": F.when(must, 0.0).otherwise(held)})
+    x = x.withColumns({"__mand": F.sum(F.col("__h") - F.col("__m")).over(w), "__disc": F.sum(F.abs(F.col("__p") - F.col("__m"))).over(w)})
+    room = F.greatest(F.lit(cap if cap is not None else float("inf")) - F.col("__mand"), F.lit(0.0))
+    scale = F.when(F.col("__disc") > room + tolerance, room / F.col("__disc")).otherwise(1.0)
+    x = x.withColumn("__d", F.col("__m") + scale * (F.col("__p") - F.col("__m")) - F.col("__h"))
+    x = x.withColumns({"__sold": F.least("__d", F.lit(0.0)), "__bought": F.greatest("__d", F.lit(0.0))})
+    x = x.withColumns({"__cash": F.greatest(1 - F.sum(F.col("__h") + F.col("__sold")).over(w) + rate * F.sum("__sold").over(w), F.lit(0.0)), "__need": F.sum("__bought").over(w) * (1 + rate)})
+    part = F.when(F.col("__need") > F.col("__cash") + tolerance, F.col("__cash") / F.col("__need")).otherwise(1.0)
+    x = x.withColumn("executed", F.col("__h") + F.col("__sold") + part * F.col("__bought")).withColumn("trade", F.col("executed") - F.col("__h"))
+    multiplier = F.sum(F.col("executed") * (1 + F.coalesce("r", F.lit(0.0)))).over(w) + 1 - F.sum("executed").over(w) - rate * F.sum(F.abs("trade")).over(w)
+    return x.withColumn("multiplier", multiplier).withColumn("ending_weight", F.col("executed") * (1 + F.coalesce("r", F.lit(0.0))) / F.col("multiplier")).withColumnRenamed("__mand", "mandatory").drop("__h", "__p", "__m", "__disc", "__d", "__sold", "__bought", "__cash", "__need", "__must")
+
+
+def ledger_totals(steps: DataFrame, cost: float, slippage: float, cap: float | None = None) -> DataFrame:
+    """Turnover, costs, returns and cash of each rebalance of ledger_step, whether mandatory exits went over the cap,
+    and whether wealth reconciles: 1 + gross - costs, and weights and cash that add up to one."""
+    gross = F.sum(F.col("executed") * F.coalesce("r", F.lit(0.0)))
+    t = steps.groupBy("policy", "date").agg(F.sum(F.abs("trade")).alias("turnover"), gross.alias("gross_return"), F.max("multiplier").alias("multiplier"), F.sum("executed").alias("__e"), F.sum("ending_weight").alias("__w"), F.max("mandatory").alias("__m"))
+    t = t.withColumns({"transaction_cost_paid": cost * F.col("turnover"), "slippage_paid": slippage * F.col("turnover"), "net_return": F.col("multiplier") - 1})
+    t = t.withColumn("ending_cash", (1 - F.col("__e") - F.col("transaction_cost_paid") - F.col("slippage_paid")) / F.col("multiplier"))
+    closes = (F.abs(F.col("multiplier") - (1 + F.col("gross_return") - F.col("transaction_cost_paid") - F.col("slippage_paid"))) <= 1e-10) & (F.abs(F.col("__w") + F.col("ending_cash") - 1) <= 1e-10)
+    over = F.lit(False) if cap is None else F.col("__m") > cap + 1e-12
+    return t.withColumns({"limit_overridden": over, "reconciles": closes}).drop("__e", "__w", "__m", "multiplier")
+
+
+def masked_targets(actions: DataFrame) -> DataFrame:
+    """actions(date, ticker, eligible, action) with weight and forced_exit: nothing for names that are not eligible,
+    no more than the capital in all, and a forced exit where a name stops being eligible."""
+    w = F.when(F.col("eligible"), F.greatest("action", F.lit(0.0))).otherwise(0.0)
+    was = F.lag("eligible").over(Window.partitionBy("ticker").orderBy("date"))
+    x = actions.withColumns({"__w": w, "forced_exit": F.coalesce(was & ~F.col("eligible"), F.lit(False))}).withColumn("__t", F.sum("__w").over(Window.partitionBy("date")))
+    return x.withColumn("weight", F.when(F.col("__t") > 1, F.col("__w") / F.col("__t")).otherwise(F.col("__w"))).drop("__w", "__t")
+
+
+def random_weights(panel: DataFrame, seed: int, name: str = "random") -> DataFrame:
+    """Random long-only weights of each date, whose draw is seeded by the date: dates are made in parallel."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("ticker")
+        day = rows["date"].iloc[0]
+        raw = np.random.default_rng([seed, day.toordinal()]).random(len(rows))
+        return pd.DataFrame({"policy": name, "date": day, "ticker": rows["ticker"], "weight": raw / max(raw.sum(), 1e-12)})
+
+    return panel.select("date", "ticker").groupBy("date").applyInPandas(run, "policy string, date date, ticker string, weight double")
+
+
+def return_benchmark(series: DataFrame, lookback: int, cost: float, slippage: float, capital: float = 100_000.0) -> DataFrame:
+    """Buy-and-hold of series(date, r), one row a date: opens with the capital at the row after the lookback, the
+    step that follows bears a turnover of 2, later ones none. Returns that are not finite count as 0."""
+    w = Window.orderBy("date")
+    k = F.col("__k")
+    r = F.when(F.col("r").isNotNull() & ~F.isnan("r") & (F.abs("r") < float("inf")), F.col("r")).otherwise(0.0)
+    x = series.withColumn("__k", F.row_number().over(w)).where(k > lookback).withColumn("turnover", F.when(k == lookback + 2, 2.0).otherwise(0.0))
+    x = x.withColumn("net", F.when(k == lookback + 1, 0.0).otherwise(r - F.col("turnover") * (cost + slippage)))
+    x = x.withColumn("value", capital * F.product(1 + F.col("net")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    peak = F.greatest(F.lit(capital), F.max("value").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return x.select("date", "value", "net", "turnover", (1 - F.col("value") / peak).alias("drawdown"))
+
+
+def rebalanced_growth(prices: DataFrame, every: int) -> DataFrame:
+    """date and growth of equal weights that are set every so many dates and drift between.
+
+    A block is the mean of its names' growth since its first date, so blocks are made in parallel; a block ends
+    at the first date of the next, and blocks are chained by their ends, one row a block."""
+    from .splits import numbered
+
+    dates = numbered(prices).withColumn("block", F.floor(F.col("i") / every))
+    starts = dates.groupBy("block").agg(F.min("date").alias("start"))
+    starts = starts.withColumn("next", F.lead("start").over(Window.orderBy("block")))
+    bases = prices.select(F.col("date").alias("start"), "ticker", F.col("close").alias("base")).join(F.broadcast(starts), "start")
+    inside = prices.join(F.broadcast(dates), "date").join(bases.select("block", "ticker", "base"), ["block", "ticker"])
+    growth = inside.groupBy("block", "date").agg(F.avg(F.col("close") / F.col("base")).alias("g"))
+    ends = bases.join(prices.select(F.col("date").alias("next"), "ticker", "close"), ["next", "ticker"]).groupBy("block").agg(F.avg(F.col("close") / F.col("base")).alias("__e"))
+    chain = starts.join(ends, "block", "left").withColumn("__k", F.coalesce(F.product(F.coalesce("__e", F.lit(1.0))).over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(1.0)))
+    return growth.join(F.broadcast(chain.select("block", "__k")), "block").select("date", (F.col("g") * F.col("__k")).alias("growth"))
+
+
+def stress(weights: DataFrame, returns: DataFrame, scenarios: dict[str, tuple[float, float]], stored: DataFrame, base: str = "base", tolerance: float = 1e-9) -> DataFrame:
+    """scenario, final_value, turnover, change from the base scenario, and replays: whether its values are those of
+    the stored curve. The steps are made once; each scenario is a curve of them."""
+    spark = weights.sparkSession
+    table = spark.createDataFrame([(n, c, s) for n, (c, s) in scenarios.items()], "scenario string, __c double, __s double")
+    steps = closed_form(weights, returns, 0.0, 0.0).select("policy", "date", F.col("net").alias("gross"), "turnover")
+    x = steps.crossJoin(F.broadcast(table)).withColumn("net", F.col("gross") - F.col("turnover") * F.col("__c") - F.col("turnover") * F.col("__s"))
+    x = x.withColumn("value", 100_000.0 * F.product(1 + F.col("net")).over(Window.partitionBy("scenario", "policy").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)))
+    apart = x.join(stored.select("policy", "date", F.col("value").alias("__v")), ["policy", "date"]).groupBy("scenario").agg(F.max(F.abs(F.col("value") / F.col("__v") - 1)).alias("__gap"))
+    t = x.groupBy("scenario").agg(F.max_by("value", "date").alias("final_value"), F.sum("turnover").alias("turnover")).join(apart, "scenario")
+    first = t.where(F.col("scenario") == base).select(F.col("final_value").alias("__b"))
+    return t.crossJoin(F.broadcast(first)).select("scenario", "final_value", "turnover", (F.col("final_value") - F.col("__b")).alias("change"), (F.col("__gap") <= tolerance).alias("replays"))
+
+
+def rollout(weights: DataFrame, returns: DataFrame, cost: float, slippage: float) -> tuple[DataFrame, DataFrame]:
+    """The curve of weights with its steps from 0, and the actions of each step."""
+    w = Window.partitionBy("policy").orderBy("date")
+    curve = closed_form(weights, returns, cost, slippage).withColumn("step", F.row_number().over(w).cast("long") - 1)
+    actions = weights.join(curve.select("policy", "date", "step"), ["policy", "date"]).select("policy", "date", "step", "ticker", "weight")
+    return curve, actions

@@ -79,3 +79,49 @@ def execution_plan(spark, candidates: list[int], folds: list[int], seeds: list[i
     place = F.dense_rank().over(Window.orderBy("fold")) - 1
     g = g.withColumn("batch", F.format_string("array_batch_%02d", F.floor(place / folds_in_batch) + 1))
     return g.withColumn("task", F.row_number().over(Window.partitionBy("batch").orderBy("candidate", "fold", "seed")).cast("long") - 1)
+
+
+def fold_schedule(panel: DataFrame, folds: list[tuple[str, str, str]], train_context: int, validation_context: int, at: str = "date") -> DataFrame:
+    """Roles of every session in every fold up to the fold's last validation session.
+
+    The first sessions are context; training decisions run to the last session but one before the validation, so
+    that their outcomes lie before it; the transition from the last training session is nobody's; the last
+    validation session is an outcome only."""
+    dates = numbered(panel, at)
+    table = panel.sparkSession.createDataFrame(folds, "fold string, a string, b string").select("fold", F.col("a").cast("date").alias("a"), F.col("b").cast("date").alias("b"))
+    spans = dates.join(F.broadcast(table), (F.col(at) >= F.col("a")) & (F.col(at) < F.col("b"))).groupBy("fold").agg(F.min("i").alias("v0"), F.max("i").alias("v1"))
+    x = dates.join(F.broadcast(spans), F.col("i") <= F.col("v1")).withColumn("next", F.lead(at).over(Window.partitionBy("fold").orderBy("i")))
+    i, v0, v1 = F.col("i"), F.col("v0"), F.col("v1")
+    train, validation = (i >= train_context) & (i < v0 - 1), (i >= v0) & (i < v1)
+    return x.select(
+        "fold", at, i.cast("long").alias("session_index"), (i < train_context).alias("train_context"), train.alias("train_decision"), ((i > train_context) & (i < v0)).alias("train_outcome"), ((i >= v0 - validation_context) & (i < v0)).alias("validation_context"),
+        validation.alias("validation_decision"), (i > v0).alias("validation_outcome"), (i == v0 - 1).alias("unused_boundary"), F.when(train, "train").when(validation, "validation").otherwise("").alias("owner"), F.when(train | validation, F.col("next")).alias("outcome_date"),
+    )
+
+
+def fold_registry_checks(schedule: DataFrame, folds: int, least_train: int, least_validation: int, at: str = "date") -> DataFrame:
+    """The folds of a schedule, summed up and checked: their number, order, sizes, and that training grows."""
+    from . import quality as K
+
+    day = lambda c: F.when(F.col(c), F.col(at))
+    s = schedule.groupBy("fold").agg(F.count_if("train_decision").alias("t"), F.count_if("validation_decision").alias("v"), F.min(day("train_decision")).alias("t0"), F.max(day("train_decision")).alias("t1"), F.min(day("validation_decision")).alias("w0"), F.max(day("validation_decision")).alias("w1"), F.max(at).alias("w2"))
+    s = s.withColumn("before", F.lag("t").over(Window.orderBy("fold")))
+    rows = K.check_rows(s, {
+        "train_before_validation": (F.col("t0") <= F.col("t1")) & (F.col("t1") < F.col("w0")), "validation_order": (F.col("w0") <= F.col("w1")) & (F.col("w1") < F.col("w2")), "enough_train": F.col("t") >= least_train, "enough_validation": F.col("v") >= least_validation, "expanding": F.col("before").isNull() | (F.col("t") > F.col("before")),
+    })
+    return rows.unionByName(K.count_check("folds", s.agg(F.count("*").alias("n")).where(F.col("n") != folds)))
+
+
+def scaled_folds(panel: DataFrame, schedule: DataFrame, columns: list[str], eligible: str, at: str = "date") -> DataFrame:
+    """The rows of each fold with role, scaled by mean and population deviation of its own eligible training rows."""
+    rows = schedule.select("fold", at, F.when(F.col("owner") == "", "context").otherwise(F.col("owner")).alias("role")).join(panel, at)
+    fit = rows.where((F.col("role") == "train") & F.col(eligible))
+    state = fit.groupBy("fold").agg(*(x for c in columns for x in (F.avg(c).alias(f"{c}__mean"), F.coalesce(F.nullif(F.stddev_pop(c), F.lit(0.0)), F.lit(1.0)).alias(f"{c}__scale"))))
+    return rows.join(F.broadcast(state), "fold").withColumns({c: (F.col(c) - F.col(f"{c}__mean")) / F.col(f"{c}__scale") for c in columns}).select(*rows.columns)
+
+
+def stress_slices(panel: DataFrame, train: int, validation: int, test: int, step: int, at: str = "date") -> DataFrame:
+    """slice, first_date, last_date and sessions: the test of each rolling window, and the chronological test."""
+    windows = walk_forward(panel, train, validation, test, step, at=at).where("split = 'test'").select(F.concat(F.lit("window_"), F.col("window").cast("string")).alias("slice"), at)
+    last = chronological(panel.select(at).distinct(), at=at).where("split = 'test'").select(F.lit("test").alias("slice"), at)
+    return windows.unionByName(last).groupBy("slice").agg(F.min(at).alias("first_date"), F.max(at).alias("last_date"), F.count("*").alias("sessions"))

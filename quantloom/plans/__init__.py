@@ -4,6 +4,6 @@ from __future__ import annotations
 
 
 def modules() -> list:
-    from . import checks, contracts, evidence, joins, shapes, sources, studies, windows
+    from . import checks, contracts, evidence, joins, results, shapes, sources, studies, windows
 
-    return [windows, joins, shapes, studies, checks, contracts, evidence, sources]
+    return [windows, joins, shapes, studies, checks, contracts, evidence, sources, results]

@@ -150,12 +150,6 @@ def candidate_row(spark, d):
     return c.groupBy("policy", F.year("date").alias("fold")).agg(r6(F.sum("l")).alias("log_return"), (F.round(F.sum("turnover"), 5) + 0.0).alias("turnover"), (F.round(F.sum("cost"), 4) + 0.0).alias("cost"))
 
 
-@query("m21_comparison", f"SELECT policy, cumulative_return, max_drawdown, row_number() OVER (ORDER BY cumulative_return DESC, policy) AS place FROM ({_M01})")
-def comparison(spark, d):
-    m = M.equity_metrics(A.curves(spark, d)).select("policy", r6(F.col("cumulative_return")).alias("cumulative_return"), r6(F.col("max_drawdown")).alias("max_drawdown"))
-    return m.withColumn("place", F.row_number().over(Window.orderBy(F.desc("cumulative_return"), "policy")).cast("long"))
-
-
 @query("p17_backtest", f"""WITH {A.CURVES}, x AS (SELECT policy, date, value / lag(value) OVER (PARTITION BY policy ORDER BY date) - 1 AS r FROM curve), g AS (SELECT *, exp(sum(ln(1 + r)) OVER (PARTITION BY policy ORDER BY date)) AS g FROM x WHERE r IS NOT NULL), h AS (SELECT *, g / max(g) OVER (PARTITION BY policy ORDER BY date) - 1 AS dd FROM g)
 SELECT policy, round((arg_max(g, date) - 1) * 100, 5) + 0.0 AS total_return, round(coalesce(avg(r) / nullif(stddev_pop(r), 0) * sqrt(252), 0), 4) + 0.0 AS sharpe_ratio, round(coalesce(avg(r) / nullif(stddev_pop(r) FILTER (r < 0), 0) * sqrt(252), 0), 4) + 0.0 AS sortino_ratio,
   round(min(dd) * 100, 5) + 0.0 AS max_drawdown, round(stddev_pop(r) * sqrt(252) * 100, 5) + 0.0 AS volatility FROM h GROUP BY 1""")
@@ -173,12 +167,6 @@ def regime_suite(spark, d):
     return j.groupBy("name").agg(F.count("*").alias("sessions"), (F.round(F.sum("net"), 5) + 0.0).alias("net")).where("sessions >= 12")
 
 
-@query("p22_stress_slices", f"WITH {_WK} SELECT 'test' AS slice, min(date) AS first_date, max(date) AS last_date, count(*) AS sessions FROM ds WHERE i >= floor(n * 0.8)")
-def stress_slices(spark, d):
-    t = L.chronological(A.bars_type_week(spark, d).select("date").distinct()).where("split = 'test'")
-    return t.agg(F.lit("test").alias("slice"), F.min("date").alias("first_date"), F.max("date").alias("last_date"), F.count("*").alias("sessions"))
-
-
 @query("q33_fold_summary", _HALF + " SELECT fold, count(*) FILTER (role = 'train') AS train, count(*) FILTER (role = 'test') AS test, count(*) FILTER (role = 'unused') AS unused, count(*) FILTER (role = 'unused') = 1 AS passed FROM sched GROUP BY 1")
 def fold_summary(spark, d):
     s = L.half_year_folds(A.bars_type_week(spark, d), _FOLDS)

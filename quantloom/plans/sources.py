@@ -111,7 +111,7 @@ def prefix_columns(spark, d):
 _TECH_RULES = [("return_", "returns"), ("ma_ratio_", "trend"), ("volatility_", "risk"), ("volume_", "liquidity")]
 
 
-@query("b07_group_counts", f"WITH {_TECH}, c AS (SELECT {', '.join(f'count(*) FILTER ({n} <> 0) AS {n}' for n in _FEATURES)} FROM tech), u AS (SELECT * FROM c UNPIVOT (k FOR n IN ({', '.join(_FEATURES)}))) SELECT CASE WHEN starts_with(n, 'return_') THEN 'returns' WHEN starts_with(n, 'ma_ratio_') THEN 'trend' WHEN starts_with(n, 'volatility_') THEN 'risk' WHEN starts_with(n, 'volume_') THEN 'liquidity' ELSE 'technical' END AS feature_group, count(*) AS n_columns, CAST(sum(k) AS BIGINT) AS filled FROM u GROUP BY 1")
+@query("b07_group_counts", f"WITH {_TECH}, c AS (SELECT {', '.join(f'count(*) FILTER ({n} <> 0) AS {n}' for n in _FEATURES)} FROM tech), uu AS (SELECT * FROM c UNPIVOT (k FOR n IN ({', '.join(_FEATURES)}))) SELECT CASE WHEN starts_with(n, 'return_') THEN 'returns' WHEN starts_with(n, 'ma_ratio_') THEN 'trend' WHEN starts_with(n, 'volatility_') THEN 'risk' WHEN starts_with(n, 'volume_') THEN 'liquidity' ELSE 'technical' END AS feature_group, count(*) AS n_columns, CAST(sum(k) AS BIGINT) AS filled FROM uu GROUP BY 1")
 def group_counts(spark, d):
     """Columns of each group of features, and how many of their values are not 0."""
     p = feature_panel(spark, d)

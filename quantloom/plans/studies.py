@@ -358,15 +358,6 @@ def mean_variance(spark, d):
 _IDX = f"WITH {A.TYPE_WEEK}, i AS (SELECT date, round(sum(close), 6) + 0.0 AS c FROM bars GROUP BY 1)"
 
 
-@query("p09_index_benchmark", _IDX + ", r AS (SELECT date, coalesce(c / lag(c) OVER (ORDER BY date) - 1, 0) / 10 - CASE WHEN row_number() OVER (ORDER BY date) = 1 THEN 2.0 * 0.002::DOUBLE ELSE 0 END AS r FROM i) SELECT date, round(100000 * exp(sum(ln(1 + r)) OVER (ORDER BY date)), 3) + 0.0 AS value FROM r")
-def index_benchmark(spark, d):
-    """Index returns with a turnover of 2 on the first step; the series is one row a date."""
-    i = A.bars_type_week(spark, d).groupBy("date").agg(r6(F.sum("close")).alias("c"))
-    w = Window.orderBy("date")
-    r = i.select("date", (F.coalesce(F.col("c") / F.lag("c").over(w) - 1, F.lit(0.0)) / 10 - F.when(F.row_number().over(w) == 1, 2.0 * 0.002).otherwise(0.0)).alias("r"))
-    return r.select("date", (F.round(100000 * F.product(1 + F.col("r")).over(w), 3) + 0.0).alias("value"))
-
-
 @query("p10_price_benchmark", _IDX + ", n AS (SELECT *, row_number() OVER (ORDER BY date) AS k FROM i) SELECT date, CASE WHEN k = 1 THEN 100000.0 ELSE round(100000 * (1 - 0.0015::DOUBLE - 0.0005::DOUBLE) * c / first_value(c) OVER (ORDER BY date), 4) + 0.0 END::DOUBLE AS value, CASE WHEN k = 2 THEN 1.0 ELSE 0.0 END::DOUBLE AS turnover FROM n")
 def price_benchmark(spark, d):
     """The series is bought after its first value: that is the capital, those that follow bear the cost."""
