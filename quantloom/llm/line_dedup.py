@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -119,7 +120,7 @@ def line_dedup(docs: DataFrame, min_points: int = MIN_POINTS) -> DataFrame:
                 bits = np.ones(n, bool)
                 bits[dropped] = False
                 keeps.append(zlib.compress(np.packbits(bits).tobytes(), 1))
-            n_dropped = pa.compute.list_value_length(batch.column(3)).cast(pa.int64())
+            n_dropped = pc.list_value_length(batch.column(3)).cast(pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2).cast(pa.int64()), n_dropped, pa.array(keeps, pa.binary())], names=["doc_id", "tag", "n_lines", "n_dropped", "keep"])
 
     return map_arrow(by_doc, bitmaps, "doc_id long, tag long, n_lines long, n_dropped long, keep binary")

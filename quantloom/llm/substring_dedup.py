@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame
@@ -171,9 +172,9 @@ def _gathered(batches, settle, place: Placement):
     found_docs, found_ats = [], []
     for batch in batches:
         if batch.column(5).null_count < batch.num_rows:
-            passing = batch.filter(pa.compute.is_valid(batch.column(5)))
+            passing = batch.filter(pc.is_valid(batch.column(5)))
             rows += zip(passing.column(3).to_pylist(), passing.column(5).to_pylist(), strict=True)
-            batch = batch.filter(pa.compute.is_null(batch.column(5)))
+            batch = batch.filter(pc.is_null(batch.column(5)))
         if batch.num_rows:
             parts.append(_columns(batch))
             n += batch.num_rows
