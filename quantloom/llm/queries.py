@@ -29,8 +29,7 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    coded = wordpieces.encode_documents(_table(spark, sf_dir, "documents"), _byte_bpe())
-    both = wordpieces.decode_documents(coded, _byte_bpe())
+    both = wordpieces.recode_documents(_table(spark, sf_dir, "documents"), _byte_bpe())
     return both.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.encode("text", "utf-8"), 256).alias("decoded_sha256"))
 
 

@@ -278,6 +278,18 @@ def _unpack_coded(data: bytes) -> tuple[list[bytes], list[bytes]]:
     return words, out
 
 
+def _packed_batch(batch: pa.RecordBatch, at: int) -> pa.RecordBatch:
+    """A batch of documents as one value, with the distinct ids in its column at."""
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema) as out:
+        out.write_batch(batch)
+    ids = np.unique(np.frombuffer(b"".join(x for x in batch.column(at).to_pylist() if x), "<i4"))
+    return pa.RecordBatch.from_arrays([pa.array([sink.getvalue().to_pybytes()], pa.binary()), pa.array([ids], pa.list_(pa.int32()))], names=["docs", "ids"])
+
+
+_CODED, _PACKED = "doc_id long, n_tokens long, ids binary", "docs binary, ids array<int>"
+
+
 def encode_documents(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     """Token ids of each row of documents(doc_id, text, ...).
 
@@ -285,6 +297,17 @@ def encode_documents(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     tokenizers library's encode(text, add_special_tokens=False) without truncation and padding; the
     special tokens' strings in a text become their ids. Null and empty texts have no ids. Rows that
     repeat a doc_id each get a row; a null doc_id stays null. Other columns are ignored."""
+    return _encoded(docs, tokenizer_path, False)
+
+
+def recode_documents(docs: DataFrame, tokenizer_path: str) -> DataFrame:
+    """encode_documents followed by decode_documents: doc_id, n_tokens, ids and text. Between the two documents
+    stay in the batches that the encoding made, which saves a pass through Python."""
+    return _decoded(_encoded(docs, tokenizer_path, True), tokenizer_path, 2, StructType.fromDDL(_CODED))
+
+
+def _encoded(docs: DataFrame, tokenizer_path: str, packed: bool) -> DataFrame:
+    """The documents with their ids, a row each or a row for each batch of them."""
     spark = docs.sparkSession
     n = partitions(spark)
     text = read_tokenizer(tokenizer_path)
@@ -321,9 +344,10 @@ def encode_documents(docs: DataFrame, tokenizer_path: str) -> DataFrame:
             for doc_id, text in unpack_docs(ids, data):
                 doc_ids.append(doc_id)
                 found.append(b"".join(map(table.__getitem__, split_words(text))) if text else b"")
-            yield pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.array([len(x) // 4 for x in found], pa.int64()), pa.array(found, pa.binary())], names=["doc_id", "n_tokens", "ids"])
+            batch = pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.array([len(x) // 4 for x in found], pa.int64()), pa.array(found, pa.binary())], names=["doc_id", "n_tokens", "ids"])
+            yield _packed_batch(batch, 2) if packed else batch
 
-    return map_arrow(meet_by_chunk(coded, docs, place), join, "doc_id long, n_tokens long, ids binary")
+    return map_arrow(meet_by_chunk(coded, docs, place), join, _PACKED if packed else _CODED)
 
 
 def piece_table(spark: SparkSession, tokenizer_path: str) -> DataFrame:
@@ -341,19 +365,19 @@ def decode_documents(encoded: DataFrame, tokenizer_path: str) -> DataFrame:
     names = [c for c in encoded.columns if c != "text"]
     kept = encoded.select(*(F.col(f"`{c}`") for c in names))
 
+    at = names.index("ids")
+
     def listed(batches):
-        """A batch of documents as one value, with the distinct ids in it."""
         for batch in batches:
             if batch.num_rows:
-                sink = pa.BufferOutputStream()
-                with pa.ipc.new_stream(sink, batch.schema) as out:
-                    out.write_batch(batch)
-                ids = np.unique(np.frombuffer(b"".join(x for x in batch.column(at).to_pylist() if x), "<i4"))
-                yield pa.RecordBatch.from_arrays([pa.array([sink.getvalue().to_pybytes()], pa.binary()), pa.array([ids], pa.list_(pa.int32()))], names=["docs", "ids"])
+                yield _packed_batch(batch, at)
 
-    at = names.index("ids")
-    lists = map_arrow(kept, listed, "docs binary, ids array<int>")
-    pieces = lists.select("docs", F.posexplode_outer("ids").alias("pos", "id")).join(F.broadcast(piece_table(encoded.sparkSession, tokenizer_path)), "id", "left")
+    return _decoded(map_arrow(kept, listed, _PACKED), tokenizer_path, at, kept.schema)
+
+
+def _decoded(lists: DataFrame, tokenizer_path: str, at: int, schema: StructType) -> DataFrame:
+    """The documents of packed batches, of this schema with the ids in column at, and their texts."""
+    pieces = lists.select("docs", F.posexplode_outer("ids").alias("pos", "id")).join(F.broadcast(piece_table(lists.sparkSession, tokenizer_path)), "id", "left")
     first = F.coalesce(F.col("pos"), F.lit(0)) == 0
     known = F.coalesce("piece", F.when(F.col("id").isNotNull(), F.raise_error(F.concat(F.lit("no such id: "), F.col("id").cast("string"))).cast("binary")))
 
@@ -380,4 +404,4 @@ def decode_documents(encoded: DataFrame, tokenizer_path: str) -> DataFrame:
             yield out()
 
     rows = pieces.select(F.when(first, F.col("docs")).alias("docs"), "id", known.alias("piece"))
-    return map_arrow(rows, joined, StructType([*kept.schema.fields, StructField("text", StringType())]), rows=1 << 30)
+    return map_arrow(rows, joined, StructType([*schema.fields, StructField("text", StringType())]), rows=1 << 30)

@@ -141,7 +141,12 @@ def test_encode_and_decode(docs, rows, empty, tokenizer):
         ids = brute.tokens(tokenizer, t)
         expected.append((i, len(ids), ids.tobytes(), tokenizer.decode(ids.tolist(), skip_special_tokens=False)))
     assert got == sorted(expected, key=str)
-    assert wordpieces.encode_documents(empty, path).count() == 0
+    again = wordpieces.recode_documents(clashing(docs), path)
+    assert sorted([(r.doc_id, r.n_tokens, bytes(r.ids), r.text) for r in again.collect()], key=str) == got
+    assert wordpieces.encode_documents(empty, path).count() == 0 and wordpieces.recode_documents(empty, path).count() == 0
+    assert wordpieces.decode_documents(docs.select("doc_id", F.lit(None).cast("binary").alias("ids")), path).where("text is not null").count() == 0
+    with pytest.raises(Exception, match="no such id"):
+        wordpieces.decode_documents(docs.select("doc_id", F.lit(b"\x40\x42\x0f\x00").alias("ids")), path).collect()
 
 
 def test_word_parts(tokenizer, rows):
