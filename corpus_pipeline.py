@@ -53,8 +53,7 @@ def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, and digests of the ids and of the text decoded from them, a row for each row of docs.
 
     Null and empty texts have no ids. Repeated rows each get a row, a null doc_id stays null; other columns go."""
-    path = public_tokenizers.path("byte_bpe_50k.json")
-    both = wordpieces.decode_documents(wordpieces.encode_documents(docs, path), path)
+    both = wordpieces.recode_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
     return both.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.encode("text", "utf-8"), 256).alias("decoded_sha256"))
 
 
