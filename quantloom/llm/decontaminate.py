@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from .automaton import SuffixAutomaton
 from .common import cut_lineage, free_name, map_arrow, packed
 
 WINDOW = 10
@@ -34,23 +35,16 @@ def normal_words(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").translate(_TABLE).split() if text else []
 
 
-class Automaton:
+class Automaton(SuffixAutomaton):
     """A generalised suffix automaton of items (number, words), which answers for windows.
 
-    Almost every state has one way on, so this way is kept in arrays; only the other ways are in dictionaries,
-    and only windows of several items have sets. An item number of None is hit but not named."""
+    Only windows of several items have sets. An item number of None is hit but not named."""
 
     def __init__(self, items: list[tuple[str | None, list[bytes]]], window: int = WINDOW):
-        self.window, self.number = window, {}
-        self.word, self.to = array("i", [-1]), array("i", [0])
-        self.more: dict[int, dict[int, int]] = {}
-        self.link, self.length = array("i", [-1]), array("i", [0])
+        super().__init__()
+        self.window = window
         self.names = [item for item, _ in items]
-        texts = [array("i", [self.number.setdefault(w, len(self.number)) for w in words]) for _, words in items]
-        for text in texts:
-            last = 0
-            for c in text:
-                last = self._extend(last, c)
+        texts = [self.add(words) for _, words in items]
         self.item = array("i", [-1]) * len(self.length)  # by the state that stands for a window
         self.items: dict[int, set[int]] = {}  # where a window has several items
         self.whole: dict[int, list[tuple[int, int]]] = {}  # short items by their state
@@ -75,65 +69,6 @@ class Automaton:
             for s in np.argsort(np.frombuffer(self.length, "i"), kind="stable").tolist():
                 self.up[s] = s if s in self.whole else self.up[self.link[s]] if s else -1
 
-    def _next(self, state: int, c: int) -> int:
-        """Where c leads from a state; -1 if nowhere."""
-        if self.word[state] == c:
-            return self.to[state]
-        more = self.more.get(state)
-        return more.get(c, -1) if more else -1
-
-    def _put(self, state: int, c: int, to: int) -> None:
-        if self.word[state] in (-1, c):
-            self.word[state], self.to[state] = c, to
-        else:
-            self.more.setdefault(state, {})[c] = to
-
-    def _new(self, length: int, link: int, word: int = -1, to: int = 0) -> int:
-        self.word.append(word)
-        self.to.append(to)
-        self.link.append(link)
-        self.length.append(length)
-        return len(self.length) - 1
-
-    def _split(self, p: int, c: int, q: int) -> int:
-        """The state for the strings that p and c make, taken out of q where q holds longer ones."""
-        if self.length[q] == self.length[p] + 1:
-            return q
-        twin = self._new(self.length[p] + 1, self.link[q], self.word[q], self.to[q])
-        if q in self.more:
-            self.more[twin] = dict(self.more[q])
-        self.link[q] = twin
-        while p >= 0 and self._next(p, c) == q:
-            self._put(p, c, twin)
-            p = self.link[p]
-        return twin
-
-    def _extend(self, last: int, c: int) -> int:
-        if (q := self._next(last, c)) >= 0:
-            return self._split(last, c, q)
-        state, p = self._new(self.length[last] + 1, 0), last
-        while p >= 0 and self._next(p, c) < 0:
-            self._put(p, c, state)
-            p = self.link[p]
-        if p >= 0:
-            self.link[state] = self._split(p, c, self._next(p, c))
-        return state
-
-    def _step(self, state: int, length: int, c: int) -> tuple[int, int]:
-        """After one more word: the state and length of the longest suffix that occurs."""
-        while (to := self._next(state, c)) < 0:
-            if state == 0:
-                return 0, 0
-            state = self.link[state]
-            length = self.length[state]
-        return to, length + 1
-
-    def _of_length(self, state: int, n: int) -> int:
-        """The state that holds the suffix of n words."""
-        while self.length[self.link[state]] >= n:
-            state = self.link[state]
-        return state
-
     def search(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[str]]:
         """Spans [start, end) of hit words, in order and apart, and the names of the items found."""
         spans: list[tuple[int, int]] = []

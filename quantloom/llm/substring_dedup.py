@@ -1,10 +1,10 @@
 """Exact substring de-duplication of word windows over the whole corpus.
 
 A window is WINDOW consecutive words of one document; the words of every window whose sequence
-starts earlier as well (smaller doc_id, or the same document further left) go. The reference is
-the corpus itself, so suffix automata of reference shards would have to reach every document:
-shards times documents of work. The same spans come from three exchanges instead, each of them in
-proportion to the text:
+starts earlier as well (smaller doc_id, or the same document further left) go. by_automata() is the way of
+broadcast suffix automata of reference shards. The reference is the corpus itself, so every automaton has to
+reach every document after its shard: shards times documents of work, and every text passes through the driver.
+substring_dedup() finds the same spans by three exchanges instead, each of them in proportion to the text:
 
 1. Anchors. Of the ANCHOR-word sequences in each window the one with the least hash is an anchor,
    a choice that depends on the window's words alone: equal windows share an anchor. A window is a
@@ -26,9 +26,12 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CHUNK_ROWS, CHUNK_SCHEMA, NO_ID, Placement, as_words, by_chunk, map_arrow, meet_by_chunk, partitions, placement, text_tag, unpack_docs
+from .automaton import SuffixAutomaton
+from .common import CHUNK_ROWS, CHUNK_SCHEMA, NO_ID, Placement, as_words, by_chunk, cut_lineage, map_arrow, meet_by_chunk, partitions, placement, text_tag, unpack_docs
 
 WINDOW, ANCHOR = 20, 8
+#: Words of one reference shard of by_automata().
+SHARD_WORDS = 500_000
 #: Hashes that a map task holds before it settles and sends them.
 HELD = 2_000_000
 #: A place in the corpus after the doc_id: the text's crc32, then the word's number in 31 bits.
@@ -335,6 +338,115 @@ def repeated_starts(docs: DataFrame, place: Placement, tagged: bool, window: int
     return exchanged(meet_by_chunk(twice, docs, place, tagged), candidates, _settle_windows)
 
 
+def _without(words: list[bytes], starts: np.ndarray, window: int) -> tuple[list[bytes], list]:
+    """The words outside the windows that begin at starts, and the spans [start, end) of those inside."""
+    if not len(starts):
+        return words, []
+    edge = np.zeros(len(words) + 2, np.int32)
+    edge[starts] += 1
+    np.add.at(edge, starts + window, -1)
+    gone = np.cumsum(edge)[: len(words)] > 0
+    spans = np.flatnonzero(np.diff(np.concatenate(([0], gone.view(np.int8), [0])))).reshape(-1, 2).tolist()
+    kept, done = [], 0
+    for a, b in spans:
+        kept += words[done:a]
+        done = b
+    return kept + words[done:], spans
+
+
+class Reference(SuffixAutomaton):
+    """The documents of a shard, added in order, which answers for windows that start earlier."""
+
+    def __init__(self, window: int):
+        super().__init__()
+        self.window = window
+        self.begins: dict[tuple, int] = {}
+
+    def add_document(self, key: tuple, words: list[bytes]) -> None:
+        self.begins[key] = self.n_words
+        self.add(words)
+
+    def starts(self, key: tuple, words: list[bytes]) -> list[int]:
+        """Starts of the document's windows whose first occurrence in the shard lies before; all that occur where
+        the document is not in the shard, since the shard's documents come before it then."""
+        state = length = 0
+        own, out, get = self.begins.get(key), [], self.number.get
+        for i, w in enumerate(words):
+            c = get(w, -1)
+            if c < 0:
+                state = length = 0
+                continue
+            state, length = self._step(state, length, c)
+            if length >= self.window and (own is None or self.first[self._of_length(state, self.window)] < own + i):
+                out.append(i - self.window + 1)
+        return out
+
+
+def by_automata(docs: DataFrame, window: int = WINDOW, shard_words: int = SHARD_WORDS) -> DataFrame:
+    """What substring_dedup returns, by broadcast suffix automata of reference shards.
+
+    The documents in order are cut into shards of shard_words words at most (a longer document is a shard of its
+    own). One automaton at a time is built and broadcast; the documents of its shard and those after stream past it,
+    and the starts found are written out. So the work is the square of the corpus: for references of a few shards."""
+    spark = docs.sparkSession
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    order = F.coalesce("doc_id", F.lit(NO_ID))
+    tagged = rows.withColumns({"o": order, "tag": F.when(F.col("text").isNull(), 0).otherwise(F.crc32(F.encode("text", "utf-8")))})
+    found = None
+
+    def passed(shard: Reference, low: tuple) -> DataFrame:
+        shared = spark.sparkContext.broadcast(shard)
+
+        def stream(batches):
+            reference = shared.value
+            for batch in batches:
+                out = []
+                for o, tag, text in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                    if got := reference.starts((o, tag), as_words(text)):
+                        out.append((o, tag, got))
+                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.list_(pa.int32()))], names=["o", "tag", "starts"])
+
+        after = (F.col("o") > low[0]) | ((F.col("o") == low[0]) & (F.col("tag") >= low[1]))
+        out = cut_lineage(map_arrow(tagged.where(after).select("o", "tag", "text").distinct(), stream, "o long, tag long, starts array<int>"))
+        shared.destroy()
+        return out
+
+    shard, low = Reference(window), None
+    for r in tagged.select("o", "tag", "text").distinct().orderBy("o", "tag").toLocalIterator():
+        words = as_words(r.text)
+        if shard.n_words and shard.n_words + len(words) > shard_words:
+            part = passed(shard, low)
+            found = part if found is None else found.unionByName(part)
+            shard, low = Reference(window), None
+        low = low or (r.o, r.tag)
+        shard.add_document((r.o, r.tag), words)
+    if low is not None:
+        part = passed(shard, low)
+        found = part if found is None else found.unionByName(part)
+    if found is None:
+        found = spark.createDataFrame([], "o long, tag long, starts array<int>")
+    both = tagged.join(found.groupBy("o", "tag").agg(F.flatten(F.collect_list("starts")).alias("starts")), ["o", "tag"], "left").select("doc_id", "text", "starts")
+
+    def cut(batches):
+        for batch in batches:
+            out = []
+            for doc_id, text, starts in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                words = as_words(text)
+                kept, spans = _without(words, np.unique(np.array(starts or [], np.int64)), window)
+                out.append((doc_id, len(words), len(words) - len(kept), b" ".join(kept).decode("utf-8", "surrogatepass"), spans))
+            yield _cut_rows(out)
+
+    return map_arrow(both, cut, _CUT)
+
+
+_CUT = "doc_id long, n_words long, n_removed long, text string, spans array<array<int>>"
+
+
+def _cut_rows(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.list_(pa.int32())))
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=["doc_id", "n_words", "n_removed", "text", "spans"])
+
+
 def substring_dedup(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
     """Each row of documents(doc_id, text, ...) without the words that repeat earlier windows.
 
@@ -348,31 +460,14 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR)
 
     def cut(batches):
         rows: list[tuple] = []
-
-        def out():
-            ids, n_words, n_removed, texts, spans = zip(*rows, strict=True)
-            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(texts, pa.string()), pa.array(spans, pa.list_(pa.list_(pa.int32())))], names=["doc_id", "n_words", "n_removed", "text", "spans"])
-
         for doc_id, text, marks in _marked_docs(batches):
             words = as_words(text)
-            starts = marks.of(NO_ID if doc_id is None else doc_id, _tag(text, tagged))
-            spans = []
-            if len(starts):
-                edge = np.zeros(len(words) + 2, np.int32)
-                edge[starts] += 1
-                np.add.at(edge, starts + window, -1)
-                gone = np.cumsum(edge)[: len(words)] > 0
-                spans = np.flatnonzero(np.diff(np.concatenate(([0], gone.view(np.int8), [0])))).reshape(-1, 2).tolist()
-            kept, done = [], 0
-            for a, b in spans:
-                kept += words[done:a]
-                done = b
-            kept += words[done:]
+            kept, spans = _without(words, marks.of(NO_ID if doc_id is None else doc_id, _tag(text, tagged)), window)
             rows.append((doc_id, len(words), len(words) - len(kept), b" ".join(kept).decode("utf-8", "surrogatepass"), spans))
             if len(rows) >= 256:
-                yield out()
+                yield _cut_rows(rows)
                 rows = []
         if rows:
-            yield out()
+            yield _cut_rows(rows)
 
-    return map_arrow(meet_by_chunk(repeated_starts(docs, place, tagged, window, anchor), docs, place, tagged), cut, "doc_id long, n_words long, n_removed long, text string, spans array<array<int>>")
+    return map_arrow(meet_by_chunk(repeated_starts(docs, place, tagged, window, anchor), docs, place, tagged), cut, _CUT)

@@ -224,6 +224,10 @@ def test_substring_dedup(spark, docs, rows, empty, monkeypatch):
         got = substring_dedup.substring_dedup(clashing(table))
         assert sorted([(r.doc_id, r.n_words, r.n_removed, r.text) for r in got.collect()], key=str) == brute.substring_dedup(texts(part))
     assert substring_dedup.substring_dedup(empty).count() == 0
+    for shard in (500_000, 300):
+        got = substring_dedup.by_automata(clashing(docs), shard_words=shard)
+        assert sorted([(r.doc_id, r.n_words, r.n_removed, r.text) for r in got.collect()], key=str) == brute.substring_dedup(texts(rows))
+    assert substring_dedup.by_automata(empty).count() == 0
 
 
 def test_license_scan(docs, empty, spark):
