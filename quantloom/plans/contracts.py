@@ -34,12 +34,20 @@ def T(spark, d, name):
     return A.table(spark, d, name)
 
 
-@query("a14_sentiment_rows", f"WITH {A.NEWS}, u AS (SELECT ticker, date, CASE WHEN doc_id % 4 = 0 THEN NULL ELSE doc_id % 5 / 4.0::DOUBLE END AS sentiment_score, CASE WHEN doc_id % 6 = 0 THEN ' ' ELSE trim(substr(text, 1, 5)) END AS text FROM news) SELECT DISTINCT ticker, date, sentiment_score, trim(text) AS text FROM u WHERE sentiment_score IS NOT NULL OR trim(text) <> ''")
+_A14 = f"WITH {A.NEWS}, u AS (SELECT upper(trim(ticker)) AS ticker, date, CASE WHEN doc_id % 4 = 0 THEN NULL ELSE doc_id % 5 / 4.0::DOUBLE END AS score, CASE WHEN doc_id % 6 = 0 THEN '' ELSE trim(substr(text, 1, 5)) END AS title, CASE WHEN doc_id % 3 = 0 THEN ' ' ELSE trim(substr(text, 1, 2)) END AS text, doc_id FROM news), v AS (SELECT *, CASE WHEN trim(text) <> '' THEN trim(text) ELSE trim(title) END AS t FROM u)"
+
+
+@query("a14_sentiment_rows", _A14 + " SELECT ticker, date, title, t AS text, score AS sentiment_score FROM v WHERE score IS NOT NULL OR t <> '' QUALIFY row_number() OVER (PARTITION BY ticker, date, title, t ORDER BY doc_id) = 1")
 def sentiment_rows(spark, d):
-    """Rows need a text or a score; repeats of (ticker, date, text, score) go."""
-    head = F.when(F.pmod("doc_id", F.lit(6)) == 0, F.lit(" ")).otherwise(F.trim(F.substring("text", 1, 5)))
-    n = A.news(spark, d).select("ticker", "date", F.when(F.pmod("doc_id", F.lit(4)) != 0, F.pmod("doc_id", F.lit(5)) / 4.0).alias("sentiment_score"), head.alias("text"))
-    return N.sentiment_rows(n)
+    """A row needs a text or a score; of rows with the same ticker, time, title and text the first stays."""
+    n = A.news(spark, d).select(F.lower("ticker").alias("ticker"), "date", F.when(F.pmod("doc_id", F.lit(4)) != 0, F.pmod("doc_id", F.lit(5)) / 4.0).alias("sentiment_score"), F.when(F.pmod("doc_id", F.lit(6)) == 0, "").otherwise(F.substring("text", 1, 5)).alias("title"), F.when(F.pmod("doc_id", F.lit(3)) == 0, " ").otherwise(F.substring("text", 1, 2)).alias("text"), "doc_id")
+    return N.sentiment_rows(n, "date", "doc_id").select("ticker", "date", "title", "text", "sentiment_score")
+
+
+@query("a14_rejected_rows", _A14 + """ SELECT 'text_or_score' AS "check", count(*) = 0 AS passed, count(*) AS failures FROM v WHERE score IS NULL AND coalesce(t, '') = ''""")
+def rejected_rows(spark, d):
+    n = A.news(spark, d).select(F.when(F.pmod("doc_id", F.lit(4)) != 0, F.lit(1.0)).alias("sentiment_score"), F.when(F.pmod("doc_id", F.lit(6)) == 0, "").otherwise(F.substring("text", 1, 5)).alias("title"), F.when(F.pmod("doc_id", F.lit(3)) == 0, " ").otherwise(F.substring("text", 1, 2)).alias("text"))
+    return K.check_rows(n, {"text_or_score": F.col("sentiment_score").isNotNull() | (N.joined_text() != "")})
 
 
 @query("a19_month_history", f"WITH {A.MACRO_DAILY}, m AS (SELECT name AS metric, CAST(date_trunc('month', date) AS DATE) AS period, count(*) AS days FROM macro GROUP BY 1, 2) SELECT metric, period, CASE WHEN days < 28 THEN 'provisional' ELSE 'final' END AS revision FROM m")
@@ -99,10 +107,12 @@ def first_algorithms(spark, d):
     return k.select("c_mktsegment", rank.cast("long").alias("rank"), (rank <= 2).alias("selected"))
 
 
-@query("w26_rank", f"WITH {_RET} SELECT date, ticker, row_number() OVER (PARTITION BY date ORDER BY r DESC, volume DESC, ticker) AS rank FROM ret")
+@query("w26_rank", f"WITH {_RET}, k AS (SELECT *, round(r, 2) + 0.0 AS score, round(close, -4) + 0.0 AS level, lag(volume, 1, 0) OVER (PARTITION BY ticker ORDER BY date) AS before FROM ret) SELECT date, ticker, row_number() OVER (PARTITION BY date ORDER BY score DESC, level DESC, volume DESC, before, length(ticker), ticker) AS rank FROM k")
 def rank(spark, d):
-    n = F.row_number().over(Window.partitionBy("date").orderBy(F.desc("r"), F.desc("volume"), "ticker"))
-    return returns_month(spark, d).select("date", "ticker", n.cast("long").alias("rank"))
+    """Six keys in turn; the first two are rounded, so that the later ones decide."""
+    k = returns_month(spark, d).select("date", "ticker", "volume", (F.round("r", 2) + 0.0).alias("score"), (F.round("close", -4) + 0.0).alias("level"), F.lag("volume", 1, 0).over(W.ordered()).alias("before"))
+    n = F.row_number().over(Window.partitionBy("date").orderBy(F.desc("score"), F.desc("level"), F.desc("volume"), "before", F.length("ticker"), "ticker"))
+    return k.select("date", "ticker", n.cast("long").alias("rank"))
 
 
 @query("w10_primary_alias", f"WITH {A.MACRO_DAILY} SELECT date, round(coalesce(close / nullif(lag(close) OVER (ORDER BY date), 0) - 1, 0), 6) + 0.0 AS macro_rate_change FROM macro WHERE name = '1-URGENT'")
@@ -174,9 +184,65 @@ def fold_summary(spark, d):
     return s.groupBy("fold").agg(n("train").alias("train"), n("test").alias("test"), n("unused").alias("unused"), (n("unused") == 1).alias("passed"))
 
 
-@query("a06_suffix_dispatch", "SELECT r_regionkey, r_name FROM region")
+@query("a01_load_fallback", "SELECT r_regionkey, r_name FROM region")
+def load_fallback(spark, d):
+    """No Parquet file is there, so the CSV file is read."""
+    folder = N.scratch(spark)
+    N.save_table(T(spark, d, "region").select("r_regionkey", "r_name"), f"{folder}/region.csv")
+    return N.load_table(spark, f"{folder}/none.parquet", f"{folder}/region.csv").select(F.col("r_regionkey").cast("long").alias("r_regionkey"), "r_name")
+
+
+@query("a02_write_both", "SELECT n_nationkey, n_name, 2 AS copies FROM nation")
+def write_both(spark, d):
+    """Written as Parquet and as CSV, and read back from both."""
+    folder, n = N.scratch(spark), T(spark, d, "nation").select("n_nationkey", "n_name")
+    N.write_features(n, f"{folder}/n.parquet", f"{folder}/n.csv")
+    both = N.load_table(spark, f"{folder}/n.parquet").unionByName(N.load_table(spark, f"{folder}/n.csv").select(F.col("n_nationkey").cast("long").alias("n_nationkey"), "n_name"))
+    return both.groupBy("n_nationkey", "n_name").agg(F.count("*").cast("int").alias("copies"))
+
+
+@query("a03_result_tree", "SELECT lower(c_mktsegment) AS feature_group, count(*) AS rows, min(c_custkey) AS first_key FROM customer GROUP BY 1")
+def result_tree(spark, d):
+    """A tree of result files, one folder a segment, scanned as one table with where each row came from."""
+    folder = N.scratch(spark)
+    T(spark, d, "customer").select("c_custkey", F.lower("c_mktsegment").alias("s")).write.partitionBy("s").csv(f"{folder}/out", header=True)
+    tree = N.result_tree(spark, f"{folder}/out", "part-*.csv", schema="c_custkey long")
+    group = F.regexp_extract(N.path_part(F.col("source_path"), 2), "^s=(.*)$", 1)
+    return tree.groupBy(group.alias("feature_group")).agg(F.count("*").alias("rows"), F.min("c_custkey").alias("first_key"))
+
+
+@query("a06_suffix_dispatch", "SELECT r_regionkey, r_name, 'parquet' AS kind FROM region UNION ALL SELECT r_regionkey, r_name, 'csv' FROM region")
 def dispatch(spark, d):
-    return N.load_table(spark, f"{d}/region.parquet")
+    """The suffix of a path decides how it is written and read."""
+    folder, r = N.scratch(spark), T(spark, d, "region").select("r_regionkey", "r_name")
+    out = None
+    for kind in ("parquet", "csv"):
+        N.save_table(r, f"{folder}/r.{kind}")
+        one = N.load_table(spark, f"{folder}/r.{kind}").select(F.col("r_regionkey").cast("long").alias("r_regionkey"), "r_name", F.lit(kind).alias("kind"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query("a07_replaced_whole", "SELECT s_suppkey, s_acctbal FROM supplier WHERE s_acctbal > 0")
+def replaced_whole(spark, d):
+    """A table written twice: readers find the second writing and nothing of the first."""
+    folder, s = N.scratch(spark), T(spark, d, "supplier").select("s_suppkey", "s_acctbal")
+    N.save_table(s, f"{folder}/s.csv")
+    N.save_table(s.where("s_acctbal > 0"), f"{folder}/s.csv")
+    return N.load_table(spark, f"{folder}/s.csv").select(F.col("s_suppkey").cast("long").alias("s_suppkey"), F.col("s_acctbal").cast("double").alias("s_acctbal"))
+
+
+@query("a26_sealed_holdout", "SELECT CASE WHEN o_orderdate < TIMESTAMP '2000-01-01' THEN 'development' ELSE 'holdout' END AS part, count(*) AS rows, false AS overwritten FROM orders GROUP BY 1")
+def sealed_holdout(spark, d):
+    """Development rows may be written again; the holdout is written once, and a second writing is refused."""
+    folder, o = N.scratch(spark), T(spark, d, "orders").select("o_orderkey", "o_orderdate")
+    dev, held = N.split_at(o, "o_orderdate", "2000-01-01")
+    for rows in (dev.limit(1), dev):
+        N.save_table(rows, f"{folder}/dev.parquet")
+    N.seal(held, f"{folder}/holdout.parquet")
+    again = N.is_sealed(spark, held.limit(1), f"{folder}/holdout.parquet")
+    parts = [spark.read.parquet(f"{folder}/{n}.parquet").agg(F.lit(p).alias("part"), F.count("*").alias("rows"), F.lit(not again).alias("overwritten")) for n, p in (("dev", "development"), ("holdout", "holdout"))]
+    return parts[0].unionByName(parts[1])
 
 
 QUERIES = Q

@@ -380,13 +380,10 @@ def masked(spark, d):
 
 @query("p13_stress", _SIM.replace("0.0015::DOUBLE", "k").replace("0.0005::DOUBLE", "h").replace("n AS (SELECT *, gross", "sc(scenario, k, h) AS (VALUES ('base', 0.0015::DOUBLE, 0.0005::DOUBLE), ('double', 0.003::DOUBLE, 0.001::DOUBLE), ('free', 0.0::DOUBLE, 0.0::DOUBLE)), n AS (SELECT *, gross").replace("AS net FROM t)", "AS net FROM t, sc)").replace("PARTITION BY policy ORDER BY date)) AS value FROM n", "PARTITION BY policy, scenario ORDER BY date)) AS value FROM n") + " SELECT scenario, round(arg_max(value, date), 3) + 0.0 AS final_value, round(sum(turnover), 5) + 0.0 AS turnover FROM v GROUP BY 1")
 def stress(spark, d):
-    """Each scenario is a policy of its own in one plan."""
-    w = P.equal_weight(A.bars_nation_month(spark, d))
-    out = None
-    for name, cost, slip in (("base", 0.0015, 0.0005), ("double", 0.003, 0.001), ("free", 0.0, 0.0)):
-        one = P.closed_form(w, returns_month(spark, d), cost, slip).groupBy(F.lit(name).alias("scenario")).agg((F.round(F.max_by("value", "date"), 3) + 0.0).alias("final_value"), (F.round(F.sum("turnover"), 5) + 0.0).alias("turnover"))
-        out = one if out is None else out.unionByName(one)
-    return out
+    """The steps are made once; each scenario is a curve of them."""
+    w, r = P.equal_weight(A.bars_nation_month(spark, d)), returns_month(spark, d)
+    x = P.stress(w, r, {"base": (0.0015, 0.0005), "double": (0.003, 0.001), "free": (0.0, 0.0)}, P.closed_form(w, r, 0.0015, 0.0005))
+    return x.select("scenario", (F.round("final_value", 3) + 0.0).alias("final_value"), (F.round("turnover", 5) + 0.0).alias("turnover"))
 
 
 @query("p15_chained", f"WITH {A.CURVES}, f AS (SELECT *, CAST(year(date) AS INT) AS fold FROM curve), g AS (SELECT *, value / first_value(value) OVER (PARTITION BY policy, fold ORDER BY date) AS rel FROM f), e AS (SELECT policy, fold, arg_max(rel, date) AS en FROM g GROUP BY 1, 2), k AS (SELECT policy, fold, coalesce(exp(sum(ln(en)) OVER (PARTITION BY policy ORDER BY fold ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)), 1.0) AS k FROM e) SELECT policy, fold, date, round(rel * k, 6) + 0.0 AS growth FROM g JOIN k USING (policy, fold)")
