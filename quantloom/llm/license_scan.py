@@ -30,9 +30,10 @@ KNOWN = [
     ("All-rights-reserved", "All rights reserved."),
 ]
 #: Spellings that count as equal, as (pattern, replacement) over lower-case text.
-SPELLINGS = [("licence", "license"), ("sub[ -]license", "sublicense"), ("sub[ -]licensable", "sublicensable"), ("organisation", "organization"), ("modelling", "modeling"), ("favour", "favor"), ("merchantability", "merchantability"), ("https", "http")]
-#: A line that only names the owner of the rights.
-COPYRIGHT = "(?m)^[ \\t]*(copyright|\\(c\\)|©)[^\\n]*$"
+SPELLINGS = [("licence", "license"), ("sub[ -]license", "sublicense"), ("sub[ -]licensable", "sublicensable"), ("organisation", "organization"), ("modelling", "modeling"), ("favour", "favor"), ("https", "http")]
+#: A line that names the owner of the rights: it has a year or a sign. A line of running text may begin with the
+#: word as well, where a licence is wrapped so; it stays.
+COPYRIGHT = "(?m)^[ \\t]*(copyright[^\\n]*([0-9]{4}|\\(c\\)|©)|\\(c\\)|©)[^\\n]*$"
 #: What stands between words: anything but letters, digits and line ends.
 BETWEEN = "[^a-z0-9\\x80-\\x{10FFFF}\\n]+"
 
@@ -86,7 +87,7 @@ def license_scan(docs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def _sql_canonical(text: str) -> str:
-    out = f"regexp_replace(lower(coalesce({text}, '')), '(?m)^[ \\t]*(copyright|\\(c\\)|©)[^\\n]*$', '', 'g')"
+    out = f"regexp_replace(lower(coalesce({text}, '')), '{COPYRIGHT}', '', 'g')"
     for pattern, plain in SPELLINGS:
         out = f"regexp_replace({out}, '{pattern}', '{plain}', 'g')"
     return f"regexp_replace({out}, '[^a-z0-9\\x{{80}}-\\x{{10FFFF}}\\n]+', ' ', 'g')"

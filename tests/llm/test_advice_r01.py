@@ -95,6 +95,17 @@ def test_whole_licences(spark):
     assert got == {1: "MIT", 2: "Apache-2.0", 3: "MPL-2.0", 4: "BSD-2-Clause", 5: "GPL-2.0", 6: "All-rights-reserved", 7: "ISC"}
 
 
+def test_whole_licences_wrapped_anew(spark):
+    """Line ends, case, spelling and owner lines may differ; a word may not."""
+    import textwrap
+
+    whole = dict(license_scan.whole_texts())
+    wrapped = {n: "\n".join(textwrap.wrap(" ".join(x for x in t.splitlines()), 31)) for n, t in whole.items() if n in ("MIT", "BSD-2-Clause", "BSD-3-Clause", "ISC")}
+    rows = [(k, "Copyright (c) 1999 Someone Else\n\n" + t.replace("license", "LICENCE").upper()) for k, t in enumerate(wrapped.values())] + [(9, whole["MIT"].replace("without restriction", "with restriction"))]
+    got = {r.doc_id: r.whole_license for r in license_scan.license_scan(spark.createDataFrame(rows, SCHEMA), license_scan.known_texts(spark)).collect()}
+    assert [got[k] for k in range(len(wrapped))] == list(wrapped) and got[9] is None
+
+
 def test_parent_domains_of_any_length(spark):
     day = F.lit("2024-02-01").cast("date")
     pages = spark.createDataFrame([("https://x.a.b.c.d.e.f.com/",), ("https://y.x.a.b.c.d.e.g.com/",)], "url string").withColumn("fetch_date", day)
