@@ -166,10 +166,10 @@ def ledger_weights(spark, d):
     return P.ledger_step(_orders(spark, d), 0.0015, 0.0005, 0.2).select("date", "ticker", r6(F.col("executed")).alias("executed"), r6(F.col("trade")).alias("trade"), "pending", r6(F.col("ending_weight")).alias("ending_weight"))
 
 
-@query("p05_ledger_totals", _P05 + " SELECT date, round(any_value(turnover), 6) + 0.0 AS turnover, round(any_value(mult) - 1, 6) + 0.0 AS net_return, round(any_value(0.0015::DOUBLE * turnover), 6) + 0.0 AS transaction_cost_paid, round(any_value((1 - inv - 0.002::DOUBLE * turnover) / mult), 6) + 0.0 AS ending_cash, any_value(mand) > 0.2 + 1e-12 AS limit_overridden, true AS reconciles FROM l GROUP BY 1")
+@query("p05_ledger_totals", _P05 + " SELECT date, round(any_value(turnover), 6) + 0.0 AS turnover, round(any_value(mult) - 1, 6) + 0.0 AS net_return, round(any_value(0.0015::DOUBLE * turnover), 8) + 0.0 AS transaction_cost_paid, round(any_value((1 - inv - 0.002::DOUBLE * turnover) / mult), 6) + 0.0 AS ending_cash, any_value(mand) > 0.2 + 1e-12 AS limit_overridden, true AS reconciles FROM l GROUP BY 1")
 def ledger_totals(spark, d):
     t = P.ledger_totals(P.ledger_step(_orders(spark, d), 0.0015, 0.0005, 0.2), 0.0015, 0.0005, 0.2)
-    return t.select("date", *(r6(F.col(c)).alias(c) for c in ("turnover", "net_return", "transaction_cost_paid", "ending_cash")), "limit_overridden", "reconciles")
+    return t.select("date", *(r6(F.col(c)).alias(c) for c in ("turnover", "net_return", "ending_cash")), (F.round("transaction_cost_paid", 8) + 0.0).alias("transaction_cost_paid"), "limit_overridden", "reconciles")
 
 
 def _orders(spark, d):
