@@ -178,3 +178,14 @@ def objective_checks(metrics: DataFrame, actions: DataFrame) -> DataFrame:
     b = check_rows(actions, {"weights": finite("weight") & F.col("weight").between(-1e-8, 1 + 1e-8)})
     over = actions.groupBy("date").agg(F.sum("weight").alias("s")).where(F.col("s") > 1 + 1e-6)
     return union_checks(a, b, count_check("daily_sum", over))
+
+
+def rate_checks(history: DataFrame) -> DataFrame:
+    """history(announced, rate, decision), one row a meeting: texts that fit the form, one decision a date, and levels
+    that move by what was decided."""
+    from ..functions.scalars import decision_points
+
+    x = history.withColumns({"__bp": decision_points(F.col("decision")), "__b": F.lag("rate").over(Window.orderBy("announced"))})
+    moved = F.round((F.col("rate") - F.col("__b")) * 100, 6)
+    rows = check_rows(x, {"recognised": F.col("__bp").isNotNull(), "level_follows_decision": F.col("__b").isNull() | (moved == F.col("__bp"))})
+    return rows.unionByName(count_check("one_a_date", repeated_keys(history, ["announced"])))

@@ -16,7 +16,8 @@ from ..operators import portfolio as P
 from ..operators import splits as L
 from ..operators import windows as W
 from .checks import _checks
-from .studies import _CR, _FOLDS, _GRID, _M01, _R, _RET, _SIM, _WK, _returns, returns_month
+from .studies import _CR, _FOLDS, _M01, _RET, _SIM, _WK, _returns, returns_month
+from .windows import _TECH
 
 Q: dict = {}
 
@@ -326,6 +327,20 @@ def label_scores(spark, d):
     return x.select("doc_id", r6(F.when(F.coalesce("text", F.lit("")) == "", 0.0).otherwise(N.expected_value(F.col("s"), values))).alias("score"))
 
 
+_N01 = f"""WITH {_TECH}, ff AS (SELECT date, ticker, return_5d, rsi_14, round(lead(close, 21) OVER (PARTITION BY ticker ORDER BY date) / nullif(close, 0) - 1, 6) + 0.0 AS y FROM tech), tt AS (SELECT * FROM ff WHERE date <= DATE '1999-12-31' AND y IS NOT NULL),
+ss AS (SELECT count(*)::DOUBLE AS n, avg(return_5d) AS m1, stddev_pop(return_5d) AS s1, avg(rsi_14) AS m2, stddev_pop(rsi_14) AS s2, corr(return_5d, rsi_14) AS c12, avg(y) AS my, covar_pop(return_5d, y) AS c1, covar_pop(rsi_14, y) AS c2 FROM tt),
+bb AS (SELECT *, n * c1 / s1 AS g1, n * c2 / s2 AS g2, (n + 1) * (n + 1) - n * c12 * n * c12 AS det FROM ss), kk AS (SELECT *, ((n + 1) * g1 - n * c12 * g2) / det AS b1, ((n + 1) * g2 - n * c12 * g1) / det AS b2 FROM bb)
+SELECT date, ticker, round((return_5d - m1) / s1 * b1 + (rsi_14 - m2) / s2 * b2 + my, 6) + 0.0 AS forecast FROM ff, kk"""
+
+
+@query("n01_ridge_two_features", _N01)
+def ridge_two(spark, d):
+    """Two features, whose normal equations SQL can solve as well."""
+    p = W.technical_features(A.bars_type_week(spark, d)).withColumn("y", r6(W.forward_return("close", 21)))
+    f = N.ridge(p.select("date", "ticker", "y", *(r6(F.col(c)).alias(c) for c in ("return_5d", "rsi_14"))), ["return_5d", "rsi_14"], "y", alpha=1.0, until="1999-12-31")
+    return f.withColumn("forecast", r6(F.col("forecast")))
+
+
 @query("n08_trial_mapping", "SELECT CAST(t AS BIGINT) AS trial_id, ['a2c', 'ddpg', 'ppo', 'sac', 'td3'][t % 5 + 1] AS algorithm, CAST(t // 5 AS BIGINT) AS trial FROM range(40) r(t)")
 def trial_mapping(spark, d):
     return E.trial_algorithms(spark.range(40).withColumnRenamed("id", "trial_id"), ["a2c", "ddpg", "ppo", "sac", "td3"])

@@ -84,6 +84,15 @@ def export_contract(spark, d):
     return N.export_checks(N.with_period(_export(spark, d)), ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"], "1996-04-01", "1998-12-01", 3, 300)
 
 
+_RATES = "m AS (SELECT CAST(date_trunc('quarter', o_orderdate) AS DATE) AS announced, round(avg(o_totalprice) / 2000) * 0.25 AS rate FROM {orders} GROUP BY 1), d AS (SELECT *, CAST(round((rate - lag(rate) OVER (ORDER BY announced)) * 100) AS INT) AS bp FROM m), history AS (SELECT announced, rate, CASE WHEN month(announced) = 7 AND year(announced) = 1997 THEN 'Raise 75 bps' WHEN month(announced) = 10 AND year(announced) = 1998 THEN 'Keep' WHEN coalesce(bp, 0) = 0 THEN 'Hold' WHEN bp > 0 THEN concat('Raise ', CAST(bp AS STRING), ' bps') ELSE concat('Cut ', CAST(-bp AS STRING), ' bps') END AS decision FROM d)"
+
+
+@query("a21_level_check", f"WITH {A.bare(_RATES)}, x AS (SELECT *, lower(decision) AS t, lag(rate) OVER (ORDER BY announced) AS before FROM history), y AS (SELECT *, CASE WHEN t = 'hold' THEN 0 WHEN regexp_full_match(t, 'raise [0-9]+ bps') THEN CAST(split_part(t, ' ', 2) AS INT) WHEN regexp_full_match(t, 'cut [0-9]+ bps') THEN -CAST(split_part(t, ' ', 2) AS INT) END AS bp FROM x) " + _checks(recognised="SELECT count(*) FROM y WHERE bp IS NULL", one_a_date="SELECT count(*) FROM (SELECT 1 FROM history GROUP BY announced HAVING count(*) > 1)", level_follows_decision="SELECT count(*) FROM y WHERE before IS NOT NULL AND (bp IS NULL OR round((rate - before) * 100, 6) <> bp)"))
+def level_check(spark, d):
+    """Each level must differ from the one before by the decision announced with it."""
+    return K.rate_checks(A.portable(spark, d, f"WITH {_RATES} SELECT announced, CAST(rate AS DOUBLE) AS rate, decision FROM history"))
+
+
 @query("a22_interval_changes", f"WITH {A.MEMBERSHIP}, y AS (SELECT effective_from, list(DISTINCT ticker) AS m FROM members GROUP BY 1), z AS (SELECT *, lag(m) OVER (ORDER BY effective_from) AS b FROM y) SELECT effective_from, len(m) AS members, CASE WHEN b IS NULL THEN 0 ELSE len(list_filter(m, lambda t: NOT list_contains(b, t))) END AS added, CASE WHEN b IS NULL THEN 0 ELSE len(list_filter(b, lambda t: NOT list_contains(m, t))) END AS removed FROM z")
 def interval_changes(spark, d):
     """How many names each record adds and drops; the first has no record before it."""

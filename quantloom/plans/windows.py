@@ -186,6 +186,13 @@ def volatile_episodes(spark, d):
     return vol.groupBy("g").applyInPandas(choose, "date date, v double, rank long").withColumnRenamed("v", "volatility")
 
 
+_EPISODES = f"""WITH RECURSIVE {A.TYPE_WEEK}, r AS (SELECT date, coalesce(close / nullif(lag(close) OVER (PARTITION BY ticker ORDER BY date), 0) - 1, 0) AS r FROM bars), m AS (SELECT date, avg(r) AS m FROM r GROUP BY 1),
+x AS (SELECT date, count(m) OVER w AS n, stddev_samp(m) OVER w AS v FROM m WINDOW w AS (ORDER BY date ROWS 19 PRECEDING)), vol AS (SELECT date, round(v, 6) + 0.0 AS v FROM x WHERE n >= 20),
+pick AS (SELECT 1 AS rank, max({{'v': v, 'd': -epoch(date)}}) AS best, [max({{'v': v, 'd': -epoch(date)}})] AS taken FROM vol
+  UNION ALL SELECT rank + 1, (SELECT max({{'v': v, 'd': -epoch(date)}}) FROM vol WHERE len(list_filter(taken, lambda t: abs(t.d + epoch(date)) < 140 * 86400)) = 0), list_append(taken, (SELECT max({{'v': v, 'd': -epoch(date)}}) FROM vol WHERE len(list_filter(taken, lambda t: abs(t.d + epoch(date)) < 140 * 86400)) = 0)) FROM pick WHERE rank < 5)
+SELECT CAST(make_timestamp(CAST(-best.d * 1000000 AS BIGINT)) AS DATE) AS date, best.v AS volatility, CAST(rank AS BIGINT) AS rank FROM pick WHERE best IS NOT NULL"""
+
+
 def contiguity(spark, d):
     b = A.bars_nation_month(spark, d).select("ticker", F.col("date").alias("start"), F.add_months("date", 1).alias("end"))
     w = Window.partitionBy("ticker").orderBy("start")
@@ -245,6 +252,6 @@ QUERIES = {
     "w05_bollinger_z": _tech(("bollinger_z",)), "w06_atr": _tech(("atr_14",)), "w07_macd": (macd, _MACD), "w08_volume_ratio": _tech(("volume_ratio_20",)),
     "w09_index_context": (index_context, _INDEX), "w11_macro_changes": (macro_changes, _MACRO), "w12_sector_context": (sector_context, _SECTOR), "w13_peer_ex_self": (peer_ex_self, _PEER),
     "w14_flow_features": (flow_features, _FLOW), "w15_lagged_z": (lagged_z, _Z), "w16_growth": (growth, _GROWTH), "w17_history": (eligibility_history, _HIST), "w18_drawdown": (drawdown, _DD),
-    "w19_exits": (exits, _EXITS), "w20_forward_return": (forward_returns, _FWD), "w21_volatile_episodes": (volatile_episodes, None), "w22_contiguity": (contiguity, _CONT), "w23_value_chain": (value_chain, _CHAIN),
+    "w19_exits": (exits, _EXITS), "w20_forward_return": (forward_returns, _FWD), "w21_volatile_episodes": (volatile_episodes, _EPISODES), "w22_contiguity": (contiguity, _CONT), "w23_value_chain": (value_chain, _CHAIN),
     "w24_crossover": (crossover_signal, _CROSS), "w25_lookback": (lookback, _LOOK), "w27_prototype_indicators": (prototype_indicators, _PROTO),
 }
