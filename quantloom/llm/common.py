@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import struct
 import tempfile
@@ -16,8 +17,8 @@ from pyspark.sql import functions as F
 
 #: The white space that separates words: space and U+0009 to U+000D, what bytes.split() splits at.
 WHITE = " \t\n\x0b\x0c\r"
-#: Documents of a chunk, which share a lookup table, about.
-CHUNK_DOCS = 4096
+#: Documents of a chunk, which share a lookup table, at most, and of a range at least, about.
+CHUNK_DOCS, LEAST_DOCS = 4096, 2048
 #: Rows of a batch that an operator sees at a time.
 BATCH_ROWS = 512
 #: Stands for a null doc_id, which is the smallest.
@@ -65,6 +66,16 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_ROWS))
 
 
+def _trimmed(out: Iterator) -> Iterator:
+    """out, after which memory that the task has freed goes back to the system: workers live on between tasks."""
+    try:
+        yield from out
+    finally:
+        pa.default_memory_pool().release_unused()
+        if (trim := getattr(ctypes.CDLL(None), "malloc_trim", None)) is not None:
+            trim(0)
+
+
 def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, rows: int = BATCH_ROWS) -> DataFrame:
     """mapInArrow whose batches are handed on in slices of so many rows, since a row may hold a text of over 100 kB."""
 
@@ -74,7 +85,7 @@ def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[p
                 yield batch.slice(at, rows)
 
     small_batches(df.sparkSession)
-    return df.mapInArrow(lambda batches: fn(sliced(batches)), schema)
+    return df.mapInArrow(lambda batches: _trimmed(fn(sliced(batches))), schema)
 
 
 def free_name(base: str, columns: list[str]) -> str:
@@ -131,14 +142,15 @@ def unpack(data: bytes) -> list[bytes]:
 
 
 class Placement:
-    """Where documents meet: ranges of doc_id with about as many documents each, one for each partition,
-    cut into chunks of about CHUNK_DOCS documents.
+    """Where documents meet: ranges of doc_id with about as many documents each, one for each partition (fewer
+    where a range would have under LEAST_DOCS), cut into chunks of CHUNK_DOCS documents at most, about.
 
     The tag of a row (0, or a checksum of its text) spreads rows that share an id, null included: an id that
     fills several ranges goes to all of them. The bounds are one number a partition, so they fit the driver."""
 
     def __init__(self, bounds: list[int], parts: int):
         self.bounds, self.parts = np.array(sorted(bounds), np.int64), parts
+        self.ranges = len(bounds) + 1
 
     def chunks(self, ids: np.ndarray, tags: np.ndarray) -> np.ndarray:
         """The chunk of each row; null ids are given as NO_ID."""
@@ -153,11 +165,14 @@ class Placement:
 
 
 def placement(docs: DataFrame) -> Placement:
-    """The placement of docs(doc_id, ...), from approximate quantiles: one scan of the ids."""
-    n = partitions(docs.sparkSession)
-    shares = [(k + 1) / n for k in range(n - 1)]
-    found = docs.agg(F.count("*").alias("rows"), F.percentile_approx(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), shares or [0.5], max(10_000, 20 * n)).alias("bounds")).first()
-    return Placement(list(found.bounds or []) if n > 1 else [], max(1, -(-found.rows // (n * CHUNK_DOCS))))
+    """The placement of docs(doc_id, ...), from their number and approximate quantiles: two scans of the ids."""
+    rows = docs.count()
+    n = max(1, min(partitions(docs.sparkSession), -(-rows // LEAST_DOCS)))
+    if n == 1:
+        return Placement([], max(1, -(-rows // CHUNK_DOCS)))
+    ids = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
+    bounds = docs.agg(F.percentile_approx(ids, [(k + 1) / n for k in range(n - 1)], max(10_000, 20 * n)).alias("bounds")).first().bounds
+    return Placement(bounds, -(-rows // (n * CHUNK_DOCS)))
 
 
 #: Rows that meet by chunk: kind 0 is a part of the lookup table, kind 1 a pack of documents.
@@ -201,8 +216,7 @@ def unpack_docs(ids: list[int | None], data: bytes) -> Iterator[tuple[int | None
 def meet_by_chunk(lookup: DataFrame, docs: DataFrame, place: Placement, tagged: bool = True) -> DataFrame:
     """Lookup rows and packed documents of a chunk in one task, the lookup rows first."""
     both = lookup.unionByName(chunked_docs(docs, place, tagged))
-    n = partitions(docs.sparkSession)
-    return both.repartitionById(n, F.floor(F.col("chunk") / place.parts).cast("int")).sortWithinPartitions("chunk", "kind")
+    return both.repartitionById(place.ranges, F.floor(F.col("chunk") / place.parts).cast("int")).sortWithinPartitions("chunk", "kind")
 
 
 def by_chunk(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, list, bytes]]:

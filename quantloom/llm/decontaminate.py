@@ -167,23 +167,19 @@ def _early_finds(docs: DataFrame, shard: list, window: int) -> DataFrame:
     return out
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shard_words: int = SHARD_WORDS) -> DataFrame:
-    """docs with n_words, spans (array of start and end word, apart and in order) and items (sorted).
+def _marked(docs: DataFrame, benchmark: DataFrame, window: int, shard_words: int, finish, fields: list) -> DataFrame:
+    """text, rest and what finish(texts, found) makes of them; found has the words' number, spans and items of each text.
 
-    A window is window consecutive words of an item; an item with fewer, but not none, is one
-    window. Words are runs of letters, digits and non-ASCII characters after lower-casing A-Z.
-    Null and empty texts have no words and no spans; items with a null text are left out, the windows
-    of an item with a null id are hit but not named; repeated items and repeated rows count like any
-    other. Columns of docs stay, but for those named n_words, spans and items, which are replaced.
-    Without items nothing is hit."""
-    names = [c for c in docs.columns if c not in ("n_words", "spans", "items")]
+    rest is a struct of all other columns of docs. finish gives (the rows to keep or None for all, a column for text
+    and for each of the fields)."""
     shards = _shards(benchmark, shard_words)
     shard, early = next(shards, []), None
     for following in shards:
         found = _early_finds(docs, shard, window)
         early = found if early is None else early.unionByName(found)
         shard = following
-    rest = F.struct(F.lit(0).alias(free_name("_", names)), *(F.col(f"`{c}`") for c in names if c != "text"))
+    names = [c for c in docs.columns if c != "text"]
+    rest = F.struct(F.lit(0).alias(free_name("_", names)), *(F.col(f"`{c}`") for c in names))
     rows = docs.select(F.col("text").cast("string").alias("text"), rest.alias("rest"))
     if early is None:
         rows = rows.withColumn("early", F.lit(None).cast("array<struct<spans:array<struct<start:int,end:int>>,items:array<string>>>"))
@@ -195,19 +191,37 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
     def walk(batches):
         automaton = shared.value
         for batch in batches:
-            n_words, found = [], []
-            for text, before in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            texts, found = batch.column(0).to_pylist(), []
+            for text, before in zip(texts, batch.column(2).to_pylist(), strict=True):
                 words = normal_words(text)
-                n_words.append(len(words))
                 spans, items = automaton.search(words)
                 if before:
                     spans = merge_spans(spans + [(x["start"], x["end"]) for one in before for x in one["spans"]])
                     items = items.union(*(one["items"] for one in before))
-                found.append((spans, items))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n_words, pa.int64()), *_found_arrays(found)], names=["text", "rest", "n_words", "spans", "items"])
+                found.append((len(words), spans, items))
+            keep, columns = finish(texts, found)
+            others = batch.column(1) if keep is None else batch.column(1).take(pa.array(keep, pa.int64()))
+            yield pa.RecordBatch.from_arrays([columns[0], others, *columns[1:]], names=["text", "rest", *(f.name for f in fields)])
+
+    return map_arrow(rows, walk, StructType([*rows.select("text", "rest").schema.fields, *fields]))
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shard_words: int = SHARD_WORDS) -> DataFrame:
+    """docs with n_words, spans (array of start and end word, apart and in order) and items (sorted).
+
+    A window is window consecutive words of an item; an item with fewer, but not none, is one
+    window. Words are runs of letters, digits and non-ASCII characters after lower-casing A-Z.
+    Null and empty texts have no words and no spans; items with a null text are left out, the windows
+    of an item with a null id are hit but not named; repeated items and repeated rows count like any
+    other. Columns of docs stay, but for those named n_words, spans and items, which are replaced.
+    Without items nothing is hit."""
+    names = [c for c in docs.columns if c not in ("n_words", "spans", "items")]
+    fields = StructType.fromDDL(f"n_words long, {_FOUND}").fields
+
+    def finish(texts, found):
+        return None, [pa.array(texts, pa.string()), pa.array([n for n, _, _ in found], pa.int64()), *_found_arrays([x[1:] for x in found])]
 
-    schema = rows.select("text", "rest", F.lit(0).cast("long").alias("n_words")).schema
-    out = map_arrow(rows, walk, StructType([*schema.fields, *StructType.fromDDL(_FOUND).fields]))
+    out = _marked(docs.select(*(F.col(f"`{c}`") for c in names)), benchmark, window, shard_words, finish, fields)
     return out.select(*(F.col(c) if c == "text" else F.col("rest").getField(c).alias(c) for c in names), "n_words", "spans", "items")
 
 
@@ -216,22 +230,25 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, ma
     a document with over max_share of its words hit goes as a whole. Columns as in docs, whatever their
     names; texts without a hit, and null and empty texts, stay as they are. Repeated rows are each cut."""
     rows, back = packed(docs)
-    marked = contamination(rows, benchmark, window, shard_words)
-    n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + (s["end"] - s["start"]).cast("long"))
-    left = marked.where(n_hit <= F.col("n_words") * F.lit(max_share)).select("doc_id", "text", "rest", "spans")
 
-    def cut(batches):
-        for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for i, spans in enumerate(batch.column(3).to_pylist()):
-                if spans:
-                    raw = texts[i].encode("utf-8", "surrogatepass")
-                    words = [m.span() for m in re.finditer(rb"[^ ]+", raw.translate(_TABLE))]
-                    out, done = [], 0
-                    for x in spans:
-                        out.append(raw[done : words[x["start"]][0]])
-                        done = words[x["end"] - 1][1]
-                    texts[i] = b"".join([*out, raw[done:]]).decode("utf-8", "surrogatepass")
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), batch.column(2)], names=["doc_id", "text", "rest"])
-
-    return back(map_arrow(left, cut, left.drop("spans").schema))
+    def finish(texts, found):
+        keep, kept = [], []
+        for i, (text, (n, spans, _)) in enumerate(zip(texts, found, strict=True)):
+            if sum(b - a for a, b in spans) <= n * max_share:
+                keep.append(i)
+                kept.append(_cut(text, spans) if spans else text)
+        return keep, [pa.array(kept, pa.string())]
+
+    cut = _marked(rows.select("text", F.struct("doc_id", "rest").alias("r")), benchmark, window, shard_words, finish, [])
+    return back(cut.select(F.col("rest.r.doc_id").alias("doc_id"), "text", F.col("rest.r.rest").alias("rest")))
+
+
+def _cut(text: str, spans: list[tuple[int, int]]) -> str:
+    """The text without the words of the spans and what stands between them."""
+    raw = text.encode("utf-8", "surrogatepass")
+    words = [m.span() for m in re.finditer(rb"[^ ]+", raw.translate(_TABLE))]
+    out, done = [], 0
+    for a, b in spans:
+        out.append(raw[done : words[a][0]])
+        done = words[b - 1][1]
+    return b"".join([*out, raw[done:]]).decode("utf-8", "surrogatepass")

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from .common import CHUNK_ROWS, CHUNK_SCHEMA, Placement, by_chunk, map_arrow, meet_by_chunk, pack, partitions, placement, text_tags, unpack, unpack_docs
+from .common import CHUNK_ROWS, CHUNK_SCHEMA, Placement, by_chunk, map_arrow, meet_by_chunk, pack, placement, text_tags, unpack, unpack_docs
 
 #: Distinct words of one chunk that a map task holds before it hands them on.
 LIST_WORDS = 200_000
@@ -309,11 +309,11 @@ def recode_documents(docs: DataFrame, tokenizer_path: str) -> DataFrame:
 def _encoded(docs: DataFrame, tokenizer_path: str, packed: bool) -> DataFrame:
     """The documents with their ids, a row each or a row for each batch of them."""
     spark = docs.sparkSession
-    n = partitions(spark)
     text = read_tokenizer(tokenizer_path)
     whole = tuple(t["content"] for t in json.loads(text)["added_tokens"])
     source = spark.sparkContext.broadcast(text)
     place = placement(docs)
+    n = place.ranges  # a small table has few lists, so it gets few buckets
 
     def encode(batches):
         """One bucket: the lists of each chunk become one, each word of the bucket is encoded once."""

@@ -272,11 +272,15 @@ def test_placement_is_even_whatever_the_ids_are(spark):
     old = spark.conf.get("spark.sql.shuffle.partitions")
     spark.conf.set("spark.sql.shuffle.partitions", "64")
     try:
-        for ids in (spark.range(20_000).select(((F.col("id") % 64) * (1 << 33) + F.floor(F.col("id") / 64)).alias("doc_id")), spark.range(20_000).select(F.xxhash64("id").alias("doc_id")), spark.range(20_000).select(F.when(F.col("id") % 3 > 0, F.col("id")).alias("doc_id"))):
-            place = common.placement(ids)
-            got = [r[0] for r in ids.collect()]
-            part = place.of(got, [zlib.crc32(str(k).encode()) for k in range(len(got))]) // place.parts
-            assert np.bincount(part, minlength=64).max() < 2 * len(got) / 64
+        rows, id_ = 64 * 4096, F.col("id")
+        for ids in (((id_ % 64) * (1 << 33) + F.floor(id_ / 64)), F.xxhash64("id"), F.when(id_ % 3 > 0, id_)):
+            table = spark.range(rows).select(ids.alias("doc_id"))
+            place = common.placement(table)
+            got = table.toPandas().doc_id
+            got = np.where(got.isna(), common.NO_ID, got.fillna(0)).astype(np.int64) if got.isna().any() else got.to_numpy()
+            part = place.chunks(got, np.arange(rows) * 2654435761 % (1 << 32)) // place.parts
+            assert place.ranges == 64 and np.bincount(part, minlength=64).max() < 2 * rows / 64
+        assert common.placement(spark.range(5000).withColumnRenamed("id", "doc_id")).ranges == 3
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", old)
 
