@@ -6,10 +6,10 @@ its rows. A text's score is the sum of log(target / raw) over its n-grams, divid
 at a score of at least MIN_SCORE. Added to each bucket alike, SMOOTHING makes all scores lower while the trusted
 words are few against the buckets. With a prior, a bucket's trusted words are held against those expected from
 its share of the raw corpus, with so many words added to both: a bucket with too little evidence weighs about 0
-whatever the size. Everything is DataFrame functions: one scan counts the raw corpus without an exchange of
-texts (a partial sum in each task, so at most BUCKETS rows leave it); a second counts the trusted texts, which
-are the only ones that meet their labels: a fixed bit filter of trusted ids (FILTER_WORDS numbers, one bit an
-id) holds back all but a few of the others before the join, which is exact. A third scan scores without an exchange.
+whatever the size. Everything is DataFrame functions: one pass counts (a partial sum in each task, so at most
+BUCKETS rows leave it). Only texts that may be trusted meet their labels: a fixed bit filter of trusted ids
+(FILTER_WORDS numbers, one bit an id) keeps all but a few of the others out of the join, which is exact. A second
+pass scores without an exchange.
 
 The filter and the table of weights have a fixed size whatever the input, and reach the tasks as scalar
 subqueries. Arrays that a lambda indexes are bound by let(), since an expression inside a lambda
@@ -76,13 +76,13 @@ def word_hashes(words: Column) -> Column:
     return F.transform(words, lambda w: F.xxhash64(w))
 
 
-def _bucket_counts(texts: DataFrame, buckets: int, order: int, name: str) -> DataFrame:
-    """bucket and how many n-grams of the texts fall into it."""
+def _ngrams(texts: DataFrame, buckets: int, order: int) -> DataFrame:
+    """t and bucket of each n-gram of texts(t, text)."""
     if order == 1:
-        rows = texts.select(F.explode(F.split(_blank(F.col("text")), " ")).alias("w")).where("w != ''").select(F.xxhash64("w").alias("h"))
+        rows = texts.select("t", F.explode(F.split(_blank(F.col("text")), " ")).alias("w")).where("w != ''").select("t", F.xxhash64("w").alias("h"))
     else:
-        rows = texts.select(F.explode(let(word_hashes(words_of(F.col("text"))), lambda h: ngram_hashes(h, order))).alias("h"))
-    return rows.groupBy(F.pmod("h", F.lit(buckets)).alias("bucket")).agg(F.count("*").alias(name))
+        rows = texts.select("t", F.explode(let(word_hashes(words_of(F.col("text"))), lambda h: ngram_hashes(h, order))).alias("h"))
+    return rows.select("t", F.pmod("h", F.lit(buckets)).alias("bucket"))
 
 
 def _bits(key: Column) -> tuple[Column, Column]:
@@ -99,12 +99,15 @@ def _id_filter(ids: DataFrame) -> DataFrame:
     return full.agg(F.sort_array(F.collect_list(F.struct("at", "bits"))).alias("s")).select(F.transform("s", lambda x: x["bits"]).alias("f"))
 
 
-def trusted_texts(docs: DataFrame, target: DataFrame) -> DataFrame:
-    """The texts of the rows of docs whose doc_id target has; a null doc_id is never trusted."""
+def marked_texts(docs: DataFrame, target: DataFrame) -> DataFrame:
+    """text, and t: whether target has the row's doc_id; a null doc_id is never trusted.
+
+    Texts that the filter holds back are surely not trusted and stay where they are; only the others are joined."""
     trusted = target.select(F.col("doc_id").alias("__id")).where("__id is not null").distinct()
     at, bit = _bits(F.col("doc_id"))
-    near = docs.select("doc_id", "text").withColumn("__filter", _id_filter(trusted).scalar()).where(F.getbit(F.get("__filter", at), bit) == 1).drop("__filter")
-    return near.join(trusted.hint("shuffle_hash"), F.col("doc_id") == F.col("__id"), "left_semi").select("text")
+    screened = docs.select("doc_id", "text").withColumn("__filter", _id_filter(trusted).scalar()).withColumn("__near", F.coalesce(F.getbit(F.get("__filter", at), bit) == 1, F.lit(False))).drop("__filter")
+    near = screened.where("__near").join(trusted.hint("shuffle_hash"), F.col("doc_id") == F.col("__id"), "left").select("text", F.col("__id").isNotNull().alias("t"))
+    return near.unionByName(screened.where("not __near").select("text", F.lit(False).alias("t")))
 
 
 def bucket_weights(docs: DataFrame, target: DataFrame, buckets: int = BUCKETS, smoothing: float = SMOOTHING, order: int = ORDER, prior: float | None = None) -> DataFrame:
@@ -112,9 +115,9 @@ def bucket_weights(docs: DataFrame, target: DataFrame, buckets: int = BUCKETS, s
 
     target has the doc_ids of the trusted rows. Without any trusted n-gram all weights are 0. With a
     prior, smoothing is not used and the weight is log((tgt + prior) / (n_tgt * raw / n_raw + prior))."""
-    docs = docs.select(F.col("doc_id").cast("long"), "text")
-    raw, tgt = _bucket_counts(docs, buckets, order, "raw"), _bucket_counts(trusted_texts(docs, target.select(F.col("doc_id").cast("long"))), buckets, order, "tgt")
-    full = docs.sparkSession.range(buckets).select(F.col("id").alias("bucket")).join(raw, "bucket", "left").join(tgt, "bucket", "left").select("bucket", F.coalesce("raw", F.lit(0)).alias("raw"), F.coalesce("tgt", F.lit(0)).alias("tgt"))
+    marked = marked_texts(docs.select(F.col("doc_id").cast("long"), "text"), target.select(F.col("doc_id").cast("long")))
+    counts = _ngrams(marked, buckets, order).groupBy("bucket").agg(F.count("*").alias("raw"), F.count_if("t").alias("tgt"))
+    full = docs.sparkSession.range(buckets).select(F.col("id").alias("bucket")).join(counts, "bucket", "left").select("bucket", F.coalesce("raw", F.lit(0)).alias("raw"), F.coalesce("tgt", F.lit(0)).alias("tgt"))
     lists = full.agg(F.sort_array(F.collect_list(F.struct("bucket", "raw", "tgt"))).alias("c"), F.sum("raw").alias("n_raw"), F.sum("tgt").alias("n_tgt"))
     extra = smoothing * buckets
     ratio = lambda x: F.log((x["tgt"] + smoothing) / (F.col("n_tgt") + extra)) - F.log((x["raw"] + smoothing) / (F.col("n_raw") + extra))
