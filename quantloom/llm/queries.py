@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, license_scan, line_dedup, quality_classifier, quality_rules, simhash, substring_dedup, token_files, url_filter, wordpieces
+from . import decontaminate, divergence, jaccard_join, license_scan, line_dedup, quality_classifier, quality_rules, simhash, substring_dedup, token_files, url_filter, vector_codes, wordpieces
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -95,6 +95,20 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("text", "utf-8"), 256).alias("kept_sha256"))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence_audit(_table(spark, sf_dir, "documents"))
+
+
+def op12_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_components(_table(spark, sf_dir, "documents"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = vector_codes.encode_vectors(_table(spark, sf_dir, "embeddings"))
+    full = vector_codes.with_label_error(coded)
+    return full.select("vec_id", F.lower(F.hex("code")).alias("code"), "error", "label_error", F.lit(vector_codes.books_digest(books)).alias("codebooks_sha256"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -102,8 +116,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_quality_rules, op2_simhash, op3_bpe, op4_license_scan, op5_decontaminate, op6_line_dedup, op7_token_files, op8_url_filter, op9_quality_classifier, op10_substring_dedup, pipeline)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_simhash, op3_bpe, op4_license_scan, op5_decontaminate, op6_line_dedup, op7_token_files, op8_url_filter, op9_quality_classifier, op10_substring_dedup, op11_source_divergence, op12_jaccard_join, op13_vector_codes, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_license_scan": license_scan.oracle(), "op8_url_filter": _OP8}
+    return {"op4_license_scan": license_scan.oracle(), "op8_url_filter": _OP8, "op11_source_divergence": divergence.ORACLE, "op12_jaccard_join": jaccard_join.ORACLE, "op13_vector_codes": vector_codes.oracle()}
