@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
+
+from .blocks import LEAST_ROWS, cuts_of
 
 
 def ordered(by: str = "ticker", at: str = "date") -> WindowSpec:
@@ -82,30 +87,119 @@ def technical_features(panel: DataFrame, by: str = "ticker", at: str = "date") -
     }).drop("__step", "__tr", "__up", "__down")
 
 
-def with_ema(panel: DataFrame, spans: tuple[int, ...], price: str = "close", by: str = "ticker", at: str = "date") -> DataFrame:
+def _fold(values: list, keep: float, e: float | None, gap: int) -> tuple[list, float | None, int]:
+    """The recursive means of values from a mean e that gap nulls have followed, and what comes out at the end."""
+    out, new = [], 1 - keep
+    for x in values:
+        if x is None:
+            gap += 1
+        elif e is None:
+            e, gap = x, 0
+        else:
+            w = keep if not gap else keep ** (gap + 1)
+            e, gap = (w * e + new * x) / (w + new), 0
+        out.append(e)
+    return out, e, gap
+
+
+def _summed_up(values: list, keep: float) -> tuple[int, float | None, float, float, int]:
+    """A block as a map of what comes in: nulls before its first value, that value, the scale and the shift of the mean
+    from there to the end, and the nulls after its last value."""
+    lead = next((i for i, x in enumerate(values) if x is not None), len(values))
+    if lead == len(values):
+        return lead, None, 1.0, 0.0, 0
+    scale, shift, gap, new = 1.0, 0.0, 0, 1 - keep
+    for x in values[lead + 1 :]:
+        if x is None:
+            gap += 1
+        else:
+            w = keep if not gap else keep ** (gap + 1)
+            a, gap = w / (w + new), 0
+            scale, shift = a * scale, a * shift + new * x / (w + new)
+    return lead, values[lead], scale, shift, gap
+
+
+def _chained(summaries: list, keeps: list[float]) -> dict:
+    """What comes into each block, (key, block) -> (mean, nulls since) of each span, from summaries in the order of blocks."""
+    states: dict = {}
+    for key, block, i, lead, first, scale, shift, trail in summaries:
+        e, gap = states.setdefault((key, i), (None, 0))
+        states[key, i, block] = (e, gap)
+        if first is None:
+            states[key, i] = (e, gap + lead)
+            continue
+        (e,), _, _ = _fold([first], keeps[i], e, gap + lead)
+        states[key, i] = (scale * e + shift, trail)
+    return states
+
+
+def _runs(keys: list, blocks: list) -> list[tuple[int, int]]:
+    """Ranges of rows of one key and block."""
+    starts = [i for i in range(len(keys)) if not i or keys[i] != keys[i - 1] or blocks[i] != blocks[i - 1]]
+    return list(zip(starts, [*starts[1:], len(keys)], strict=True))
+
+
+def with_ema(panel: DataFrame, spans: tuple[int, ...], price: str = "close", by: str = "ticker", at: str = "date", least_rows: int = LEAST_ROWS) -> DataFrame:
     """ema_{span}: recursive mean, e = e' (1 - a) + a x with a = 2 / (span + 1), from the first value on.
 
-    A null carries the last value and lets its weight fade. The recursion has no window form: an entity's
-    values are folded in order by array functions in the JVM, so the group is the history of one entity."""
-    item = F.struct(F.col(at).alias("k"), F.struct(*(F.col(c) for c in panel.columns)).alias("row"), F.col(price).cast("double").alias("x"))
-    rows = panel.groupBy(by).agg(F.array_sort(F.collect_list(item), lambda a, b: F.when(a["k"] < b["k"], -1).when(a["k"] > b["k"], 1).otherwise(0)).alias("rows"))
-
-    def fold(span: int) -> Column:
-        keep = 1 - 2 / (span + 1)
-        # the mean so far, and the weight of what came before the next value
-        start = F.struct(F.lit(None).cast("double").alias("e"), F.lit(1.0).alias("w"), F.array().cast("array<double>").alias("out"))
-
-        def step(s, r):
-            x, w = r["x"], s["w"] * keep
-            new = F.when(x.isNull(), s["e"]).when(s["e"].isNull(), x).otherwise((w * s["e"] + (1 - keep) * x) / (w + (1 - keep)))
-            weight = F.when(s["e"].isNull() & x.isNull(), F.lit(1.0)).when(x.isNull(), w).otherwise(F.lit(1.0))
-            return F.struct(new.alias("e"), weight.alias("w"), F.array_append(s["out"], new).alias("out"))
-
-        return F.aggregate("rows", start, step, lambda s: s["out"])
-
-    means = rows.withColumns({f"ema_{s}": fold(s) for s in spans})
-    zipped = means.select(F.explode(F.arrays_zip(F.transform("rows", lambda r: r["row"]).alias("row"), *(F.col(f"ema_{s}") for s in spans))).alias("z"))
-    return zipped.select("z.row.*", *(f"z.ema_{s}" for s in spans))
+    A null carries the last value and lets its weight fade. A value turns the mean before it into the mean after it by an affine map, and
+    these compose: blocks of an entity are summed up side by side into one map each, the maps are chained block by block, and each
+    block is replayed from what comes into it. An entity of few rows is one block and is only replayed. Rows stream past in
+    order, so the work is linear and no task holds a history."""
+    keeps = [1 - 2 / (s + 1) for s in spans]
+    cuts = cuts_of(panel, [by], at, least_rows)
+    rows = panel.withColumn("__v", F.col(price).cast("double"))
+    rows = cuts.with_block(rows) if cuts else rows.withColumns({"__b": F.lit(0), "__cut": F.lit(False)})
+    placed = rows.repartition(by, "__b").sortWithinPartitions(by, "__b", at)
+    starts: dict = {}
+
+    def summarise(batches):
+        # a block may span batches: its values wait until the next one begins
+        here, values = None, []
+
+        def out():
+            found = [(*here, i, *_summed_up(values, k)) for i, k in enumerate(keeps)] if here else []
+            return pd.DataFrame(found, columns=["key", "block", "i", "lead", "first", "scale", "shift", "trail"]).astype({"first": object})
+
+        for batch in batches:
+            keys, blocks, x = (batch.column(c).to_pylist() for c in (by, "__b", "__v"))
+            for a, b in _runs(keys, blocks):
+                if here is not None and (keys[a], blocks[a]) != here:
+                    yield out()
+                    values = []
+                here = (keys[a], blocks[a])
+                values += x[a:b]
+        yield out()
+
+    def as_arrow(frames, schema):
+        for f in frames:
+            yield pa.RecordBatch.from_arrays([pa.array(f[c].tolist(), t.type) for c, t in zip(f.columns, schema, strict=True)], names=list(f.columns))
+
+    if cuts:
+        key_type = panel.schema[by].dataType
+        schema = StructType([StructField("key", key_type), StructField("block", LongType()), StructField("i", LongType()), StructField("lead", LongType()), StructField("first", DoubleType()), StructField("scale", DoubleType()), StructField("shift", DoubleType()), StructField("trail", LongType())])
+        arrow = to_arrow_schema(schema)
+        found = placed.where("__cut").select(by, "__b", "__v").mapInArrow(lambda batches: as_arrow(summarise(batches), arrow), schema)
+        starts = _chained([tuple(r) for r in sorted(found.collect(), key=lambda r: r["block"])], keeps)
+
+    names = panel.columns
+
+    def replay(batches):
+        here, state = None, [(None, 0)] * len(keeps)
+        for batch in batches:
+            keys, blocks, x = (batch.column(c).to_pylist() for c in (by, "__b", "__v"))
+            means: list[list] = [[] for _ in keeps]
+            for a, b in _runs(keys, blocks):
+                if (keys[a], blocks[a]) != here:
+                    here = (keys[a], blocks[a])
+                    state = [starts.get((keys[a], i, blocks[a]), (None, 0)) for i in range(len(keeps))]
+                for i, keep in enumerate(keeps):
+                    out, *state[i] = _fold(x[a:b], keep, *state[i])
+                    means[i] += out
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *(pa.array(m, pa.float64()) for m in means)], names=[*names, *(f"ema_{s}" for s in spans)])
+
+    full = StructType([*panel.schema.fields, *(StructField(f"ema_{s}", DoubleType()) for s in spans)])
+    return placed.select(*names, "__b", "__v").mapInArrow(replay, full)
 
 
 def with_drawdown(curve: DataFrame, value: str = "value", by: str = "policy", at: str = "date") -> DataFrame:
