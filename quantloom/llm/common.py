@@ -127,7 +127,7 @@ def pack(items: list[bytes]) -> bytes:
     """Byte strings as one compressed value."""
     lengths = np.fromiter(map(len, items), "<u4", len(items))
     raw = struct.pack("<I", len(items)) + lengths.tobytes() + b"".join(items)
-    return zstandard.ZstdCompressor(level=3).compress(raw)
+    return zstandard.ZstdCompressor(level=5).compress(raw)
 
 
 def unpack(data: bytes) -> list[bytes]:

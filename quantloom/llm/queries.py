@@ -75,9 +75,9 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _OP8 = r"""
-WITH h AS (SELECT page_id, DATE '2024-01-01' + CAST(page_id % 365 AS INT) AS fetch_date, nullif(rtrim(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)', 1)), '.'), '') AS host FROM pages),
+WITH h AS (SELECT page_id, DATE '2024-01-01' + CAST(page_id % 365 AS INT) AS fetch_date, nullif(rtrim(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(\[[^\]/?#@]*\]|[^/?#:@\[\]]+)', 1)), '.'), '') AS host FROM pages),
 p AS (SELECT DISTINCT host, string_split(host, '.') AS parts FROM h WHERE host IS NOT NULL),
-k AS (SELECT DISTINCT host, key FROM (SELECT host, host AS key FROM p UNION ALL SELECT host, array_to_string(parts[len(parts) - n + 1 : len(parts)], '.') FROM (SELECT host, parts, unnest(range(2, len(parts) + 1)) AS n FROM p))),
+k AS (SELECT DISTINCT host, key FROM (SELECT host, host AS key FROM p UNION ALL SELECT host, array_to_string(parts[len(parts) - n + 1 : len(parts)], '.') FROM (SELECT host, parts, unnest(range(2, len(parts) + 1)) AS n FROM p WHERE NOT regexp_matches(host, '^([0-9]{1,3}([.][0-9]{1,3}){3}|\[.*\])$')))),
 m AS (SELECT key, CAST('0x' || substr(md5(key), 1, 6) AS INT) AS n FROM (SELECT DISTINCT key FROM k)),
 e AS (SELECT key, CASE WHEN n % 20 = 0 THEN 'allow' WHEN n % 8 = 0 THEN 'malware' ELSE 'spam' END AS category, a, DATE '2024-01-01' + CAST(n % 200 + d AS INT) AS entry_date FROM m JOIN (VALUES (0, 'add', 0), (1, 'remove', 60), (2, 'add', 90)) s(i, a, d) ON i <= n % 3 WHERE n % 4 = 0),
 v AS (SELECT key, category, a, entry_date AS valid_from, lead(entry_date) OVER (PARTITION BY key, category ORDER BY entry_date) AS valid_to FROM e),

@@ -14,6 +14,7 @@ from __future__ import annotations
 import uuid
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 from urllib.parse import unquote, urlparse
 
 import numpy as np
@@ -26,6 +27,8 @@ from .common import map_arrow, partitions, shared_dir
 from .wordpieces import loaded, read_tokenizer, remembered, split_words
 
 SEQUENCE, BATCH_SEQUENCES = 2048, 256
+#: Batches that a reader keeps, and characters of a file's documents: no less, about, where partitions would make them less, and no more.
+HELD_BATCHES, LEAST_CHARS, MOST_CHARS = 4, 1 << 20, 1 << 28
 
 
 def _filesystem(path: str) -> tuple:
@@ -54,6 +57,7 @@ class TokenFileWriter:
         self.index_sink = filesystem.open_output_stream(path + ".index")
         self.stream = pa.ipc.new_stream(self.sink, self.schema)
         self.index = pa.ipc.new_stream(self.index_sink, _INDEX)
+        self.places_sink, self.places = filesystem.open_output_stream(path + ".places"), []
         self.held: list[np.ndarray] = []
         self.n_held = self.n_tokens = self.n_docs = 0
 
@@ -77,7 +81,10 @@ class TokenFileWriter:
         mask = np.zeros(len(flat), bool)
         mask[:n] = True
         lists = [pa.FixedSizeListArray.from_arrays(pa.array(x), self.sequence) for x in (flat, mask)]
-        self.stream.write_batch(pa.record_batch(lists, schema=self.schema))
+        batch = pa.record_batch(lists, schema=self.schema)
+        self.stream.write_batch(batch)
+        end = self.sink.tell()
+        self.places.append((end - pa.ipc.get_record_batch_size(batch), end))
 
     def close(self) -> None:
         if self.n_held:
@@ -85,7 +92,8 @@ class TokenFileWriter:
             flat = np.zeros(rows * self.sequence, self.type)
             flat[: self.n_held] = np.concatenate(self.held)
             self._write(flat, self.n_held)
-        for x in (self.stream, self.index, self.sink, self.index_sink):
+        self.places_sink.write(np.array(self.places, "<i8").tobytes())
+        for x in (self.stream, self.index, self.sink, self.index_sink, self.places_sink):
             x.close()
 
 
@@ -97,7 +105,9 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id:
     their texts. Other columns are ignored; no rows give no files."""
     spark = docs.sparkSession
     source = spark.sparkContext.broadcast(read_tokenizer(tokenizer_path))
-    ordered = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).repartitionByRange(partitions(spark), F.col("doc_id")).sortWithinPartitions("doc_id", "text")
+    chars = docs.agg(F.sum(F.length(F.col("text").cast("string")))).first()[0] or 0
+    files = max(1, min(partitions(spark), -(-chars // LEAST_CHARS)), -(-chars // MOST_CHARS))
+    ordered = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).repartitionByRange(files, F.col("doc_id")).sortWithinPartitions("doc_id", "text")
 
     def write(batches):
         tokens, writer, target = loaded(source.value), None, None
@@ -118,7 +128,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id:
             writer.add(batch.column(0).to_pylist(), [np.concatenate((np.frombuffer(b"".join(map(get, words)), "<u4"), end)) for words in texts])
         if writer is not None:
             writer.close()
-            for suffix in ("", ".index"):
+            for suffix in (".index", ".places", ""):
                 filesystem.move(attempt + suffix, target + suffix)
             yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([folder.rstrip("/") + "/" + target.rsplit("/", 1)[1]]), pa.array([writer.n_docs], pa.int64()), pa.array([writer.n_tokens], pa.int64())], names=["part", "path", "n_docs", "n_tokens"])
 
@@ -128,23 +138,31 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id:
 
 
 class TokenFile:
-    """Random access to one file. Sequences are views of the mapped file where it is local."""
+    """Random access to one file, a batch at a time. Sequences are views of the mapped file where it is local; elsewhere the last
+    HELD_BATCHES batches are kept."""
 
     def __init__(self, path: str):
         filesystem, at = _filesystem(path)
-        self.file = pa.memory_map(at) if filesystem.type_name == "local" else filesystem.open_input_file(at)
-        self.batches = list(pa.ipc.open_stream(self.file))
-        index = pa.memory_map(at + ".index") if filesystem.type_name == "local" else filesystem.open_input_file(at + ".index")
-        self.index = pa.ipc.open_stream(index).read_all()
-        self.rows = self.batches[0].num_rows if self.batches else 0
-        self.length = self.batches[0].schema.field("ids").type.list_size if self.batches else 0
+        opened = pa.memory_map if filesystem.type_name == "local" else filesystem.open_input_file
+        self.file, self._index = opened(at), lambda: opened(at + ".index")
+        with filesystem.open_input_file(at + ".places") as f:
+            self.places = np.frombuffer(f.read(), "<i8").reshape(-1, 2)
+        self.schema = pa.ipc.read_schema(self.file)
+        self.length = self.schema.field("ids").type.list_size
+        self.batch = lru_cache(HELD_BATCHES)(self._read)
+        self.rows = self.batch(0).num_rows if len(self.places) else 0
+
+    def _read(self, k: int) -> pa.RecordBatch:
+        start, end = self.places[k].tolist()
+        self.file.seek(start)
+        return pa.ipc.read_record_batch(pa.ipc.read_message(pa.BufferReader(self.file.read_buffer(end - start))), self.schema)
 
     def __len__(self) -> int:
-        return sum(b.num_rows for b in self.batches)
+        return self.rows * (len(self.places) - 1) + self.batch(len(self.places) - 1).num_rows if len(self.places) else 0
 
     def sequence(self, i: int) -> tuple[np.ndarray, np.ndarray]:
         """The ids and the mask of sequence i."""
-        batch = self.batches[i // self.rows]
+        batch = self.batch(i // self.rows)
         at = (i % self.rows) * self.length
         ids, mask = (batch.column(k).values.slice(at, self.length) for k in (0, 1))
         return ids.to_numpy(zero_copy_only=True), mask.to_numpy(zero_copy_only=False)
@@ -153,15 +171,17 @@ class TokenFile:
         """n ids from position start on."""
         size, out = self.rows * self.length, []
         while n > 0:
-            values = self.batches[start // size].column(0).values
+            values = self.batch(start // size).column(0).values
             out.append(values.slice(start % size, n).to_numpy(zero_copy_only=True))
             start, n = start + len(out[-1]), n - len(out[-1])
         return np.concatenate(out) if out else np.zeros(0, np.uint32)
 
     def documents(self) -> Iterator[tuple[list, list, list, list]]:
-        for batch in self.index.to_batches(max_chunksize=1024):
-            ids, starts, sizes = (c.to_pylist() for c in batch.columns)
-            yield ids, starts, sizes, [self.tokens(s, n) for s, n in zip(starts, sizes, strict=True)]
+        """ids, starts, lengths and tokens of the documents, a batch of the index at a time."""
+        for whole in pa.ipc.open_stream(self._index()):
+            for at in range(0, whole.num_rows, 1024):
+                ids, starts, sizes = (c.to_pylist() for c in whole.slice(at, 1024).columns)
+                yield ids, starts, sizes, [self.tokens(s, n) for s, n in zip(starts, sizes, strict=True)]
 
 
 def read_token_files(manifest: DataFrame) -> DataFrame:

@@ -17,19 +17,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: A host that is an address: four numbers, or anything in brackets.
+ADDRESS = "^([0-9]{1,3}([.][0-9]{1,3}){3}|\\[.*\\])$"
+
+
 def url_host(url: Column) -> Column:
-    """The lower-case host of a URL without user, port and final dot; null where there is none."""
-    host = F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), "^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)", 1))
+    """The lower-case host of a URL without user, port and final dot; null where there is none. An address in brackets keeps them."""
+    host = F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), "^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(\\[[^\\]/?#@]*\\]|[^/?#:@\\[\\]]+)", 1))
     return F.nullif(F.rtrim(host, F.lit(".")), F.lit(""))
 
 
 def host_keys(host: Column) -> Column:
-    """The host and its parent domains of two labels or more."""
+    """The host and its parent domains of two labels or more; an IP address has none."""
     parts = F.split(host, "\\.")
     n = F.size(parts)
     lengths = F.sequence(F.lit(1), F.greatest(n, F.lit(1)))
     parents = F.transform(F.filter(lengths, lambda k: k >= 2), lambda k: F.array_join(F.slice(parts, n - k + 1, k), "."))
-    return F.array_distinct(F.concat(F.array(host), parents))
+    return F.when(host.rlike(ADDRESS), F.array(host)).otherwise(F.array_distinct(F.concat(F.array(host), parents)))
 
 
 def validity(entries: DataFrame) -> DataFrame:

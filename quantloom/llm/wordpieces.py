@@ -382,8 +382,8 @@ def _decoded(lists: DataFrame, tokenizer_path: str, at: int, schema: StructType)
     known = F.coalesce("piece", F.when(F.col("id").isNotNull(), F.raise_error(F.concat(F.lit("no such id: "), F.col("id").cast("string"))).cast("binary")))
 
     def joined(batches):
-        """The rows of one value follow each other, as a join with a broadcast table leaves them."""
-        docs, table = None, {}
+        """The rows of one batch follow each other in order, as a join with a broadcast table leaves them; their places are checked."""
+        docs, table, last = None, {}, -1
 
         def out():
             batch = pa.ipc.open_stream(docs).read_next_batch()
@@ -393,6 +393,12 @@ def _decoded(lists: DataFrame, tokenizer_path: str, at: int, schema: StructType)
         for batch in batches:
             opened = set(np.flatnonzero(batch.column(0).is_valid().to_numpy(zero_copy_only=False)).tolist())
             ids, found = batch.column(1).to_pylist(), batch.column(2).to_pylist()
+            places = batch.column(3).to_numpy(zero_copy_only=False)
+            due = np.append(last, places[:-1]) + 1
+            due[sorted(opened)] = 0
+            if not np.array_equal(places, due):
+                raise ValueError("the pieces of a batch of documents did not stay together")
+            last = places[-1] if len(places) else last
             starts = sorted({0, *opened})
             for start, end in zip(starts, [*starts[1:], len(ids)], strict=True):
                 if start in opened:
@@ -403,5 +409,5 @@ def _decoded(lists: DataFrame, tokenizer_path: str, at: int, schema: StructType)
         if docs is not None:
             yield out()
 
-    rows = pieces.select(F.when(first, F.col("docs")).alias("docs"), "id", known.alias("piece"))
+    rows = pieces.select(F.when(first, F.col("docs")).alias("docs"), "id", known.alias("piece"), F.coalesce("pos", F.lit(0)).alias("pos"))
     return map_arrow(rows, joined, StructType([*schema.fields, StructField("text", StringType())]), rows=1 << 30)

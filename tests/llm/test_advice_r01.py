@@ -20,8 +20,8 @@ def _shingles(text, n=5):
 
 
 def _by_similarity(rows, least=0.8):
-    """doc_id and the least doc_id of its group, over all pairs that are similar or differ in two SimHash bits."""
-    sets, fps, root = [_shingles(t) for _, t in rows], [brute.fingerprint(t, 5) for _, t in rows], list(range(len(rows)))
+    """doc_id and the least doc_id of its group, over all pairs that are similar."""
+    sets, root = [_shingles(t) for _, t in rows], list(range(len(rows)))
 
     def find(x):
         while root[x] != x:
@@ -30,7 +30,7 @@ def _by_similarity(rows, least=0.8):
 
     for a in range(len(rows)):
         for b in range(a):
-            if (fps[a] ^ fps[b]).bit_count() <= 2 or sets[a] and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= least:
+            if sets[a] == sets[b] or sets[a] and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= least:
                 root[find(a)] = find(b)
     return {i: min(rows[b][0] for b in range(len(rows)) if find(b) == find(a)) for a, (i, _) in enumerate(rows)}
 

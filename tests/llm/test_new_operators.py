@@ -269,3 +269,46 @@ def test_registered_queries(spark, folder):
     assert sorted(map(tuple, got.collect()), key=str) == plain_components([r[:2] for r in rows])
     got = queries.op13_vector_codes(spark, out).select("vec_id", "code", "error", "label_error", "codebooks_sha256")
     assert sorted(map(tuple, got.collect()), key=str) == plain_codes(vectors, 16, 64, 2)
+
+
+def test_addresses_have_no_parents(spark):
+    from quantloom.llm import url_filter
+
+    hosts = {
+        "http://10.1.2.3/x": ["10.1.2.3"], "http://u:p@10.1.2.3:8080/": ["10.1.2.3"], "http://[::1]:80/": ["[::1]"], "https://[2001:DB8::7]/a.b": ["[2001:db8::7]"], "http://u@[::1]": ["[::1]"],
+        "https://a.b.com:443/": ["a.b.com", "b.com"], "https://1.2.3.com/": ["1.2.3.com", "2.3.com", "3.com"], "https://x.10.1.2.3.4/": ["x.10.1.2.3.4", "10.1.2.3.4", "1.2.3.4", "2.3.4", "3.4"], "http://[": None, "ftp:/x": None,
+    }
+    df = spark.createDataFrame([(u,) for u in hosts], "url string")
+    got = {r.url: r.k for r in df.withColumn("k", url_filter.host_keys(url_filter.url_host(F.col("url")))).collect()}
+    assert {u: (sorted(k) if k and k[0] else None) for u, k in got.items()} == {u: (sorted(k) if k else None) for u, k in hosts.items()}
+    day = F.lit("2024-02-01").cast("date")
+    entries = spark.createDataFrame([("2.3", "spam"), ("3", "spam"), ("[::1]", "malware"), ("b.com", "spam")], "key string, category string").withColumns({"action": F.lit("add"), "entry_date": day})
+    found = {r.url: r.blocked for r in url_filter.url_filter(df.withColumn("fetch_date", day), entries).collect()}
+    assert {u for u, b in found.items() if b} == {"http://[::1]:80/", "http://u@[::1]", "https://a.b.com:443/"}
+
+
+def test_token_files_of_a_remote_store(spark, tmp_path, monkeypatch):
+    """A file on a store without memory maps gives the same rows, a few batches at a time."""
+    from pyarrow import fs
+
+    from quantloom.llm import token_files
+
+    monkeypatch.setattr(token_files, "BATCH_SEQUENCES", 2)
+    monkeypatch.setattr(token_files, "LEAST_CHARS", 40_000)
+    docs = spark.createDataFrame([(r[0], r[1]) for r in corpus()], "doc_id long, text string")
+    folder = f"file://{tmp_path}/tokens"
+    manifest = token_files.write_token_files(docs, folder, queries._byte_bpe(), sequence=16)
+    assert 1 <= manifest.count() <= 3
+    remote = fs.SubTreeFileSystem(str(tmp_path), fs.LocalFileSystem())
+    for row in manifest.collect():
+        here = token_files.TokenFile(row.path)
+        monkeypatch.setattr(token_files, "_filesystem", lambda path: (remote, path.split(f"{tmp_path}/")[1]))
+        there = token_files.TokenFile(row.path)
+        monkeypatch.undo()
+        assert len(here) == len(there) == -(-row.n_tokens // 16) and len(here.places) > 4
+        for a, b in zip(here.documents(), there.documents(), strict=True):
+            assert a[:3] == b[:3] and all((x == y).all() for x, y in zip(a[3], b[3], strict=True))
+        assert there.batch.cache_info().currsize <= token_files.HELD_BATCHES
+        ids, mask = there.sequence(len(there) - 1)
+        assert mask.sum() == (row.n_tokens - 1) % 16 + 1 and (ids[mask.sum() :] == 0).all()
+        assert not isinstance(here.file, type(there.file))

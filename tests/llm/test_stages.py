@@ -111,7 +111,7 @@ def test_line_stage(spark, rows, folder):
 
 def groups(rows, least=0.8):
     """The smallest doc_id of each row's group, over all pairs."""
-    sets, fps, root = [_shingles(t) for _, t in rows], [brute.fingerprint(t, 5) for _, t in rows], list(range(len(rows)))
+    sets, root = [_shingles(t) for _, t in rows], list(range(len(rows)))
 
     def find(x):
         while root[x] != x:
@@ -120,7 +120,7 @@ def groups(rows, least=0.8):
 
     for a in range(len(rows)):
         for b in range(a):
-            if (fps[a] ^ fps[b]).bit_count() <= 2 or (sets[a] and sets[b] and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= least):
+            if sets[a] == sets[b] or (sets[a] and sets[b] and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= least):
                 root[find(a)] = find(b)
     smallest: dict = {}
     for a, (i, _) in enumerate(rows):
@@ -147,17 +147,15 @@ def test_near_dup_stage(spark, rows, folder):
     empty_stays_empty(spark, corpus_pipeline.near_dup_stage, docs, folder)
 
 
-def test_benchmark_stage(spark, rows, folder):
-    docs = awkward(spark, rows)
-    out = corpus_pipeline.benchmark_stage(spark, docs, folder)
-    untouched(docs, out)
+def uncontaminated(docs):
+    """For each place in docs (id, text) that stays: its text, or the words that are left of it; and how many were hit."""
     pattern, expected, hits = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"), {}, 0
     windows = set()
     for _, t in ITEMS:
         w = pattern.findall(brute.lower(t))
         n = min(10, len(w))
         windows |= {tuple(w[k : k + n]) for k in range(len(w) - n + 1 if n else 0)}
-    for k, (_, t) in enumerate(texts(rows)):
+    for k, (_, t) in enumerate(docs):
         w, hit = pattern.findall(brute.lower(t)), set()
         for n in {len(x) for x in windows}:
             for j in range(len(w) - n + 1):
@@ -166,6 +164,15 @@ def test_benchmark_stage(spark, rows, folder):
         hits += bool(hit)
         if 2 * len(hit) <= len(w):
             expected[k] = [x for j, x in enumerate(w) if j not in hit] if hit else t
+    return expected, hits
+
+
+def test_benchmark_stage(spark, rows, folder):
+    docs = awkward(spark, rows)
+    out = corpus_pipeline.benchmark_stage(spark, docs, folder)
+    untouched(docs, out)
+    pattern = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    expected, hits = uncontaminated(texts(rows))
     got = kept(out)
     assert got.keys() == expected.keys() and hits > 3
     for k, t in got.items():
@@ -190,6 +197,37 @@ def test_pipeline_rereads_what_it_wrote(spark, folder):
     assert out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] and out.count() > 2
 
 
+def test_whole_run_by_brute_force(spark, rows, tokenizer, tmp_path):  # noqa: F811
+    """All five stages one after the other, each restated plainly on what the one before it left."""
+    draw = random.Random(12)
+    item = "x. the of And thé straße it's x. don't naïve word Word the of"
+    docs = dict(texts([r for r in rows if r[0] is not None]))
+    for k in range(30):
+        words = [f"v{draw.randrange(900)}" for _ in range(120)]
+        docs |= {3000 + 10 * k: " ".join(words), 3001 + 10 * k: _edited(draw, words, 1), 3002 + 10 * k: " ".join(words[:80]) + f"\n one line that {k % 4} documents share\n" + (item if k % 3 else "") + " ".join(words[80:][::-1])}
+    docs = sorted(docs.items())
+    folder = str(tmp_path)
+    spark.createDataFrame([(i, t, "en", "s", 0) for i, t in docs], SCHEMA).repartition(3).write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame(ITEMS, "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    target = {i for i, _ in docs if i % 2}
+    spark.createDataFrame([(i, int(i in target), 0) for i, _ in docs], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+
+    p = quality_rules.PRODUCTION
+    scores = plain_scores(spark, docs, target, p["order"], p["buckets"], p["prior"])
+    assert min(abs(s - p["min_score"]) for s in scores) > 1e-9
+    left = [(i, t) for (i, t), s in zip(docs, scores, strict=True) if not brute.base_figures(t)[-1] and s >= p["min_score"]]
+    left = sorted((i, t) for i, _, _, t in brute.line_dedup(left))
+    left = [d for d, g in zip(left, groups(left), strict=True) if d[0] == g]
+    expected, hits = uncontaminated(left)
+    got = {r.doc_id: tuple(r)[1:] for r in corpus_pipeline.run(spark, folder).collect()}
+    assert got.keys() == {left[k][0] for k in expected} and 20 < len(got) < len(docs) and hits > 5
+    for k, t in expected.items():
+        if not isinstance(t, list):
+            assert got[left[k][0]] == digests(tokenizer, t)
+        else:
+            assert got[left[k][0]][0] > 0 and got[left[k][0]] != digests(tokenizer, left[k][1])
+
+
 @pytest.mark.parametrize("name", ["op1_quality_rules", "op2_simhash", "op3_bpe", "op5_decontaminate", "op6_line_dedup", "op7_token_files", "op10_substring_dedup"])
 def test_registered_query(spark, rows, folder, tokenizer, name):  # noqa: F811
     """Columns, types, hashes and hex digits as the contract states them, on the whole awkward table."""
@@ -310,15 +348,46 @@ def test_large_groups_are_dealt_out(spark, monkeypatch):
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     prints = common.cut_lineage(near_dup.sketches(df))
     expected = groups(rows)
-    points = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
     for size in (1 << 22, 600):
-        edges = near_dup.similar(prints, df, simhash.links(points.select("fp")), block_hashes=size)
-        roots = {r.node: r.root for r in simhash.components(edges).collect()}
-        least: dict = {}
-        for r in prints.collect():
-            root = roots.get(r.fp, r.fp)
-            least[root] = min(least.get(root, r.doc_id), r.doc_id)
-        assert {r.doc_id: least[roots.get(r.fp, r.fp)] for r in prints.collect()} == {i: g for (i, _), g in zip(rows, expected, strict=True)}
+        check_components(prints, near_dup.similar(prints, df, block_hashes=size), rows, expected)
+
+
+def check_components(prints, edges, rows, expected):
+    roots = {r.node: r.root for r in simhash.components(edges).collect()}
+    found = [(r.doc_id, roots.get(r.sid, r.sid)) for r in prints.collect()]
+    least: dict = {}
+    for i, root in found:
+        least[root] = min(least.get(root, i), i)
+    assert {i: least[root] for i, root in found} == {i: g for (i, _), g in zip(rows, expected, strict=True)}
+
+
+def test_strangers_under_one_key_are_sent_apart(spark, monkeypatch):
+    """A key that many texts share which are not near each other: only those that share a rare element meet, and no pair is lost."""
+    draw = random.Random(9)
+    passage = [f"p{k}" for k in range(60)]
+    each = [[f"d{k}x{j}" for j in range(60)] for k in range(40)]
+    rows = [(k, " ".join(passage + w)) for k, w in enumerate(each)] + [(100 + k, _edited(draw, passage + w, 1 + k % 3)) for k, w in enumerate(each[:15])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    prints = common.cut_lineage(near_dup.sketches(df))
+    sets = near_dup._shingle_sets(df, prints, prints.select("sid").distinct(), 5)
+    keys = prints.select(F.lit(0).cast("long").alias("band"), F.lit(7).cast("long").alias("key"), F.col("sid").alias("fp"), "sid", "size")
+    kept = near_dup.rarest(keys, sets, 0.8)
+    groups_of = [r[0] for r in kept.groupBy("band", "key").count().select("count").collect()]
+    assert 2 <= max(groups_of) <= 4  # all 55 members share the passage, and none meets by it
+    compared = []
+    plain = near_dup._edges
+    monkeypatch.setattr(near_dup, "_edges", lambda members, *more: compared.append(members.where("not right").groupBy("band", "key", "block", "chunk").count().agg(F.sum(F.col("count") * F.col("count"))).first()[0]) or plain(members, *more))
+    edges = near_dup.meet(keys, lambda _: sets, None, block_hashes=700)
+    check_components(prints, edges, rows, groups(rows))
+    assert sum(x or 0 for x in compared) < 55 * 55 / 2
+
+
+def test_simhash_links_below_the_similarity_are_no_links(spark):
+    """Fingerprints at most two bits apart of texts that are not similar: found among many short texts."""
+    rows = [(k, " ".join(f"{a}" for a in (k % 7, k // 7 % 7, k // 49, "x", "y", "z"))) for k in range(200)]
+    df = spark.createDataFrame([*rows, (900, rows[5][1].upper())], "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in near_dup.near_duplicates(df).collect()}
+    assert got == dict(zip((i for i, _ in [*rows, (900, "")]), groups([*rows, (900, rows[5][1])]), strict=True))
 
 
 def test_shared_folder_is_needed_on_a_cluster():
