@@ -1,7 +1,4 @@
-"""Resampling inference: seeded NumPy draws, one grouped call for each curve.
-
-Groups are daily or monthly series of one policy, a few thousand rows at most; draws run in
-blocks of BLOCK so that memory does not follow the number of resamples."""
+"""Inference by resampling (see resampling): intervals, paired differences, sign flips, and the tables made of them."""
 
 from __future__ import annotations
 
@@ -9,90 +6,99 @@ from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-YEAR, BLOCK = 252, 1_000
+from .resampling import drawn, finite, name_of, series_of, stationary_index, stream
 
+YEAR = 252
 
-def stationary_index(n: int, mean_block: float, draw: np.random.Generator) -> np.ndarray:
-    """Indices of one stationary bootstrap sample (Politis and Romano 1994): runs of geometric length that wrap round."""
-    fresh = draw.random(n) < 1.0 / mean_block
-    fresh[0] = True
-    starts = draw.integers(0, n, n)
-    since = np.arange(n) - np.maximum.accumulate(np.where(fresh, np.arange(n), 0))
-    return (starts[np.maximum.accumulate(np.where(fresh, np.arange(n), 0))] + since) % n
 
+def _sharpe(x: np.ndarray) -> float:
+    s = x.std(ddof=1)
+    return float(x.mean() / s * np.sqrt(YEAR)) if s > 0 else 0.0
 
-def _sharpe(x: np.ndarray) -> np.ndarray:
-    s = x.std(axis=-1, ddof=1)
-    return np.where(s > 0, x.mean(axis=-1) / np.where(s > 0, s, 1) * np.sqrt(YEAR), 0.0)
 
+def sharpe_of(c: str) -> Column:
+    """Mean over sample deviation by year; 0 without deviation."""
+    return F.coalesce(F.try_divide(F.avg(c), F.nullif(F.stddev_samp(c), F.lit(0.0))) * F.sqrt(F.lit(YEAR)), F.lit(0.0))
 
-def bootstrap_sharpe(returns: DataFrame, by: str, at: str, value: str, resamples: int = 500, mean_block: float = 10.0, level: float = 0.95, seed: int = 0) -> DataFrame:
-    """Sharpe ratio of each series with a stationary-bootstrap interval."""
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        x = rows.sort_values(at)[value].dropna().to_numpy()
-        if len(x) < 2:
-            return pd.DataFrame({by: rows[by].iloc[:1], "sharpe": [0.0], "low": [0.0], "high": [0.0]})
-        draw = np.random.default_rng(seed)
-        found = np.concatenate([_sharpe(np.stack([x[stationary_index(len(x), mean_block, draw)] for _ in range(min(BLOCK, resamples - k))])) for k in range(0, resamples, BLOCK)])
-        low, high = np.quantile(found, [(1 - level) / 2, (1 + level) / 2])
-        return pd.DataFrame({by: rows[by].iloc[:1], "sharpe": [float(_sharpe(x))], "low": [low], "high": [high]})
+def _ends(level: float) -> list[Column]:
+    """The interval of the draws' statistics, interpolated."""
+    q = F.percentile("statistic", F.array(F.lit((1 - level) / 2), F.lit((1 + level) / 2)))
+    return [q[0].alias("low"), q[1].alias("high")]
+
 
-    return returns.select(by, at, value).groupBy(by).applyInPandas(run, f"{by} string, sharpe double, low double, high double")
+def bootstrap_sharpe(returns: DataFrame, by: str, at: str, value: str, resamples: int = 500, mean_block: float = 10.0, level: float = 0.95, seed: int = 0) -> DataFrame:
+    """Sharpe ratio of each series with a stationary-bootstrap interval; all 0 with fewer than two finite values."""
+    series = series_of(returns, [by], [at], [value]).where(F.size(value) >= 2)
+    draws = drawn(series, [by], [value], lambda a, g: _sharpe(a[0][stationary_index(len(a[0]), mean_block, g)]), resamples, seed)
+    figures = returns.withColumn("__x", F.when(finite(value), F.col(value))).groupBy(by).agg(sharpe_of("__x").alias("sharpe"))
+    return figures.join(draws.groupBy(by).agg(*_ends(level)), by, "left").select(by, "sharpe", *(F.coalesce(c, F.lit(0.0)).alias(c) for c in ("low", "high")))
 
 
 def bootstrap_difference(pairs: DataFrame, by: str, at: str, a: str, b: str, resamples: int = 500, mean_block: float = 10.0, seed: int = 0) -> DataFrame:
-    """Difference of Sharpe ratios of paired series with an interval and a one-sided p."""
+    """Difference of Sharpe ratios of paired series with an interval, and p: the share of draws in which a is not better.
+
+    Rows count where both are finite; with fewer than three of them all figures are null."""
+    both = pairs.where(finite(a) & finite(b))
+    series = series_of(both, [by], [at], [a, b]).where(F.size(a) >= 3)
+
+    def difference(x, g):
+        i = stationary_index(len(x[0]), mean_block, g)
+        return _sharpe(x[0][i]) - _sharpe(x[1][i])
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(at).dropna()
-        x, y = rows[a].to_numpy(), rows[b].to_numpy()
-        if len(x) < 2:
-            return pd.DataFrame({by: rows[by].iloc[:1], "difference": [0.0] * min(len(rows), 1), "low": [0.0] * min(len(rows), 1), "high": [0.0] * min(len(rows), 1), "p": [1.0] * min(len(rows), 1)})
-        draw, found = np.random.default_rng(seed), []
-        for _ in range(resamples):
-            i = stationary_index(len(x), mean_block, draw)
-            found.append(_sharpe(x[i]) - _sharpe(y[i]))
-        low, high = np.quantile(found, [0.025, 0.975])
-        return pd.DataFrame({by: rows[by].iloc[:1], "difference": [float(_sharpe(x) - _sharpe(y))], "low": [low], "high": [high], "p": [(1 + sum(f <= 0 for f in found)) / (resamples + 1)]})
+    draws = drawn(series, [by], [a, b], difference, resamples, seed).groupBy(by).agg(*_ends(0.95), F.avg((F.col("statistic") <= 0).cast("double")).alias("p"))
+    seen = both.groupBy(by).agg(F.count("*").alias("__n"), (sharpe_of(a) - sharpe_of(b)).alias("__d"))
+    return pairs.select(by).distinct().join(seen, by, "left").join(draws, by, "left").select(by, F.when(F.col("__n") >= 3, F.col("__d")).alias("difference"), "low", "high", "p")
 
-    return pairs.select(by, at, a, b).groupBy(by).applyInPandas(run, f"{by} string, difference double, low double, high double, p double")
+
+def _flips(rows: DataFrame, keys: list[str], value: str, order: list[str], draws: int, seed: int) -> DataFrame:
+    """keys, mean and p: (k + 1) / (n + 1), k the sign flips whose mean is as far from zero; null without finite values."""
+    series = series_of(rows, keys, order, [value])
+
+    def extreme(x, g):
+        signs = g.integers(0, 2, len(x[0])) * 2 - 1
+        return abs((signs * x[0]).mean()) >= abs(x[0].mean()) - 1e-15
+
+    found = drawn(series, keys, [value], extreme, draws, seed).groupBy(*keys).agg(((F.sum("statistic") + 1) / (draws + 1)).alias("p"))
+    means = rows.withColumn("__x", F.when(finite(value), F.col(value))).groupBy(*keys).agg(F.avg("__x").alias("mean"))
+    return _joined(means, found, keys)
+
+
+def _joined(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """A left join on keys that may be null, without the keys of the right side."""
+    r = right.select(*(F.col(k).alias(f"__{k}") for k in keys), *(c for c in right.columns if c not in keys))
+    on = F.lit(True)
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"__{k}"))
+    return left.join(r, on, "left").drop(*(f"__{k}" for k in keys))
 
 
 def sign_flip(excess: DataFrame, by: str, value: str, draws: int = 2_000, seed: int = 0, order: list[str] | None = None) -> DataFrame:
     """Two-sided randomisation p of a zero mean: (k + 1) / (n + 1)."""
-    keys = order or [value]
+    return _flips(excess, [by], value, order or [value], draws, seed)
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        x = rows.sort_values(keys)[value].dropna().to_numpy()
-        draw, k = np.random.default_rng(seed), 0
-        for start in range(0, draws, BLOCK):
-            signs = draw.integers(0, 2, (min(BLOCK, draws - start), len(x))) * 2 - 1
-            k += int((np.abs((signs * x).mean(axis=1)) >= abs(x.mean()) - 1e-15).sum()) if len(x) else 0
-        return pd.DataFrame({by: rows[by].iloc[:1], "mean": [float(x.mean()) if len(x) else None], "p": [(k + 1) / (draws + 1) if len(x) else None]})
 
-    return excess.select(by, *dict.fromkeys([value, *keys])).groupBy(by).applyInPandas(run, f"{by} string, mean double, p double")
+def _intervals(rows: DataFrame, keys: list[str], value: str, cluster: str | None, resamples: int, seed: int, level: float = 0.95) -> DataFrame:
+    """keys, low and high: a bootstrap interval of the mean, drawing values or whole clusters of them."""
+    clean = rows.where(finite(value)).withColumn("__n", F.lit(1.0))
+    if cluster:
+        clean = clean.groupBy(*keys, cluster).agg(F.sum(value).alias(value), F.sum("__n").alias("__n"))
+    series = series_of(clean, keys, [cluster] if cluster else [value], [value, "__n"])
 
+    def mean(x, g):
+        i = g.integers(0, len(x[0]), len(x[0]))
+        return x[0][i].sum() / x[1][i].sum()
 
-def bootstrap_mean(rows: DataFrame, by: str, value: str, cluster: str | None = None, resamples: int = 1_000, seed: int = 0) -> DataFrame:
-    """Mean with a 95 % interval, drawing rows or whole clusters."""
-    names = [by, value] + ([cluster] if cluster else [])
+    return drawn(series, keys, [value, "__n"], mean, resamples, seed).groupBy(*keys).agg(*_ends(level))
 
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        draw = np.random.default_rng(seed)
-        groups = part.groupby(cluster)[value] if cluster else part.assign(__i=range(len(part))).groupby("__i")[value]
-        sums, counts = groups.sum().to_numpy(), groups.count().to_numpy()
-        found = []
-        for start in range(0, resamples, BLOCK):
-            i = draw.integers(0, len(sums), (min(BLOCK, resamples - start), len(sums)))
-            found.append(sums[i].sum(1) / np.maximum(counts[i].sum(1), 1))
-        low, high = np.quantile(np.concatenate(found), [0.025, 0.975])
-        return pd.DataFrame({by: part[by].iloc[:1], "mean": [sums.sum() / max(counts.sum(), 1)], "low": [low], "high": [high]})
 
-    return rows.select(*names).groupBy(by).applyInPandas(run, f"{by} string, mean double, low double, high double")
+def bootstrap_mean(rows: DataFrame, by: str, value: str, cluster: str | None = None, resamples: int = 1_000, seed: int = 0) -> DataFrame:
+    """Mean with a 95 % interval, drawing rows or whole clusters; null without finite values."""
+    means = rows.withColumn("__x", F.when(finite(value), F.col(value))).groupBy(by).agg(F.avg("__x").alias("mean"))
+    return _joined(means, _intervals(rows, [by], value, cluster, resamples, seed), [by])
 
 
 def expected_best_z(trials: int) -> float:
@@ -101,78 +107,69 @@ def expected_best_z(trials: int) -> float:
     return 0.0 if trials < 2 else (1 - gamma) * n.inv_cdf(1 - 1 / trials) + gamma * n.inv_cdf(1 - 1 / (trials * np.e))
 
 
-def deflated(moments: DataFrame, trials: int, spread: float | None = None, by: str = "policy") -> DataFrame:
-    """p of the Sharpe ratio over the expected best of so many trials; moments as of probabilistic_z. Without the
-    spread of the trials' ratios that of one estimate is taken, 1 / sqrt(n - 1)."""
+def probability_over(moments: DataFrame, bar: Column | float) -> Column:
+    """The probability that the true ratio exceeds bar, from moments as of metrics.probabilistic_z; 0 for a series without
+    deviation and where the estimate's variance is not over 0."""
     from ..functions.scalars import normal_cdf
 
-    bar = F.lit(expected_best_z(trials)) * (1 / F.sqrt(F.col("n") - 1) if spread is None else F.lit(spread))
     sr = F.col("sharpe")
-    z = (sr - bar) * F.sqrt(F.col("n") - 1) / F.sqrt(1 - F.col("skew") * sr + (F.col("kurtosis") - 1) / 4 * sr * sr)
-    return moments.select(by, normal_cdf()("z").alias("probabilistic"), normal_cdf()(z).alias("deflated"))
+    spread = 1 - F.col("skew") * sr + (F.col("kurtosis") - 1) / 4 * sr * sr
+    z = F.when(sr.isNotNull() & (spread > 0), (sr - bar) * F.sqrt(F.col("n") - 1) / F.sqrt(spread))
+    return F.coalesce(normal_cdf()(z), F.lit(0.0))
 
 
-def bootstrap_rows(returns: DataFrame, by: str, at: str, value: str, mean_block: float, seed: int) -> DataFrame:
-    """One stationary bootstrap sample of each series: place, the row drawn for it and its value."""
+def deflated(moments: DataFrame, trials: int, spread: float | None = None, by: str = "policy") -> DataFrame:
+    """p of the Sharpe ratio over the expected best of so many trials; moments as of probabilistic_z. Without the
+    spread of the trials' ratios that of one estimate is taken, 1 / sqrt(n - 1)."""
+    one = F.when(F.col("n") > 1, 1 / F.sqrt(F.col("n") - 1)).otherwise(0.0)
+    bar = F.lit(expected_best_z(trials)) * (one if spread is None else F.lit(spread))
+    return moments.select(by, probability_over(moments, 0.0).alias("probabilistic"), probability_over(moments, bar).alias("deflated"))
+
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        x = rows.sort_values(at)[value].dropna().to_numpy()
-        i = stationary_index(len(x), mean_block, np.random.default_rng(seed)) if len(x) else np.zeros(0, int)
-        return pd.DataFrame({by: [rows[by].iloc[0]] * len(i), "place": np.arange(len(i)), "drawn": i, "value": x[i]})
+def bootstrap_rows(returns: DataFrame, by: str, at: str, value: str, mean_block: float, seed: int, draw: int = 0) -> DataFrame:
+    """One stationary bootstrap sample of each series: place, the row drawn for it and its value."""
+    series = series_of(returns, [by], [at], [value]).withColumn("__name", name_of([by]))
 
-    return returns.select(by, at, value).groupBy(by).applyInPandas(run, f"{by} string, place long, drawn long, value double")
+    def run(batches):
+        for batch in batches:
+            for row in batch.to_dict("records"):
+                x = np.asarray(row[value], float)
+                i = stationary_index(len(x), mean_block, stream(seed, row["__name"], draw))
+                yield pd.DataFrame({by: [row[by]] * len(i), "place": np.arange(len(i)), "drawn": i, "value": x[i]})
 
+    return series.mapInPandas(run, f"{by} {dict(returns.dtypes)[by]}, place long, drawn long, value double")
 
-def _interval(x: np.ndarray, groups: np.ndarray | None, resamples: int, seed: int, level: float = 0.95) -> tuple[float, float]:
-    """A bootstrap interval of the mean, drawing values or whole groups of them."""
-    if not len(x):
-        return float("nan"), float("nan")
-    keys = np.arange(len(x)) if groups is None else np.unique(groups, return_inverse=True)[1]
-    sums, counts = np.bincount(keys, x), np.bincount(keys)
-    draw, found = np.random.default_rng(seed), []
-    for start in range(0, resamples, BLOCK):
-        i = draw.integers(0, len(sums), (min(BLOCK, resamples - start), len(sums)))
-        found.append(sums[i].sum(1) / counts[i].sum(1))
-    low, high = np.quantile(np.concatenate(found), [(1 - level) / 2, (1 + level) / 2])
-    return float(low), float(high)
 
+def group_figures(rows: DataFrame, keys: list[str], value: str, counts: dict[str, str] | None = None) -> DataFrame:
+    """runs (all rows), distinct counts by name, and mean, median and sample deviation (0 for one value) of the finite values.
 
-def _flip(x: np.ndarray, draws: int, seed: int) -> float:
-    """Two-sided sign-flip p of a zero mean."""
-    draw, k = np.random.default_rng(seed), 0
-    for start in range(0, draws, BLOCK):
-        signs = draw.integers(0, 2, (min(BLOCK, draws - start), len(x))) * 2 - 1
-        k += int((np.abs((signs * x).mean(axis=1)) >= abs(x.mean()) - 1e-15).sum())
-    return (k + 1) / (draws + 1)
+    Sums run over the sorted values, so figures do not depend on where rows lie."""
+    named = [F.count_distinct(c).alias(n) for n, c in (counts or {}).items()]
+    x, n = F.col(value), F.size(value)
+    total = lambda f: F.aggregate(x, F.lit(0.0), lambda a, v: a + f(v))
+    sums = series_of(rows, keys, [value], [value]).withColumn("mean", total(lambda v: v) / n)
+    std = F.when(n > 1, F.sqrt(total(lambda v: (v - F.col("mean")) * (v - F.col("mean"))) / (n - 1))).otherwise(0.0)
+    figures = sums.select(*keys, "mean", ((F.get(x, F.floor((n - 1) / 2).cast("int")) + F.get(x, F.floor(n / 2).cast("int"))) / 2).alias("median"), std.alias("std"))
+    return _joined(rows.groupBy(*keys).agg(F.count("*").alias("runs"), *named), figures, keys).withColumn("std", F.coalesce("std", F.lit(0.0)))
 
 
-def group_summary(rows: DataFrame, keys: list[str], value: str, cluster: str | None = None, resamples: int = 1_000, seed: int = 0) -> DataFrame:
-    """runs, mean, median, sample deviation (0 for one row) and a 95 % interval of the mean of each group of results."""
-    names = [*keys, value] + ([cluster] if cluster else [])
-    head = ", ".join(f"{k} string" for k in keys)
+def group_summary(rows: DataFrame, keys: list[str], value: str, cluster: str | None = None, resamples: int = 1_000, seed: int = 0, counts: dict[str, str] | None = None) -> DataFrame:
+    """group_figures with a 95 % interval of the mean; counts names columns whose distinct values are counted (seeds, windows)."""
+    return _joined(group_figures(rows, keys, value, counts), _intervals(rows, keys, value, cluster, resamples, seed), keys)
 
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(names[len(keys) :][::-1]).dropna(subset=[value])
-        x = part[value].to_numpy(float)
-        low, high = _interval(x, part[cluster].to_numpy() if cluster else None, resamples, seed)
-        first = {k: [part[k].iloc[0]] for k in keys} if len(part) else {k: [None] for k in keys}
-        return pd.DataFrame(first | {"runs": [len(x)], "mean": [x.mean() if len(x) else None], "median": [np.median(x) if len(x) else None], "std": [x.std(ddof=1) if len(x) > 1 else 0.0], "low": [low], "high": [high]})
 
-    return rows.select(*dict.fromkeys(names)).groupBy(*keys).applyInPandas(run, f"{head}, runs long, mean double, median double, std double, low double, high double")
+def positive_rate(value: str) -> Column:
+    """The share of rows with a value over 0; nulls and NaN count as not positive."""
+    return F.avg(F.coalesce((F.col(value) > 0) & ~F.isnan(value), F.lit(False)).cast("double"))
 
 
-def paired_summary(pairs: DataFrame, keys: list[str], value: str, order: list[str], draws: int = 2_000, seed: int = 0) -> DataFrame:
+def paired_summary(pairs: DataFrame, keys: list[str], value: str, order: list[str], draws: int = 2_000, seed: int = 0, cluster: str | None = None, counts: dict[str, str] | None = None) -> DataFrame:
     """group_summary of an excess, with its share of wins, its sign-flip p and Holm's adjustment over all groups."""
     from .metrics import holm
 
-    head = ", ".join(f"{k} string" for k in keys)
-
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        x = part.sort_values(order)[value].dropna().to_numpy(float)
-        return pd.DataFrame({k: [part[k].iloc[0]] for k in keys} | {"positive_rate": [float((x > 0).mean()) if len(x) else None], "p": [_flip(x, draws, seed) if len(x) else None]})
-
-    tests = pairs.select(*dict.fromkeys([*keys, value, *order])).groupBy(*keys).applyInPandas(run, f"{head}, positive_rate double, p double")
-    return group_summary(pairs, keys, value, seed=seed).join(holm(tests, "p", order=keys), keys)
+    wins = pairs.groupBy(*keys).agg(positive_rate(value).alias("positive_rate"))
+    tests = holm(_flips(pairs, keys, value, order, draws, seed).drop("mean"), "p", order=keys)
+    return _joined(_joined(group_summary(pairs, keys, value, cluster, seed=seed, counts=counts), wins, keys), tests, keys)
 
 
 def significance_table(curves: DataFrame, reference: str | None = None, trials: int = 1, resamples: int = 500, mean_block: float = 20.0, by: str = "policy", at: str = "date", value: str = "value") -> DataFrame:
@@ -182,7 +179,7 @@ def significance_table(curves: DataFrame, reference: str | None = None, trials:
 
     from .metrics import probabilistic_z
 
-    r = curves.withColumn("r", F.col(value) / F.lag(value).over(Window.partitionBy(by).orderBy(at)) - 1).where("r is not null")
+    r = curves.withColumn("r", F.try_divide(F.col(value), F.lag(value).over(Window.partitionBy(by).orderBy(at))) - 1).where("r is not null")
     out = bootstrap_sharpe(r, by, at, "r", resamples, mean_block).join(deflated(probabilistic_z(curves, by=by, at=at, value=value), trials, None, by), by)
     if reference is None:
         return out

@@ -11,7 +11,8 @@ YEAR = 252
 def _stepped(curve: DataFrame, by: str, at: str, value: str) -> DataFrame:
     w = Window.partitionBy(by).orderBy(at)
     peak = F.max(value).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    return curve.withColumns({"__r": F.coalesce(F.col(value) / F.lag(value).over(w) - 1, F.lit(0.0)), "__dd": F.col(value) / peak - 1})
+    steps = {"__r": F.try_divide(F.col(value), F.lag(value).over(w)) - 1, "__dd": F.try_divide(F.col(value), peak) - 1}
+    return curve.withColumns({k: F.coalesce(c, F.lit(0.0)) for k, c in steps.items()})
 
 
 def equity_metrics(curve: DataFrame, by: str = "policy", at: str = "date", value: str = "value") -> DataFrame:
@@ -19,7 +20,8 @@ def equity_metrics(curve: DataFrame, by: str = "policy", at: str = "date", value
 
     The first return counts as 0 and belongs to the number of periods; deviations are of the
     population and by the year. VaR is the interpolated 5 % quantile, CVaR the mean at or below it. A column
-    that the curve lacks counts as 0."""
+    that the curve lacks counts as 0. A step from a value of 0 has no return and counts as 0; a curve that
+    begins with 0 has no growth, and its ratios are 0."""
     s = _stepped(curve, by, at, value)
     s = s.withColumns({c: F.lit(0.0) for c in ("turnover", "cost", "slippage", "cash_weight") if c not in s.columns})
     r = F.col("__r")
@@ -32,7 +34,7 @@ def equity_metrics(curve: DataFrame, by: str = "policy", at: str = "date", value
         F.coalesce(F.sum("slippage"), F.lit(0.0)).alias("total_slippage"), F.count_if(F.col("turnover") > 1e-6).alias("active_steps"), F.coalesce(F.avg("cash_weight"), F.lit(0.0)).alias("average_cash"),
     )
     tail = s.join(base.select(by, "var_95"), by).where(r <= F.col("var_95")).groupBy(by).agg(F.avg(r).alias("cvar_95"))
-    growth = F.col("final_value") / F.col("first")
+    growth = F.try_divide("final_value", "first")
     annual = F.pow(growth, F.lit(YEAR) / F.col("n")) - 1
     over = lambda x: F.coalesce(F.try_divide(annual, x), F.lit(0.0))
     return base.join(tail, by, "left").select(
@@ -46,10 +48,10 @@ def benchmark_metrics(curve: DataFrame, benchmark: DataFrame, by: str = "policy"
     """Figures of each curve against a benchmark(date, value) on common dates; first returns are left out.
 
     Deviations are of the population. excess_return is the difference of the compound returns by the year and
-    information_ratio that over the tracking error. Curves with fewer than three common dates are left out."""
+    information_ratio that over the tracking error. A step from a value of 0 is left out. Curves with fewer than three common dates are left out."""
     both = curve.select(at, by, F.col(value).alias("__v")).join(benchmark.select(at, F.col(value).alias("__b")), at).where("__v is not null and __b is not null")
     w = Window.partitionBy(by).orderBy(at)
-    r = both.withColumns({"r": F.col("__v") / F.lag("__v").over(w) - 1, "b": F.col("__b") / F.lag("__b").over(w) - 1}).where("r is not null").withColumn("x", F.col("r") - F.col("b"))
+    r = both.withColumns({"r": F.try_divide("__v", F.lag("__v").over(w)) - 1, "b": F.try_divide("__b", F.lag("__b").over(w)) - 1}).where("r is not null and b is not null").withColumn("x", F.col("r") - F.col("b"))
     beta = F.coalesce(F.try_divide(F.covar_pop("r", "b"), F.var_pop("b")), F.lit(0.0))
     error = F.stddev_pop("x") * F.sqrt(F.lit(YEAR))
     yearly = lambda c: F.pow(F.product(1 + F.col(c)), F.lit(YEAR) / F.count("*"))
@@ -57,7 +59,7 @@ def benchmark_metrics(curve: DataFrame, benchmark: DataFrame, by: str = "policy"
     capture = lambda cond: F.coalesce(F.try_divide(F.avg(F.when(cond, F.col("r"))), F.avg(F.when(cond, F.col("b")))), F.lit(0.0))
     found = r.groupBy(by).agg(
         beta.alias("beta"), ((F.avg("r") - beta * F.avg("b")) * YEAR).alias("alpha"), error.alias("tracking_error"), F.coalesce(F.try_divide(excess, error), F.lit(0.0)).alias("information_ratio"),
-        excess.alias("excess_return"), F.coalesce(F.corr("r", "b"), F.lit(0.0)).alias("correlation"), capture(F.col("b") > 0).alias("up_capture"), capture(F.col("b") < 0).alias("down_capture"), F.count("*").alias("__n"),
+        excess.alias("excess_return"), F.coalesce(F.try_divide(F.covar_pop("r", "b"), F.stddev_pop("r") * F.stddev_pop("b")), F.lit(0.0)).alias("correlation"), capture(F.col("b") > 0).alias("up_capture"), capture(F.col("b") < 0).alias("down_capture"), F.count("*").alias("__n"),
     )
     return found.where("__n >= 2").drop("__n")
 
@@ -71,7 +73,7 @@ def prototype_metrics(returns: DataFrame, by: str = "policy", at: str = "date",
     w = Window.partitionBy(by).orderBy(at).rowsBetween(Window.unboundedPreceding, 0)
     grown = r.withColumn("__g", F.product(1 + F.col(value)).over(w))
     x, year = F.col(value), F.sqrt(F.lit(YEAR))
-    stepped = grown.withColumn("__dd", F.col("__g") / F.max("__g").over(w) - 1)
+    stepped = grown.withColumn("__dd", F.coalesce(F.try_divide("__g", F.max("__g").over(w)) - 1, F.lit(0.0)))
     ratio = lambda d: F.coalesce(F.try_divide(F.avg(x), d) * year, F.lit(0.0))
     return stepped.groupBy(by).agg(
         ((F.max_by("__g", at) - 1) * 100).alias("total_return"), ratio(F.stddev_pop(x)).alias("sharpe_ratio"), ratio(F.stddev_pop(F.when(x < 0, x))).alias("sortino_ratio"),
@@ -80,24 +82,28 @@ def prototype_metrics(returns: DataFrame, by: str = "policy", at: str = "date",
 
 
 def sharpe(curve: DataFrame, by: str = "policy", at: str = "date", value: str = "value") -> DataFrame:
-    """Mean over sample deviation of returns, by year."""
+    """Mean over sample deviation of returns, by year. A step from a value of 0 is left out."""
     w = Window.partitionBy(by).orderBy(at)
-    r = curve.withColumn("__r", F.col(value) / F.lag(value).over(w) - 1).where("__r is not null")
+    r = curve.withColumn("__r", F.try_divide(F.col(value), F.lag(value).over(w)) - 1).where("__r is not null")
     return r.groupBy(by).agg(F.coalesce(F.try_divide(F.avg("__r"), F.stddev_samp("__r")) * F.sqrt(F.lit(YEAR)), F.lit(0.0)).alias("sharpe"), F.count("__r").alias("n"))
 
 
 def probabilistic_z(curve: DataFrame, target: float = 0.0, by: str = "policy", at: str = "date", value: str = "value") -> DataFrame:
-    """The normal deviate of the probabilistic Sharpe ratio (Bailey and Lopez de Prado 2012), by central moments."""
+    """The normal deviate of the probabilistic Sharpe ratio (Bailey and Lopez de Prado 2012), by central moments.
+
+    A curve without deviation has no ratio: sharpe and z are null, skew 0 and kurtosis 3. z is null too where the
+    variance of the estimate is not over 0. A step from a value of 0 is left out."""
     w = Window.partitionBy(by).orderBy(at)
-    r = curve.withColumn("__r", F.col(value) / F.lag(value).over(w) - 1).where("__r is not null")
+    r = curve.withColumn("__r", F.try_divide(F.col(value), F.lag(value).over(w)) - 1).where("__r is not null")
     x = F.col("__r")
     m = r.groupBy(by).agg(F.count(x).alias("n"), F.avg(x).alias("m"), F.stddev_samp(x).alias("s"), F.avg(x * x).alias("m2"), F.avg(x * x * x).alias("m3"), F.avg(x * x * x * x).alias("m4"))
-    mu = F.col("m")
-    var = F.col("m2") - mu * mu
-    skew = (F.col("m3") - 3 * mu * F.col("m2") + 2 * mu * mu * mu) / F.pow(var, F.lit(1.5))
-    kurt = (F.col("m4") - 4 * mu * F.col("m3") + 6 * mu * mu * F.col("m2") - 3 * mu * mu * mu * mu) / (var * var)
-    sr = F.col("m") / F.col("s")
-    z = (sr - target) * F.sqrt(F.col("n") - 1) / F.sqrt(1 - skew * sr + (kurt - 1) / 4 * sr * sr)
+    mu, s = F.col("m"), F.when(F.col("s") > 0, F.col("s"))
+    var = F.when(s.isNotNull() & (F.col("m2") - mu * mu > 0), F.col("m2") - mu * mu)
+    skew = F.coalesce((F.col("m3") - 3 * mu * F.col("m2") + 2 * mu * mu * mu) / F.pow(var, F.lit(1.5)), F.lit(0.0))
+    kurt = F.coalesce((F.col("m4") - 4 * mu * F.col("m3") + 6 * mu * mu * F.col("m2") - 3 * mu * mu * mu * mu) / (var * var), F.lit(3.0))
+    sr = F.try_divide("m", s)
+    spread = 1 - skew * sr + (kurt - 1) / 4 * sr * sr
+    z = F.when(spread > 0, (sr - target) * F.sqrt(F.col("n") - 1) / F.sqrt(spread))
     return m.select(by, "n", sr.alias("sharpe"), skew.alias("skew"), kurt.alias("kurtosis"), z.alias("z"))
 
 

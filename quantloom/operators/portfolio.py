@@ -166,7 +166,7 @@ def reward_terms(curve: DataFrame, turnover_penalty: float, drawdown_penalty: fl
     reward: the log return less the penalties of turnover and drawdown level."""
     w = Window.partitionBy(by).orderBy(at)
     peak = F.max(value).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    x = curve.withColumns({"simple_reward": F.coalesce(F.col(value) / F.lag(value).over(w) - 1, F.lit(0.0)), "drawdown_level": 1 - F.col(value) / peak})
+    x = curve.withColumns({"simple_reward": F.coalesce(F.try_divide(F.col(value), F.lag(value).over(w)) - 1, F.lit(0.0)), "drawdown_level": 1 - F.coalesce(F.try_divide(F.col(value), peak), F.lit(1.0))})
     x = x.withColumns({"log_reward": F.log1p(F.greatest("simple_reward", F.lit(-0.999999))), "drawdown_increment": F.greatest(F.col("drawdown_level") - F.coalesce(F.lag("drawdown_level").over(w), F.lit(0.0)), F.lit(0.0))})
     return x.withColumn("reward", F.col("log_reward") - turnover_penalty * F.col("turnover") - drawdown_penalty * F.col("drawdown_level"))
 
@@ -217,13 +217,15 @@ def masked_targets(actions: DataFrame) -> DataFrame:
 
 
 def random_weights(panel: DataFrame, seed: int, name: str = "random") -> DataFrame:
-    """Random long-only weights of each date, whose draw is seeded by the date: dates are made in parallel."""
+    """Random long-only weights of each date, whose draw is seeded by the date: dates are made in parallel.
+
+    Shares are uniform draws, scaled down where they add up to more than 1; what they leave is cash."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("ticker")
         day = rows["date"].iloc[0]
         raw = np.random.default_rng([seed, day.toordinal()]).random(len(rows))
-        return pd.DataFrame({"policy": name, "date": day, "ticker": rows["ticker"], "weight": raw / max(raw.sum(), 1e-12)})
+        return pd.DataFrame({"policy": name, "date": day, "ticker": rows["ticker"], "weight": raw / max(raw.sum(), 1.0)})
 
     return panel.select("date", "ticker").groupBy("date").applyInPandas(run, "policy string, date date, ticker string, weight double")
 

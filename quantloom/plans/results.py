@@ -42,15 +42,14 @@ def bootstrap_indices(spark, d):
 @query("m07_probabilistic", None)
 def probabilistic(spark, d):
     """The probability itself, of the deviate of m07_probabilistic_z."""
-    from ..functions.scalars import normal_cdf
-
-    return M.probabilistic_z(A.curves(spark, d)).withColumn("probability", normal_cdf()("z")).select("policy", "n", "sharpe", "probability")
+    m = M.probabilistic_z(A.curves(spark, d))
+    return m.withColumn("probability", I.probability_over(m, 0.0)).select("policy", "n", "sharpe", "probability")
 
 
 @query("m13_group_intervals", None)
 def group_intervals(spark, d):
-    """Runs, mean, median, deviation and a bootstrap interval of the mean, drawn by month."""
-    return I.group_summary(returns_month(spark, d), ["sector"], "r", cluster="date")
+    """Runs, months and names, mean, median, deviation and a bootstrap interval of the mean, drawn by month."""
+    return I.group_summary(returns_month(spark, d), ["sector"], "r", cluster="date", counts={"seeds": "ticker", "windows": "date"})
 
 
 @query("m15_paired_inference", None)

@@ -245,9 +245,10 @@ def bootstrap_mean(spark, d):
     return I.bootstrap_mean(returns_month(spark, d).orderBy("date", "ticker"), "sector", "r", cluster="date")
 
 
-@query("m13_group_summary", f"WITH {_RET} SELECT sector, round(avg(r), 6) + 0.0 AS mean, round(median(r), 6) + 0.0 AS median, round(stddev_samp(r), 6) + 0.0 AS std, count(*) AS n FROM ret GROUP BY 1")
+@query("m13_group_summary", f"WITH {_RET} SELECT sector, round(avg(r), 6) + 0.0 AS mean, round(median(r), 6) + 0.0 AS median, round(stddev_samp(r), 6) + 0.0 AS std, count(*) AS runs, count(DISTINCT ticker) AS seeds, count(DISTINCT date) AS windows FROM ret GROUP BY 1")
 def group_summary(spark, d):
-    return returns_month(spark, d).groupBy("sector").agg(r6(F.avg("r")).alias("mean"), r6(F.median("r")).alias("median"), r6(F.stddev_samp("r")).alias("std"), F.count("*").alias("n"))
+    f = I.group_figures(returns_month(spark, d), ["sector"], "r", {"seeds": "ticker", "windows": "date"})
+    return f.select("sector", "runs", "seeds", "windows", *(r6(F.col(c)).alias(c) for c in ("mean", "median", "std")))
 
 
 @query("m14_paired_excess", f"WITH {A.CURVES} SELECT c.date, c.policy, b.policy AS baseline, c.value, round(c.value - b.value, 6) + 0.0 AS excess FROM curve c JOIN curve b ON c.date = b.date AND b.policy IN ('BUILDING', 'MACHINERY') WHERE c.policy NOT IN ('BUILDING', 'MACHINERY')")
@@ -258,7 +259,7 @@ def paired(spark, d):
 @query("m15_paired_summary", f"WITH {A.CURVES}, e AS (SELECT c.policy, c.value - b.value AS x FROM curve c JOIN curve b ON c.date = b.date AND b.policy = 'BUILDING' WHERE c.policy <> 'BUILDING') SELECT policy, round(avg(x), 4) + 0.0 AS mean_excess, round(avg(CAST(x > 0 AS DOUBLE)), 6) + 0.0 AS positive_rate, count(*) AS n FROM e GROUP BY 1")
 def paired_summary(spark, d):
     e = M.paired_excess(A.curves(spark, d), ["BUILDING"], ["date"], "value")
-    return e.groupBy("policy").agg((F.round(F.avg("excess"), 4) + 0.0).alias("mean_excess"), r6(F.avg((F.col("excess") > 0).cast("double"))).alias("positive_rate"), F.count("*").alias("n"))
+    return e.groupBy("policy").agg((F.round(F.avg("excess"), 4) + 0.0).alias("mean_excess"), r6(I.positive_rate("excess")).alias("positive_rate"), F.count("*").alias("n"))
 
 
 @query("m16_ablation_pairs", f"WITH {_RET}, a AS (SELECT sector, date, avg(r) AS x FROM ret GROUP BY 1, 2) SELECT c.sector, round(avg(c.x - b.x), 6) + 0.0 AS difference, count(*) AS n FROM a c JOIN a b ON c.date = b.date AND b.sector = 'ASIA' WHERE c.sector <> 'ASIA' GROUP BY 1")
