@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import adapters as A
 from ..adapters import r6
+from ..operators import exits
 from ..operators import experiments as E
 from ..operators import grid as G
 from ..operators import inference as I
@@ -307,6 +308,38 @@ def exit_ledger(spark, d):
     return E.exit_ledger(s)
 
 
+_EXITS = """WITH b AS (SELECT DISTINCT CAST(date_trunc('month', o_orderdate) AS DATE) AS date, n_nationkey AS k FROM {orders} JOIN {customer} ON o_custkey = c_custkey JOIN {nation} ON c_nationkey = n_nationkey),
+x AS (SELECT date, k, concat('N', CAST(k AS STRING)) AS ticker, (year(date) * 84 + month(date) * 7 + k * k) % 97 AS x FROM b),
+panel AS (SELECT date, ticker, k AS asset_slot, x % 4 <> 1 AS is_member FROM x),
+sessions AS (SELECT DISTINCT date FROM b WHERE NOT (year(date) = 1996 AND month(date) = 4) AND date < make_date(1998, 7, 1)),
+status0 AS (SELECT date, ticker, CASE WHEN x % 16 = 1 THEN 'delisted' WHEN x % 16 = 9 THEN 'not_yet_listed' WHEN x % 3 = 0 THEN 'halted' WHEN x % 3 = 1 THEN 'no_trade' ELSE 'trading' END AS trading_status, x FROM x WHERE x % 23 <> 5),
+status AS (SELECT date, ticker, trading_status FROM status0 UNION ALL SELECT date, ticker, 'halted' AS trading_status FROM status0 WHERE x = 30),
+bars AS (SELECT date, ticker FROM x WHERE x % 11 <> 2),
+actions AS (SELECT concat('a', CAST(s_suppkey AS STRING)) AS action_id, concat('N', CAST(s_nationkey AS STRING)) AS ticker, CASE s_suppkey % 3 WHEN 0 THEN 'dividend' WHEN 1 THEN 'merger' ELSE 'delisting' END AS action_type, make_date(CAST(1993 + s_suppkey % 5 AS INT), 6, 1) AS effective_date,
+  CASE WHEN s_suppkey % 4 = 0 THEN 1.0 WHEN s_suppkey % 4 = 1 THEN -1.0 ELSE NULL END AS cash_amount, CASE WHEN s_suppkey % 5 = 0 THEN 'N1' WHEN s_suppkey % 5 = 1 THEN ' ' ELSE NULL END AS successor_ticker FROM {supplier}),
+symbols AS (SELECT CASE WHEN n_nationkey = 2 THEN ' ' ELSE concat('i', CAST(n_nationkey AS STRING)) END AS instrument_id, concat('N', CAST(n_nationkey AS STRING)) AS ticker, make_date(1990, 1, 1) AS effective_from, CASE WHEN n_nationkey % 5 = 4 THEN make_date(1996, 1, 1) ELSE make_date(2030, 1, 1) END AS effective_to FROM {nation}
+  UNION ALL SELECT 'twice' AS instrument_id, 'N7' AS ticker, make_date(1995, 1, 1) AS effective_from, make_date(1997, 1, 1) AS effective_to)"""
+_L16P = A.bare(_EXITS) + """, e AS (SELECT ticker, asset_slot, was_on AS last_active_date, date AS exit_date FROM (SELECT *, lag(is_member) OVER w AS was, lag(date) OVER w AS was_on FROM panel WINDOW w AS (PARTITION BY ticker ORDER BY date)) WHERE was AND NOT is_member),
+n AS (SELECT date, row_number() OVER (ORDER BY date) AS i FROM sessions), s AS (SELECT ticker, i, any_value(n.date) AS date, any_value(trading_status) AS st FROM status JOIN n USING (date) GROUP BY 1, 2 HAVING count(*) = 1),
+k AS (SELECT e.*, (SELECT CASE WHEN count(*) = 1 THEN nullif(trim(max(instrument_id)), '') END FROM symbols y WHERE y.ticker = e.ticker AND effective_from <= exit_date AND exit_date < effective_to) AS instrument_id, (SELECT min(i) FROM n WHERE n.date >= exit_date) AS i0 FROM e),
+f AS (SELECT k.*, (SELECT min(n.i) FROM n WHERE n.i >= k.i0 AND NOT EXISTS (SELECT 1 FROM s WHERE s.ticker = k.ticker AND s.i = n.i AND st IN ('suspended', 'halted', 'no_trade'))) AS i1 FROM k),
+g AS (SELECT f.*, n.date AS d, s.st, b.ticker IS NOT NULL AS bar, (SELECT min_by(action_id, (effective_date, action_id)) FROM actions a WHERE a.ticker = f.ticker AND action_type IN ('delisting', 'merger') AND effective_date <= n.date AND (coalesce(cash_amount >= 0, false) OR coalesce(trim(successor_ticker), '') <> '')) AS act
+  FROM f LEFT JOIN n ON n.i = f.i1 LEFT JOIN s ON s.ticker = f.ticker AND s.i = f.i1 LEFT JOIN (SELECT DISTINCT date, ticker FROM bars) b ON b.date = n.date AND b.ticker = f.ticker),
+h AS (SELECT *, CASE WHEN instrument_id IS NULL THEN 'missing_stable_instrument_identity' WHEN i0 IS NULL THEN 'missing_authoritative_exit_sessions' WHEN i1 IS NULL THEN 'exit_path_ends_before_resolution' WHEN st IS NULL THEN 'missing_contiguous_exit_status'
+  WHEN st = 'trading' AND bar OR st = 'delisted' AND act IS NOT NULL THEN '' WHEN st = 'trading' THEN 'trading_exit_without_valid_bar' WHEN st = 'delisted' THEN 'delisting_without_explicit_resolution' ELSE 'inconsistent_exit_status:' || st END AS blocking_reason FROM g)
+SELECT ticker, exit_date, asset_slot, last_active_date, instrument_id, CASE WHEN blocking_reason = '' THEN d END AS liquidation_date, CASE WHEN blocking_reason = '' THEN i1 - i0 END AS lag_sessions,
+  CASE WHEN instrument_id IS NULL OR i0 IS NULL THEN 0 WHEN i1 IS NULL THEN (SELECT max(i) FROM n) - i0 + 1 WHEN st IS NULL THEN i1 - i0 ELSE i1 - i0 + 1 END AS observed_sessions, CASE WHEN blocking_reason = '' AND st = 'delisted' THEN act END AS terminal_action_id,
+  CASE WHEN blocking_reason <> '' THEN 'unresolved' WHEN st = 'trading' THEN 'tradable_liquidation' ELSE 'terminal_settlement' END AS path_status, blocking_reason = '' AS path_covered, blocking_reason FROM h"""
+
+
+@query("l16_exit_paths", _L16P)
+def exit_paths(spark, d):
+    """Each exit from membership to the session that decides it, with its instrument, the sessions looked at and the settling action."""
+    t = lambda name: A.portable(spark, d, f"{_EXITS} SELECT * FROM {name}")
+    out = exits.membership_exits(t("panel"))
+    return exits.exit_paths(out, t("sessions"), t("status"), t("bars"), t("actions"), t("symbols"))
+
+
 # experiments
 
 
