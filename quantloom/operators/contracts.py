@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.digests import row_digest
 from . import quality as K
 
 #: States of trading, and the kinds of corporate actions.
@@ -59,9 +60,12 @@ def membership_history(frame: DataFrame, outer: int, inner: int, start: str, end
     )
 
 
-def membership_panel(panel: DataFrame, mask_kind: str, rule: str, active: int) -> DataFrame:
+def membership_panel(panel: DataFrame, mask_kind: str, rule: str, active: int, expected_dates: DataFrame | None = None, expected_slots: DataFrame | None = None) -> DataFrame:
     """The contract of a dense panel(date, ticker, asset_slot, is_member, published_at, revision_status, mask_kind,
-    rule, index_name, record_id, sector, symbol): original records are public on their day, revisions a session later."""
+    rule, index_name, record_id, sector, symbol): original records are public on their day, revisions a session later.
+
+    A ticker keeps its slot on all dates and a slot its ticker. Where they are given, the dates are exactly expected_dates(date) and
+    the slots exactly expected_slots(asset_slot, ticker)."""
     member = flag("is_member")
     rows = K.check_rows(panel, {
         "valid_dates": F.col("date").isNotNull() & F.col("published_at").isNotNull(), "boolean_membership": member.isNotNull(), "mask_kind": F.col("mask_kind") == mask_kind, "revision_rule": F.col("rule") == rule,
@@ -71,7 +75,11 @@ def membership_panel(panel: DataFrame, mask_kind: str, rule: str, active: int) -
     size = panel.select(F.count_distinct("date").alias("d"), F.count_distinct("ticker").alias("t"), F.count("*").alias("n"))
     n = panel.select(F.count_distinct("ticker").alias("n_slots"))
     slots = panel.groupBy("date").agg(F.sort_array(F.collect_list("asset_slot")).alias("s"), F.count_if(member).alias("m")).crossJoin(F.broadcast(n))  # a date's assets are a bounded list
+    held = panel.select("asset_slot", "ticker").distinct()
+    asked = [("date", ["date"], expected_dates), ("slot", ["asset_slot", "ticker"], expected_slots)]
+    grid = [f for n, on, want in asked if want is not None for f in (missing(f"{n}_missing", want, panel, on), missing(f"{n}_foreign", panel, want, on))]
     return K.union_checks(
+        *grid, _groups("one_ticker_a_slot", held, ["asset_slot"], F.count("*") == 1), _groups("one_slot_a_ticker", held, ["ticker"], F.count("*") == 1),
         rows, K.count_check("unique_keys", K.repeated_keys(panel, ["date", "ticker"])), _one_if("one_index", panel.select("index_name").distinct().agg(F.count("*").alias("k")).where("k != 1")),
         _groups("one_record_a_session", panel, ["date"], F.count_distinct("record_id") == 1), _one_if("dense", size.where("n != d * t")),
         K.count_check("stable_slots", slots.where(F.col("s") != F.sequence(F.lit(0), F.col("n_slots").cast("int") - 1))), K.count_check("active_count", slots.where(F.col("m") != active)),
@@ -128,12 +136,25 @@ def market_package(bars: DataFrame, status: DataFrame, sessions: DataFrame, acti
     covered = members.select(*key).distinct().join(symbols.select(F.col("ticker").alias("t"), "effective_from", "effective_to"), (F.col("ticker") == F.col("t")) & (F.col("effective_from") <= F.col("date")) & (F.col("date") < F.col("effective_to")), "left_anti")
     return K.union_checks(
         at_bars, at_status, at_sessions, corporate_actions(actions, tickers), at_symbols, at_members, K.count_check("bar_grain", K.repeated_keys(bars, key)), K.count_check("status_grain", K.repeated_keys(status, key)),
-        missing("bar_ticker_known", bars, tickers, ["ticker"]), missing("status_ticker_known", status, tickers, ["ticker"]), missing("symbol_ticker_known", symbols, tickers, ["ticker"]), missing("ticker_has_symbol", tickers, symbols, ["ticker"]),
+        missing("bar_ticker_known", bars, tickers, ["ticker"]), missing("ticker_has_bar", tickers, bars, ["ticker"]), missing("status_ticker_known", status, tickers, ["ticker"]), missing("symbol_ticker_known", symbols, tickers, ["ticker"]), missing("ticker_has_symbol", tickers, symbols, ["ticker"]),
         missing("session_expected", sessions, expected_sessions, ["date"]), missing("session_present", expected_sessions, sessions, ["date"]), missing("bar_on_session", bars, sessions, ["date"]), missing("status_on_session", status, sessions, ["date"]),
         K.count_check("member_has_symbol", covered),
     )
 
 
+def market_coverage(bars: DataFrame, status: DataFrame, members: DataFrame, tickers: DataFrame) -> DataFrame:
+    """coverage, covered, required and share (1 where nothing is required) of a package: tickers with any bar, sessions of members with a
+    bar, with a status, and observed: with a bar, or a state without trading."""
+    key = ["date", "ticker"]
+    flagged = lambda df, on, name: df.select(*on).distinct().withColumn(name, F.lit(True))
+    states = status.groupBy(*key).agg(F.bool_or(F.col("trading_status").isin(*NONTRADING_STATES)).alias("quiet"), F.lit(True).alias("state"))
+    names = tickers.select("ticker").distinct().join(flagged(bars, ["ticker"], "bar"), "ticker", "left").agg(F.count("*").alias("required"), F.count("bar").alias("covered")).select(F.lit("ticker_has_bar").alias("coverage"), "covered", "required")
+    seen = members.select(*key).distinct().join(flagged(bars, key, "bar"), key, "left").join(states, key, "left")
+    n = seen.agg(F.count("*").alias("required"), F.count("bar").alias("member_has_bar"), F.count("state").alias("member_has_status"), F.count_if(F.col("bar").isNotNull() | F.coalesce("quiet", F.lit(False))).alias("member_observed"))
+    rows = n.select("required", F.explode(F.array(*(F.struct(F.lit(c).alias("coverage"), F.col(c).alias("covered")) for c in ("member_has_bar", "member_has_status", "member_observed")))).alias("x")).select("x.coverage", "x.covered", "required")
+    return names.unionByName(rows).withColumn("share", F.coalesce(F.try_divide("covered", "required"), F.lit(1.0)))
+
+
 def close_to(a: Column, b: Column) -> Column:
     return F.abs(a - b) <= 1e-10 + 1e-12 * F.abs(b)
 
@@ -147,6 +168,18 @@ def value_chain(df: DataFrame, name: str, before: str, step: str, after: str, by
     })
 
 
+def seal(results: DataFrame, columns: list[str], name: str = "result_row_sha256") -> DataFrame:
+    """results with the digest of these columns of each row: SHA-256 of their canonical JSON (see digests)."""
+    return results.withColumn(name, row_digest(results, columns))
+
+
+def bound_results(results: DataFrame, binding: dict[str, object], version: str, columns: list[str], name: str = "result_row_sha256") -> DataFrame:
+    """What ties sealed rows to one run: each identity column has the value it is bound to, the schema version is this one,
+    and the digest is that of the row's columns. A null, also of a digest that can't be made, fails."""
+    tests = {f"foreign_{c}": F.col(c) == F.lit(v) for c, v in binding.items()}
+    return K.check_rows(results, tests | {"schema_version": F.col("schema_version") == version, "row_digest": F.col(name) == row_digest(results, columns)})
+
+
 def transition_results(results: DataFrame, expected: DataFrame, by: list[str]) -> DataFrame:
     """The contract of transition results against the expected(transition_index, decision_date, outcome_date).
 
@@ -169,7 +202,7 @@ def metric_ledger(metrics: DataFrame, candidates: DataFrame, folds: DataFrame, s
     range; the log return is that of the cumulative return."""
     key = ["candidate_id", "fold_id", "seed"]
     grid = candidates.select("candidate_id").crossJoin(F.broadcast(folds.select("fold_id"))).crossJoin(F.broadcast(seeds.select("seed")))
-    figures = ["net_cumulative_return", "net_log_return", "sharpe", "max_drawdown", "turnover", "equal_weight_net_log_return", "equal_weight_max_drawdown"]
+    figures = ["net_cumulative_return", "net_log_return", "sharpe", "max_drawdown", "turnover", "equal_weight_net_log_return", "equal_weight_max_drawdown", "set_index_net_log_return"]
     finite = F.lit(True)
     for c in figures:
         finite = finite & F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
@@ -182,6 +215,24 @@ def metric_ledger(metrics: DataFrame, candidates: DataFrame, folds: DataFrame, s
     return K.union_checks(rows, K.count_check("unique_cells", K.repeated_keys(metrics, key)), K.count_check("missing_cells", grid.join(metrics.select(*key), key, "left_anti")), K.count_check("foreign_cells", metrics.select(*key).distinct().join(grid, key, "left_anti")))
 
 
+def masked_valuation(panel: DataFrame, features: list[str], lookback: int, by: str = "ticker", at: str = "date") -> DataFrame:
+    """What an eligible asset needs at each decision of panel(date, ticker, eligible, close, features...), one row a ticker and
+    date: finite features in the lookback rows before it, and finite prices over 0 on its date and the next.
+
+    Decisions are the dates with lookback dates before them and one after; earlier and later rows are only looked at."""
+    dates = panel.select(at).distinct().withColumns({"__i": F.row_number().over(Window.orderBy(at)), "__n": F.count("*").over(Window.partitionBy())})
+    fine = lambda c: F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(F.col(c)) < float("inf"))
+    whole = F.lit(True)
+    for c in features:
+        whole = whole & fine(c)
+    w = Window.partitionBy(by).orderBy(at)
+    past = w.rowsBetween(-lookback, -1)
+    x = panel.join(F.broadcast(dates), at).withColumns({"__whole": whole, "__priced": fine("close") & (F.col("close") > 0)})
+    x = x.withColumns({"__seen": F.count_if("__whole").over(past), "__next": F.lead("__priced").over(w)})
+    decided = x.where((F.col("__i") > lookback) & (F.col("__i") < F.col("__n")) & F.col("eligible"))
+    return K.check_rows(decided, {"finite_lookback": F.col("__seen") == lookback, "price_now": F.col("__priced"), "price_next": F.col("__next")})
+
+
 def scaler_state(state: DataFrame, protected: list[str], fit_rows: int) -> DataFrame:
     """The self-check of a fitted scaler(feature, position, count, mean, scale, constant): one row a feature."""
     finite = lambda c: F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))

@@ -13,13 +13,28 @@ from . import metrics as M
 from . import portfolio as P
 from .contracts import NONTRADING_STATES
 from .splits import walk_forward
+from .windows import crossover as crossed
 
 
-def baselines(panel: DataFrame, names: list[str] | None = None) -> DataFrame:
-    """Weights of the baselines over panel(date, ticker, return_1d, return_5d): equal weight, momentum, mean
-    variance, and buy-and-hold of each of the names."""
-    parts = [P.equal_weight(panel), P.momentum(panel, "return_5d"), P.mean_variance(panel.select("date", "ticker", F.col("return_1d").alias("r")))]
-    return reduce(lambda a, b: a.unionByName(b), parts + [P.single_name(panel, n) for n in names or []])
+def crossover(panel: DataFrame, name: str = "ma_crossover") -> DataFrame:
+    """Equal weights of the names whose short mean of close is over the long one; all cash where there is none."""
+    on = panel.withColumn("__on", crossed().cast("double"))
+    return on.select(F.lit(name).alias("policy"), "date", "ticker", F.coalesce(F.try_divide("__on", F.sum("__on").over(Window.partitionBy("date"))), F.lit(0.0)).alias("weight"))
+
+
+def holds(panel: DataFrame) -> DataFrame:
+    """Buy-and-hold of each name, one plan for all: all of the capital on the dates on which the name has a row, else cash."""
+    own = panel.select("date", "ticker").distinct().withColumn("weight", F.lit(1.0))
+    grid = panel.select("date").distinct().crossJoin(F.broadcast(panel.select("ticker").distinct()))
+    return grid.join(own, ["date", "ticker"], "left").select(F.concat(F.lit("buy_hold_"), "ticker").alias("policy"), "date", "ticker", F.coalesce("weight", F.lit(0.0)).alias("weight"))
+
+
+def baselines(panel: DataFrame, seed: int = 42) -> DataFrame:
+    """Weights of all baselines over panel(date, ticker, close, return_1d, return_5d): equal weight, random, momentum, moving-average
+    crossover, mean variance, and buy-and-hold of each name."""
+    solved = P.mean_variance(panel.select("date", "ticker", F.col("return_1d").alias("r")))
+    parts = [P.equal_weight(panel), P.random_weights(panel, seed), P.momentum(panel, "return_5d"), crossover(panel), solved, holds(panel)]
+    return reduce(lambda a, b: a.unionByName(b), parts)
 
 
 def regime_suite(panel: DataFrame, returns: DataFrame, regimes: dict[str, tuple[str, str]], lookback: int, cost: float = 0.0015, slippage: float = 0.0005) -> DataFrame:
@@ -76,10 +91,9 @@ def best_trials(scores: DataFrame, keys: list[str], value: str, name: str, trial
 
     A score of another split fails the job: tests must not choose."""
     guarded = scores.withColumn(split, F.when(F.col(split) == "validation", F.col(split)).otherwise(F.raise_error(F.concat(F.lit("not a validation score: "), F.coalesce(split, F.lit("null"))))))
-    best = guarded.where(F.col(split).isNotNull()).groupBy(*keys).agg(F.max_by(F.struct(name, value, split), F.struct(F.col(value), F.hash(name))).alias("__x"), F.count("*").alias("trials"))
-    top = guarded.groupBy(*keys).agg(F.max(value).alias("__m"))
-    first = guarded.join(top, keys).where(F.col(value) == F.col("__m")).groupBy(*keys).agg(F.min(name).alias(name), F.max(value).alias(value), F.min(split).alias(split))
-    return first.join(best.select(*keys, "trials"), keys).withColumn("complete", F.col("trials") == trials)
+    order = F.struct((-F.col(value)).alias("v"), F.col(name).alias("n"))
+    best = guarded.where(F.col(split).isNotNull()).groupBy(*keys).agg(F.min_by(F.struct(name, value, split), F.when(F.col(value).isNotNull(), order)).alias("__x"), F.count("*").alias("trials"))
+    return best.where("__x is not null").select(*keys, "__x.*", "trials").withColumn("complete", F.col("trials") == trials)
 
 
 def trial_algorithms(trials: DataFrame, algorithms: list[str]) -> DataFrame:
@@ -93,6 +107,10 @@ OFF_POLICY_SPACE = {"gamma": [0.95, 0.98, 0.99, 0.995], "tau": [0.001, 0.005, 0.
 ON_POLICY_SPACE = {"gamma": [0.90, 0.95, 0.98, 0.99, 0.995], "ent_coef": [0.0, 1e-5, 1e-4, 1e-3, 1e-2], "n_steps": [64, 128, 256, 512]}
 
 
+#: The entropy coefficients of the off-policy algorithm that has one.
+ENTROPY_CHOICES = ["auto", "0.001", "0.01", "0.1"]
+
+
 def sample_parameters(trials: DataFrame, seed: int) -> DataFrame:
     """trial_id, algorithm and params (a map of texts): draws seeded by the trial, so any trial can be made alone."""
 
@@ -107,6 +125,8 @@ def sample_parameters(trials: DataFrame, seed: int) -> DataFrame:
                     p["gae_lambda"] = float(r.uniform(0.80, 0.99))
                 if a == "ppo":
                     p |= {"clip_range": float(r.uniform(0.10, 0.30)), "batch_size": min(r.choice([32, 64, 128, 256]).item(), p["n_steps"])}
+                if a == "sac":
+                    p["ent_coef"] = r.choice(ENTROPY_CHOICES).item()
                 if a == "td3":
                     p["policy_delay"] = r.choice([1, 2, 3]).item()
                 out.append((t, a, {n: str(v) for n, v in p.items()}))

@@ -55,7 +55,9 @@ b AS (SELECT date, CASE WHEN month(date) = 3 AND n_nationkey = 4 THEN 'N3' ELSE
   CASE WHEN year(date) = 1998 AND month(date) = 2 THEN NULL WHEN year(date) = 1999 AND month(date) = 6 THEN CAST(date + INTERVAL 1 DAY AS DATE) ELSE date END AS published_at, CASE WHEN month(date) = 9 THEN 'revised' ELSE 'original' END AS revision_status,
   CASE WHEN year(date) = 1996 AND month(date) = 8 THEN 'other' ELSE 'dated' END AS mask_kind, CASE WHEN month(date) = 11 AND n_nationkey = 2 THEN 'same_day' ELSE 'next_session' END AS rule, CASE WHEN year(date) = 1999 AND n_nationkey = 0 THEN 'B' ELSE 'A' END AS index_name,
   CASE WHEN month(date) = 4 AND n_nationkey = 6 THEN '' WHEN month(date) = 10 AND n_nationkey > 20 THEN 'r0' ELSE concat('r', CAST(year(date) AS STRING)) END AS record_id, CASE WHEN month(date) = 12 AND n_nationkey IN (7, 15) THEN ' ' ELSE 's' END AS sector, CASE WHEN month(date) = 1 AND n_nationkey IN (8, 16) THEN '' ELSE n_name END AS symbol, n_nationkey AS k FROM m CROSS JOIN {nation}),
-panel AS (SELECT * FROM b WHERE NOT (year(date) = 2000 AND month(date) = 2 AND k = 3))"""
+panel AS (SELECT * FROM b WHERE NOT (year(date) = 2000 AND month(date) = 2 AND k = 3)),
+expected_dates AS (SELECT date FROM m WHERE NOT (year(date) = 1995 AND month(date) = 3) UNION ALL SELECT make_date(2031, 1, 1) AS date),
+slots AS (SELECT n_nationkey AS asset_slot, CASE WHEN n_nationkey = 9 THEN 'N99' ELSE concat('N', CAST(n_nationkey AS STRING)) END AS ticker FROM {nation})"""
 _MEM = _FLAG.format("is_member")
 
 
@@ -64,11 +66,14 @@ _MEM = _FLAG.format("is_member")
     record_present="SELECT count(*) FROM panel WHERE trim(record_id) = ''", public_in_time="SELECT count(*) FROM panel WHERE published_at IS NULL OR (revision_status <> 'revised' AND published_at > date) OR (revision_status = 'revised' AND published_at >= date)",
     member_sector=f"SELECT count(*) FROM panel WHERE NOT coalesce(NOT {_MEM} OR trim(sector) <> '', false)", member_symbol=f"SELECT count(*) FROM panel WHERE NOT coalesce(NOT {_MEM} OR trim(symbol) <> '', false)", unique_keys="SELECT count(*) FROM (SELECT 1 FROM panel GROUP BY date, ticker HAVING count(*) > 1)",
     one_index="SELECT CASE WHEN count(DISTINCT index_name) = 1 THEN 0 ELSE 1 END FROM panel", one_record_a_session="SELECT count(*) FROM (SELECT 1 FROM panel GROUP BY date HAVING count(DISTINCT record_id) <> 1)", dense="SELECT CASE WHEN count(*) = count(DISTINCT date) * count(DISTINCT ticker) THEN 0 ELSE 1 END FROM panel",
+    date_missing="SELECT count(*) FROM (SELECT date FROM expected_dates EXCEPT SELECT date FROM panel)", date_foreign="SELECT count(*) FROM (SELECT date FROM panel EXCEPT SELECT date FROM expected_dates)",
+    slot_missing="SELECT count(*) FROM (SELECT asset_slot, ticker FROM slots EXCEPT SELECT asset_slot, ticker FROM panel)", slot_foreign="SELECT count(*) FROM (SELECT asset_slot, ticker FROM panel EXCEPT SELECT asset_slot, ticker FROM slots)",
+    one_ticker_a_slot="SELECT count(*) FROM (SELECT 1 FROM panel GROUP BY asset_slot HAVING count(DISTINCT ticker) > 1)", one_slot_a_ticker="SELECT count(*) FROM (SELECT 1 FROM panel GROUP BY ticker HAVING count(DISTINCT asset_slot) > 1)",
     stable_slots="SELECT count(*) FROM g WHERE s <> range(25)", active_count="SELECT count(*) FROM g WHERE m <> 10",
 ))
 def panel_contract(spark, d):
-    p = A.portable(spark, d, _PANEL + " SELECT * FROM panel")
-    return C.membership_panel(p, "dated", "next_session", 10)
+    t = lambda name: A.portable(spark, d, f"{_PANEL} SELECT * FROM {name}")
+    return C.membership_panel(t("panel"), "dated", "next_session", 10, t("expected_dates"), t("slots"))
 
 
 _MARKET = """WITH b AS (SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS date, n_nationkey AS k, concat('N', CAST(n_nationkey AS STRING)) AS ticker, round(avg(o_totalprice), 4) AS p, round(min(o_totalprice), 4) AS lo, round(max(o_totalprice), 4) AS hi, count(*) AS v FROM {orders} JOIN {customer} ON o_custkey = c_custkey JOIN {nation} ON c_nationkey = n_nationkey GROUP BY 1, 2, 3),
@@ -88,7 +93,7 @@ actions AS (SELECT CASE WHEN s_suppkey % 10 = 9 THEN 'a0' ELSE concat('a', CAST(
 symbols0 AS (SELECT n_nationkey AS k, CASE WHEN n_nationkey = 2 THEN ' ' ELSE concat('i', CAST(n_nationkey AS STRING)) END AS instrument_id, CASE WHEN n_nationkey = 3 THEN 'QQ' ELSE concat('N', CAST(n_nationkey AS STRING)) END AS ticker, CASE WHEN n_nationkey = 4 THEN make_date(2040, 1, 1) ELSE make_date(1990, 1, 1) END AS effective_from,
   CASE WHEN n_nationkey = 5 THEN make_date(1998, 1, 1) ELSE make_date(2030, 1, 1) END AS effective_to, CASE WHEN n_nationkey = 6 THEN '' ELSE 'h' END AS source_record_id FROM {nation}),
 symbols AS (SELECT * FROM symbols0 UNION ALL SELECT k, instrument_id, ticker, make_date(2029, 6, 1) AS effective_from, make_date(2035, 1, 1) AS effective_to, source_record_id FROM symbols0 WHERE k = 7 UNION ALL SELECT k, instrument_id, ticker, make_date(2030, 1, 1) AS effective_from, make_date(2035, 1, 1) AS effective_to, source_record_id FROM symbols0 WHERE k = 8),
-members AS (SELECT date, ticker FROM b WHERE k < 12), tickers AS (SELECT concat('N', CAST(n_nationkey AS STRING)) AS ticker FROM {nation})"""
+members AS (SELECT date, ticker FROM b WHERE k < 12), tickers AS (SELECT concat('N', CAST(n_nationkey AS STRING)) AS ticker FROM {nation} UNION ALL SELECT 'N98' AS ticker)"""
 _ANTI = "SELECT count(*) FROM (SELECT {2} FROM {0} EXCEPT SELECT {2} FROM {1})"
 _SEEN = "seen AS (SELECT m.date, m.ticker, s.trading_status AS st, b.ticker IS NOT NULL AS bar FROM (SELECT DISTINCT date, ticker FROM members) m LEFT JOIN status s ON s.date = m.date AND s.ticker = m.ticker LEFT JOIN (SELECT DISTINCT date, ticker FROM bars) b ON b.date = m.date AND b.ticker = m.ticker)"
 
@@ -114,7 +119,7 @@ def action_domain(spark, d):
     symbol_intervals="SELECT count(*) FROM symbols WHERE effective_from >= effective_to", symbol_instrument="SELECT count(*) FROM symbols WHERE trim(instrument_id) = ''", symbol_source="SELECT count(*) FROM symbols WHERE trim(source_record_id) = ''", symbol_no_overlap="SELECT count(*) FROM o WHERE effective_from < before",
     member_has_status="SELECT count(*) FROM seen WHERE st IS NULL", member_is_listed="SELECT count(*) FROM seen WHERE st IN ('delisted', 'not_yet_listed')", trading_has_bar="SELECT count(*) FROM seen WHERE st = 'trading' AND NOT bar", member_observed="SELECT count(*) FROM seen WHERE NOT coalesce((st = 'trading' AND bar) OR st IN ('suspended', 'halted', 'no_trade'), false)",
     bar_grain="SELECT count(*) FROM (SELECT 1 FROM bars GROUP BY date, ticker HAVING count(*) > 1)", status_grain="SELECT count(*) FROM (SELECT 1 FROM status GROUP BY date, ticker HAVING count(*) > 1)",
-    bar_ticker_known=_ANTI.format("bars", "tickers", "ticker"), status_ticker_known=_ANTI.format("status", "tickers", "ticker"), symbol_ticker_known=_ANTI.format("symbols", "tickers", "ticker"), ticker_has_symbol=_ANTI.format("tickers", "symbols", "ticker"),
+    bar_ticker_known=_ANTI.format("bars", "tickers", "ticker"), ticker_has_bar=_ANTI.format("tickers", "bars", "ticker"), status_ticker_known=_ANTI.format("status", "tickers", "ticker"), symbol_ticker_known=_ANTI.format("symbols", "tickers", "ticker"), ticker_has_symbol=_ANTI.format("tickers", "symbols", "ticker"),
     session_expected=_ANTI.format("sessions", "expected", "date"), session_present=_ANTI.format("expected", "sessions", "date"), bar_on_session=_ANTI.format("bars", "sessions", "date"), status_on_session=_ANTI.format("status", "sessions", "date"),
     member_has_symbol="SELECT count(*) FROM (SELECT DISTINCT date, ticker FROM members) m WHERE NOT EXISTS (SELECT 1 FROM symbols s WHERE s.ticker = m.ticker AND s.effective_from <= m.date AND m.date < s.effective_to)",
 ))
@@ -123,6 +128,18 @@ def package(spark, d):
     return C.market_package(t("bars"), t("status"), t("sessions"), t("actions"), t("symbols"), t("members"), t("expected"), t("tickers"))
 
 
+_COVERED = "SELECT '{0}' AS coverage, count(*) FILTER ({1}) AS covered, count(*) AS required FROM c"
+
+
+@query("q08_coverage", A.bare(_MARKET) + """, c AS (SELECT m.date, m.ticker, EXISTS (SELECT 1 FROM bars b WHERE b.date = m.date AND b.ticker = m.ticker) AS bar, EXISTS (SELECT 1 FROM status s WHERE s.date = m.date AND s.ticker = m.ticker) AS st,
+  EXISTS (SELECT 1 FROM status s WHERE s.date = m.date AND s.ticker = m.ticker AND trading_status IN ('suspended', 'halted', 'no_trade')) AS quiet FROM (SELECT DISTINCT date, ticker FROM members) m),
+u AS (SELECT 'ticker_has_bar' AS coverage, count(*) FILTER (ticker IN (SELECT ticker FROM bars)) AS covered, count(*) AS required FROM (SELECT DISTINCT ticker FROM tickers) UNION ALL """ + " UNION ALL ".join(_COVERED.format(*x) for x in (("member_has_bar", "bar"), ("member_has_status", "st"), ("member_observed", "bar OR quiet"))) + """)
+SELECT coverage, covered, required, round(covered / required, 6) + 0.0 AS share FROM u""")
+def coverage(spark, d):
+    t = lambda name: A.portable(spark, d, f"{_MARKET} SELECT * FROM {name}")
+    return C.market_coverage(t("bars"), t("status"), t("members"), t("tickers")).withColumn("share", A.r6(F.col("share")))
+
+
 @query("q07_readiness", A.bare(_MARKET) + ", c AS (SELECT m.ticker, count(*) AS required, count(b.ticker) AS covered FROM (SELECT DISTINCT date, ticker FROM members) m LEFT JOIN (SELECT DISTINCT date, ticker FROM bars) b ON b.date = m.date AND b.ticker = m.ticker GROUP BY 1) SELECT ticker, required, covered, round(covered / required::DOUBLE, 6) + 0.0 AS share, covered = required AS ready FROM c")
 def readiness(spark, d):
     """Required member sessions of each ticker, and how many of them have a bar."""
@@ -135,19 +152,19 @@ candidates AS (SELECT concat('c', CAST(c AS STRING)) AS candidate_id FROM c), fo
 g AS (SELECT c, f, s, (c * 31 + f * 7 + s) AS i FROM c CROSS JOIN f CROSS JOIN s),
 m0 AS (SELECT CASE WHEN i % 83 = 0 THEN 'c999' ELSE concat('c', CAST(c AS STRING)) END AS candidate_id, concat('fold_0', CAST(f AS STRING)) AS fold_id, CASE WHEN i % 79 = 0 THEN 7 ELSE s END AS seed, CASE WHEN i % 41 = 0 THEN 'failed' ELSE 'complete' END AS status,
   CASE WHEN i % 53 = 0 THEN -1.5 ELSE (i % 40 - 20) / 100.0 END AS total, CASE WHEN i % 37 = 0 THEN NULL ELSE i / 100.0 END AS sharpe, CASE WHEN i % 43 = 0 THEN 0.1 WHEN i % 61 = 0 THEN -1.2 ELSE -0.2 END AS max_drawdown, CASE WHEN i % 47 = 0 THEN -0.1 ELSE 0.3 END AS turnover, CASE WHEN i % 59 = 0 THEN 0.5 ELSE -0.1 END AS equal_weight_max_drawdown, i FROM g WHERE i % 71 <> 0),
-m1 AS (SELECT *, CAST(total AS DOUBLE) AS net_cumulative_return, CASE WHEN total <= -1 THEN 0.0 WHEN i % 67 = 0 THEN 0.5 ELSE ln(1 + CAST(total AS DOUBLE)) END AS net_log_return, 0.01 AS equal_weight_net_log_return FROM m0),
+m1 AS (SELECT *, CAST(total AS DOUBLE) AS net_cumulative_return, CASE WHEN total <= -1 THEN 0.0 WHEN i % 67 = 0 THEN 0.5 ELSE ln(1 + CAST(total AS DOUBLE)) END AS net_log_return, 0.01 AS equal_weight_net_log_return, CASE WHEN i % 71 = 0 THEN NULL ELSE 0.02 END AS set_index_net_log_return FROM m0),
 metrics AS (SELECT * FROM m1 UNION ALL SELECT * FROM m1 WHERE i % 73 = 0)"""
 _CELLS = "SELECT candidate_id, fold_id, seed FROM candidates CROSS JOIN folds CROSS JOIN seeds"
 
 
 @query("q14_metric_ledger", A.bare(_LEDGER) + " " + _checks(
-    complete="SELECT count(*) FROM metrics WHERE status <> 'complete'", finite="SELECT count(*) FROM metrics WHERE sharpe IS NULL", over_total_loss="SELECT count(*) FROM metrics WHERE net_cumulative_return <= -1", log_return="SELECT count(*) FROM metrics WHERE net_cumulative_return > -1 AND abs(ln(1 + net_cumulative_return) - net_log_return) > 1e-12",
+    complete="SELECT count(*) FROM metrics WHERE status <> 'complete'", finite="SELECT count(*) FROM metrics WHERE sharpe IS NULL OR set_index_net_log_return IS NULL", over_total_loss="SELECT count(*) FROM metrics WHERE net_cumulative_return <= -1", log_return="SELECT count(*) FROM metrics WHERE net_cumulative_return > -1 AND abs(ln(1 + net_cumulative_return) - net_log_return) > 1e-12",
     drawdown="SELECT count(*) FROM metrics WHERE max_drawdown NOT BETWEEN -1 AND 0 OR equal_weight_max_drawdown NOT BETWEEN -1 AND 0", turnover="SELECT count(*) FROM metrics WHERE turnover < 0", unique_cells="SELECT count(*) FROM (SELECT 1 FROM metrics GROUP BY candidate_id, fold_id, seed HAVING count(*) > 1)",
     missing_cells=f"SELECT count(*) FROM ({_CELLS} EXCEPT SELECT candidate_id, fold_id, seed FROM metrics)", foreign_cells=f"SELECT count(*) FROM (SELECT candidate_id, fold_id, seed FROM metrics EXCEPT {_CELLS})",
 ))
 def metric_ledger(spark, d):
     t = lambda name: A.portable(spark, d, f"{_LEDGER} SELECT * FROM {name}")
-    m = t("metrics").select("candidate_id", "fold_id", "seed", "status", *(F.col(c).cast("double").alias(c) for c in ("net_cumulative_return", "net_log_return", "sharpe", "max_drawdown", "turnover", "equal_weight_net_log_return", "equal_weight_max_drawdown")))
+    m = t("metrics").select("candidate_id", "fold_id", "seed", "status", *(F.col(c).cast("double").alias(c) for c in ("net_cumulative_return", "net_log_return", "sharpe", "max_drawdown", "turnover", "equal_weight_net_log_return", "equal_weight_max_drawdown", "set_index_net_log_return")))
     return C.metric_ledger(m, t("candidates"), t("folds"), t("seeds"))
 
 
@@ -182,6 +199,23 @@ def transition_results(spark, d):
     return C.transition_results(r.select(*(F.col(n).cast("double").alias(n) if t.simpleString().startswith("decimal") else F.col(n) for n, t in ((f.name, f.dataType) for f in r.schema.fields))), t("expected"), ["candidate"])
 
 
+_SEALED = ["schema_version", "candidate", "fold_id", "transition_index", "decision_date", "net_return", "turnover"]
+_BOUND = A.bare(_STEPS).replace("(transition_index * 13", "(CAST(transition_index AS BIGINT) * 13") + """, sealed AS (SELECT *, (CAST(transition_index AS BIGINT) * 7 + r) % 31 AS z FROM v) """
+
+
+@query("q15_bound_results", _BOUND + _checks(
+    foreign_fold_id="SELECT count(*) FROM sealed WHERE z = 3", foreign_candidate="SELECT count(*) FROM sealed WHERE candidate <> 'ASIA'", schema_version="SELECT count(*) FROM sealed WHERE z = 5", row_digest="SELECT count(*) FROM sealed WHERE z IN (7, 8, 9)",
+))
+def bound_results(spark, d):
+    """Rows sealed by their digests, of which some are changed after that: a figure, a date, a digest itself."""
+    v = A.portable(spark, d, f"{_STEPS} SELECT *, (transition_index * 7 + r) % 31 AS z FROM v")
+    z, ratio = F.col("z"), (F.col("v1") / F.col("v0") - 1).cast("double")
+    rows = v.select("candidate", "transition_index", "decision_date", "z", F.when(z == 3, "fold_02").otherwise("fold_01").alias("fold_id"), F.when(z == 5, "0").otherwise("1").alias("schema_version"), ratio.alias("net_return"), F.lit(0.1).alias("turnover"))
+    kept = C.seal(rows, _SEALED)
+    moved = kept.withColumns({"net_return": F.when(z == 7, F.col("net_return") * (1 + 2.0**-50)).otherwise(F.col("net_return")), "decision_date": F.when(z == 8, F.date_add("decision_date", 1)).otherwise(F.col("decision_date")), "result_row_sha256": F.when(z != 9, F.col("result_row_sha256"))})
+    return C.bound_results(moved, {"fold_id": "fold_01", "candidate": "ASIA"}, "1", _SEALED)
+
+
 @query("q32_scaler_state", "WITH s AS (SELECT p_partkey % 20 AS i, CASE WHEN p_partkey % 20 = 3 THEN 'f2' WHEN p_partkey % 20 = 4 THEN 'close' ELSE 'f' || CAST(p_partkey % 20 AS VARCHAR) END AS feature, CASE WHEN p_partkey % 20 = 5 THEN 6 ELSE p_partkey % 20 END AS pos, CASE WHEN p_partkey % 20 = 7 THEN 99 ELSE 100 END AS n, CASE WHEN p_partkey % 20 = 8 THEN NULL ELSE 1.0 END AS mean, CASE p_partkey % 20 WHEN 9 THEN 0.0 WHEN 10 THEN -1.0 WHEN 11 THEN 2.0 ELSE 1.0 END AS scale, p_partkey % 20 IN (11, 12) AS constant FROM part WHERE p_partkey <= 20) " + _checks(
     same_count="SELECT count(*) FROM s WHERE n <> 100", finite="SELECT count(*) FROM s WHERE mean IS NULL", positive_scale="SELECT count(*) FROM s WHERE scale <= 0", constant_has_unit_scale="SELECT count(*) FROM s WHERE constant AND scale <> 1", not_protected="SELECT count(*) FROM s WHERE feature IN ('close', 'volume')",
     unique_features="SELECT count(*) FROM (SELECT 1 FROM s GROUP BY feature HAVING count(*) > 1)", order="SELECT CASE WHEN count(*) = 0 OR count(DISTINCT pos) <> count(*) OR max(pos) <> count(*) - 1 THEN 1 ELSE 0 END FROM s",

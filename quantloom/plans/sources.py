@@ -107,8 +107,8 @@ def name_history(spark, d):
 
 @query("a25_synthetic_panel", None)
 def synthetic_panel(spark, d):
-    """A seeded panel of the regions' names on business days; draws are those of this package."""
-    return N.synthetic_panel(spark, [r.r_name for r in A.table(spark, d, "region").orderBy("r_name").collect()], "2024-01-01", "2024-12-31", seed=42)
+    """A seeded panel of all brands on business days; draws are those of this package."""
+    return N.synthetic_panel(A.table(spark, d, "part").select(F.col("p_brand").alias("ticker")), "2024-01-01", "2024-12-31", seed=42)
 
 
 @query("b05_prefix_columns", f"WITH {_TECH} SELECT date, ticker, return_1d, return_5d, return_20d, ma_ratio_10, ma_ratio_30 FROM tech")

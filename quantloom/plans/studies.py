@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import adapters as A
 from ..adapters import r6
+from ..operators import experiments as E
 from ..operators import inference as I
 from ..operators import metrics as M
 from ..operators import models as N
@@ -398,11 +399,30 @@ def random_slices(spark, d):
     return N.random_slices(A.bars_type_week(spark, d), length=52, count=5, seed=0)
 
 
+def suite_panel(spark, d):
+    return W.with_returns(A.bars_nation_month(spark, d), (1, 5))
+
+
 @query("p18_baseline_suite", None)
 def suite(spark, d):
-    b = W.with_returns(A.bars_nation_month(spark, d), (1, 5))
-    weights = P.equal_weight(b).unionByName(P.momentum(b, "return_5d")).unionByName(P.single_name(b, "NATION_12")).unionByName(P.mean_variance(b.select("date", "ticker", F.col("return_1d").alias("r"))))
-    return M.equity_metrics(P.closed_form(weights, returns_month(spark, d), 0.0015, 0.0005))
+    """Every baseline policy and buy-and-hold of every name, with all metrics."""
+    return M.equity_metrics(P.closed_form(E.baselines(suite_panel(spark, d)), returns_month(spark, d), 0.0015, 0.0005))
+
+
+_P18 = _SIM.split("w AS (SELECT", 1)[0] + f"""p AS (SELECT date, ticker, last_value(close IGNORE NULLS) OVER (PARTITION BY ticker ORDER BY date) AS c, avg(close) OVER (PARTITION BY ticker ORDER BY date ROWS 9 PRECEDING) > avg(close) OVER (PARTITION BY ticker ORDER BY date ROWS 29 PRECEDING) AS up FROM bars),
+m AS (SELECT *, coalesce(c / nullif(lag(c, 5) OVER (PARTITION BY ticker ORDER BY date), 0) - 1, 0) AS r5 FROM p), q AS (SELECT *, greatest(coalesce(lag(r5) OVER (PARTITION BY ticker ORDER BY date), 0), 0) AS sig FROM m),
+w AS (SELECT 'equal_weight' AS policy, date, ticker, 1.0::DOUBLE / count(*) OVER (PARTITION BY date) AS weight FROM bars
+  UNION ALL SELECT 'momentum', date, ticker, coalesce(sig / nullif(sum(sig) OVER (PARTITION BY date), 0), 0) FROM q
+  UNION ALL SELECT 'ma_crossover', date, ticker, coalesce(CAST(up AS DOUBLE) / nullif(sum(CAST(up AS DOUBLE)) OVER (PARTITION BY date), 0), 0) FROM q
+  UNION ALL SELECT 'buy_hold_' || t.ticker, s.date, t.ticker, CASE WHEN b.ticker IS NULL THEN 0.0 ELSE 1.0 END FROM (SELECT DISTINCT date FROM bars) s CROSS JOIN (SELECT DISTINCT ticker FROM bars) t LEFT JOIN bars b ON b.date = s.date AND b.ticker = t.ticker),
+mv AS""" + _SIM.split("mv AS", 1)[1]
+
+
+@query("p18_suite_values", _P18 + " SELECT policy, count(*) AS steps, round(max_by(value, date), 4) + 0.0 AS final_value, round(sum(turnover), 5) + 0.0 AS turnover, round(avg(1 - inv), 6) + 0.0 AS average_cash FROM v GROUP BY 1")
+def suite_values(spark, d):
+    """The baselines that neither draw nor solve, by their last values, turnover and cash."""
+    m = P.closed_form(E.baselines(suite_panel(spark, d)).where("policy not in ('random', 'mean_variance')"), returns_month(spark, d), 0.0015, 0.0005)
+    return m.groupBy("policy").agg(F.count("*").alias("steps"), (F.round(F.max_by("value", "date"), 4) + 0.0).alias("final_value"), (F.round(F.sum("turnover"), 5) + 0.0).alias("turnover"), r6(F.avg("cash_weight")).alias("average_cash"))
 
 
 @query("n01_ridge_forecast", None)

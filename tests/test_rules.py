@@ -244,10 +244,19 @@ def test_significance_of_seed_means(spark):
     assert got["a"].deflated < got["a"].probabilistic and got["a"].difference_low <= got["a"].difference_high and got["b"].p is None
 
 
-def test_synthetic_panel_is_seeded(spark):
-    a, b = (ingest.synthetic_panel(spark, ["x", "y"], "2024-01-01", "2024-03-31").orderBy("ticker", "date").toPandas() for _ in range(2))
-    assert a.equals(b) and len(a) == 2 * 65 and (a.high >= a[["open", "close"]].max(axis=1)).all() and (a.low <= a[["open", "close"]].min(axis=1)).all()
+def test_synthetic_panel_laws(spark):
+    """Sound bars on business days, the same whatever the partitions and the other names, and another panel for another seed."""
+    names = lambda *x: spark.createDataFrame([(t,) for t in x], "ticker string")
+    make = lambda df, seed=42: ingest.synthetic_panel(df, "2024-01-01", "2024-03-31", seed).orderBy("ticker", "date").toPandas()
+    a = make(names("x", "y", "z", "x", None))
+    assert len(a) == 3 * 65 and set(a.ticker) == {"x", "y", "z"} and (a.groupby("date").size() == 3).all() and all(d.weekday() < 5 for d in a.date)
+    assert (a.high >= a[["open", "close"]].max(axis=1)).all() and (a.low <= a[["open", "close"]].min(axis=1)).all() and (a.low > 0).all() and (a.volume > 0).all()
     assert a.groupby("date").market_return_1d.nunique().max() == 1 and a.sentiment_score.abs().max() <= 1
+    assert (a.groupby(["ticker", a.date.map(lambda d: d.month)]).macro_rate_change.agg(lambda r: (r != 0).sum()) <= 1).all()
+    assert make(names("z", "y", "x").repartition(3)).equals(a) and make(names("y")).equals(a[a.ticker == "y"].reset_index(drop=True))
+    assert not make(names("x", "y", "z"), 43).close.equals(a.close) and a[a.ticker == "x"].close.nunique() > 60
+    returns = a.pivot(index="date", columns="ticker", values="close").pct_change().dropna()
+    assert returns.corr().to_numpy()[0, 1] < 0.99
 
 
 def test_canonical_sectors_and_normal_back_and_forth(spark):
