@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -69,9 +70,15 @@ def ablation_inference(spark, d):
 
 @query("m17_attribution_metrics", None)
 def attribution_metrics(spark, d):
-    """What shuffling one feature's dates does to the return and the Sharpe ratio of a linear policy."""
-    b = W.technical_features(A.bars_type_week(spark, d)).select("date", "ticker", "return_1d", "return_5d", "rsi_14", "ma_ratio_10")
-    return N.permutation_metrics(b, ["return_5d", "rsi_14", "ma_ratio_10"], "return_1d", repeats=2, seed=0)
+    """What shuffling the dates of a group of features does to the return, the Sharpe ratio and the weights of a policy."""
+    b = W.technical_features(A.bars_type_week(spark, d)).withColumn("market", F.avg("return_5d").over(Window.partitionBy("date")))
+    groups = {"technical": ["return_5d", "rsi_14", "ma_ratio_10"], "range": ["atr_14", "bollinger_z"], "market": ["market"]}
+
+    def policy(x):
+        score = np.maximum(x[:, 0] + x[:, 1] + x[:, 2] - x[:, 3] + 0.01 * x[:, 4] + x[:, 5], 0.0)
+        return score / score.sum() if score.sum() > 0 else np.zeros(len(x))
+
+    return N.group_attribution(b, groups, policy, "return_1d", repeats=2, seed=0)
 
 
 _M18 = A.CURVES + """, x AS (SELECT c.policy, c.date, c.value AS v, c.turnover, c.cost / 10000 AS cost, c.slippage / 10000 AS slip, lag(c.value) OVER w AS v0, b.value AS e, lag(b.value) OVER w AS e0, i.value AS s, lag(i.value) OVER w AS s0, row_number() OVER w AS k

@@ -431,6 +431,13 @@ def ridge(spark, d):
     return N.ridge(f, ["return_1d", "return_5d", "volatility_20d", "rsi_14", "bollinger_z"], "y", alpha=1.0, until="1999-12-31")
 
 
+@query("n01_ridge_folds", None)
+def ridge_folds(spark, d):
+    """A refit every year, each forecasting the rows up to the next."""
+    f = W.technical_features(A.bars_type_week(spark, d)).withColumn("y", W.forward_return("close", 21))
+    return N.ridge_folds(f, ["return_1d", "return_5d", "volatility_20d", "rsi_14", "bollinger_z"], "y", 1.0, [f"{y}-12-31" for y in range(1993, 1998)])
+
+
 @query("n03_expected_score", "SELECT doc_id, round(1.0 * p1 - p0, 6) + 0.0 AS score FROM (SELECT doc_id, (doc_id % 7 + 1)::DOUBLE / (doc_id % 7 + 1 + doc_id % 3 + 1 + 2) AS p1, (doc_id % 3 + 1)::DOUBLE / (doc_id % 7 + 1 + doc_id % 3 + 1 + 2) AS p0 FROM documents)")
 def expected(spark, d):
     x = A.table(spark, d, "documents").select("doc_id", F.array(F.struct(F.lit("positive").alias("label"), (F.pmod("doc_id", F.lit(7)) + 1).cast("double").alias("p")), F.struct(F.lit("negative").alias("label"), (F.pmod("doc_id", F.lit(3)) + 1).cast("double").alias("p")), F.struct(F.lit("neutral").alias("label"), F.lit(2.0).alias("p"))).alias("s"))

@@ -188,7 +188,7 @@ def test_ridge_and_pca_match_numpy(spark):
     beta = np.linalg.solve(z.T @ z + np.eye(2), z.T @ (y - y.mean()))
     assert np.allclose(got, z @ beta + y.mean())
     v = spark.createDataFrame([(i, [float(k) for k in row]) for i, row in enumerate(draw.normal(size=(40, 3)))], "i int, v array<float>")
-    pcs = models.pca_scores(v, "i", "v", 2, F.lit(True), dims=3).toPandas()
+    pcs = models.pca_scores(v, "i", "v", 2, F.lit(True)).toPandas()
     assert abs(pcs.pc_1.mean()) < 1e-6 and pcs.pc_1.var() >= pcs.pc_2.var()
 
 
