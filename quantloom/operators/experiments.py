@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import exits as X
 from . import metrics as M
 from . import portfolio as P
 from .contracts import NONTRADING_STATES
@@ -77,12 +78,12 @@ def exit_ledger(states: DataFrame, by: str = "ticker", at: str = "date") -> Data
     sold, settled = (state == "trading") & F.col("__d.valid_bar"), (state == "delisted") & F.col("__d.terminal_action").isNotNull()
     covered = F.coalesce(sold, F.lit(False)) | F.coalesce(settled, F.lit(False))
     reason = (
-        F.when(covered, "").when(d.isNull(), "exit_path_ends_before_resolution").when(state.isNull(), "missing_contiguous_exit_status").when(state == "trading", "trading_exit_without_valid_bar")
-        .when(state == "delisted", "delisting_without_explicit_resolution").otherwise(F.concat(F.lit("inconsistent_exit_status:"), state))
+        F.when(covered, "").when(d.isNull(), X.ENDS).when(state.isNull(), X.NO_STATUS).when(state == "trading", X.NO_BAR)
+        .when(state == "delisted", X.NO_ACTION).otherwise(F.concat(F.lit(X.ODD), state))
     )
     return exits.select(
         by, F.col(at).alias("exit_date"), F.when(covered, F.col("__d.at")).alias("liquidation_date"), F.when(covered, F.col("__d.i") - F.col("__i")).cast("long").alias("lag_sessions"),
-        F.when(F.coalesce(sold, F.lit(False)), "tradable_liquidation").when(F.coalesce(settled, F.lit(False)), "terminal_settlement").otherwise("unresolved").alias("path_status"), reason.alias("blocking_reason"),
+        F.when(F.coalesce(sold, F.lit(False)), X.SOLD).when(F.coalesce(settled, F.lit(False)), X.SETTLED).otherwise(X.UNRESOLVED).alias("path_status"), reason.alias("blocking_reason"),
     )
 
 

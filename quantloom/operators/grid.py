@@ -67,12 +67,31 @@ def selected(ranked: DataFrame, key: str, fallback: str) -> DataFrame:
     return ranked.crossJoin(F.broadcast(best))
 
 
+def membership_steps(members: DataFrame, at: str, key: str) -> DataFrame:
+    """at, key and change (added, removed): what each record has more and less than the one before; the first has everything more.
+
+    Records are numbered, a dimension. A key's own records are few, so one exchange by key tells where it comes and goes; a record
+    of any number of keys is never held together."""
+    numbers = members.select(at).distinct().withColumns({"__r": F.row_number().over(Window.orderBy(at)), "__next": F.lead(at).over(Window.orderBy(at))})
+    rows = members.where(F.col(key).isNotNull()).select(at, key).distinct().join(F.broadcast(numbers), at)
+    w = Window.partitionBy(key).orderBy("__r")
+    x = rows.withColumns({"__new": F.coalesce(F.lag("__r").over(w) != F.col("__r") - 1, F.lit(True)), "__gone": F.col("__next").isNotNull() & F.coalesce(F.lead("__r").over(w) != F.col("__r") + 1, F.lit(True))})
+    step = lambda when, flag, name: x.where(flag).select(F.col(when).alias(at), key, F.lit(name).alias("change"))
+    return step(at, "__new", "added").unionByName(step("__next", "__gone", "removed"))
+
+
+def membership_counts(members: DataFrame, at: str, key: str) -> DataFrame:
+    """at, members, added and removed: how many keys each record has, and how many more and less than the one before."""
+    sizes = members.groupBy(at).agg(F.count_distinct(key).alias("members"))
+    steps = membership_steps(members, at, key).groupBy(at).agg(F.count_if(F.col("change") == "added").alias("added"), F.count_if(F.col("change") == "removed").alias("removed"))
+    return sizes.join(steps, at, "left").select(at, "members", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("added", "removed")))
+
+
 def membership_changes(members: DataFrame, at: str, key: str) -> DataFrame:
-    """Added and removed keys of each record against the one before. A record is a bounded list."""
-    lists = members.groupBy(at).agg(F.array_sort(F.collect_set(key)).alias("m"))
-    before = F.coalesce(F.lag("m").over(Window.orderBy(at)), F.array().cast("array<string>"))
-    both = lists.withColumn("b", before)
-    return both.select(at, F.array_join(F.array_except("m", "b"), ",").alias("added"), F.array_join(F.array_except("b", "m"), ",").alias("removed"))
+    """Added and removed keys of each record against the one before, sorted and joined by commas: lists of what changes, not of records."""
+    listed = lambda name: F.array_join(F.array_sort(F.collect_list(F.when(F.col("change") == name, F.col(key)))), ",").alias(name)
+    changes = membership_steps(members, at, key).groupBy(at).agg(listed("added"), listed("removed"))
+    return members.select(at).distinct().join(changes, at, "left").select(at, *(F.coalesce(c, F.lit("")).alias(c) for c in ("added", "removed")))
 
 
 #: Sampled rows for each range of positions(), about.

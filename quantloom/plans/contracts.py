@@ -16,6 +16,7 @@ from ..operators import quality as K
 from ..operators import splits as L
 from ..operators import windows as W
 from ..sources import ingest as N
+from ..streaming import manifest
 from .checks import _checks
 from .studies import _FOLDS, _HALF, _M01, _RET, _SIM, _WK, returns_month
 
@@ -211,6 +212,17 @@ def result_tree(spark, d):
     return tree.groupBy(group.alias("feature_group")).agg(F.count("*").alias("rows"), F.min("c_custkey").alias("first_key"))
 
 
+@query("a03_growing_tree", "SELECT lower(c_mktsegment) AS source, count(*) AS rows, min(c_custkey) AS first_key, CASE WHEN c_mktsegment < 'F' THEN 0 WHEN c_mktsegment = 'MACHINERY' THEN 2 ELSE 1 END AS batch FROM customer GROUP BY 1, 4")
+def growing_tree(spark, d):
+    """A tree that grows twice; each run reads the new files alone, and a source that comes again replaces its row."""
+    folder, c = N.scratch(spark), T(spark, d, "customer").select("c_custkey", "c_acctbal", F.col("c_mktsegment").alias("s"))
+    source, summary = F.regexp_extract(F.col("source_path"), "/s=([^/]*)/", 1), [F.count("*").alias("rows"), F.min("c_custkey").alias("first_key")]
+    for k, some in enumerate(("s < 'F'", "s >= 'F' and (s <> 'MACHINERY' or c_acctbal < 0)", "s = 'MACHINERY'")):
+        c.where(some).select("c_custkey", F.lower("s").alias("s")).write.partitionBy("s").csv(f"{folder}/out/run={k}", header=True)
+        out = manifest.scan_new(spark, f"{folder}/out", "c_custkey long", f"{folder}/manifest", f"{folder}/state", source, summary, header="true")
+    return out
+
+
 @query("a06_suffix_dispatch", "SELECT r_regionkey, r_name, 'parquet' AS kind FROM region UNION ALL SELECT r_regionkey, r_name, 'csv' FROM region")
 def dispatch(spark, d):
     """The suffix of a path decides how it is written and read."""

@@ -199,6 +199,20 @@ def transition_results(spark, d):
     return C.transition_results(r.select(*(F.col(n).cast("double").alias(n) if t.simpleString().startswith("decimal") else F.col(n) for n, t in ((f.name, f.dataType) for f in r.schema.fields))), t("expected"), ["candidate"])
 
 
+_PRICED = f"""WITH {A.NATION_MONTH}, v AS (SELECT date, ticker, volume % 3 <> 0 AS eligible, CASE WHEN volume % 29 = 0 THEN NULL WHEN volume % 31 = 0 THEN 0.0 ELSE close END AS close, CASE WHEN volume % 37 = 0 THEN NULL ELSE 1.0 END AS f FROM bars),
+n AS (SELECT date, row_number() OVER (ORDER BY date) AS i, count(*) OVER () AS n FROM (SELECT DISTINCT date FROM bars)), x AS (SELECT v.*, i, n, count(f) OVER (PARTITION BY ticker ORDER BY date ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING) AS seen, lead(coalesce(close > 0, false)) OVER (PARTITION BY ticker ORDER BY date) AS nx FROM v JOIN n USING (date)),
+y AS (SELECT * FROM x WHERE i > 5 AND i < n AND eligible) """
+
+
+@query("p06_valuation", _PRICED + _checks(finite_lookback="SELECT count(*) FROM y WHERE seen <> 5", price_now="SELECT count(*) FROM y WHERE NOT coalesce(close > 0, false)", price_next="SELECT count(*) FROM y WHERE NOT coalesce(nx, false)"))
+def valuation(spark, d):
+    """What eligible names need at each decision: features in the lookback, and prices on the day and the next."""
+    b, v = A.bars_nation_month(spark, d), F.col("volume")
+    gone = lambda k: F.pmod(v, F.lit(k)) == 0
+    p = b.select("date", "ticker", (~gone(3)).alias("eligible"), F.when(gone(29), None).when(gone(31), 0.0).otherwise(F.col("close")).alias("close"), F.when(~gone(37), 1.0).alias("f"))
+    return C.masked_valuation(p, ["f"], 5)
+
+
 _SEALED = ["schema_version", "candidate", "fold_id", "transition_index", "decision_date", "net_return", "turnover"]
 _BOUND = A.bare(_STEPS).replace("(transition_index * 13", "(CAST(transition_index AS BIGINT) * 13") + """, sealed AS (SELECT *, (CAST(transition_index AS BIGINT) * 7 + r) % 31 AS z FROM v) """
 
