@@ -23,12 +23,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_arrow, partitions, shared_dir
+from .common import LEAST_DOCS, map_arrow, partitions, shared_dir
 from .wordpieces import loaded, read_tokenizer, remembered, split_words
 
 SEQUENCE, BATCH_SEQUENCES = 2048, 256
-#: Batches that a reader keeps, and characters of a file's documents: no less, about, where partitions would make them less, and no more.
-HELD_BATCHES, LEAST_CHARS, MOST_CHARS = 4, 1 << 20, 1 << 28
+#: Batches that a reader keeps. A table of few documents gets fewer files than there are shuffle partitions: LEAST_DOCS to a file, about.
+HELD_BATCHES = 4
 
 
 def _filesystem(path: str) -> tuple:
@@ -105,8 +105,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id:
     their texts. Other columns are ignored; no rows give no files."""
     spark = docs.sparkSession
     source = spark.sparkContext.broadcast(read_tokenizer(tokenizer_path))
-    chars = docs.agg(F.sum(F.length(F.col("text").cast("string")))).first()[0] or 0
-    files = max(1, min(partitions(spark), -(-chars // LEAST_CHARS)), -(-chars // MOST_CHARS))
+    files = max(1, min(partitions(spark), -(-docs.count() // LEAST_DOCS)))
     ordered = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).repartitionByRange(files, F.col("doc_id")).sortWithinPartitions("doc_id", "text")
 
     def write(batches):
