@@ -309,4 +309,4 @@ def test_token_files_of_a_remote_store(spark, tmp_path, monkeypatch):
         assert there.batch.cache_info().currsize <= token_files.HELD_BATCHES
         ids, mask = there.sequence(len(there) - 1)
         assert mask.sum() == (row.n_tokens - 1) % 16 + 1 and (ids[mask.sum() :] == 0).all()
-        assert not isinstance(here.file, type(there.file))
+        assert type(here.file) is not type(there.file)
