@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .blocks import LEAST_ROWS, Cuts, cuts_of
+from .blocks import LEAST_ROWS, Cuts, cuts_of, small_input
 
 
 def _carried(both: DataFrame, cuts: Cuts, at: str) -> DataFrame:
@@ -107,10 +107,11 @@ def interval_join(left: DataFrame, intervals: DataFrame, at: str, start: str, en
 
     An open end holds for ever, an interval without a start for no date. An interval is cut into aligned ranges of a power of two of days, two of
     each length at most, and a date lies in one range of each length, so the join is on key, length and range: equal values
-    whatever the key, with by empty too, and however long intervals overlap. Only lengths that occur are looked up. A left join
+    whatever the key, with by empty too, and however long intervals overlap. Unless left is small only lengths that occur are looked
+    up. A left join
     finds the intervals of each distinct key and date first."""
     indexed = _indexed(intervals, start, end)
-    levels = sorted(r[0] for r in indexed.select("__level").distinct().collect())
+    levels = list(range(LEVELS)) if small_input(left) else sorted(r[0] for r in indexed.select("__level").distinct().collect())
     right = indexed.select(*(F.col(c).alias(f"__{c}") if c in by else F.col(c) for c in indexed.columns))
     ranges = F.array(*(F.struct(F.lit(level).alias("level"), F.shiftright(_day(F.col(at)), level).alias("i")) for level in levels)) if levels else F.array().cast("array<struct<level:int,i:bigint>>")
 
