@@ -33,8 +33,8 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each group of near-duplicates: SimHash links of five-word
-    shingles, and an exact similarity of 0.8 or more.
+    """The document with the smallest doc_id of each group of near-duplicates: an exact similarity of five-word
+    shingles of 0.8 or more, among candidates by SimHash links and by min-hashes.
 
     Texts without words, null ones among them, are near-duplicates of each other. Of rows that repeat the
     smallest doc_id one stays, the least as simhash.keep_one says; rows with a null doc_id all stay."""
