@@ -8,7 +8,7 @@ words are few against the buckets. With a prior, a bucket's trusted words are he
 its share of the raw corpus, with so many words added to both: a bucket with too little evidence weighs about 0
 whatever the size. Everything is DataFrame functions: one pass counts (a partial sum in each task, so at most
 BUCKETS rows leave it). Only texts that may be trusted meet their labels: a fixed bit filter of trusted ids
-(FILTER_WORDS numbers, one bit an id) keeps all but a few of the others out of the join, which is exact. A second
+(common.FILTER_WORDS numbers, one bit an id) keeps all but a few of the others out of the join, which is exact. A second
 pass scores without an exchange.
 
 The filter and the table of weights have a fixed size whatever the input, and reach the tasks as scalar
@@ -22,14 +22,12 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import packed
+from .common import may_hold, packed
 
 BUCKETS = 1 << 15
 MIN_SCORE = -0.1
 #: Words of the longest n-grams.
 ORDER = 1
-#: Longs in the bit filter of trusted ids: 2 MB. Far beyond its 16 million bits it only stops saving.
-FILTER_WORDS = 1 << 18
 #: Added to the count of each bucket in both multinomials.
 SMOOTHING = 1.0
 #: What the registered query and the pipeline use: words and word pairs, and five words added to a bucket's
@@ -85,27 +83,12 @@ def _ngrams(texts: DataFrame, buckets: int, order: int) -> DataFrame:
     return rows.select("t", F.pmod("h", F.lit(buckets)).alias("bucket"))
 
 
-def _bits(key: Column) -> tuple[Column, Column]:
-    """The place of an id in the filter: the number of its long, and its bit there."""
-    h = F.xxhash64(key)
-    return F.pmod(F.shiftrightunsigned(h, 6), F.lit(FILTER_WORDS)).cast("int"), F.pmod(h, F.lit(64)).cast("int")
-
-
-def _id_filter(ids: DataFrame) -> DataFrame:
-    """One row, f: the bits of ids(__id), in FILTER_WORDS longs."""
-    at, bit = _bits(F.col("__id"))
-    words = ids.groupBy(at.cast("long").alias("at")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit)).alias("bits"))
-    full = ids.sparkSession.range(FILTER_WORDS).select(F.col("id").alias("at")).join(words, "at", "left").select("at", F.coalesce("bits", F.lit(0).cast("long")).alias("bits"))
-    return full.agg(F.sort_array(F.collect_list(F.struct("at", "bits"))).alias("s")).select(F.transform("s", lambda x: x["bits"]).alias("f"))
-
-
 def marked_texts(docs: DataFrame, target: DataFrame) -> DataFrame:
     """text, and t: whether target has the row's doc_id; a null doc_id is never trusted.
 
     Texts that the filter holds back are surely not trusted and stay where they are; only the others are joined."""
     trusted = target.select(F.col("doc_id").alias("__id")).where("__id is not null").distinct()
-    at, bit = _bits(F.col("doc_id"))
-    screened = docs.select("doc_id", "text").withColumn("__filter", _id_filter(trusted).scalar()).withColumn("__near", F.coalesce(F.getbit(F.get("__filter", at), bit) == 1, F.lit(False))).drop("__filter")
+    screened = docs.select("doc_id", "text").withColumn("__near", may_hold(trusted, F.col("doc_id")))
     near = screened.where("__near").join(trusted.hint("shuffle_hash"), F.col("doc_id") == F.col("__id"), "left").select("text", F.col("__id").isNotNull().alias("t"))
     return near.unionByName(screened.where("not __near").select("text", F.lit(False).alias("t")))
 
